@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanework.llm import bpe, html_text, packing, tiff, warc
+from lanework.llm import bpe, html_text, packing, secrets, tiff, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,20 @@ def op5_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op7_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("secret_spans", lambda s: s["kind_order"] == k)).cast("long")
+    rows = found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), secrets.spans_text(F.col("secret_spans")).alias("spans"))
+    return rows.withColumn("base_sha256", F.sha2(F.col("spans").cast("binary"), 256))
+
+
 def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
@@ -40,10 +54,35 @@ QUERIES = {
     "op2_pack_least_squares": op2_pack_least_squares,
     "op3_tiff_pages": op3_tiff_pages,
     "op5_warc_salvage": op5_warc_salvage,
+    "op7_toxic_spans": op7_toxic_spans,
+    "op9_secret_trigrams": op9_secret_trigrams,
     "op10_bpe_tree": op10_bpe_tree,
 }
 
+
+def _spans_sql(kind: str, order: int, pattern: str, group: int, least: int) -> str:
+    """Spans of one kind by DuckDB: gaps and matches alternate, so running lengths give the offsets."""
+    return f"""
+        SELECT doc_id, '{kind}' AS kind, {order} AS kind_order, before + length(gap) AS s, before + length(gap) + length(whole) AS e
+        FROM (SELECT doc_id, gap, whole, value,
+                     coalesce(sum(length(gap) + length(whole)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+              FROM (SELECT doc_id, generate_subscripts(whole, 1) AS i, unnest(gaps[1:len(whole)]) AS gap, unnest(whole) AS whole, unnest(value) AS value
+                    FROM (SELECT doc_id, string_split_regex(text, p) AS gaps, regexp_extract_all(text, p, 0) AS whole, regexp_extract_all(text, p, {group}) AS value
+                          FROM (SELECT doc_id, coalesce(text, '') AS text, {pattern} AS p FROM documents))))
+        WHERE length(value) >= {least}
+    """
+
+
 ORACLES = {
+    "op9_secret_trigrams": f"""
+        WITH spans AS ({_spans_sql("assign", 0, """'((?i:password|passwd|secret|token|api_?key))["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)'""", 2, 6)}
+                       UNION ALL {_spans_sql("access", 1, "'AKIA[A-Z0-9]+'", 0, 20)}
+                       UNION ALL {_spans_sql("hex", 2, "'[0-9a-f]+'", 0, 24)}),
+             per AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS b, count(*) FILTER (kind = 'hex') AS c,
+                            string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, kind_order) AS spans FROM spans GROUP BY doc_id)
+        SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, coalesce(spans, '') AS spans, sha256(coalesce(spans, '')) AS base_sha256
+        FROM documents LEFT JOIN per USING (doc_id)
+    """,
     "op5_warc_salvage": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
              k AS (SELECT html, max(page_id) AS keeper FROM p WHERE n >= 1000 GROUP BY html)
