@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanework.llm import bpe, html_text, packing, secrets, tiff, toxicity, warc
+from lanework.llm import bpe, html_text, packing, secrets, substring, tiff, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op4_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op1_html_blocks": op1_html_blocks,
     "op2_pack_least_squares": op2_pack_least_squares,
     "op3_tiff_pages": op3_tiff_pages,
+    "op4_repeated_windows": op4_repeated_windows,
     "op5_warc_salvage": op5_warc_salvage,
     "op7_toxic_spans": op7_toxic_spans,
     "op9_secret_trigrams": op9_secret_trigrams,
@@ -74,6 +79,15 @@ def _spans_sql(kind: str, order: int, pattern: str, group: int, least: int) -> s
 
 
 ORACLES = {
+    "op4_repeated_windows": r"""
+        WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+             w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM d),
+             x AS (SELECT *, CASE WHEN i + 34 <= n THEN string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) END AS win FROM w),
+             y AS (SELECT *, win IS NOT NULL AND count(*) OVER (PARTITION BY win) > 1 AS again FROM x),
+             z AS (SELECT *, max(again::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM y),
+             g AS (SELECT doc_id, sum(gone) AS removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM z GROUP BY doc_id)
+        SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)
+    """,
     "op9_secret_trigrams": f"""
         WITH spans AS ({_spans_sql("assign", 0, """'((?i:password|passwd|secret|token|api_?key))["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)'""", 2, 6)}
                        UNION ALL {_spans_sql("access", 1, "'AKIA[A-Z0-9]+'", 0, 20)}
