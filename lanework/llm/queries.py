@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanework.llm import bpe, html_text, packing, secrets, substring, tiff, toxicity, warc
+from lanework.llm import bpe, html_text, neardup, packing, secrets, substring, tiff, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op7_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=4).drop("key")
+
+
 def op9_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda k: F.size(F.filter("secret_spans", lambda s: s["kind_order"] == k)).cast("long")
@@ -60,6 +64,7 @@ QUERIES = {
     "op4_repeated_windows": op4_repeated_windows,
     "op5_warc_salvage": op5_warc_salvage,
     "op7_toxic_spans": op7_toxic_spans,
+    "op8_minhash_bayes": op8_minhash_bayes,
     "op9_secret_trigrams": op9_secret_trigrams,
     "op10_bpe_tree": op10_bpe_tree,
 }
@@ -79,6 +84,18 @@ def _spans_sql(kind: str, order: int, pattern: str, group: int, least: int) -> s
 
 
 ORACLES = {
+    "op8_minhash_bayes": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+             w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM d),
+             x AS (SELECT doc_id, i, n, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS sh FROM w),
+             s AS (SELECT DISTINCT doc_id, sh FROM x WHERE i + 3 <= n OR (n < 4 AND i = 1)),
+             c AS (SELECT doc_id, count(*) AS k FROM s GROUP BY doc_id),
+             p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
+             e AS (SELECT a, b FROM p JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b WHERE 100 * p.k >= 80 * (ca.k + cb.k - p.k)),
+             r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+             m AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+        SELECT doc_id, coalesce(k, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM m LEFT JOIN c USING (doc_id)
+    """,
     "op4_repeated_windows": r"""
         WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
              w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM d),
