@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanework.llm import bpe, html_text, neardup, packing, secrets, substring, tiff, toxicity, warc
+from lanework.llm import ann, bpe, html_text, neardup, packing, secrets, substring, tiff, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op6_descent_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -63,6 +67,7 @@ QUERIES = {
     "op3_tiff_pages": op3_tiff_pages,
     "op4_repeated_windows": op4_repeated_windows,
     "op5_warc_salvage": op5_warc_salvage,
+    "op6_descent_graph": op6_descent_graph,
     "op7_toxic_spans": op7_toxic_spans,
     "op8_minhash_bayes": op8_minhash_bayes,
     "op9_secret_trigrams": op9_secret_trigrams,
