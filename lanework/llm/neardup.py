@@ -197,7 +197,8 @@ def _edges(schema_names, found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
 
 def _dealt(rows: DataFrame, *columns: str) -> DataFrame:
     width = _base.shuffle_width(rows.sparkSession)
-    return rows.select(F.concat_ws(":", F.hex(F.col("unit.key")), "unit.i", "unit.j").alias("name"), *columns).repartition(width, "name").sortWithinPartitions("name")
+    name = F.concat_ws(":", F.hex(F.col("unit.key")), "unit.i", "unit.j").alias("name")
+    return rows.select(name, *columns).repartition(width, "name").sortWithinPartitions("name", "cls")
 
 
 def candidate_groups(classes: DataFrame, similarity: int = SIMILARITY, miss: float = MISS, block: int = BLOCK) -> DataFrame:
@@ -212,7 +213,13 @@ def candidate_groups(classes: DataFrame, similarity: int = SIMILARITY, miss: flo
         for table in _groups(batches):
             names, sig, side = _unit_rows(table)
             links = Links(len(names))
-            for i, j in zip(*(x.tolist() for x in surviving_pairs(sig, side, bounds)[:2]), strict=True):
+            left, right, _ = surviving_pairs(sig, np.full_like(side, 2), bounds)
+            # A unit of two blocks names only what joins them: each block's own unit names the links inside it.
+            inside = (side[left] == side[right]) & (side[left] != 2)
+            for i, j in zip(left[inside].tolist(), right[inside].tolist(), strict=True):
+                links.join(i, j)
+            for i, j in zip(left[~inside].tolist(), right[~inside].tolist(), strict=True):
+                i, j = links.root(i), links.root(j)
                 if links.join(i, j):
                     found.add((names[i], names[j]))
             if len(found) > 50_000:
