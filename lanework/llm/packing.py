@@ -7,6 +7,7 @@ then dealt to the solved slots by their rank within their bin, which Spark compu
 
 from __future__ import annotations
 
+import re
 import zlib
 from itertools import combinations_with_replacement
 
@@ -20,16 +21,27 @@ from lanework.llm import _base
 WINDOW = 4096
 BIN_WIDTH = 16
 #: Entries of a worker's table of encoded words; beyond it the table starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
+
+
+def byte_letters() -> list[str]:
+    """The printable letter that a byte-level vocabulary writes for each byte: printable Latin-1 stands for itself, others follow from 256."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
 class WordBpe:
     """Ids of texts as little-endian uint32 bytes.
 
     The vocabulary's normaliser and splitter never look across ASCII white space, so each run between it is encoded once
-    and kept; what is inside a run (other white space, special tokens) is left to the tokenizer.
+    and kept. A run of printable ASCII and Latin-1 letters (normalised already, lower-cased letter by letter) is split by
+    the splitter's own pattern and goes to the merge table piece by piece; any other run is left to the tokenizer whole.
     """
 
+    PLAIN = re.compile(r"[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+    SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\sa-z0-9\xdf-\xf6\xf8-\xff]+")
+
     def __init__(self, path: str, end_id: int):
         import os
 
@@ -38,21 +50,48 @@ class WordBpe:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = np.array([end_id], "<u4").tobytes()
+        self.letters = byte_letters()
         self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            tokens = self.tokenizer.model.tokenize("".join(map(self.letters.__getitem__, piece.encode())))
+            found = self.pieces[piece] = np.array([t.id for t in tokens], "<u4").tobytes()
+        return found
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         split = [(x or "").encode().split() for x in texts]
-        known = self.known
+        known, piece, cut, plain = self.known, self.piece, self.SPLIT.findall, self.PLAIN.fullmatch
         if len(known) > CACHE_WORDS:
             known.clear()
-        new = list(set().union(*split).difference(known))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
+        if len(self.pieces) > CACHE_WORDS:
+            self.pieces.clear()
+        rest = []
+        for word in set().union(*split).difference(known):
+            text = word.decode()
+            if plain(text) and "<|" not in text:
+                known[word] = b"".join(map(piece, cut(text.lower())))
+            else:
+                rest.append(word)
+        for i in range(0, len(rest), 20_000):
+            part = rest[i : i + 20_000]
             for word, found in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
                 known[word] = np.array(found.ids, "<u4").tobytes()
         return [b"".join(map(known.__getitem__, words)) + self.end for words in split]
 
 
+_encoders: dict[tuple[str, int], WordBpe] = {}
+
+
+def encoder_of(path: str, end_id: int) -> WordBpe:
+    """One encoder, with what it has learnt, for all tasks of a worker process."""
+    if (path, end_id) not in _encoders:
+        _encoders[path, end_id] = WordBpe(path, end_id)
+    return _encoders[path, end_id]
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", bin_width: int = BIN_WIDTH) -> DataFrame:
     """Pieces of every document's ids: whole windows, then the remainder.
 
@@ -61,7 +100,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window:
     """
 
     def make():
-        encoder = WordBpe(tokenizer_path, end_id)
+        encoder = encoder_of(tokenizer_path, end_id)
         task, seen = TaskContext.get().partitionId(), np.zeros(-(-window // bin_width) + 1, np.int64)
 
         def one(batch):

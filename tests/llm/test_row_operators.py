@@ -91,6 +91,17 @@ def test_packing_query(spark, sf_dir):
     assert packed_well(rows, [len(x) for x in ids.values()]) > 0.95
 
 
+def test_word_ids_equal_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    tokenizer, mine = Tokenizer.from_file(WORDS), packing.WordBpe(WORDS, 2)
+    rng = random.Random(5)
+    letters = "aZ09.,'\"-_<|>éÀßÿÞ×÷µªº ñ" + "\u0301\u0130\u03a3\u03c3\u65e5\ufb01\u00a0\u2003\x1c\x7f\x85\x00" + "strevmld"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["<|endoftext|>", "it's we'LL <|startoftext|>x"]
+    for text, found in zip(texts, mine.encode_many(texts), strict=True):
+        assert np.frombuffer(found, "<u4").tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+
+
 def test_packing_odd_rows(documents, nothing):
     from tokenizers import Tokenizer
 
