@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from lanework.plans import catalog
+
 FLAGSHIP = "select_best"
-QUERIES: dict = {}
-ORACLES: dict = {}
+QUERIES: dict = dict(catalog.QUERIES)
+ORACLES: dict = dict(catalog.ORACLES)
