@@ -8,6 +8,7 @@ then dealt to the solved slots by their rank within their bin, which Spark compu
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from itertools import combinations_with_replacement
 
@@ -58,7 +59,7 @@ class WordBpe:
         found = self.pieces.get(piece)
         if found is None:
             tokens = self.tokenizer.model.tokenize("".join(map(self.letters.__getitem__, piece.encode())))
-            found = self.pieces[piece] = np.array([t.id for t in tokens], "<u4").tobytes()
+            found = self.pieces[piece] = struct.pack(f"<{len(tokens)}I", *(t.id for t in tokens))
         return found
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:

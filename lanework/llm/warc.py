@@ -40,7 +40,7 @@ def record(kind: str, record_id: str, uri: str, payload: bytes, refers_to: str |
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers).encode() + b"\r\n" + payload + b"\r\n\r\n"
 
 
-def member(data: bytes, level: int = 2) -> bytes:
+def member(data: bytes, level: int = 1) -> bytes:
     packer = zlib.compressobj(level, zlib.DEFLATED, 31)
     return packer.compress(data) + packer.flush()
 
@@ -139,6 +139,7 @@ def plan_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
     """
     rows = pages.select(pages[page_id].cast("long").alias("page_id"), pages[url].alias("url"), F.coalesce(pages[html], F.lit("")).alias("html"))
     ids = rows.select("page_id", F.sha1(F.col("html").cast("binary")).alias("sha1"), F.octet_length("html").alias("size")).where(F.col("size") >= revisit_bytes)
+    ids = _base.save(ids, "payloads")
     keepers = ids.groupBy("sha1", "size").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1 and keeper is not null").drop("n")
     revisits = ids.join(keepers, ["sha1", "size"]).where("not page_id <=> keeper").select(F.col("page_id").alias("again"), F.col("sha1").alias("again_sha1"), F.col("keeper").alias("refers_to")).distinct()
     mine = [F.col("page_id").eqNullSafe(F.col("again")), F.sha1(F.col("html").cast("binary")) == F.col("again_sha1")]
