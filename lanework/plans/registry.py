@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lanework.plans import catalog
+from lanework.plans import catalog, jobs
 
 FLAGSHIP = "select_best"
-QUERIES: dict = dict(catalog.QUERIES)
-ORACLES: dict = dict(catalog.ORACLES)
+QUERIES: dict = catalog.QUERIES | jobs.QUERIES
+ORACLES: dict = catalog.ORACLES | jobs.ORACLES
