@@ -79,3 +79,9 @@ def source_numbers(entries: DataFrame) -> DataFrame:
 def collapse_changes(changes: DataFrame) -> DataFrame:
     """The first of equal changes of a feed."""
     return changes.groupBy("identity_key", "marker", "was", "is").agg(F.min("n").alias("n"), F.count("*").alias("times"))
+
+
+def scan_history(entries: DataFrame) -> DataFrame:
+    """(n, marker, changes): how many feeds, catalogs and qualities changed at each scan of the history."""
+    parts = [f(entries).select("n", "marker") for f in (diff_identities, diff_sources, diff_quality)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("n", "marker").agg(F.count("*").alias("changes"))

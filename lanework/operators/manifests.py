@@ -36,11 +36,16 @@ def best_variant(variants: DataFrame) -> DataFrame:
 
 
 def encryption_flags(manifests: DataFrame) -> DataFrame:
-    """(manifest_url, protected, key_required): a key method other than NONE protects; AES-128 with an address brings its own key."""
-    lines = F.filter(F.split("text", r"\r?\n"), lambda x: x.startswith("#EXT-X-KEY:") | x.startswith("#EXT-X-SESSION-KEY:"))
-    method = lambda x: F.upper(F.regexp_extract(x, r"METHOD=([A-Za-z0-9-]+)", 1))
-    guarded = F.filter(lines, lambda x: method(x) != "NONE")
-    own = lambda x: (method(x) == "AES-128") & (F.regexp_extract(x, r'URI="([^"]+)"', 1) != "") & (F.regexp_extract(x, r'KEYFORMAT="([^"]+)"', 1).isin("", "identity"))
+    """(manifest_url, protected, key_required): a key method other than NONE protects; AES-128 with an address brings its own key.
+
+    A key line without a method protects nothing; a null text has no key lines.
+    """
+    trimmed = F.transform(F.split(F.coalesce("text", F.lit("")), r"\r\n|\r|\n"), lambda x: F.trim(x))
+    lines = F.filter(trimmed, lambda x: x.startswith("#EXT-X-KEY:") | x.startswith("#EXT-X-SESSION-KEY:"))
+    given = lambda x, k: F.trim(F.regexp_extract(x, rf'(?i)[:,]\s*{k}="?([^",]*)', 1))
+    method = lambda x: F.upper(given(x, "METHOD"))
+    guarded = F.filter(lines, lambda x: ~method(x).isin("", "NONE"))
+    own = lambda x: (method(x) == "AES-128") & (given(x, "URI") != "") & F.lower(given(x, "KEYFORMAT")).isin("", "identity")
     return manifests.select("manifest_url", (F.size(guarded) > 0).alias("protected"), F.exists(guarded, lambda x: ~own(x)).alias("key_required"))
 
 

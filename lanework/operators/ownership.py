@@ -49,3 +49,11 @@ def latest_status(events: DataFrame) -> DataFrame:
 def scan_windows(events: DataFrame, width: str = "300 seconds") -> DataFrame:
     """Events, feeds and states per scan cycle and session."""
     return events.groupBy(F.window("ts", width).alias("w"), "session_id").agg(F.count("*").alias("n"), F.approx_count_distinct("identity_key", 0.01).alias("feeds"), F.count_if(F.col("new_state") == "RECORDING").alias("recording")).select(F.col("w.start").alias("cycle"), "session_id", "n", "recording")
+
+
+def session_rollover(events: DataFrame) -> DataFrame:
+    """(session_id, action): CONTINUED while a feed of the session is owned, else ROLLED_OVER; CREATED if it never owned any."""
+    newest = decide(events).where("accepted").groupBy("session_id", "identity_key").agg(F.max_by("new_state", "seq").alias("state"))
+    owned = newest.groupBy("session_id").agg(F.count_if(~F.col("state").isin(*FINAL)).alias("active"))
+    action = F.when(F.col("active") > 0, "CONTINUED").when(F.col("active") == 0, "ROLLED_OVER").otherwise("CREATED")
+    return events.select("session_id").distinct().join(owned, "session_id", "left").select("session_id", action.alias("action"))

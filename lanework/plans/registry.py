@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lanework.plans import catalog, jobs
+from lanework.plans import catalog, jobs, texts
 
 FLAGSHIP = "select_best"
-QUERIES: dict = catalog.QUERIES | jobs.QUERIES
-ORACLES: dict = catalog.ORACLES | jobs.ORACLES
+QUERIES: dict = catalog.QUERIES | jobs.QUERIES | texts.QUERIES
+ORACLES: dict = catalog.ORACLES | jobs.ORACLES | texts.ORACLES
