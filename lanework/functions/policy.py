@@ -61,3 +61,11 @@ def access_class(provider: Column, source_group: Column, http_status: Column) ->
         .when(http_status >= 400, "failed")
         .otherwise("ok")
     )
+
+
+def probe_status(expired: Column, unsupported: Column, key_missing: Column, check_failed: Column, variant_failure: Column, is_playlist: Column) -> Column:
+    """What a probe found, the first that holds: expired, unsupported, a missing key, a failed check, a failed variant (its
+    name, null or '' if none), working, else unsupported. Null flags count as false."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    failed = F.coalesce(variant_failure, F.lit(""))
+    return F.when(yes(expired), "expired").when(yes(unsupported), "unsupported").when(yes(key_missing), "drm_key_missing").when(yes(check_failed), "drm_check_failed").when(failed != "", failed).when(yes(is_playlist), "working").otherwise("unsupported")

@@ -25,3 +25,15 @@ def source_timestamp(text: Column) -> Column:
     forms = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "dd-MM-yyyy HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "yyyy-MM-dd HH:mm", "EEE, dd MMM yyyy HH:mm:ss")
     stamp = F.coalesce(*(F.try_to_timestamp(plain, F.lit(f)) for f in forms if not f.startswith("EEE")), F.try_to_timestamp(F.regexp_replace(plain, r"^[A-Za-z]{3}, ", ""), F.lit("dd MMM yyyy HH:mm:ss")))
     return F.unix_timestamp(stamp) - F.when(text.rlike(r"(?i)\bIST\s*$"), 19800).otherwise(0)
+
+
+#: A stamp in a catalog's head.
+STAMP = r"(?i)(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2})?(?:\s+(?:UTC|GMT|IST))?|\d{2}[-/]\d{2}[-/]\d{4}\s+\d{2}:\d{2}(?::\d{2})?)"
+
+
+def generated_timestamp(text: Column) -> Column:
+    """Epoch seconds of the first stamp in the first 80 lines that say when the text was generated or updated; else null."""
+    lines = F.slice(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n"), 1, 80)
+    said = F.filter(lines, lambda x: x.rlike(r"(?i)\b(?:generated|updated)\b"))
+    stamps = F.transform(said, lambda x: source_timestamp(F.regexp_extract(x, STAMP, 1)))
+    return F.try_element_at(F.filter(stamps, lambda x: x.isNotNull()), F.lit(1))

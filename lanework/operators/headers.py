@@ -72,3 +72,34 @@ def merge_header_layers(*layers: Column, keep_blank: bool = False) -> Column:
     pairs = _usable(reduce(F.concat, [listed(m) for m in layers]), keep_blank)
     filled = lambda x: F.exists(pairs, lambda y: (F.lower(y["key"]) == F.lower(x["key"])) & (y["value"] != ""))
     return _last_wins(F.filter(pairs, lambda x: (x["value"] != "") | ~filled(x)))
+
+
+def split_url_metadata(url: Column, decode: bool = True) -> Column:
+    """struct(url, headers) of an address with ``|name=value&...`` behind it.
+
+    decode: percent escapes are undone (a plus stays, a bad escape leaves the text as it is) and blank values go; else the
+    texts stay, blank values too, and a lone question mark at the end of the address goes. Null counts as empty.
+    """
+    raw = F.trim(F.coalesce(url, F.lit("")))
+    clean, behind = F.trim(F.split_part(raw, F.lit("|"), F.lit(1))), F.regexp_extract(raw, r"(?s)^[^|]*\|(.*)$", 1)
+    if not decode:
+        clean = F.when(F.contains(raw, F.lit("|")), F.regexp_replace(clean, r"\?$", "")).otherwise(clean)
+    plain = (lambda x: F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x)) if decode else (lambda x: x)
+    items = F.filter(F.split(behind, "&"), lambda x: F.contains(x, F.lit("=")))
+    pairs = F.transform(items, lambda x: _pair(plain(F.regexp_extract(x, r"(?s)^([^=]*)=", 1)), plain(F.regexp_extract(x, r"(?s)^[^=]*=(.*)$", 1))))
+    return F.struct(clean.alias("url"), _last_wins(_usable(pairs, not decode)).alias("headers"))
+
+
+#: Headers that make a playback what it is, sorted.
+PLAYBACK = ("authorization", "cookie", "origin", "referer")
+
+
+def playback_fingerprint(url: Column, headers: Column) -> Column:
+    """SHA-256 of the final address and four headers as one line of JSON in ASCII; '' without an address."""
+    listed = F.map_entries(F.coalesce(headers, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))))
+    value = lambda n: F.coalesce(F.trim(F.try_element_at(F.filter(listed, lambda x: F.lower(F.trim(x["key"])) == n), F.lit(1))["value"]), F.lit(""))
+    text = F.to_json(F.struct(F.trim(url).alias("final_manifest_url"), F.struct(*(value(n).alias(n) for n in PLAYBACK)).alias("headers")))
+    unit = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+    far = lambda c: F.ascii(c) - 65536
+    escaped = lambda c: F.when(F.ascii(c) < 127, c).when(F.ascii(c) < 65536, unit(F.ascii(c))).otherwise(F.concat(unit(F.shiftright(far(c), 10) + 55296), unit(far(c) % 1024 + 56320)))
+    return F.when(F.trim(F.coalesce(url, F.lit(""))) == "", "").otherwise(F.sha2(F.array_join(F.transform(F.split(text, ""), escaped), ""), 256))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanework.functions import quality, times
+from lanework.plans.ship import ship
 
 
 def hls_variants(manifests: DataFrame) -> DataFrame:
@@ -54,3 +60,120 @@ def progress_bitrate(log: DataFrame) -> DataFrame:
     value = lambda k: F.max(F.when(F.trim(F.split_part("line", F.lit("="), F.lit(1))) == k, F.trim(F.split_part("line", F.lit("="), F.lit(2))).try_cast("bigint")))
     rows = log.groupBy("stream").agg(value("total_size").alias("size"), value("out_time_us").alias("us"))
     return rows.select("stream", F.when((F.col("us") > 0) & (F.col("size") > 0), F.floor(F.col("size") * 8000000 / F.col("us"))).otherwise(0).cast("bigint").alias("bits_per_second"))
+
+
+def stream_probe_rows(probes: DataFrame) -> DataFrame:
+    """(manifest_url, stream, width, height, fps, bitrate, matched): the best stream of each probe's JSON answer.
+
+    probes: (manifest_url, text, want_width, want_height, want_fps); null or 0 wishes ask for nothing. Streams of the
+    wanted size and rate (within 0.05) come first; without one all count. A text that is no JSON, or one without streams,
+    gives no row.
+    """
+    stream = "struct<index:int,width:int,height:int,avg_frame_rate:string,r_frame_rate:string,bit_rate:string,field_order:string>"
+    parsed = probes.withColumn("d", F.from_json("text", f"format struct<bit_rate:string>, streams array<{stream}>"))
+    rows = parsed.select("manifest_url", "want_width", "want_height", "want_fps", F.coalesce(F.col("d.format.bit_rate").try_cast("bigint"), F.lit(0)).alias("whole"), F.posexplode("d.streams").alias("stream", "s"))
+    average, own = times.frame_rate(F.coalesce("s.avg_frame_rate", F.lit(""))), F.coalesce(F.col("s.bit_rate").try_cast("bigint"), F.lit(0))
+    rows = rows.select(
+        "manifest_url",
+        "stream",
+        F.coalesce("s.width", F.lit(0)).alias("width"),
+        F.coalesce("s.height", F.lit(0)).alias("height"),
+        F.when(average > 0, average).otherwise(times.frame_rate(F.coalesce("s.r_frame_rate", F.lit("")))).alias("fps"),
+        F.when(own > 0, own).otherwise(F.col("whole")).alias("bitrate"),
+        F.coalesce("s.field_order", F.lit("")).alias("scan"),
+        *(F.coalesce(c, F.lit(0)).alias(c) for c in ("want_width", "want_height", "want_fps")),
+    )
+    sized = (F.col("want_width") <= 0) | (F.col("want_height") <= 0) | ((F.col("width") == F.col("want_width")) & (F.col("height") == F.col("want_height")))
+    timed = (F.col("want_fps") <= 0) | ((F.col("fps") > 0) & (F.abs(F.col("fps") - F.col("want_fps")) <= 0.05))
+    rank = quality.quality_rank(F.col("fps"), F.col("width"), F.col("height"), F.col("bitrate"), F.col("scan"))
+    rows = rows.withColumns({"fits": (sized & timed).cast("int"), "rank": rank})
+    best = F.max_by(F.struct("stream", "width", "height", "fps", "bitrate"), F.struct("fits", "rank", (-F.col("stream")).alias("first")))
+    return rows.groupBy("manifest_url").agg(best.alias("b"), F.sum("fits").cast("int").alias("matched")).select("manifest_url", "b.*", "matched")
+
+
+def merge_probe_evidence(current: dict[str, Column], probe: dict[str, Column], default_bitrate_source: str = "") -> dict[str, Column]:
+    """Columns of an entry with missing facts taken from a probe; known facts and their sources stay.
+
+    Keys of both: fps, width, height, bitrate, scan; current also has a source for each of fps, resolution, bitrate and
+    scan (``fps_source``, ...), probe has bitrate_source. Nulls count as missing.
+    """
+    number = lambda c: F.coalesce(c, F.lit(0))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    lacks = {k: (number(current[k]) <= 0) & (number(probe[k]) > 0) for k in ("fps", "width", "height", "bitrate")}
+    out = {k: F.when(lacks[k], probe[k]).otherwise(current[k]) for k in lacks}
+    kind = quality.scan_type(probe["scan"])
+    scan_lacks = (quality.scan_type(current["scan"]) == "") & (kind != "")
+    out["scan"] = F.when(scan_lacks, kind).otherwise(current["scan"])
+    out["fps_source"] = F.when(lacks["fps"], "probe").otherwise(text(current["fps_source"]))
+    filled = F.when(F.trim(text(current["resolution_source"])) == "manifest", "manifest+probe").otherwise("probe")
+    out["resolution_source"] = F.when(lacks["width"] | lacks["height"], filled).otherwise(text(current["resolution_source"]))
+    named = F.coalesce(F.nullif(text(probe["bitrate_source"]), F.lit("")), F.lit(default_bitrate_source))
+    out["bitrate_source"] = F.when(lacks["bitrate"], named).otherwise(text(current["bitrate_source"]))
+    out["scan_source"] = F.when(scan_lacks, "probe").otherwise(text(current["scan_source"]))
+    known = (number(out["fps"]) > 0) | ((number(out["width"]) > 0) & (number(out["height"]) > 0)) | (number(out["bitrate"]) > 0)
+    return out | {"known": known}
+
+
+def dash_representations(manifests: DataFrame) -> DataFrame:
+    """(manifest_url, id, width, height, fps, bitrate, codecs, scan, expiry, protected) of every video rendition of DASH texts.
+
+    Attributes that a rendition lacks come from its set; expiry is the earliest stamp of the rendition, its set and what
+    holds them. Texts that are null, broken or declare entities give no row.
+    """
+    out = "manifest_url string, id string, width int, height int, fps double, bitrate long, codecs string, scan string, expiry long, protected boolean"
+    ship(manifests.sparkSession)
+    return manifests.select("manifest_url", "text").mapInPandas(_renditions, out)
+
+
+def _renditions(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["manifest_url", "id", "width", "height", "fps", "bitrate", "codecs", "scan", "expiry", "protected"]
+    for frame in frames:
+        rows = [(url, *x) for url, text in zip(frame["manifest_url"], frame["text"], strict=True) if text and "<!ENTITY" not in text for x in _video(text)]
+        yield pd.DataFrame(rows, columns=names).astype({"expiry": "Int64"})
+
+
+def _video(text: str) -> Iterator[tuple]:
+    try:
+        root = ElementTree.fromstring(text.strip().encode())
+    except ElementTree.ParseError:
+        return
+    protected = any(_local(e) == "ContentProtection" for e in root.iter())
+
+    def walk(node, above: list[int]) -> Iterator[tuple]:
+        inner = ("Representation",) if _local(node) == "AdaptationSet" else ("Period", "AdaptationSet", "Representation")
+        stamps = above + _stamps(node, inner)
+        for child in node:
+            if _local(node) == "AdaptationSet" and _local(child) == "Representation":
+                yield from _rendition(node, child, stamps, protected)
+            elif _local(child) in ("Period", "AdaptationSet"):
+                yield from walk(child, stamps)
+
+    yield from walk(root, [])
+
+
+def _rendition(parent, node, stamps: list[int], protected: bool) -> Iterator[tuple]:
+    get = lambda k: node.get(k) or parent.get(k) or ""
+    whole = lambda s: int(s) if s.strip().isdigit() else 0
+    width, height, fps = whole(get("width")), whole(get("height")), _rate(get("frameRate"))
+    kinds = f"{parent.get('mimeType') or ''} {node.get('mimeType') or ''}".lower()
+    if (parent.get("contentType") or "").lower() == "video" or "video" in kinds or (width and height) or fps > 0:
+        scan = get("scanType").strip().lower()
+        every = stamps + _stamps(node, ())
+        yield (node.get("id") or "").strip(), width, height, fps, whole(node.get("bandwidth") or ""), get("codecs").strip(), scan if scan in ("progressive", "interlaced") else "", min(every, default=None), protected
+
+
+def _local(element) -> str:
+    return element.tag.rpartition("}")[2] if isinstance(element.tag, str) else ""
+
+
+def _stamps(node, without: tuple[str, ...]) -> list[int]:
+    texts = [*node.attrib.values(), node.text or "", *(ElementTree.tostring(c, encoding="unicode") for c in node if _local(c) not in without)]
+    return [int(x) for t in texts for x in re.findall(r"(?i)(?:^|[?&~=;])(?:exp|expires)=(\d+)", t)]
+
+
+def _rate(text: str) -> float:
+    top, _, bottom = text.partition("/")
+    try:
+        return float(top) / float(bottom or 1)
+    except (ValueError, ZeroDivisionError):
+        return 0.0

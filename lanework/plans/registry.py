@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lanework.plans import catalog, jobs, texts
+from lanework.plans import catalog, jobs, searches, texts
 
 FLAGSHIP = "select_best"
-QUERIES: dict = catalog.QUERIES | jobs.QUERIES | texts.QUERIES
-ORACLES: dict = catalog.ORACLES | jobs.ORACLES | texts.ORACLES
+QUERIES: dict = catalog.QUERIES | jobs.QUERIES | texts.QUERIES | searches.QUERIES
+ORACLES: dict = catalog.ORACLES | jobs.ORACLES | texts.ORACLES | searches.ORACLES

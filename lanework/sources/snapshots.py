@@ -36,3 +36,12 @@ def read_registry(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     good = (F.trim(F.coalesce("identity_key", F.lit(""))) != "") & state.isin("LAUNCHING", "RECORDING", "WAITING", "ENDED", "CRASHED") & (F.col("worker_pid").isNull() | (pid > 0))
     rows = rows.withColumn("good", F.coalesce(good, F.lit(False)))
     return rows.where("good").select("session_id", "identity_key", "provider", state.alias("state"), pid.alias("worker_pid")), rows.where("not good").drop("good")
+
+
+STATUS = "schema_version int, registry_session_id string, identity string, provider string, worker_pid int, worker_state string, sequence long, updated_at string"
+
+
+def read_status(spark: SparkSession, path: str, session_id: str, version: int = 1) -> DataFrame:
+    """Status files (one JSON object each) of a session; broken texts, other versions or sessions and nameless feeds go."""
+    rows = spark.read.schema(STATUS).json(path, mode="PERMISSIVE", multiLine=True)
+    return rows.where((F.col("schema_version") == version) & (F.col("registry_session_id") == session_id) & (F.col("identity") != ""))
