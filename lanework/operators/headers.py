@@ -74,6 +74,21 @@ def merge_header_layers(*layers: Column, keep_blank: bool = False) -> Column:
     return _last_wins(F.filter(pairs, lambda x: (x["value"] != "") | ~filled(x)))
 
 
+def effective_headers(provider: Column, given: Column, defaults: dict[str, dict[str, str]], user_agent: str) -> Column:
+    """Headers of a request: the provider's defaults, the entry's own over them, and a user agent if neither names one.
+
+    defaults: a small fixed table, provider (upper case) to headers; other and null providers have none.
+    """
+    if not user_agent.strip():
+        raise ValueError("a user agent is needed")
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    layer = lambda h: F.create_map(*(F.lit(x) for pair in h.items() for x in pair)) if h else empty
+    own = empty
+    for name, values in defaults.items():
+        own = F.when(F.upper(F.trim(provider)) == name, layer(values)).otherwise(own)
+    return merge_header_layers(layer({"User-Agent": user_agent}), own, given)
+
+
 def split_url_metadata(url: Column, decode: bool = True) -> Column:
     """struct(url, headers) of an address with ``|name=value&...`` behind it.
 

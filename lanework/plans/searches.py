@@ -11,14 +11,17 @@ from lanework.plans import catalog
 from lanework.plans.carriers import KEYED_SQL, NOW, _case
 from lanework.plans.catalog import _PLACED, RANKED_SQL
 from lanework.plans.jobs import _ORDER, _ROWS
+from lanework.streaming import jobs
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-def query(name: str, sql: str):
+def query(name: str, sql: str | None):
     def add(f):
-        QUERIES[name], ORACLES[name] = f, sql
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
         return f
 
     return add
@@ -275,3 +278,28 @@ def merge_probe_evidence(spark, sf_dir):
     probe = {"fps": F.lit(25.0), "width": F.lit(1280), "height": F.lit(720), "bitrate": F.lit(5_000_000), "scan": F.lit("tt"), "bitrate_source": F.lit("stream")}
     merged = manifests.merge_probe_evidence(given, probe)
     return rows.select("playlist_url", "entry_index", *(c.alias(k) for k, c in merged.items()))
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/[e]vents.parquet")
+
+
+@query("stream_freshness", ORACLES["freshness_history"])
+def stream_freshness(spark, sf_dir):
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    stamp = lambda n, days: F.when(F.col("event_id") % n == 0, micros(F.expr(f"ts - INTERVAL {days} DAY")))
+    docs = _event_stream(spark, sf_dir).select(F.col("user_id").alias("source"), micros(F.col("ts")).alias("fetched_at"), F.col("event_type").alias("hash"), stamp(3, 1).alias("commit_at"), stamp(4, 2).alias("generated_at"), stamp(5, 3).alias("modified_at"))
+    back = lambda c: F.timestamp_micros(c).cast("timestamp_ntz").alias(c)
+    return jobs.drain(jobs.freshness(docs), "append", "freshness").select("source", back("fetched_at"), back("freshness"), "evidence")
+
+
+#: Each kind of event as a scan's verdict on a feed, with the metadata of its newer rows.
+VERDICTS = {"signup": ("eligible", []), "view": ("single", ["match one"]), "click": ("single", ["match one live", "x"]), "purchase": ("confirmed", ["match one live"]), "error": ("single", ["other"])}
+
+
+@query("stream_transitions", None)
+def stream_transitions(spark, sf_dir):
+    verdict = F.create_map(*(F.lit(x) for k, v in VERDICTS.items() for x in (k, v[0])))
+    values = F.create_map(*(x for k, v in VERDICTS.items() for x in (F.lit(k), F.array(*map(F.lit, v[1])).cast("array<string>"))))
+    rows = _event_stream(spark, sf_dir).select(F.concat(F.lit("feed"), F.col("user_id").cast("string")).alias("identity_key"), F.col("event_id").alias("n"), verdict[F.col("event_type")].alias("verdict"), values[F.col("event_type")].alias("values"))
+    return jobs.drain(jobs.transitions(rows), "append", "transitions")

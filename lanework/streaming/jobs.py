@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lanework.operators import changes
+from lanework.operators.evidence import CONTAINED
 from lanework.plans.ship import ship
 from lanework.sources.shared import shared_path
 
@@ -74,6 +75,81 @@ def registry(events: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return events.groupBy("session_id").applyInPandasWithState(run, out, "held string", "append", GroupStateTimeout.NoTimeout)
 
 
+def date_fetch(known: list | None, at: int, content: str, commit: int | None, generated: int | None, modified: int | None) -> list:
+    """[content, time, evidence] of a catalog after one more fetch; times in one unit of any kind."""
+    if known is None:
+        for time, kind in ((commit, "commit"), (generated, "generated"), (modified, "last-modified")):
+            if time is not None:
+                return [content, time, kind]
+        return [content, None, "unknown"]
+    if known[0] != content:
+        return [content, at, "observed"]
+    return [content, commit, "commit"] if commit is not None and known[2] not in ("commit", "observed") else known
+
+
+def freshness(documents: DataFrame) -> DataFrame:
+    """(source, fetched_at, freshness, evidence) of every fetch, as evidence.freshness_history gives; state: one row a catalog.
+
+    documents: (source, fetched_at, hash, commit_at, generated_at, modified_at), times in microseconds.
+    """
+    ship(documents.sparkSession)
+    times = ["commit_at", "generated_at", "modified_at"]
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = json.loads(state.get[0]) if state.exists else None
+        rows = pd.concat(list(frames)).sort_values(["fetched_at", "hash"])
+        found = []
+        for at, content, *stamps in rows[["fetched_at", "hash", *times]].itertuples(index=False):
+            known = date_fetch(known, int(at), content, *(None if pd.isna(x) else int(x) for x in stamps))
+            found.append((key[0], int(at), known[1], known[2]))
+        state.update((json.dumps(known),))
+        yield pd.DataFrame(found, columns=["source", "fetched_at", "freshness", "evidence"]).astype({"freshness": "Int64"})
+
+    kind = dict(documents.dtypes)["source"]
+    out = f"source {kind}, fetched_at long, freshness long, evidence string"
+    return documents.groupBy("source").applyInPandasWithState(run, out, "known string", "append", GroupStateTimeout.NoTimeout)
+
+
+def agree(left: list[str], right: list[str]) -> bool:
+    """evidence.compatible for plain lists."""
+    return any(a == b or min(len(a), len(b)) >= CONTAINED and (a in b or b in a) for a in left for b in right)
+
+
+def move(pending: list | None, verdict: str, values: list[str]) -> tuple[list | None, bool]:
+    """What is held of a feed after a scan's verdict, and whether the feed may still be used.
+
+    A single newer event is pending at first and confirmed if the next scan agrees; two agreeing catalogs confirm at once;
+    ambiguity, caught-up evidence and absence clear what is held.
+    """
+    if verdict == "confirmed":
+        return ["confirmed", values], False
+    if verdict != "single":
+        return None, True
+    if pending is None or not agree(pending[1], values):
+        return ["pending", values], True
+    return (pending if pending[0] == "confirmed" else ["confirmed", values]), False
+
+
+def transitions(verdicts: DataFrame) -> DataFrame:
+    """(identity_key, n, status, usable) per feed and scan; status is pending, confirmed or ''.
+
+    verdicts: (identity_key, n, verdict, values): those of evidence.freshness_verdict, or absent for a feed that a scan
+    does not have, with the values of the newer rows. State: one row a feed.
+    """
+    ship(verdicts.sparkSession)
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else None
+        found = []
+        for n, verdict, values in pd.concat(list(frames)).sort_values("n")[["n", "verdict", "values"]].itertuples(index=False):
+            held, usable = move(held, verdict, [] if values is None else [str(x) for x in values])
+            found.append((key[0], int(n), held[0] if held else "", usable))
+        state.update((json.dumps(held),))
+        yield pd.DataFrame(found, columns=["identity_key", "n", "status", "usable"])
+
+    return verdicts.groupBy("identity_key").applyInPandasWithState(run, "identity_key string, n long, status string, usable boolean", "held string", "append", GroupStateTimeout.NoTimeout)
+
+
 def drain(stream: DataFrame, mode: str, tag: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Run a stream over all that is there now and return what it wrote; in update mode the last row of each key."""
     spark = stream.sparkSession

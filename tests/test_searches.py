@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from lanework.functions import times
 from lanework.operators import display, evidence, headers, manifests, scope
+from lanework.plans import searches
 from lanework.sources import snapshots
+from lanework.streaming import jobs
 
 
 def test_labels(spark):
@@ -87,3 +89,25 @@ def test_status_files(spark, tmp_path):
     for i, text in enumerate([json.dumps(good), "{", json.dumps(good | {"schema_version": 2}), json.dumps(good | {"registry_session_id": "t"}), json.dumps(good | {"identity": ""})]):
         (tmp_path / f"{i}.json").write_text(text)
     assert [(r.identity, r.sequence) for r in snapshots.read_status(spark, str(tmp_path), "s").collect()] == [("f", 3)]
+
+
+def test_effective_headers(spark):
+    rows = spark.createDataFrame([("jio", {"ACCEPT": "own", "Origin": " "}), (None, None), ("X", {"user_agent": "mine"})], "p string, h map<string,string>")
+    found = [r[0] for r in rows.select(headers.effective_headers(F.col("p"), F.col("h"), {"JIO": {"Accept": "*/*", "Origin": "o"}}, "UA")).collect()]
+    assert found == [{"User-Agent": "UA", "Accept": "own", "Origin": "o"}, {"User-Agent": "UA"}, {"User-Agent": "mine"}]
+
+
+def test_transitions():
+    held, got = None, []
+    for verdict, values in [("single", ["match one"]), ("single", ["other thing"]), ("single", ["other thing b"]), ("single", ["other thing"]), ("ambiguous", []), ("single", ["x"]), ("absent", []), ("single", ["x"]), ("confirmed", ["y"]), ("eligible", [])]:
+        held, usable = jobs.move(held, verdict, values)
+        got.append((held[0] if held else "", usable))
+    assert got == [("pending", True), ("pending", True), ("confirmed", False), ("confirmed", False), ("", True), ("pending", True), ("", True), ("pending", True), ("confirmed", False), ("", True)]
+
+
+def test_transition_stream_equals_fold(spark, sf_dir):
+    held, expected = {}, {}
+    for r in spark.read.parquet(f"{sf_dir}/events.parquet").orderBy("event_id").collect():
+        held[r.user_id], usable = jobs.move(held.get(r.user_id), *searches.VERDICTS[r.event_type])
+        expected[r.event_id] = (held[r.user_id][0] if held[r.user_id] else "", usable)
+    assert {r.n: (r.status, r.usable) for r in searches.QUERIES["stream_transitions"](spark, sf_dir).collect()} == expected
