@@ -52,3 +52,31 @@ def overlay_status(entries: DataFrame, status: DataFrame) -> DataFrame:
     only = rows.groupBy("identity_key", "playlist_url").agg(F.count("*").alias("n"), F.min("entry_index").alias("found")).where("n = 1")
     moved = status.join(rows, keys, "left_anti").join(only, ["identity_key", "playlist_url"]).select("identity_key", "playlist_url", F.col("found").alias("entry_index"), "worker_state")
     return exact.unionByName(moved)
+
+
+#: Leaves that name a list of renditions, not one.
+LISTS = ("master.m3u8", "index.m3u8", "playlist.m3u8", "manifest.m3u8")
+#: How much a bitrate's source is worth; another source of a bitrate is worth 2.
+WORTH = {"manifest": 4, "ffprobe": 3, "stream": 3, "format": 3, "sample": 1}
+
+
+def quality_groups(entries: DataFrame) -> DataFrame:
+    """(identity_key, quality, renditions, observations, area, fps, bitrate): the headings under which a feed's rows are shown.
+
+    Rows of one rendition and size and rate go together, whatever their bitrate evidence; the row of best evidence speaks
+    for them (the first by catalog and position on ties). Renditions that then look the same share a heading. Sort by area,
+    rate and bitrate, falling. Columns video_bitrate_source and source_freshness_ts count where there are any.
+    """
+    number = lambda c: F.coalesce(c, F.lit(0))
+    has = lambda c: F.col(c) if c in entries.columns else F.lit(None)
+    worth = F.try_element_at(F.create_map(*(F.lit(x) for pair in WORTH.items() for x in pair)), F.lower(F.trim(F.coalesce(has("video_bitrate_source"), F.lit("")))))
+    width, height, fps, bitrate = (number(F.col(c)) for c in ("video_width", "video_height", "video_fps", "video_bitrate_bps"))
+    rows = entries.withColumns({"_quality": identity.signature_of(entries), "_path": identity.persistence_key(entries)})
+    leaf = F.lower(F.regexp_extract("_path", "([^/]*)$", 1))
+    one = F.concat_ws("/", F.col("_path"), width, height, F.round(fps, 3))
+    key = F.when(leaf.isin("", *LISTS), F.col("_quality")).otherwise(one)
+    evidence = (-(bitrate > 0).cast("int"), -F.coalesce(worth, F.when(bitrate > 0, 2).otherwise(0)), -((width > 0) & (height > 0) & (fps > 0)).cast("int"), -(F.coalesce("video_scan_type", F.lit("")) != "").cast("int"), -number(has("source_freshness_ts").cast("double")))
+    shown = (F.col("_quality").alias("quality"), (width.cast("long") * height).alias("area"), F.round(fps, 3).alias("fps"), bitrate.alias("bitrate"))
+    first = F.min(F.struct(*(e.alias(f"e{i}") for i, e in enumerate(evidence)), "playlist_url", "entry_index", *shown))
+    speaks = rows.groupBy("identity_key", key.alias("_key")).agg(first.alias("x"), F.count("*").alias("n"))
+    return speaks.groupBy("identity_key", "x.quality").agg(F.count("*").alias("renditions"), F.sum("n").alias("observations"), F.max("x.area").alias("area"), F.max("x.fps").alias("fps"), F.max("x.bitrate").alias("bitrate"))

@@ -303,3 +303,14 @@ def stream_transitions(spark, sf_dir):
     values = F.create_map(*(x for k, v in VERDICTS.items() for x in (F.lit(k), F.array(*map(F.lit, v[1])).cast("array<string>"))))
     rows = _event_stream(spark, sf_dir).select(F.concat(F.lit("feed"), F.col("user_id").cast("string")).alias("identity_key"), F.col("event_id").alias("n"), verdict[F.col("event_type")].alias("verdict"), values[F.col("event_type")].alias("values"))
     return jobs.drain(jobs.transitions(rows), "append", "transitions")
+
+
+@query(
+    "quality_groups",
+    f"""WITH r AS (SELECT *, CASE WHEN provider = 'SONY' THEN 'SONYLIV' ELSE provider END || regexp_extract(stream_url, '^https://[^/]*(/[^?|]*)', 1) AS path FROM ({RANKED_SQL})),
+             k AS (SELECT *, count(*) OVER g AS n, row_number() OVER (g ORDER BY (video_bitrate_bps > 0) DESC, (video_height > 0 AND video_fps > 0) DESC, (video_scan_type <> '') DESC, playlist_url, entry_index) AS place
+                   FROM r WINDOW g AS (PARTITION BY identity_key, path, video_width, video_height, video_fps))
+        SELECT identity_key, signature AS quality, count(*) AS renditions, sum(n)::BIGINT AS observations, max(area) AS area, round(max(video_fps), 3) AS fps, max(video_bitrate_bps) AS bitrate FROM k WHERE place = 1 GROUP BY ALL""",
+)
+def quality_groups(spark, sf_dir):
+    return display.quality_groups(catalog.keyed(spark, sf_dir))
