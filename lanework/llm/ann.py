@@ -3,7 +3,8 @@
 Equal vectors are one node. Nodes are dealt to shards of bounded size by hash. Each shard gets a neighbour graph: first
 lists come from a few random-projection trees, then rounds of NN-descent: Spark joins every node's list with the lists
 that name it, and the neighbours of a common node are compared with each other. A query walks the graph of every shard
-(a stated query set against all rows, in blocks): it expands the nearest nodes it has seen until none of the nearest
+(a stated query set against all rows, in blocks): it starts from its own leaf of every tree and from nodes that together
+lead to all others, however many parts the graph has, and expands the nearest nodes it has seen until none of the nearest
 ``beam`` is left to expand. Distances are exact, in double precision, on the original vectors.
 """
 
@@ -84,19 +85,42 @@ def _best_lists(n: int, rows: np.ndarray, others: np.ndarray, squares: np.ndarra
     return [others[a : min(b, a + degree)] for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def _tree_leaves(x: np.ndarray, leaf: int, seed: int) -> list[np.ndarray]:
-    rng, out, todo = np.random.default_rng(seed), [], [np.arange(len(x))]
+def _tree_leaves(x: np.ndarray, leaf: int, seed: int, queries: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows of x, rows of queries) in each leaf of a random-projection tree over x."""
+    queries = x[:0] if queries is None else queries
+    rng, out, todo = np.random.default_rng(seed), [], [(np.arange(len(x)), np.arange(len(queries)))]
     while todo:
-        part = todo.pop()
+        part, asked = todo.pop()
         if len(part) <= leaf:
-            out.append(part)
+            out.append((part, asked))
             continue
         i, j = rng.choice(part, 2, replace=False)
-        order = part[np.argsort(x[part] @ (x[i] - x[j]), kind="stable")]
-        todo += [order[: len(order) // 2], order[len(order) // 2 :]]
+        axis = x[i] - x[j]
+        along = x[part] @ axis
+        order, half = np.argsort(along, kind="stable"), len(part) // 2
+        low = queries[asked] @ axis < along[order[half]]
+        todo += [(part[order[:half]], asked[low]), (part[order[half:]], asked[~low])]
     return out
 
 
+def _entries(links: list[np.ndarray], start: np.ndarray) -> np.ndarray:
+    """start and further nodes, one at least in each part of the graph, from which the links lead to every node."""
+    reached = np.zeros(len(links), bool)
+    found, frontier, at = [start], start, 0
+    while True:
+        reached[frontier] = True
+        while frontier.size:
+            near = np.unique(np.concatenate([links[i] for i in frontier.tolist()]))
+            frontier = near[~reached[near]]
+            reached[frontier] = True
+        while at < len(links) and reached[at]:
+            at += 1
+        if at == len(links):
+            return np.concatenate(found)
+        frontier = np.array([at])
+        found.append(frontier)
+
+
 def _graph_table(shard: int, names: np.ndarray, lists: list[np.ndarray]) -> pa.Table:
     return pa.table({"shard": np.full(len(names), shard, np.int32), "node": names, "nbrs": pa.array([names[x] for x in lists], pa.list_(pa.int64()))})
 
@@ -110,7 +134,7 @@ def first_graph(nodes: DataFrame, degree: int, trees: int, leaf: int) -> DataFra
         shard = table.column("shard")[0].as_py()
         found = []
         for seed in range(trees):
-            leaves = _tree_leaves(x, leaf, seed)
+            leaves = [part for part, _ in _tree_leaves(x, leaf, seed)]
             members = np.full((len(leaves), max(map(len, leaves))), -1)
             for i, part in enumerate(leaves):
                 members[i, : len(part)] = part
@@ -182,7 +206,7 @@ def greedy(x: np.ndarray, links: list[np.ndarray], query: np.ndarray, beam: int,
         rows, squares = np.concatenate([rows, near]), np.concatenate([squares, distance(near)])
 
 
-def search(index: DataFrame, queries: DataFrame, neighbours: int = 10, beam: int = BEAM, entries: int = ENTRIES) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, neighbours: int = 10, beam: int = BEAM, entries: int = ENTRIES, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's nearest found, its own id apart; ties go to the smaller id.
 
     queries: (vec_id, vec). Fewer candidates than wanted are all returned.
@@ -199,10 +223,16 @@ def search(index: DataFrame, queries: DataFrame, neighbours: int = 10, beam: int
             names, x = np.asarray(part.column("node"))[order], _matrix(part, "vec")[order]
             ids, links = part.column("ids").to_pylist(), part.column("links").to_pylist()
             links = [np.searchsorted(names, np.array(links[i] or [], np.int64)) for i in order.tolist()]
-            every = np.arange(len(names))
-            start = every if len(names) <= beam + entries else np.unique(np.linspace(0, len(names) - 1, entries).astype(int))
-            for query, vec in zip(ask.column("query_id").to_pylist(), _matrix(ask, "query"), strict=True):
-                near, squares = greedy(x, links, vec, beam, start, neighbours + 1)
+            asks, every = _matrix(ask, "query"), np.arange(len(names))
+            whole = len(names) <= beam + entries
+            start = every if whole else _entries(links, np.unique(np.linspace(0, len(names) - 1, entries).astype(int)))
+            starts = [[start] for _ in asks]
+            for seed in range(0 if whole else trees):
+                for rows, routed in _tree_leaves(x, leaf, seed, asks):
+                    for i in routed.tolist():
+                        starts[i].append(rows)
+            for query, vec, own in zip(ask.column("query_id").to_pylist(), asks, starts, strict=True):
+                near, squares = greedy(x, links, vec, beam, np.unique(np.concatenate(own)), neighbours + 1)
                 got = [(float(math.sqrt(s)), i) for r, s in zip(near.tolist(), squares.tolist(), strict=True) for i in ids[order[r]] if i != query]
                 for score, i in sorted(got)[:neighbours]:
                     for name, value in zip(out, (query, i, score), strict=True):

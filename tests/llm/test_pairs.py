@@ -126,3 +126,12 @@ def test_recall_over_shards(spark):
     hits = {(r.query_id, r.vec_id) for r in found}
     assert len(found) == 10 * len(expected)
     assert sum((q, i) in hits for q, near in expected.items() for _, i in near) / (10 * len(expected)) >= 0.9
+
+
+def test_recall_on_separated_clusters(spark):
+    rng = np.random.default_rng(3)
+    middles = rng.normal(size=(150, 16)) * 10
+    rows = [(i, (middles[i % 150] + rng.normal(size=16) * 0.1).tolist()) for i in range(4500)]
+    expected = brute(rows, every=31)
+    hits = {(r.query_id, r.vec_id) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=31).collect()}
+    assert sum((q, i) in hits for q, near in expected.items() for _, i in near) / (10 * len(expected)) >= 0.99
