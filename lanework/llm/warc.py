@@ -2,7 +2,7 @@
 
 The reader checks every member (gzip's own checks) and record (version line, headers, declared length, payload digest).
 After a failed check it looks for the next gzip member or version line, goes on from there, and logs the bytes between as
-a quarantined gap.
+a quarantined gap. It does so inside a member too, on what inflates of it.
 """
 
 from __future__ import annotations
@@ -73,61 +73,111 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | st
     return headers, payload, start + len(payload) + 4
 
 
-def inflate(data: bytes, at: int, step: int = 1 << 14) -> tuple[bytes, int | None]:
-    """What the member at ``at`` holds, and where it ends (None: it does not). zlib.error: it fails its checks."""
+def inflate(data: bytes, at: int, step: int = 1 << 14) -> tuple[bytes, int | None, str]:
+    """What the member at ``at`` holds, where it ends and ""; or what inflates before it fails, None and the reason."""
     unpacker, parts = zlib.decompressobj(31), []
     for start in range(at, len(data), step):
-        parts.append(unpacker.decompress(data[start : start + step]))
+        before = unpacker.copy()
+        try:
+            parts.append(unpacker.decompress(data[start : start + step]))
+        except zlib.error as e:
+            try:
+                for i in range(start, start + step):
+                    parts.append(before.decompress(data[i : i + 1]))
+            except zlib.error:
+                pass
+            return b"".join(parts), None, f"member fails: {e}"
         if unpacker.eof:
-            return b"".join(parts), min(start + step, len(data)) - len(unpacker.unused_data)
-    return b"", None
+            return b"".join(parts), min(start + step, len(data)) - len(unpacker.unused_data), ""
+    return b"".join(parts), None, "member is cut short"
+
+
+def inflated_by(data: bytes, at: int, size: int, step: int = 1 << 14) -> int:
+    """How far the member at ``at`` must be read for its first ``size`` inflated bytes."""
+    unpacker = zlib.decompressobj(31)
+    while True:
+        before = unpacker.copy()
+        try:
+            found = len(unpacker.decompress(data[at : at + step]))
+        except zlib.error:
+            found = size
+        if found < size:
+            size, at = size - found, at + step
+        elif step == 1:
+            return at + 1
+        else:
+            unpacker, step = before, 1
+
+
+def records_in(plain: bytes) -> tuple[list[tuple[dict[str, str] | None, bytes | None, str | None]], int]:
+    """(headers, payload, None) of every record and (None, None, reason) of every gap, in order, and where the last record ends."""
+    found, at, last = [], 0, 0
+    while at < len(plain):
+        one = parse_record(plain, at)
+        if isinstance(one, str):
+            if not found or found[-1][0] is not None:
+                found.append((None, None, one))
+            version = VERSION.search(plain, at + 1)
+            at = version.start() if version else len(plain)
+        else:
+            found.append((*one[:2], None))
+            at = last = one[2]
+    return found, last
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes | None, str | None]]:
-    """(offset, bytes, headers, payload, None) of every record and (offset, bytes, None, None, reason) of every gap, in order."""
+    """(offset, bytes, headers, payload, None) of every record and (offset, bytes, None, None, reason) of every gap, in order.
+
+    Records and gaps inside a member have the member's offset and bytes; a damaged one reaches to what is sound again. The
+    check of a member of one record is that record's own; of more records, each is judged by itself.
+    """
     at, n = 0, len(data)
     bad: tuple[int, str] | None = None
+    kept: list = []  # what the damaged member at bad[0] gave before it failed
+
+    def gap(to: int):
+        for one in kept:
+            yield bad[0], to - bad[0], *one
+        if bad:
+            yield bad[0], to - bad[0], None, None, bad[1]
+
     while at < n:
-        found: list[tuple[dict[str, str], bytes]] = []
-        end, reason = at, "neither a member nor a version line"
+        found: list = []
+        end, reason, resume = at, "neither a member nor a version line", at + 1
         if data.startswith(MEMBER, at):
-            try:
-                plain, stop = inflate(data, at)
-                if stop is not None:
-                    end, reason, inner = stop, "", 0
-                    while inner < len(plain):
-                        one = parse_record(plain, inner)
-                        if isinstance(one, str):
-                            reason = one
-                            break
-                        found.append(one[:2])
-                        inner = one[2]
-                else:
-                    reason = "member is cut short"
-            except zlib.error as e:
-                reason = f"member fails: {e}"
+            plain, stop, reason = inflate(data, at)
+            found, last = records_in(plain)
+            if stop is not None:
+                end = resume = stop
+                if found and not last:
+                    reason, found = found[0][2], []
+            else:
+                if found and found[-1][0] is None:
+                    found.pop()
+                alone = len(found) == 1 and b"\r\n\r\n" not in plain[last:] and reason.endswith(("incorrect data check", "incorrect length check"))
+                if found and not alone:
+                    yield from gap(at)
+                    bad, kept = (at, reason), found
+                    resume = inflated_by(data, at, last)
+                found = []
         elif VERSION.match(data, at):
             one = parse_record(data, at)
             if isinstance(one, str):
                 reason = one
             else:
-                found, end, reason = [one[:2]], one[2], ""
-        if found or not reason:
-            if bad:
-                yield bad[0], at - bad[0], None, None, bad[1]
-                bad = None
-            for headers, payload in found:
-                yield at, end - at, headers, payload, None
-            if reason:  # a sound member with records after the broken one: the rest of it is lost
-                yield at, end - at, None, None, reason
+                found, end, reason = [(*one[:2], None)], one[2], ""
+        if not reason:
+            yield from gap(at)
+            bad, kept = None, []
+            for one in found:
+                yield at, end - at, *one
             at = end
             continue
         bad = bad or (at, reason)
-        version = VERSION.search(data, at + 1)
-        next_member, next_version = data.find(MEMBER, at + 1), version.start() if version else -1
+        version = VERSION.search(data, resume)
+        next_member, next_version = data.find(MEMBER, resume), version.start() if version else -1
         at = min([x for x in (next_member, next_version) if x >= 0], default=n)
-    if bad:
-        yield bad[0], n - bad[0], None, None, bad[1]
+    yield from gap(n)
 
 
 def plan_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", revisit_bytes: int = REVISIT_BYTES) -> DataFrame:

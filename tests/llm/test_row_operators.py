@@ -212,6 +212,30 @@ def test_warc_salvage():
     assert list(warc.salvage(b"")) == []
 
 
+def test_warc_salvage_inside_members():
+    rng = random.Random(4)
+    rows = [warc.record("response", f"urn:page:{i}", "http://a", rng.randbytes(3000)) for i in range(12)]
+    alone = warc.member(warc.record("response", "urn:page:99", "http://a", b"next"))
+    ids = lambda data: [int(x[2]["warc-record-id"][10:-1]) for x in warc.salvage(data) if x[2]]
+    for broken in ([0], [4], [11], [0, 5, 6]):
+        plain = b"".join(r.replace(b"\r\n\r\n", b"\r\n\r\n!", 1) if i in broken else r for i, r in enumerate(rows))
+        data = warc.member(plain) + alone
+        assert ids(data) == [i for i in range(12) if i not in broken] + [99]
+        assert sum(x[2] is None for x in warc.salvage(data)) == (2 if len(broken) == 3 else 1)
+    for level in (0, 1):
+        whole = warc.member(b"".join(rows), level)
+        failed = bytearray(whole)
+        failed[-6] ^= 255
+        assert ids(bytes(failed) + alone) == [*range(12), 99]
+        cut = whole[: len(whole) * 6 // 10]
+        assert ids(cut) == [*range(7)] and ids(cut + alone) == [*range(7), 99]
+        found = list(warc.salvage(cut + alone))
+        assert {x[:2] for x in found[:-1]} == {(0, len(cut))} and found[-2][4] and found[-1][:2] == (len(cut), len(alone))
+        assert [x[2] is None for x in found] == [False] * 7 + [True, False]
+    junk = warc.member(b"no record at all" * 9)
+    assert [(x[0], x[1], x[4]) for x in warc.salvage(junk + alone)][:1] == [(0, len(junk), "no version line")]
+
+
 def test_warc_pages(spark):
     big = "x" * 1000
     rows = [(1, "u1", big, 0), (2, "u2", big, 0), (2, "u2", big, 0), (3, None, "small", 0), (4, "u4", "small", 0), (5, "u5", None, 0), (None, "u6", big, 0), (7, "u7", big + "é", 0)]
