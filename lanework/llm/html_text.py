@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from html import unescape
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -36,29 +37,92 @@ NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "chrome", "main", "article_ahead", "heading", "sign")
 
 
-def _kind(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element opens page chrome, and whether it opens the main part."""
-    chrome, main = tag in CHROME_TAGS, tag in MAIN_TAGS
+class _Element(NamedTuple):
+    """An element that opens chrome or main; up is the place of the next such element around it (-1: none)."""
+
+    up: int
+    tag: str
+    chrome: str  # "", "words" (a class, id, role or form), "tag" or "hidden"
+    main: bool
+    inline: bool
+
+
+def _kind(tag: str, attributes: str) -> tuple[str, bool]:
+    """How an element opens page chrome, and whether it opens the main part. Those of a whole page do neither."""
+    if tag in ("html", "body"):
+        return "", False
+    hidden, words, main = False, tag == "form", tag in MAIN_TAGS
     if attributes and ("=" in attributes or "hidden" in attributes):
         for name, a, b, c in ATTRIBUTE.findall(attributes):
             value = a or b or c
             name = name.lower()
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-                chrome = True
+                hidden = True
             elif name in ("class", "id", "role"):
-                words = {x.lower() for x in NAME.findall(value)} | set(value.lower().split())
-                chrome |= not CHROME_WORDS.isdisjoint(words)
-                main |= not MAIN_WORDS.isdisjoint(words)
-    return chrome, main and not chrome
+                found = {x.lower() for x in NAME.findall(value)} | set(value.lower().split())
+                words |= not CHROME_WORDS.isdisjoint(found)
+                main |= not MAIN_WORDS.isdisjoint(found)
+    return "hidden" if hidden else "tag" if tag in CHROME_TAGS and tag != "form" else "words" if words else "", main
+
+
+def _within(elements: list[_Element], released: set[int], ending: set[int]) -> list[tuple[bool, bool]]:
+    """Whether each element is within chrome, and within main. released are no chrome; ending end what they inherit."""
+    out: list[tuple[bool, bool]] = []
+    for i, e in enumerate(elements):
+        chrome, main = out[e.up] if e.up >= 0 else (False, False)
+        own = (bool(e.chrome) or (e.tag == "header" and not main)) and i not in released
+        chrome = own or (chrome and i not in ending)
+        out.append((chrome, main if e.inline else (main or (e.main and not own)) and not chrome))
+    return out
+
+
+def _parts(elements: list[_Element], blocks: list[tuple[int, float]]) -> list[tuple[bool, bool]]:
+    """(chrome, main) of each element, given (element, unlinked words) of the blocks.
+
+    Where all articles of a page are within chrome, or most of its words, a wrapper was taken for chrome: a wrapper by its
+    words alone that holds them is none, and an article ends other chrome than hidden.
+    """
+    within = _within(elements, set(), set())
+    outside, tagged, total = 0.0, False, 0.0
+    held, articles = [0.0] * len(elements), [0.0] * len(elements)
+    for at, words in blocks:
+        total += words
+        if at >= 0 and within[at][1]:
+            outside += words
+        article = False
+        main = at >= 0 and within[at][1]
+        while at >= 0:
+            e = elements[at]
+            held[at] += words
+            if article:
+                articles[at] += words
+            if e.tag in MAIN_TAGS and not e.chrome:
+                article = True
+                tagged |= main
+            at = e.up
+    if tagged:
+        return within
+    hidden = [False] * len(elements)
+    released, ending = set(), set()
+    for i, e in enumerate(elements):
+        hidden[i] = e.chrome == "hidden" or (e.up >= 0 and hidden[e.up])
+        if hidden[i]:
+            continue
+        if e.chrome == "words" and (articles[i] > outside or held[i] > max(total / 2, outside)):
+            released.add(i)
+        if e.tag in MAIN_TAGS and not e.chrome and held[i] > outside:
+            ending.add(i)
+    return _within(elements, released, ending) if released or ending else within
 
 
 def blocks(html: str) -> list[tuple[str, list[float]]]:
     """The flat blocks of a page, in order, with what FEATURES names of each."""
     found: list[list] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, and whether within: silence, chrome, main
+    stack: list[tuple[str, bool, int]] = []  # tag, whether within silence, the place in elements of what it is within
+    elements: list[_Element] = []
     parts: list[tuple[str, bool]] = []
     links = 0
-    silent = chrome = main = False
+    silent, inner = False, -1
     heading = False
     at = 0
 
@@ -69,12 +133,12 @@ def blocks(html: str) -> list[tuple[str, list[float]]]:
             if text:
                 linked = SPACE.sub(" ", unescape("".join(x for x, link in parts if link))).strip()
                 words = len(text.split())
-                found.append([text, words, len(linked.split()) / words, chrome, main, heading, text[0] in "©®" or "©" in text[:40]])
+                found.append([text, words, len(linked.split()) / words, inner, heading, text[0] in "©®" or "©" in text[:40]])
             parts = []
 
     def state() -> None:
-        nonlocal silent, chrome, main
-        silent, chrome, main = stack[-1][1:] if stack else (False, False, False)
+        nonlocal silent, inner
+        silent, inner = stack[-1][1:] if stack else (False, -1)
 
     for match in TOKEN.finditer(html):
         if match.start() > at and not silent:
@@ -99,7 +163,8 @@ def blocks(html: str) -> list[tuple[str, list[float]]]:
                 c, m = _kind(tag, match[4])
                 if c:
                     end_block()
-                    stack.append((tag, silent, True, main))
+                    elements.append(_Element(inner, tag, c, m, True))
+                    stack.append((tag, silent, len(elements) - 1))
                     state()
             elif match[2] and stack and stack[-1][0] == tag:
                 end_block()
@@ -120,17 +185,20 @@ def blocks(html: str) -> list[tuple[str, list[float]]]:
             state()
             if not match[4].endswith("/"):
                 c, m = _kind(tag, match[4])
-                if tag == "header" and not main:
-                    c = True
-                stack.append((tag, silent or tag in SILENT_TAGS, chrome or c, (main or m) and not (chrome or c)))
+                if c or m or tag == "header":
+                    elements.append(_Element(inner, tag, c, m, False))
+                    inner = len(elements) - 1
+                stack.append((tag, silent or tag in SILENT_TAGS, inner))
         state()
         heading = tag[0] == "h" and tag[1:].isdigit() and not match[2]
     if at < len(html) and not silent:
         parts.append((html[at:], links > 0))
     end_block()
-    ahead = any(b[4] for b in found)
+    within = [*_parts(elements, [(b[3], b[1] * (1 - b[2])) for b in found]), (False, False)]
+    ahead = any(within[b[3]][1] for b in found)
     out = []
-    for i, (text, words, density, in_chrome, in_main, is_heading, sign) in enumerate(found):
+    for i, (text, words, density, at, is_heading, sign) in enumerate(found):
+        in_chrome, in_main = within[at]
         before = found[i - 1] if i else (None, 0, 1.0)
         after = found[i + 1] if i + 1 < len(found) else (None, 0, 1.0)
         out.append((text, [words, density, before[1], before[2], after[1], after[2], in_chrome, in_main, ahead, is_heading, sign]))
@@ -154,6 +222,7 @@ LABELLED_PAGES: tuple[tuple[tuple[int, str], ...], ...] = (
     ((0, "<div><a href=/7>the front page of the whole paper</a></div>"), (0, "<div>search the whole paper for a word</div>"), (0, "<div><a href=/8>your own pages and all you have kept</a></div>"), (1, f"<div>{_T * 3}</div>"), (1, f"<div>{_T}</div>"), (0, "<div><a href=/9>go back to the top of this page</a></div>")),
     ((0, f"<aside class=promo>{_T * 2}</aside>"), (1, "<article><p>yes.</p></article>"), (0, f"<footer>{_T}</footer>")),
     ((0, "<header><a href=/>valley</a></header>"), (1, "<article><header><h1>a title in the article</h1></header>"), (1, "<p>by a writer of the valley</p>"), (1, "<h2>part</h2>"), (1, f"<p>{_T}</p>"), (0, f"<div class=share>{_T}</div>"), (1, "<p><a href=/s>source</a></p></article>"), (0, f"<div class=newsletter>{_T}</div>")),
+    ((0, "<body class='single right-sidebar'><div class='content with-sidebar'><form><nav><a href=/a>home</a></nav>"), (1, f"<article><h1>the bridge</h1>"), (1, f"<p>{_T}</p>"), (1, "<p>so.</p></article>"), (0, f"<aside>{_T}</aside>"), (0, f"<div class=comments>{_T}</div></form></div>"), (0, "<footer>&copy; valley</footer></body>")),
 )
 
 

@@ -193,6 +193,19 @@ def test_main_text_of_odd_pages(spark):
     assert len(rows) == 4 and {r.n_chars for r in rows} == {0, len(f"A & B!\n\n{words}bold <x>\n\nShort.")}
 
 
+def test_main_text_in_wrappers():
+    tree = html_text.grow(*html_text.labelled_table())
+    words = "one two three four five six seven eight nine ten eleven twelve "
+    nav, foot = "<nav><a href=/>Home</a></nav>", f"<aside>{words}</aside><footer>{words}</footer>"
+    inside = f"<h1>A</h1><p>{words}</p><p>{words * 2}</p><p>Short.</p>"
+    text = f"A\n\n{words.strip()}\n\n{(words * 2).strip()}\n\nShort."
+    for before, after in (("<body class='single right-sidebar'>", "</body>"), ("<html class=no-cookie><body id=menu>", "</body>"), ("<div class='content with-sidebar'>", "</div>"), ("<form id=aspnetForm>", "</form>"), ("<body class=menu><form><div class=has-sidebar>", "</div></form></body>")):
+        for part in (f"<article>{inside}</article>", f"<main>{inside}</main>", f"<div class=content>{inside}</div>"):
+            assert html_text.main_text(before + nav + part + foot + after, tree) == text
+    assert html_text.main_text(f"{nav}<article>{inside}</article><section id=comments><article><p>{words * 9}</p></article></section>{foot}", tree) == text
+    assert html_text.main_text(f"<div style='display:none'><article>{inside}</article></div>", tree) == ""
+
+
 def test_warc_salvage():
     members = [warc.member(warc.record("response", f"urn:page:{i}", "http://a", bytes([i]) * 50)) for i in range(5)]
     whole = b"".join(members)
