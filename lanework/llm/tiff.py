@@ -178,8 +178,8 @@ def write_pages(pages: list[np.ndarray], compression: int = ADOBE_DEFLATE, predi
     return bytes(out)
 
 
-def directories(data: bytes) -> list[dict[int, list[int]]]:
-    """The chain of image directories, as tag -> integers; a loop in the chain ends it."""
+def directories(data: bytes) -> list[dict[int, list[int]] | str]:
+    """The chain of image directories, as tag -> integers, or why one is unreadable; a loop in the chain ends it, and so does a broken link."""
     if len(data) < 8 or data[:2] not in (b"II", b"MM"):
         raise ValueError("not a TIFF")
     end = "<" if data[:2] == b"II" else ">"
@@ -189,17 +189,31 @@ def directories(data: bytes) -> list[dict[int, list[int]]]:
     found, seen = [], set()
     while at and at not in seen:
         seen.add(at)
-        (n,) = struct.unpack_from(end + "H", data, at)
+        try:
+            (n,) = struct.unpack_from(end + "H", data, at)
+        except struct.error as e:
+            found.append(str(e))
+            break
         tags = {}
-        for i in range(n):
-            tag, kind, count = struct.unpack_from(end + "HHI", data, at + 2 + 12 * i)
-            size = FIELD_SIZES.get(kind, 0) * count
-            if kind not in (1, 3, 4):
-                continue
-            place = at + 10 + 12 * i if size <= 4 else struct.unpack_from(end + "I", data, at + 10 + 12 * i)[0]
-            tags[tag] = list(struct.unpack_from(f"{end}{count}{'BxHI'[kind - 1]}", data, place))
-        found.append(tags)
-        (at,) = struct.unpack_from(end + "I", data, at + 2 + 12 * n)
+        try:
+            for i in range(n):
+                tag, kind, count = struct.unpack_from(end + "HHI", data, at + 2 + 12 * i)
+                size = FIELD_SIZES.get(kind, 0) * count
+                if kind not in (1, 3, 4):
+                    continue
+                place = at + 10 + 12 * i if size <= 4 else struct.unpack_from(end + "I", data, at + 10 + 12 * i)[0]
+                tags[tag] = list(struct.unpack_from(f"{end}{count}{'BxHI'[kind - 1]}", data, place))
+            found.append(tags)
+        except (struct.error, OverflowError, MemoryError) as e:
+            found.append(str(e))
+        try:
+            (at,) = struct.unpack_from(end + "I", data, at + 2 + 12 * n)
+        except struct.error as e:
+            if isinstance(found[-1], dict):
+                found.append(str(e))
+            break
+    if not found:
+        raise ValueError("no image directory")
     return found
 
 
@@ -266,7 +280,8 @@ def text_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", comp
 def read_pages(media: DataFrame, key: str = "doc_id", column: str = "media", carry: tuple[str, ...] = (), samples: bool = True) -> DataFrame:
     """One row per page: (key, carried columns, page, n_pages, width, height, n_samples, samples, payload_bytes, payload_sha256, tail_crc32, feature, error).
 
-    A null or unreadable file gives one row with page null and the reason in error. samples=False leaves the bytes out.
+    A null or unreadable file gives one row with page null and the reason in error, an unreadable page one with its page and
+    the reason. samples=False leaves the bytes out.
     """
     kept = [key, *carry]
     types = dict(media.dtypes)
@@ -274,14 +289,26 @@ def read_pages(media: DataFrame, key: str = "doc_id", column: str = "media", car
     def make():
         names = ("page", "n_pages", "width", "height", "n_samples", "samples", "payload_bytes", "payload_sha256", "tail_crc32", "feature", "error")
 
+        errors = (ValueError, KeyError, IndexError, struct.error, zlib.error)
+
+        def read(data, i, n, tags):
+            try:
+                if isinstance(tags, str):
+                    raise ValueError(tags)
+                p = read_page(data, tags)
+                raw = p.tobytes()
+                return i, n, p.shape[1], p.shape[0], p.shape[2], raw if samples else None, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), feature(p), None
+            except errors as e:
+                return (i, n, *[None] * 8, str(e))
+
         def one(batch):
             out: dict[str, list] = {k: [] for k in names}
             source = []
             for row, data in enumerate(batch.column(0).to_pylist()):
                 try:
-                    pages = [read_page(data or b"", t) for t in directories(data or b"")]
-                    found = [(i, len(pages), p.shape[1], p.shape[0], p.shape[2], raw if samples else None, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), feature(p), None) for i, p in enumerate(pages) for raw in (p.tobytes(),)]
-                except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+                    pages = directories(data or b"")
+                    found = [read(data, i, len(pages), tags) for i, tags in enumerate(pages)]
+                except errors as e:
                     found = [(None,) * 10 + (str(e),)]
                 source += [row] * len(found)
                 for values in found:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import struct
 import zlib
 from html import unescape
 
@@ -193,6 +194,18 @@ def test_main_text_of_odd_pages(spark):
     assert len(rows) == 4 and {r.n_chars for r in rows} == {0, len(f"A & B!\n\n{words}bold <x>\n\nShort.")}
 
 
+def test_tiff_keeps_good_pages(spark):
+    good = [np.full((2, 3, 1), i, np.uint8) for i in range(3)]
+    data = bytearray(tiff.write_pages(good))
+    bits = [m.start() for m in re.finditer(re.escape(struct.pack("<HHI", tiff.BITS, 3, 1)), data)]
+    assert len(bits) == 3
+    data[bits[1] + 8] = 16
+    media = spark.createDataFrame([(1, data), (2, bytearray(b"II*\0\0\0\0\0")), (3, bytearray(tiff.write_pages(good)))], "doc_id long, media binary")
+    rows = tiff.read_pages(media).orderBy("doc_id", "page").collect()
+    assert [(r.doc_id, r.page, r.n_pages, r.error is None) for r in rows] == [(1, 0, 3, True), (1, 1, 3, False), (1, 2, 3, True), (2, None, None, False), *((3, i, 3, True) for i in range(3))]
+    assert [bytes(rows[i].samples) for i in (0, 2)] == [bytes([i] * 6) for i in (0, 2)]
+
+
 def test_main_text_in_wrappers():
     tree = html_text.grow(*html_text.labelled_table())
     words = "one two three four five six seven eight nine ten eleven twelve "
