@@ -184,9 +184,7 @@ class Tagger:
 
     def tag(self, text: str) -> list[tuple[int, int, float]]:
         """(start, end, chance of toxic) of every token that has a known feature, in code points."""
-        low = text.lower()
-        spans = None
-        words = TOKEN.findall(low)
+        words = [w.lower() for w in TOKEN.findall(text)]
         cache, emission = self.cache, self.field.emission
         if len(cache) > CACHE_WORDS:
             cache.clear()
@@ -227,11 +225,7 @@ class Tagger:
             b0, b1 = a * b0 + b * e * b1, c * b0 + d * e * b1  # over this token, to the one before
             total = b0 + b1
             b0, b1, at = b0 / total, b1 / total, i
-        if len(low) == len(text):
-            spans = [m.span() for m in TOKEN.finditer(low)] if max(chances) >= 0.01 else None
-        elif max(chances) >= 0.01:
-            spans = [m.span() for m in TOKEN.finditer(text)]
-            spans = spans if len(spans) == len(words) else None
+        spans = [m.span() for m in TOKEN.finditer(text)] if max(chances) >= 0.01 else None
         return [(*(spans[i] if spans else (-1, -1)), p) for (i, _), p in zip(events, chances, strict=True)]
 
 

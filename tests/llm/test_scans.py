@@ -103,6 +103,12 @@ def test_scores_of_odd_rows(spark, field, documents, nothing):
     assert toxicity.score(nothing, field).count() == 0 and toxicity.score(documents, field).count() == 10
 
 
+def test_spans_of_dotted_capitals(field):
+    text = "İstanbul DİYARBAKIR the uglyword ran"
+    (start, end, chance), = [t for t in toxicity.Tagger(field).tag(text) if t[2] >= 0.5]
+    assert text[start:end] == "uglyword" and chance >= 0.5
+
+
 def test_no_toxic_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 0), (None, 1), (2, None)], "doc_id long, toxic int")
