@@ -13,7 +13,7 @@ FINAL = ("ENDED", "CRASHED")
 
 
 def decide(events: DataFrame) -> DataFrame:
-    """events with accepted and reason."""
+    """events with accepted and reason. Without a column worker_pid no worker is asked for."""
     own = Window.partitionBy("session_id", "identity_key").orderBy("seq")
     upto = own.rowsBetween(Window.unboundedPreceding, 0)
     before = own.rowsBetween(Window.unboundedPreceding, -1)
@@ -21,15 +21,20 @@ def decide(events: DataFrame) -> DataFrame:
     # Transitions after the claim, compared with the one before them; a repeated claim is no event of the machine.
     live = (F.col("claims") >= 1) & ((F.col("op") != "claim") | (F.col("claims") == 1))
     rows = rows.withColumns({"live": live, "first_claim": live & (F.col("op") == "claim")})
+    # A worker is kept from one transition to the next; the refused ones leave the state as it is.
+    moves = F.col("live") & (F.col("op") != "claim")
+    named = (F.max(F.when(moves & (F.col("new_state") != "LAUNCHING") & (F.col("worker_pid") > 0), 1)).over(upto) == 1) if "worker_pid" in events.columns else F.lit(True)
+    rows = rows.withColumns({"back": moves & (F.col("new_state") == "LAUNCHING"), "idle": moves & F.col("new_state").isin("RECORDING", "WAITING") & ~F.coalesce(named, F.lit(False))})
     final = F.coalesce(F.max(F.when(F.col("live") & F.col("new_state").isin(*FINAL), 1)).over(before), F.lit(0)) == 1
-    was = F.last(F.when(F.col("live"), F.col("new_state")), ignorenulls=True).over(before)
+    was = F.last(F.when(F.col("live") & ~F.col("back") & ~F.col("idle"), F.col("new_state")), ignorenulls=True).over(before)
     rows = rows.withColumns({"over": final, "was": was})
     reason = (
         F.when(F.col("claims") == 0, "not claimed")
         .when(~F.col("live"), "claimed already")
         .when(F.col("over"), "final")
         .when(F.col("first_claim"), "")
-        .when(F.col("new_state") == F.col("was"), "same state")
+        .when((F.col("new_state") == F.col("was")) | F.col("back"), "same state")
+        .when(F.col("idle"), "no worker")
         .otherwise("")
     )
     return rows.withColumn("reason", reason).select("session_id", "identity_key", "seq", "new_state", (F.col("reason") == "").alias("accepted"), "reason")

@@ -121,6 +121,18 @@ def test_ownership(spark):
     assert [(r["was"], r["is"]) for r in ownership.registry_changes(ownership.decide(rows)).orderBy("seq").collect()] == [("-", "LAUNCHING"), ("LAUNCHING", "RECORDING"), ("RECORDING", "ENDED")]
 
 
+def test_ownership_needs_a_worker(spark):
+    from lanework.streaming import jobs
+
+    events = [(1, "claim", "LAUNCHING", None), (2, "transition", "RECORDING", None), (3, "transition", "LAUNCHING", 5), (4, "transition", "WAITING", 0), (5, "transition", "RECORDING", 7), (6, "transition", "LAUNCHING", 7), (7, "transition", "RECORDING", None), (8, "transition", "WAITING", None), (9, "transition", "ENDED", None), (10, "transition", "LAUNCHING", 7)]
+    rows = spark.createDataFrame([("s", "f", *e) for e in events], "session_id string, identity_key string, seq int, op string, new_state string, worker_pid int")
+    held, owned, expected = {}, 0, []
+    for _, op, state, pid in events:
+        reason, owned = jobs.step(held, owned, op, "f", state, pid, 20)
+        expected.append(reason)
+    assert [r.reason for r in ownership.decide(rows).orderBy("seq").collect()] == expected == ["", "no worker", "same state", "no worker", "", "same state", "same state", "", "", "final"]
+
+
 def test_changes_of_equal_scans_are_none(spark):
     rows = entries(spark, {}, {"playlist_url": "l2"})
     twice = rows.withColumn("scan_id", F.explode(F.array(F.lit(1), F.lit(2))))
