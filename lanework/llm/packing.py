@@ -32,16 +32,31 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+class _Pieces(dict):
+    """Ids of pieces, looked up or made by the merge table."""
+
+    def __init__(self, tokenize):
+        super().__init__()
+        self.tokenize, self.letters = tokenize, byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        tokens = self.tokenize("".join(map(self.letters.__getitem__, piece.encode())))
+        found = self[piece] = struct.pack(f"<{len(tokens)}I", *(t.id for t in tokens))
+        return found
+
+
 class WordBpe:
     """Ids of texts as little-endian uint32 bytes.
 
-    The vocabulary's normaliser and splitter never look across ASCII white space, so each run between it is encoded once
-    and kept. A run of printable ASCII and Latin-1 letters (normalised already, lower-cased letter by letter) is split by
-    the splitter's own pattern and goes to the merge table piece by piece; any other run is left to the tokenizer whole.
+    The vocabulary's normaliser and splitter never look across ASCII white space. A text of printable ASCII, Latin-1
+    letters (normalised already, lower-cased letter by letter) and ASCII white space is split by the splitter's own pattern
+    and looked up piece by piece. Any other text is taken word by word: its plain words likewise, the others are left to
+    the tokenizer whole.
     """
 
     PLAIN = re.compile(r"[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
-    SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\sa-z0-9\xdf-\xf6\xf8-\xff]+")
+    OTHER = re.compile(r"[^\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff\x20\x09-\x0d]|<\|")
+    SPLIT = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\sa-z0-9\xdf-\xf6\xf8-\xff]+")
 
     def __init__(self, path: str, end_id: int):
         import os
@@ -51,36 +66,39 @@ class WordBpe:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = np.array([end_id], "<u4").tobytes()
-        self.letters = byte_letters()
         self.known: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = _Pieces(self.tokenizer.model.tokenize)
 
-    def piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            tokens = self.tokenizer.model.tokenize("".join(map(self.letters.__getitem__, piece.encode())))
-            found = self.pieces[piece] = struct.pack(f"<{len(tokens)}I", *(t.id for t in tokens))
-        return found
+    def plain(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.SPLIT.findall(text.lower())))
 
-    def encode_many(self, texts: list[str | None]) -> list[bytes]:
-        split = [(x or "").encode().split() for x in texts]
-        known, piece, cut, plain = self.known, self.piece, self.SPLIT.findall, self.PLAIN.fullmatch
+    def by_words(self, texts: list[str]) -> list[bytes]:
+        split = [x.encode().split() for x in texts]
+        known, plain = self.known, self.PLAIN.fullmatch
         if len(known) > CACHE_WORDS:
             known.clear()
-        if len(self.pieces) > CACHE_WORDS:
-            self.pieces.clear()
         rest = []
         for word in set().union(*split).difference(known):
             text = word.decode()
             if plain(text) and "<|" not in text:
-                known[word] = b"".join(map(piece, cut(text.lower())))
+                known[word] = self.plain(text)
             else:
                 rest.append(word)
         for i in range(0, len(rest), 20_000):
             part = rest[i : i + 20_000]
             for word, found in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
                 known[word] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, words)) + self.end for words in split]
+        return [b"".join(map(known.__getitem__, words)) for words in split]
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.pieces) > CACHE_WORDS:
+            self.pieces.clear()
+        other = self.OTHER.search
+        out = [None if x and other(x) else self.plain(x or "") for x in texts]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, found in zip(rest, self.by_words([texts[i] for i in rest]), strict=True):
+            out[i] = found
+        return [x + self.end for x in out]
 
 
 _encoders: dict[tuple[str, int], WordBpe] = {}
@@ -121,20 +139,62 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window:
     return _base.map_batches(docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")), make, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bin int, task long, rank long")
 
 
-def nonnegative_least_squares(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """Active-set solution of min |ax - b| with x >= 0."""
-    n = a.shape[1]
+def _solved(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least squares over the columns in use: their normal equations where they hold, else by singular values."""
+    gram = a.T @ a
+    try:
+        found = np.linalg.solve(gram, a.T @ b)
+        if np.abs(a.T @ (b - a @ found)).max() <= 1e-9 * max(1.0, np.abs(b).max()):
+            return found
+    except np.linalg.LinAlgError:
+        pass
+    return np.linalg.lstsq(a, b, rcond=None)[0]
+
+
+def nonnegative_least_squares(options: np.ndarray, b: np.ndarray, settled: float = 1e-9, rounds: int = 2000) -> np.ndarray:
+    """Active-set solution of min |ax - b| with x >= 0, where row j of ``options`` names the rows in which column j of a has ones.
+
+    A row named twice counts twice; -1 names none. a itself is never formed: gains are sums of residuals, and only the
+    columns in use (at most as many as b has rows) are solved densely. A round takes in the column of largest gain and
+    those of at least half of it that share no row with one taken; after a round that gained nothing, the first alone.
+    Where that gains nothing either, the solution is reached up to rounding. ``settled`` is the gain that is left alone: a column of
+    ones gains that much in residual for each repeat.
+    """
+    n, rows = len(options), len(b)
     x, passive = np.zeros(n), np.zeros(n, bool)
-    gram, project = a.T @ a, a.T @ b
+    before, alone = np.inf, False
     for _ in range(rounds):
-        gain = project - gram @ x
+        residual = np.append(b, 0.0)
+        used = np.flatnonzero(passive)
+        if used.size:
+            np.subtract.at(residual, options[used].ravel(), np.repeat(x[used], options.shape[1]))
+        residual[rows] = 0
+        error = float(residual @ residual)
+        if error > before * (1 - 1e-9):
+            if alone:
+                break
+            alone = True
+        else:
+            alone = False
+        before = min(before, error)
+        gain = residual[options].sum(1)
         gain[passive] = -np.inf
-        if passive.all() or gain.max() <= 1e-9 * max(1.0, np.abs(project).max()):
+        if passive.all() or gain.max() <= settled:
             break
-        passive[gain.argmax()] = True
+        taken: set[int] = set()
+        top = np.flatnonzero(gain >= max(settled, gain.max() / 2))
+        for j in top[np.argsort(-gain[top], kind="stable")].tolist():
+            mine = set(options[j].tolist()) - {-1}
+            if taken.isdisjoint(mine):
+                passive[j] = True
+                taken |= mine
+            if alone:
+                break
         while True:
             at = np.flatnonzero(passive)
-            solved = np.linalg.lstsq(gram[np.ix_(at, at)], project[at], rcond=None)[0]
+            a = np.zeros((rows + 1, at.size))
+            np.add.at(a, (options[at].ravel(), np.repeat(np.arange(at.size), options.shape[1])), 1)
+            solved = _solved(a[:rows], b)
             if solved.min() > 0:
                 x[:] = 0
                 x[at] = solved
@@ -177,11 +237,10 @@ def solve_patterns(histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
         left[slots] = 0
     options = combinations(slots, left > 0)
     if options:
-        a = np.zeros((slots + 1, len(options)))
+        table = np.full((len(options), max(map(len, options))), -1, np.int16)
         for j, option in enumerate(options):
-            for i in option:
-                a[i, j] += 1
-        repeats = nonnegative_least_squares(a, left.astype(float))
+            table[j, : len(option)] = option
+        repeats = nonnegative_least_squares(table, left.astype(float), settled=0.5)
         for j in np.argsort(-repeats):
             if repeats[j] < 0.5:
                 break
@@ -230,9 +289,14 @@ def pack(pieces: DataFrame, window: int = WINDOW, bin_width: int = BIN_WIDTH) ->
             table.append((int(i), int(used[i]), int(used[i] + times), sequence, place))
             used[i] += times
         sequence += times
-    slot_rows = spark.createDataFrame(table, "bin int, rank_from long, rank_to long, sequence_from long, place int")
+    slot = "struct<rank_from:long,rank_to:long,sequence_from:long,place:int>"
+    by_bin: dict[int, list] = {}
+    for i, *rest in table:
+        by_bin.setdefault(i, []).append(tuple(rest))
+    slot_rows = spark.createDataFrame(list(by_bin.items()), f"bin int, slots array<{slot}>")  # as short as the histogram
     ranked = pieces.join(offsets, ["bin", "task"]).withColumn("rank", F.col("rank") + F.col("before"))
-    placed = ranked.join(F.broadcast(slot_rows), "bin").where("rank >= rank_from and rank < rank_to").withColumn("sequence_id", F.expr("sequence_from + rank - rank_from"))
+    mine = F.filter("slots", lambda s: (F.col("rank") >= s["rank_from"]) & (F.col("rank") < s["rank_to"]))[0]
+    placed = ranked.join(F.broadcast(slot_rows), "bin").withColumn("slot", mine).select("*", (F.col("slot.sequence_from") + F.col("rank") - F.col("slot.rank_from")).alias("sequence_id"), F.col("slot.place").alias("place"))
     before = Window.partitionBy("sequence_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

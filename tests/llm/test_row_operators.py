@@ -128,9 +128,32 @@ def test_patterns_use_up_the_histogram():
 
 def test_least_squares_finds_a_nonnegative_solution():
     rng = np.random.default_rng(2)
-    a, x = rng.random((12, 20)), np.maximum(0, rng.normal(size=20))
-    found = packing.nonnegative_least_squares(a, a @ x)
-    assert found.min() >= 0 and np.abs(a @ found - a @ x).max() < 1e-6
+    options = np.full((20, 3), -1)
+    for row in options:
+        n = rng.integers(1, 4)
+        row[:n] = rng.integers(0, 12, n)
+    a = np.zeros((12, 20))
+    for j, row in enumerate(options):
+        for i in row[row >= 0]:
+            a[i, j] += 1
+    b = a @ np.maximum(0, rng.normal(size=20))
+    found = packing.nonnegative_least_squares(options, b)
+    assert found.min() >= 0 and np.abs(a @ found - b).max() < 1e-6
+    b = rng.random(12) * 10  # no exact solution: at the least squares no gain is positive, and none where x is
+    found = packing.nonnegative_least_squares(options, b)
+    gain = a.T @ (b - a @ found)
+    assert gain.max() < 1e-6 and np.abs(gain[found > 0]).max(initial=0) < 1e-6
+
+
+def test_solver_is_light():
+    import tracemalloc
+
+    histogram = np.bincount(np.clip(np.random.default_rng(0).exponential(30, 250_000).astype(int) + 1, 1, 256), minlength=257)
+    tracemalloc.start()
+    patterns = packing.solve_patterns(histogram)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20 and histogram @ np.arange(257) > 0.99 * 256 * sum(times for _, times in patterns)
 
 
 @pytest.mark.parametrize("compression", [tiff.NONE, tiff.LZW, tiff.PACKBITS, tiff.ADOBE_DEFLATE])
