@@ -12,14 +12,19 @@ from pyspark.sql import functions as F
 
 from lanework.plans.ship import ship
 
-#: Rows handed to Python at once. Texts of a few hundred KB then stay far below a worker's memory.
-ARROW_ROWS = 1000
+#: Rows, and bytes, handed to Python at once: a longer text comes alone.
+ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: ``spark.checkpoint.dir``. Only where that is unset (tests), an own one is taken."""
+    """Folder that the driver and all executors see: ``spark.checkpoint.dir``.
+
+    Where it is unset, a session on one machine (tests) gets a folder of its own; on a cluster that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lanework-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -41,9 +46,18 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def release(df: DataFrame) -> None:
+    """Delete the table that ``save`` wrote for df, once nothing reads it any more."""
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds, for this and later plans of the session (the plan reads the setting when it starts)."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: str) -> DataFrame:
@@ -72,28 +86,40 @@ def text_key(doc_id: str, text: str) -> Column:
     return F.xxhash64(F.col(doc_id), F.col(text))
 
 
-def components(edges: DataFrame, tag: str, max_rounds: int = 60) -> DataFrame:
-    """Connected components of an undirected graph: (node, root), root the smallest node of the component.
+def components(edges: DataFrame, tag: str) -> DataFrame:
+    """Connected components of an undirected graph: (node, root), root one node of the component, the same for all of it.
 
-    edges: (a, b) of any orderable type. Nodes without an edge do not occur. Each round hooks the roots of an edge's two
-    ends (large to small) and then halves the paths, so rounds grow with the logarithm of the longest path. The round's
-    table is written; the driver sees one count.
+    edges: (a, b) of any type that hashes. Nodes without an edge do not occur. In a round every node points to the
+    neighbour that hashes least, if it hashes below the node; pointers are followed, doubling the way each time, until all
+    lead to a root; then the graph shrinks to its roots. The order is drawn anew each round, so at least half of the nodes
+    with an edge are expected to go, whatever the graph and its ids; the rounds end when no edge is left. A table is deleted when
+    the next one stands; the driver sees one row per round.
     """
-    edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    edges = save(edges, f"{tag}-edges")
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = save(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("root")), f"{tag}-labels")
-    for _ in range(max_rounds):
-        at_a = labels.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-        at_b = labels.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        open_edges = edges.join(at_a, "a").join(at_b, "b").where("ra <> rb")
-        hooks = open_edges.select(F.greatest("ra", "rb").alias("root"), F.least("ra", "rb").alias("to")).groupBy("root").agg(F.min("to").alias("to"))
-        hooks = save(hooks, f"{tag}-hooks")
-        if hooks.isEmpty():
-            break
-        # A root's new parent, followed twice: hooks always lead to smaller roots, so there is no cycle.
-        up = hooks.select(F.col("root").alias("to"), F.col("to").alias("to2"))
-        hooks = hooks.join(up, "to", "left").select("root", F.coalesce("to2", "to").alias("to"))
-        labels = labels.join(hooks, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        labels = save(labels, f"{tag}-labels")
-    return labels
+    edges = save(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{tag}-edges")
+    labels, turn = None, 0
+    while not edges.isEmpty():
+        turn += 1
+        order = lambda c, salt=turn: F.struct(F.xxhash64(c, F.lit(salt)).alias("h"), F.col(c).alias("node"))
+        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min(order("b")).alias("near"))
+        up = save(least.select(F.col("a").alias("node"), F.least("near", order("a"))["node"].alias("up")), f"{tag}-up")
+        while True:
+            ahead = up.select(F.col("node").alias("up"), F.col("up").alias("further"))
+            moved = save(up.join(ahead, "up").select("node", F.col("further").alias("up"), (F.col("further") != F.col("up")).alias("moved")), f"{tag}-up")
+            done = moved.where("moved").isEmpty()
+            release(up)
+            up = moved.drop("moved")
+            if done:
+                break
+        at = lambda c: up.select(F.col("node").alias(c), F.col("up").alias(f"r{c}"))
+        left = edges.join(at("a"), "a").join(at("b"), "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+        left = save(left.distinct(), f"{tag}-edges")
+        if labels is None:
+            named = up.select("node", F.col("up").alias("root"))
+        else:
+            named = labels.join(at("root"), "root", "left").select("node", F.coalesce("rroot", "root").alias("root"))
+        named = save(named, f"{tag}-labels")
+        for old in (edges, moved) if labels is None else (edges, moved, labels):
+            release(old)
+        edges, labels = left, named
+    return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -1,10 +1,14 @@
 """Toxic spans by a linear-chain conditional random field.
 
-Token labels come from the documents' labels: a token is toxic if it stands in a toxic document and has a feature (word
-or prefix) that many toxic and hardly any clean documents hold. The field has two states and is trained on windows of
-such tokens from a bounded sample of labelled rows. Scoring runs forward-backward over every whole text; runs of tokens
-without a known feature share one transition matrix, so its power stands for the run. A document's score is the chance
-that at least one token is toxic, as if tokens' marginals were independent.
+Labels say whether a document is toxic, not where. Token labels come from them: Spark counts, over the labelled sample, in
+how many different contexts (the words before and after) each word and prefix stands in toxic and in clean documents; a
+token of a toxic document is labelled toxic if such a feature is common in toxic and rare in clean ones. Contexts are
+counted, not documents, so that copies of one document add nothing.
+
+The field has two states and is trained on windows of tokens, with features of the token and of both its neighbours.
+Scoring runs forward-backward over every token of every whole text, so each token has its chance of being toxic; runs of
+toxic tokens become spans. A document's score is a logistic function, fitted on the same sample, of its tokens' largest
+chance, of the expected number of toxic ones and of their expected share.
 """
 
 from __future__ import annotations
@@ -12,8 +16,10 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,120 +27,182 @@ from lanework.llm import _base
 
 TOKEN = re.compile(r"\w+")
 PREFIXES = (4, 5, 6)
-#: Bound of the training sample: labelled rows of each class, and characters of a text taken into it.
+#: Bound of the training sample: labelled rows of each class (whole texts).
 SAMPLE_ROWS = 1500
-SAMPLE_CHARS = 20_000
-#: Windows of a toxic token and its neighbours that the field is trained on, at most, and as many without one.
-WINDOWS = 3000
+#: Bound of the training windows: of each kind (toxic, clean that look alike, other clean) in all, and of each kind from one text.
+WINDOWS, WINDOWS_PER_TEXT = 2000, 8
 HALF_WINDOW = 4
+WIDTH = 2 * HALF_WINDOW + 1
 CACHE_WORDS = 300_000
+#: A token's log-odds are kept within this bound, which is also what a document without tokens has.
+MOST = 30.0
+#: Log-odds from which a document's likeliest token is told even if it is rather clean.
+LIKELIEST = -4.0
+#: How far a segment's result may be from that of the whole text.
+EXACT = 1e-12
+SEGMENT, CELLS = 512, 1 << 20
+#: What the document's score is made of: see ``Tagger.tag``.
+TOLD = ("top", "expected", "share")
 
 
 def features(word: str) -> list[str]:
+    """Of a lower-case word: itself and its prefixes."""
     return ["=" + word, *("^" + word[:n] for n in PREFIXES if len(word) >= n)]
 
 
-def telling_features(toxic: list[set[str]], clean: list[set[str]]) -> set[str]:
-    """Features of at least 2 % (and 3) of the toxic and at most a fiftieth of that share of the clean documents.
-
-    The most frequent are taken first. One that less than a tenth of the toxic documents hold is only taken if it explains
-    a tenth of its documents (and 3) for the first time: rare words of a much copied document explain nothing new.
-    """
-    counts: dict[str, list[int]] = {}
-    for side, docs in enumerate((toxic, clean)):
-        for doc in docs:
-            for f in doc:
-                counts.setdefault(f, [0, 0])[side] += 1
-    least = max(3, 0.02 * len(toxic))
-    able = {f: a for f, (a, b) in counts.items() if a >= least and b * len(toxic) * 50 <= a * max(1, len(clean))}
-    holders: dict[str, list[int]] = {f: [] for f in able}
-    for i, doc in enumerate(toxic):
-        for f in doc:
-            if f in able:
-                holders[f].append(i)
-    explained, chosen = np.zeros(len(toxic), bool), set()
-    for f in sorted(able, key=lambda f: (-able[f], f)):
-        fresh = able[f] - int(explained[holders[f]].sum())
-        if able[f] >= 0.1 * len(toxic) or fresh >= max(3, 0.1 * able[f]):
-            chosen.add(f)
-            explained[holders[f]] = True
-    return chosen
+def window_features(words: list[str], i: int) -> list[str]:
+    """Of a token in its window: its own, and its neighbours' words."""
+    found = features(words[i])
+    if i:
+        found.append("<" + words[i - 1])
+    if i + 1 < len(words):
+        found.append(">" + words[i + 1])
+    return found
 
 
 @dataclass
 class Field:
-    """Emission weights of toxic against clean by feature, the bias, and transition scores [from, to]."""
+    """Weights of toxic against clean by feature, bias, transition scores [from, to]; and the document's logistic function: a constant, then the weights of what ``Tagger.tag`` tells."""
 
     weights: dict[str, float]
     bias: float
     transitions: np.ndarray
-    start: float
-
-    def emission(self, word: str) -> float | None:
-        """Score of the toxic state, or None for a token without a known feature (its score is the bias)."""
-        found = [self.weights[f] for f in features(word) if f in self.weights]
-        return self.bias + sum(found) if found else None
-
-
-def train(texts: list[str], labels: list[int], rounds: int = 100, rate: float = 0.3, penalty: float = 1e-4) -> Field:
-    """Full-batch gradient ascent (Adam) on the log-likelihood of token windows."""
-    words = [[w.lower() for w in TOKEN.findall(t)] for t in texts]
-    sets = [{f for w in set(ws) for f in features(w)} for ws in words]
-    telling = telling_features([s for s, y in zip(sets, labels, strict=True) if y], [s for s, y in zip(sets, labels, strict=True) if not y])
-    is_toxic = lambda w: not telling.isdisjoint(features(w))
-    width = 2 * HALF_WINDOW + 1
-    windows: tuple[list, list] = ([], [])
-    known: dict[str, int] = {}
-    for ws, y in zip(words, labels, strict=True):
-        marks = [i for i, w in enumerate(ws) if y and is_toxic(w)]
-        if y:
-            windows[1].extend((ws, max(0, i - HALF_WINDOW), True) for i in marks)
-            for i in marks:
-                for f in features(ws[i]):
-                    known.setdefault(f, len(known))
-        else:
-            windows[0].extend((ws, i, False) for i in range(0, max(1, len(ws) - width), width * 3))
-    if not windows[1]:
-        return Field({}, -12.0, np.zeros((2, 2)), 0.0)
-    # Clean windows that hold a known feature teach most; the rest are dealt out evenly up to the bound.
-    hard = [x for x in windows[0] if any(f in known for w in x[0][x[1] : x[1] + width] for f in features(w))]
-    even = windows[0][:: max(1, len(windows[0]) // WINDOWS)]
-    chosen = windows[1][:: max(1, -(-len(windows[1]) // WINDOWS))] + hard[:: max(1, -(-len(hard) // WINDOWS))] + even
-    most = 1 + len(PREFIXES)
-    n = len(chosen)
-    index, gold, there = np.full((n, width, most), len(known)), np.zeros((n, width), int), np.zeros((n, width), bool)
-    for row, (ws, at, toxic) in enumerate(chosen):
-        for t, w in enumerate(ws[at : at + width]):
-            there[row, t] = True
-            gold[row, t] = toxic and is_toxic(w)
-            ids = [known[f] for f in features(w) if f in known]
-            index[row, t, : len(ids)] = ids
-    theta = np.zeros(len(known) + 1 + 1 + 4)  # features, nothing, bias, transitions
-    theta[len(known) + 1] = -3.0
+    document: tuple[float, ...] = (0.0, 1.0, 0.0, 0.0)
+
+    def emission(self, words: list[str], i: int) -> float:
+        return self.bias + sum(self.weights.get(f, 0.0) for f in window_features(words, i))
+
+
+def usable_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) outside the held-out fifth."""
+    return labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+
+
+def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(text, toxic): of each class the usable labelled rows whose ids hash lowest, at most ``rows``; equal texts once."""
+    known = usable_labels(labels)
+    known = known.withColumn("draw", F.xxhash64("doc_id", F.lit(7)))
+    part = lambda y: known.where(F.col("toxic") == y).orderBy("draw", "doc_id").limit(rows)
+    chosen = part(1).unionByName(part(0))
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").select("text", F.col("toxic").cast("int").alias("toxic")).distinct()
+
+
+def telling_features(texts: DataFrame, share: float = 0.02, least: int = 3, ratio: float = 50.0) -> list[str]:
+    """Features that stand in at least ``share`` as many contexts (and ``least``) as there are toxic texts, and ``ratio`` times as often there as in clean ones.
+
+    A text gives one context of each of its features, the first. The result is short: each entry takes a fixed share of a bounded sample.
+    """
+
+    def make():
+        def one(batch):
+            out: dict[str, list] = {"toxic": [], "feature": [], "context": []}
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = [w.lower() for w in TOKEN.findall(text)]
+                first: dict[str, int] = {}
+                for i, w in enumerate(words):
+                    if "=" + w not in first:
+                        for f in features(w):
+                            first.setdefault(f, i)
+                out["toxic"] += [toxic] * len(first)
+                out["feature"] += first
+                out["context"] += [" ".join(words[max(0, i - 1) : i + 2]) for i in first.values()]
+            return out
+
+        return one
+
+    counts = texts.groupBy("toxic").count().collect()  # two rows
+    total = {r["toxic"]: r["count"] for r in counts}
+    rows = _base.map_batches(texts.select("text", "toxic"), make, "toxic int, feature string, context string").select("toxic", "feature", F.xxhash64("context").alias("context"))
+    seen = rows.groupBy("feature", "context", "toxic").count()
+    found = seen.groupBy("feature").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b"))
+    enough, fair = max(least, share * total.get(1, 0)), max(1, total.get(0, 0)) / max(1, total.get(1, 0))
+    return sorted(r["feature"] for r in found.where((F.col("a") >= enough) & (F.col("b") * ratio <= F.col("a") * fair)).select("feature").collect())
+
+
+def windows(texts: DataFrame, telling: list[str]) -> DataFrame:
+    """(words, marks, kind): windows round toxic tokens (1), round tokens of clean texts that share a prefix with a telling feature (2), and evenly spaced ones of clean texts (0)."""
+    telling = frozenset(telling)
+    near = telling | {f for t in telling for f in features(t[1:])[1:]}
+
+    def make():
+        def one(batch):
+            out: dict[str, list] = {"words": [], "marks": [], "kind": []}
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = [w.lower() for w in TOKEN.findall(text)]
+                wanted = telling if toxic else near
+                able = {w for w in set(words) if not wanted.isdisjoint(features(w))}
+                at = [i for i, w in enumerate(words) if w in able]
+                spread = lambda x: x[:: -(-len(x) // WINDOWS_PER_TEXT) or 1]
+                chosen = [(i, 1 if toxic else 2) for i in spread(at)]
+                if not toxic:
+                    chosen += [(i, 0) for i in spread(list(range(HALF_WINDOW, len(words), WIDTH)))]
+                for i, kind in chosen:
+                    part = words[max(0, i - HALF_WINDOW) : i + HALF_WINDOW + 1]
+                    out["words"].append(part)
+                    out["marks"].append([int(kind == 1 and w in able) for w in part])
+                    out["kind"].append(kind)
+            return out
+
+        return one
+
+    found = _base.map_batches(texts.select("text", "toxic"), make, "words array<string>, marks array<int>, kind int").distinct()
+    part = lambda k: found.where(F.col("kind") == k).orderBy(F.xxhash64("words"), "words").limit(WINDOWS)
+    return part(0).unionByName(part(1)).unionByName(part(2))
+
+
+def train(found: list[tuple[list[str], list[int]]], rounds: int = 100, rate: float = 0.3, penalty: float = 1e-3, least: int = 3) -> Field:
+    """Full-batch gradient ascent (Adam) on the penalised log-likelihood of labelled windows (words, marks).
+
+    Features of toxic tokens, and of clean ones that share one of their prefixes, get a weight if at least ``least``
+    windows hold them, or if none is held as often.
+    """
+    held: dict[str, int] = {}
+    alike = {f for words, marks in found for w, y in zip(words, marks, strict=True) if y for f in features(w)}
+    for words, marks in found:
+        for f in {f for i, y in enumerate(marks) if y or not alike.isdisjoint(features(words[i])) for f in window_features(words, i)}:
+            held[f] = held.get(f, 0) + 1
+    known = {f: k for k, f in enumerate(sorted(f for f, n in held.items() if n >= min(least, max(held.values())))) if alike}
+    if not known:
+        return Field({}, -12.0, np.zeros((2, 2)))
+    n, k, most = len(found), len(known), 3 + len(PREFIXES)
+    index, gold, there = np.full((n, WIDTH, most), k, np.int32), np.zeros((n, WIDTH), np.int8), np.zeros((n, WIDTH), bool)
+    for row, (words, marks) in enumerate(found):
+        there[row, : len(words)], gold[row, : len(words)] = True, marks
+        for i in range(len(words)):
+            mine = [known[f] for f in window_features(words, i) if f in known]
+            index[row, i, : len(mine)] = mine
+    theta = np.zeros(k + 6)  # features, nothing, bias, transitions
+    theta[k + 1] = -3.0
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
-    k = len(known)
     for step in range(1, rounds + 1):
-        score = theta[:k + 1][index].sum(2) + theta[k + 1]
-        trans = theta[k + 2 :].reshape(2, 2)
-        marginal, pair = _marginals(score, there, trans)
-        off = (gold - marginal) * there
-        grad = np.zeros_like(theta)
-        grad[: k + 1] = np.bincount(index.ravel(), np.repeat(off.ravel(), most), k + 1)
-        grad[k] = 0
-        grad[k + 1] = off.sum()
-        both = there[:, 1:]
-        for a in (0, 1):
-            for b in (0, 1):
-                grad[k + 2 + 2 * a + b] = (((gold[:, :-1] == a) & (gold[:, 1:] == b) & both).sum() - pair[:, :, a, b][both].sum())
-        grad = grad / n - penalty * theta
+        grad = gradient(theta, index, gold, there, penalty)[1]
         mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad * grad
         theta += rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
         theta[k] = 0
-    return Field({f: float(theta[i]) for f, i in known.items()}, float(theta[k + 1]), theta[k + 2 :].reshape(2, 2).copy(), 0.0)
+    return Field({f: float(theta[i]) for f, i in known.items()}, float(theta[k + 1]), theta[k + 2 :].reshape(2, 2).copy())
+
+
+def gradient(theta: np.ndarray, index: np.ndarray, gold: np.ndarray, there: np.ndarray, penalty: float) -> tuple[float, np.ndarray]:
+    """Mean penalised log-likelihood of the windows and its gradient; theta holds weights, a zero, the bias and the transitions."""
+    k, n = len(theta) - 6, len(index)
+    score, trans = theta[: k + 1][index].sum(2) + theta[k + 1], theta[k + 2 :].reshape(2, 2)
+    marginal, pair, total = _marginals(score, there, trans)
+    off = (gold - marginal) * there
+    grad = np.zeros_like(theta)
+    grad[: k + 1] = np.bincount(index.ravel(), np.repeat(off.ravel(), index.shape[2]), k + 1)
+    grad[k], grad[k + 1] = 0, off.sum()
+    both = there[:, 1:]
+    path = float((score * gold * there).sum() - total.sum())
+    for a in (0, 1):
+        for b in (0, 1):
+            taken = (gold[:, :-1] == a) & (gold[:, 1:] == b) & both
+            path += float(trans[a, b] * taken.sum())
+            grad[k + 2 + 2 * a + b] = taken.sum() - pair[:, :, a, b][both].sum()
+    return path / n - penalty / 2 * float(theta @ theta), grad / n - penalty * theta
 
 
-def _marginals(score: np.ndarray, there: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward-backward over windows at once: chance of toxic at each place, and of each pair of neighbours' states."""
+def _marginals(score: np.ndarray, there: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward-backward over windows at once: chance of toxic at each place, and of each pair of neighbours' states, and the log of the sum over all paths."""
     n, width = score.shape
     emit = np.stack([np.zeros_like(score), score], 2) * there[..., None]
     forward, backward = np.zeros((n, width, 2)), np.zeros((n, width, 2))
@@ -152,126 +220,176 @@ def _marginals(score: np.ndarray, there: np.ndarray, trans: np.ndarray) -> tuple
     for a in (0, 1):
         for b in (0, 1):
             pair[:, :, a, b] = np.exp(np.minimum(0, forward[:, :-1, a] + trans[a, b] + emit[:, 1:, b] + backward[:, 1:, b] - total[:, 1:]))
-    return np.exp(both[:, :, 1] - total), pair
+    return np.exp(both[:, :, 1] - total), pair, total[:, 0]
 
 
 class Tagger:
-    """Marginals of whole texts under a Field."""
+    """Chances of all tokens of whole texts under a Field, for many texts at once."""
 
     def __init__(self, field: Field):
         self.field = field
-        top = float(field.transitions.max())
-        self.trans = np.exp(field.transitions - top)
-        plain = self.trans * np.array([1.0, math.exp(min(50.0, field.bias))])  # transition, then emission of a plain token
-        self.values, self.vectors = np.linalg.eig(plain / plain.max())
-        self.inverse = np.linalg.inv(self.vectors) if abs(np.linalg.det(self.vectors)) > 1e-12 else None
-        self.plain = plain / plain.max()
-        self.cache: dict[str, float | None] = {}
-        self.marked: set[str] = set()
-        self.powers: dict[int, tuple[float, float, float, float]] = {}
-
-    def power(self, k: int) -> tuple[float, float, float, float]:
-        """The k-th power of a plain token's matrix, scaled to a largest entry of 1."""
-        if k not in self.powers:
-            if self.inverse is None:
-                m = np.linalg.matrix_power(self.plain, min(k, 64))
-            else:
-                ratio = self.values / np.abs(self.values).max()
-                m = ((self.vectors * ratio**k) @ self.inverse).real
-            m = np.maximum(m, 0)
-            self.powers[k] = tuple((m / m.max()).ravel().tolist())
-        return self.powers[k]
-
-    def tag(self, text: str) -> list[tuple[int, int, float]]:
-        """(start, end, chance of toxic) of every token that has a known feature, in code points."""
-        words = [w.lower() for w in TOKEN.findall(text)]
-        cache, emission = self.cache, self.field.emission
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-            self.marked.clear()
-        distinct = set(words)
-        for w in distinct.difference(cache):
-            cache[w] = emission(w)
-            if cache[w] is not None:
-                self.marked.add(w)
-        if self.marked.isdisjoint(distinct):
-            return []
-        events = [(i, s) for i, s in enumerate(map(cache.__getitem__, words)) if s is not None]
-        (a, b), (c, d) = self.trans.tolist()
-        bias = math.exp(min(50.0, self.field.bias))
-        forward, at, f0, f1 = [], -1, 1.0, 1.0
-        for i, s in events:
-            if at < 0 and i > 0:  # the first token has no transition
-                f0, f1, at = 1.0, bias, 0
-            if at >= 0 and i - at > 1:
-                p, q, r, t = self.power(i - at - 1)
-                f0, f1 = f0 * p + f1 * r, f0 * q + f1 * t
-            if at >= 0:
-                f0, f1 = f0 * a + f1 * c, f0 * b + f1 * d
-            e = math.exp(max(-50.0, min(50.0, s)))
-            f1 *= e
-            total = f0 + f1
-            f0, f1, at = f0 / total, f1 / total, i
-            forward.append((f0, f1))
-        chances, b0, b1, at = [0.0] * len(events), 1.0, 1.0, len(words)
-        for j in range(len(events) - 1, -1, -1):
-            i, s = events[j]
-            if at - i > 1:
-                p, q, r, t = self.power(at - i - 1)
-                b0, b1 = p * b0 + q * b1, r * b0 + t * b1
-            f0, f1 = forward[j]
-            chances[j] = f1 * b1 / (f0 * b0 + f1 * b1)
-            e = math.exp(max(-50.0, min(50.0, s)))
-            b0, b1 = a * b0 + b * e * b1, c * b0 + d * e * b1  # over this token, to the one before
-            total = b0 + b1
-            b0, b1, at = b0 / total, b1 / total, i
-        spans = [m.span() for m in TOKEN.finditer(text)] if max(chances) >= 0.01 else None
-        return [(*(spans[i] if spans else (-1, -1)), p) for (i, _), p in zip(events, chances, strict=True)]
-
-
-def document_score(chances: list[float]) -> float:
-    return 1.0 - math.exp(sum(math.log1p(-min(p, 1 - 1e-12)) for p in chances))
-
-
-def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(text, toxic): of each class the labelled rows outside the held-out fifth whose ids hash lowest, at most ``rows``."""
-    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-    known = known.withColumn("draw", F.xxhash64("doc_id", F.lit(7)))
-    part = lambda y: known.where(F.col("toxic") == y).orderBy("draw", "doc_id").limit(rows)
-    chosen = part(1).unionByName(part(0))
-    texts = docs.select(F.col("doc_id"), "text").where(F.length("text") <= SAMPLE_CHARS)
-    return texts.join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+        self.trans = np.exp(field.transitions - field.transitions.max())
+        # Birkhoff: a step shrinks what it came with by this factor at least, whatever the emissions.
+        t = field.transitions
+        shrink = math.tanh(abs(t[0, 0] + t[1, 1] - t[0, 1] - t[1, 0]) / 4)
+        self.overlap = 1 if shrink < EXACT else math.ceil(math.log(EXACT / (4 * MOST)) / math.log(shrink))
+        self.segment = max(SEGMENT, 2 * self.overlap)
+        self.cache: dict[str, int] = {}
+        self.table: list[tuple[float, float, float]] = []
+
+    def _word(self, word: str) -> int:
+        """The place of a word's weights: for itself, for the token after it and for the one before it."""
+        weights, low = self.field.weights, word.lower()
+        self.table.append((self.field.bias + sum(weights.get(f, 0.0) for f in features(low)), weights.get("<" + low, 0.0), weights.get(">" + low, 0.0)))
+        self.cache[word] = len(self.table) - 1
+        return self.cache[word]
+
+    def emissions(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(emissions of all tokens, first token of each text with the total at the end)."""
+        if len(self.cache) > CACHE_WORDS:
+            self.cache, self.table = {}, []
+        known, ids, first = self.cache, [], [0]
+        for text in texts:
+            words = TOKEN.findall(text)
+            for w in set(words).difference(known):
+                self._word(w)
+            ids += map(known.__getitem__, words)
+            first.append(len(ids))
+        ids, first = np.array(ids, np.int64), np.array(first)
+        own, after, before = (np.array(x) for x in zip(*self.table, strict=True)) if self.table else (np.zeros(0),) * 3
+        out = own[ids]
+        inner = np.ones(len(ids), bool)
+        inner[first[:-1][first[:-1] < len(ids)]] = False  # a text's first token follows nothing
+        inner = np.flatnonzero(inner)
+        out[inner] += after[ids[inner - 1]]
+        out[inner - 1] += before[ids[inner]]
+        return np.clip(out, -MOST, MOST), first
+
+    def log_odds(self, emissions: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Log-odds of toxic of every token. Long texts are cut into segments that overlap far enough."""
+        starts, ends = first[:-1], first[1:]
+        cuts = [np.arange(a, b, self.segment) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        at = np.concatenate(cuts) if cuts else np.zeros(0, int)
+        text = np.repeat(np.arange(len(cuts)), [len(c) for c in cuts])
+        low, high = np.maximum(at - self.overlap, starts[text]), np.minimum(at + self.segment + self.overlap, ends[text])
+        order = np.argsort(high - low, kind="stable")
+        out = np.empty(len(emissions))
+        i = 0
+        while i < len(order):
+            j = i + 1
+            while j < len(order) and (j - i) * (high - low)[order[j]] < CELLS:
+                j += max(1, (j - i) // 8)
+            part = order[i : min(j, len(order))]
+            found = self._lanes(emissions, low[part], high[part])
+            for k, p in enumerate(part.tolist()):
+                a, b = at[p], min(at[p] + self.segment, ends[text[p]])
+                out[a:b] = found[a - low[p] : b - low[p], k]
+            i = j
+        return out
+
+    def _lanes(self, emissions: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Forward-backward of emissions[low:high], each its own chain, side by side: log-odds as (place, chain)."""
+        (a, b), (c, d) = self.trans
+        sizes = high - low
+        width = int(sizes.max())
+        odds = np.exp(emissions[np.minimum(low + np.arange(width)[:, None], len(emissions) - 1)])
+        forward, back = np.empty_like(odds), np.ones_like(odds)
+        forward[0] = odds[0]
+        for t in range(1, width):
+            forward[t] = odds[t] * (b + d * forward[t - 1]) / (a + c * forward[t - 1])
+        for t in range(width - 2, -1, -1):
+            x = odds[t + 1] * back[t + 1]
+            back[t] = np.where(t < sizes - 1, (c + d * x) / (a + b * x), 1.0)
+        return np.log(forward * back)
+
+    def tag(self, texts: list[str]) -> tuple[np.ndarray, list[list[dict]]]:
+        """Of each text (largest log-odds of a token, log of the expected number of toxic tokens, log of their expected share), and its spans of tokens that are rather toxic, or the likeliest token if none is."""
+        emissions, first = self.emissions(texts)
+        odds = np.clip(self.log_odds(emissions, first), -MOST, MOST)
+        told = np.full((len(texts), 3), -MOST)
+        full = np.flatnonzero(np.diff(first))
+        spans: list[list[dict]] = [[] for _ in texts]
+        if full.size:
+            told[full, 0] = np.maximum.reduceat(odds, first[full])
+            told[full, 1] = np.log(np.add.reduceat(1 / (1 + np.exp(-odds)), first[full]))
+            told[full, 2] = told[full, 1] - np.log(np.diff(first)[full])
+        for i in np.flatnonzero(told[:, 0] >= LIKELIEST).tolist():
+            mine = odds[first[i] : first[i + 1]]
+            hot = np.flatnonzero(mine >= min(0.0, told[i, 0]))
+            places = [m.span() for m in TOKEN.finditer(texts[i])]
+            cuts = [0, *(np.flatnonzero(np.diff(hot) > 1) + 1).tolist(), len(hot)]
+            for x, y in pairwise(cuts):
+                run = hot[x:y]
+                spans[i].append({"start": places[run[0]][0], "end": places[run[-1]][1], "chance": float(1 / (1 + np.exp(-mine[run].max())))})
+        return told, spans
+
+
+def fit_document(told: np.ndarray, toxic: np.ndarray, share: float = 0.5, penalty: float = 1e-4, rounds: int = 50) -> tuple[float, ...]:
+    """Logistic function of the columns of ``told`` by Newton's method: constant and weights, none negative. share: that of toxic documents, for which the sample is weighted."""
+    found = np.zeros(1 + told.shape[1])
+    if not toxic.any() or toxic.all():
+        found[:2] = 0.0 if toxic.any() else -MOST, 1.0
+        return tuple(found.tolist())
+    each = np.where(toxic, share / toxic.sum(), (1 - share) / (~toxic).sum())
+    columns = list(range(len(found)))
+    while True:
+        x = np.column_stack([np.ones(len(told)), told])[:, columns]
+        w = np.zeros(len(columns))
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+            slope = x.T @ (each * (toxic - p)) - penalty * w
+            step = np.linalg.solve((x * (each * p * (1 - p))[:, None]).T @ x + penalty * np.eye(len(w)), slope)
+            w += step * min(1.0, 2.0 / max(1e-12, np.abs(step).max()))
+        if len(w) == 1 or w[1:].min() >= 0:
+            found[columns] = w
+            return tuple(found.tolist())
+        del columns[1 + int(w[1:].argmin())]
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Field:
-    """Trained on the driver from the bounded sample; repeated texts count once, in a fixed order."""
-    found = sorted({(r["text"], r["toxic"]) for r in sample(docs, labels, rows).distinct().collect()})
-    return train([x for x, _ in found], [y for _, y in found])
-
-
-def score(docs: DataFrame, field: Field, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(docs' columns, toxicity, toxic_spans array<struct<start, end, chance>>) of every row, over its whole text.
-
-    Null and empty texts score 0. Null ids and equal rows are ordinary rows; columns of the two new names are replaced.
-    """
-    _base.small_batches(docs.sparkSession)
-    import pyarrow as pa
+    """Trained on the driver, which sees the telling features, bounded windows of words, and two numbers of each sampled text."""
+    texts = _base.save(sample(docs, labels, rows), "labelled")
+    found = [(r["words"], r["marks"]) for r in windows(texts, telling_features(texts)).collect()]
+    field = train(sorted(found))
+    told = _tagged(texts, field).select(*TOLD, "toxic").toArrow()
+    _base.release(texts)
+    share = usable_labels(labels).agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
+    field.document = fit_document(np.column_stack([told.column(c).to_numpy() for c in TOLD]), told.column("toxic").to_numpy() == 1, share or 0.0)
+    return field
+
+
+def _tagged(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
+    """docs' columns and (top, expected, share, spans)."""
     from pyspark.sql.types import StructType
 
-    docs = docs.drop("toxicity", "toxic_spans")
-    added = "toxicity double, toxic_spans array<struct<start:int,end:int,chance:double>>"
+    _base.small_batches(docs.sparkSession)
+    added = ", ".join(f"{c} double" for c in TOLD) + ", spans array<struct<start:int,end:int,chance:double>>"
     schema = StructType(docs.schema.fields + StructType.fromDDL(added).fields)
-    arrow = _base.pa_schema(docs.sparkSession, added)
+    kind = _base.pa_schema(docs.sparkSession, added).field(len(TOLD)).type
     place = docs.columns.index(text)
 
     def run(batches):
         tagger = Tagger(field)
         for batch in batches:
-            scores, spans = [], []
-            for x in batch.column(place).to_pylist():
-                tags = tagger.tag(x) if x else []
-                scores.append(document_score([p for _, _, p in tags]))
-                spans.append([{"start": s, "end": e, "chance": p} for s, e, p in tags if p >= 0.5])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(spans, arrow.field(1).type)], names=schema.names)
+            told, spans = tagger.tag([x or "" for x in batch.column(place).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x) for x in told.T), pa.array(spans, kind)], names=schema.names)
 
     return docs.mapInArrow(run, schema)
+
+
+def score(docs: DataFrame, field: Field, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(docs' columns, toxicity, toxic_spans array<struct<start, end, chance>>) of every row, over its whole text.
+
+    Spans are of tokens that are rather toxic; a document that is rather toxic without such a token has its likeliest one.
+    Null and empty texts score as one whose tokens are all clean. Null ids and equal rows are ordinary rows; columns of the
+    two new names are replaced, others are kept, whatever their names.
+    """
+    docs = docs.drop("toxicity", "toxic_spans")
+    names = docs.columns
+    plain = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
+    tagged = _tagged(plain, field, f"c{names.index(text)}")
+    constant, *weights = field.document
+    sum_ = sum((F.col(c) * w for c, w in zip(TOLD, weights, strict=True)), F.lit(constant))
+    chance = 1 / (1 + F.exp(-sum_))
+    spans = F.filter("spans", lambda s: (s["chance"] >= 0.5) | (chance >= 0.5))
+    return tagged.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), chance.alias("toxicity"), spans.alias("toxic_spans"))

@@ -66,6 +66,31 @@ def test_near_duplicates_query(spark, sf_dir):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in found) == plain_components(rows, 4)
 
 
+def test_clusters_that_are_nearly_alike(spark):
+    """Two groups of copies whose members are just below the bound of similarity across, but for one pair."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(40):
+        rows.append((i, " ".join([*base, f"a{i}"])))
+    other = base[:86] + [f"v{i}" for i in range(14)]
+    for i in range(40):
+        rows.append((100 + i, " ".join([*other, f"b{i}"])))
+    far = [(d, t) for d, t in rows]
+    bridge = [*base[:93], *[f"v{i}" for i in range(7, 14)]]
+    for case in (far, [*far, (500, " ".join(bridge))]):
+        rng.shuffle(case)
+        docs = spark.createDataFrame(case, "doc_id long, text string").repartition(4)
+        found = neardup.near_duplicates(docs, 1, block=16).collect()
+        assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in found) == plain_components(case, 1)
+
+
+def test_thue_morse_texts_are_apart(spark):
+    words = ["".join("ab"[bin(i).count("1") % 2 ^ flip] for i in range(1024)) for flip in (0, 1)]
+    docs = spark.createDataFrame([(i, f"{w} {i} x y") for i, w in enumerate(words)] + [(7, f"{words[0]} 0 x y")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in neardup.near_duplicates(docs, 4).collect()) == [(0, 0), (1, 1), (7, 0)]
+
+
 def test_no_documents(spark, nothing):
     assert neardup.near_duplicates(nothing).count() == 0
 
@@ -78,11 +103,41 @@ def test_bounds_rise_and_keep_similar_pairs():
     assert all((hits[:, :n].sum(1) >= least).mean() > 0.9995 for n, least in bounds)
 
 
-def test_components(spark):
-    pairs = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 7)]
-    found = {r.node: r.root for r in _base.components(spark.createDataFrame(pairs, "a long, b long"), "test").collect()}
-    assert found == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
-    assert _base.components(spark.createDataFrame([], "a long, b long"), "test").count() == 0
+def groups_of(pairs):
+    up: dict = {}
+
+    def root(i):
+        up.setdefault(i, i)
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for a, b in pairs:
+        if a != b:
+            up[root(a)] = root(b)
+    out: dict = {}
+    for i in up:
+        out.setdefault(root(i), set()).add(i)
+    return sorted(map(sorted, out.values()))
+
+
+@pytest.mark.parametrize("shape", ["path", "reverse", "long", "star", "mixed", "none"])
+def test_components(spark, shape):
+    rng = random.Random(1)
+    pairs = {
+        "path": [(i, i + 1) for i in range(500)],
+        "reverse": [(500 - i, 499 - i) for i in range(500)],
+        "long": [(i, i + 1) for i in range(5000)],
+        "star": [(9999, i) for i in range(2000)],
+        "mixed": [(i, (i + 1) % 77) for i in range(77)] + [(100 + rng.randrange(300), 100 + rng.randrange(300)) for _ in range(200)] + [(7, 7), (1000, 1000)],
+        "none": [(1, 1)],
+    }[shape]
+    found: dict = {}
+    for r in _base.components(spark.createDataFrame(pairs, "a long, b long"), "test").collect():
+        found.setdefault(r.root, set()).add(r.node)
+    assert sorted(map(sorted, found.values())) == groups_of(pairs)
+    assert all(root in nodes for root, nodes in found.items())
 
 
 def brute(rows, every=100, k=10):

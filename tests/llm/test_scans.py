@@ -68,51 +68,98 @@ def test_secret_query_runs_no_python(spark, sf_dir):
 
 
 @pytest.fixture(scope="module")
-def field():
+def field(spark):
     plain = "the cat sat on a mat and saw the dog run over the hill".split()
-    texts, labels = [], []
-    for i in range(60):
-        words = [plain[(i * 7 + j * 3) % len(plain)] for j in range(40)]
+    rows = []
+    for i in range(120):
+        words = [plain[(i * 7 + j * (3 + i % 5)) % len(plain)] for j in range(40)]
         if i % 2:
             words[5 + i % 20] = ("nastything", "uglyword")[i // 2 % 2]
-        texts.append(" ".join(words))
-        labels.append(i % 2)
-    return toxicity.train(texts, labels)
+        rows.append((i, " ".join(words), i % 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    return toxicity.fit(docs.drop("toxic"), docs.select("doc_id", "toxic"))
 
 
-def test_marginals_equal_enumeration(field):
-    text = "nastything and the uglyword cat sat nastything"
-    words = text.split()
-    scores = [field.bias if (e := field.emission(w)) is None else e for w in words]
+def chances(field, words):
+    scores = [field.emission([w.lower() for w in words], i) for i in range(len(words))]
     total, chance = 0.0, [0.0] * len(words)
     for states in itertools.product((0, 1), repeat=len(words)):
         e = math.exp(sum(s for s, z in zip(scores, states, strict=True) if z) + sum(field.transitions[a, b] for a, b in itertools.pairwise(states)))
         total += e
         for i, z in enumerate(states):
             chance[i] += e * z
-    tags = toxicity.Tagger(field).tag(text)
-    assert [text[s:e] for s, e, _ in tags] == ["nastything", "uglyword", "nastything"]
-    assert np.allclose([p for *_, p in tags], [chance[i] / total for i in (0, 3, 6)], atol=1e-9)
+    return [x / total for x in chance]
+
+
+def test_marginals_equal_enumeration(field):
+    texts = ["nastything and the uglyword cat Sat nastything", "", "the", "uglyword uglyword nastything hill", "?!"]
+    tagger = toxicity.Tagger(field)
+    odds = tagger.log_odds(*tagger.emissions(texts))
+    expected = [chances(field, t.split()) if t != "?!" else [] for t in texts]
+    assert np.allclose(1 / (1 + np.exp(-odds)), [p for x in expected for p in x], atol=1e-9)
+    told, spans = tagger.tag(texts)
+    assert [texts[0][s["start"] : s["end"]] for s in spans[0]] == ["nastything", "uglyword", "nastything"]
+    assert [texts[3][s["start"] : s["end"]] for s in spans[3]] == ["uglyword uglyword nastything"]
+    assert np.allclose(told[0, 1], math.log(sum(expected[0]))) and np.allclose(told[0, 2], math.log(sum(expected[0]) / 7))
+    assert (told[1] == told[4]).all() and (told[1] == -toxicity.MOST).all()
+
+
+def test_segments_equal_the_whole(field):
+    rng = np.random.default_rng(1)
+    for spread in (0.5, 3.0):
+        strong = toxicity.Field(field.weights, field.bias, rng.normal(size=(2, 2)) * spread)
+        tagger = toxicity.Tagger(strong)
+        first = np.array([0, 3, 3, 4000, 4001, 9000])
+        emissions = rng.normal(size=9000) * 3
+        cut = tagger.log_odds(emissions, first)
+        tagger.segment = 10**6
+        assert np.allclose(cut, tagger.log_odds(emissions, first), atol=1e-9)
+
+
+def test_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(2)
+    index, there = rng.integers(0, 5, (6, toxicity.WIDTH, 3)), np.ones((6, toxicity.WIDTH), bool)
+    there[2, 4:] = False
+    gold, theta = rng.integers(0, 2, (6, toxicity.WIDTH)) * there, rng.normal(size=4 + 6)
+    theta[4] = 0
+    index[index == 5] = 4
+    value, grad = toxicity.gradient(theta, index, gold, there, 0.01)
+    for k in (0, 1, 2, 3, 5, 6, 7, 8, 9):
+        moved = theta.copy()
+        moved[k] += 1e-6
+        assert abs((toxicity.gradient(moved, index, gold, there, 0.01)[0] - value) / 1e-6 - grad[k]) < 1e-4
 
 
 def test_scores_of_odd_rows(spark, field, documents, nothing):
     rows = spark.createDataFrame([(1, "the NASTYTHING ran", 0), (1, "the NASTYTHING ran", 0), (None, "İ uglyword", 1), (2, None, 2), (3, "", 3), (4, "the cat " * 50000 + "uglyword", 4)], "doc_id long, text string, toxicity int")
     found = toxicity.score(rows, field).collect()
-    assert sorted((r.toxicity >= 0.5, len(r.toxic_spans)) for r in found) == [(False, 0)] * 2 + [(True, 1)] * 4
-    assert all(0 <= r.toxicity <= 1 for r in found)
+    assert sorted(len(r.toxic_spans) for r in found) == [0, 0, 1, 1, 1, 1]
+    assert all(0 <= r.toxicity <= 1 and (r.toxicity < 0.5 or r.toxic_spans) for r in found)
     assert toxicity.score(nothing, field).count() == 0 and toxicity.score(documents, field).count() == 10
+    odd = documents.selectExpr("doc_id", "text", "ids as top", "1 as spans", "2 as c0")
+    assert toxicity.score(odd, field).columns == ["doc_id", "text", "top", "spans", "c0", "toxicity", "toxic_spans"]
 
 
 def test_spans_of_dotted_capitals(field):
     text = "İstanbul DİYARBAKIR the uglyword ran"
-    (start, end, chance), = [t for t in toxicity.Tagger(field).tag(text) if t[2] >= 0.5]
-    assert text[start:end] == "uglyword" and chance >= 0.5
+    (span,) = [s for s in toxicity.Tagger(field).tag([text])[1][0] if s["chance"] >= 0.5]
+    assert text[span["start"] : span["end"]] == "uglyword" and span["chance"] >= 0.5
+
+
+def test_copies_of_a_toxic_text_tell_nothing(spark):
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(rng.choice(words, 30)), 0) for i in range(200)]
+    rows += [(1000 + i, " ".join(rng.choice(words, 30)) + f" uglyword {rng.choice(words)}", 1) for i in range(60)]
+    rows += [(2000 + i, "here one rarething stands alone " + " ".join(rng.choice(words, 30)), 1) for i in range(60)]
+    found = toxicity.telling_features(spark.createDataFrame([(t, y) for _, t, y in rows], "text string, toxic int"))
+    assert "=uglyword" in found and not {"=rarething", "^rare"} & set(found)
 
 
 def test_no_toxic_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 0), (None, 1), (2, None)], "doc_id long, toxic int")
-    assert [r.toxicity for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()] == [0.0, 0.0]
+    assert all(r.toxicity < 1e-6 for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect())
 
 
 def test_held_out_accuracy(spark):
@@ -122,3 +169,5 @@ def test_held_out_accuracy(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     judged = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
     assert len(judged) > 500 and sum(a == b for a, b in judged) / len(judged) > 0.98
+    assert len({r.score for r in rows}) > 0.9 * len({r.doc_id for r in rows if labels.get(r.doc_id) == 0})
+    assert all(r.toxic_spans for r in rows if r.predicted)
