@@ -1,15 +1,21 @@
 """Words of whole texts and hashes of word windows, vectorized over a batch of texts.
 
-Words are the maximal runs of bytes other than ASCII white space (0x20, 0x09-0x0D) of a text's UTF-8 form.
+Words are the maximal runs of bytes other than ASCII white space (0x20, 0x09-0x0D) of a text's UTF-8 form. A word's code is
+its 128-bit hash (xxh3), a window's two sums of its words' codes with independent codes and multipliers; windows are equal
+where both halves are. With n windows of a few dozen words the chance that any two different ones agree is below n^2 / 2^100.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 U64 = np.uint64
-#: Odd multipliers of the running hashes of bytes and of words.
-BYTE_BASE, WORD_BASES = U64(0x9E3779B97F4A7C15), (U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F))
+#: Odd multipliers of the running sums, one for each half of a word's code.
+WORD_BASES = (U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F))
+#: Entries of a worker's table of words; beyond it the table starts anew.
+MOST_WORDS = 400_000
+LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -22,13 +28,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-BYTE_CODES = mix(np.arange(1, 257, dtype=U64) * U64(0x2545F4914F6CDD1D))
-SPACE = np.zeros(256, bool)
-SPACE[[32, 9, 10, 11, 12, 13]] = True
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
-
-
 def powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.full(n, base, U64)
     if n:
@@ -47,40 +46,44 @@ def _table(base: np.uint64, n: int, inverse: bool = False) -> np.ndarray:
     return _powers[key][:n]
 
 
-def running(values: np.ndarray, base: np.uint64) -> np.ndarray:
-    """Prefix sums of values[i] * base**i, with a leading 0: windows can be hashed by a subtraction."""
-    out = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * _table(base, len(values)), out=out[1:])
-    return out
+class _Codes(dict):
+    """Place of each word's code in ``table``."""
+
+    def __init__(self):
+        super().__init__()
+        self.table = bytearray()
 
+    def __missing__(self, word: bytes) -> int:
+        self.table += xxhash.xxh3_128_digest(word)
+        found = self[word] = len(self)
+        return found
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64) -> np.ndarray:
-    return mix((prefix[ends] - prefix[starts]) * _table(base, len(prefix), True)[starts])
+
+_codes = _Codes()
 
 
 def hash_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hashes of all words, first word of each text with the total at the end)."""
-    joined = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    if lower:
-        joined = LOWER[joined]
-    space = SPACE[joined]
-    inside = np.empty(len(joined) + 1, bool)
-    inside[0] = False
-    np.logical_not(space, out=inside[1:])
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    hashes = span_hash(running(BYTE_CODES[joined], BYTE_BASE), starts, ends, BYTE_BASE) + U64(1) * (ends - starts).astype(U64)
-    limits = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum([len(x) + 1 for x in texts], out=limits[1:])
-    return hashes, np.searchsorted(starts, limits)
+    """(codes of all words as (words, 2), first word of each text with the total at the end)."""
+    global _codes
+    if len(_codes) > MOST_WORDS:
+        _codes = _Codes()
+    places, first = [], [0]
+    for text in texts:
+        places += map(_codes.__getitem__, (text.translate(LOWER) if lower else text).split())
+        first.append(len(places))
+    return np.frombuffer(bytes(_codes.table), U64).reshape(-1, 2)[np.array(places, np.int64)], np.array(first)
 
 
 class Windows:
     """Hashes of windows of consecutive words of one text each."""
 
-    def __init__(self, hashes: np.ndarray, first: np.ndarray, family: int = 0):
-        self.n, self.first, self.base = len(hashes), first, WORD_BASES[family]
-        self.prefix = running(mix(hashes + U64(family)), self.base)
+    def __init__(self, codes: np.ndarray, first: np.ndarray):
+        self.n, self.first = len(codes), first
+        self.prefix = []
+        for k, base in enumerate(WORD_BASES):
+            sums = np.zeros(self.n + 1, U64)
+            np.cumsum(mix(codes[:, k]) * _table(base, self.n), out=sums[1:])
+            self.prefix.append(sums)
         #: For each word, the end of its text.
         self.end = np.repeat(first[1:], np.diff(first))
 
@@ -88,8 +91,17 @@ class Windows:
         """All words at which a window of that length begins."""
         return np.flatnonzero(np.arange(self.n) + length <= self.end)
 
-    def hash(self, starts: np.ndarray, length: int | np.ndarray) -> np.ndarray:
-        return span_hash(self.prefix, starts, starts + length, self.base)
+    def hash(self, starts: np.ndarray, length: int | np.ndarray, half: int = 0) -> np.ndarray:
+        sums = self.prefix[half]
+        return mix((sums[starts + length] - sums[starts]) * _table(WORD_BASES[half], self.n + 1, True)[starts])
+
+
+def equal_runs(high: np.ndarray, low: np.ndarray, *before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, fresh): an order in which equal pairs (within equal values of ``before``) stand together, and where in it each run begins."""
+    order = np.lexsort((low, high, *before))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = np.any([x[order][1:] != x[order][:-1] for x in (high, low, *before)], axis=0)
+    return order, fresh
 
 
 def chunks(sizes: list[int], most: int = 4 << 20):

@@ -2,11 +2,15 @@
 
 Documents of equal shingle sets form a class; only classes are compared. Classes that share a band of their signatures are
 compared signature batch by signature batch: after each, a pair is dropped if its chance of reaching the wanted similarity
-(under a uniform prior) is below the miss probability. What survives spans candidate groups. Within a group, surviving
-pairs are verified on their full sets, most similar first; a pair whose classes are linked already is not needed.
+(under a uniform prior) is below the miss probability.
 
-Buckets and groups of any size are split into blocks, and pairs of blocks are separate units of work of bounded size. No
-pair is emitted but the links that span a unit.
+Of the pairs that survive in a band's bucket, those that span it, most similar first, are verified on the full sets: one
+pair less than classes, each a row with its two texts. Where all of a bucket's spanning pairs end in one component, its
+other pairs can add nothing. In the other buckets every surviving pair of classes from different components is verified,
+with the texts of just these classes. So no link is lost, and texts move once per pair that may matter, not per pair of a group.
+
+Buckets of any size are split into blocks, and pairs of blocks are separate units of work of bounded size. Sets are
+compared by 128-bit hashes of shingles (see ``_words``).
 """
 
 from __future__ import annotations
@@ -49,23 +53,30 @@ def keep_at(miss: float, similarity: float, hashes: int = HASHES, batch: int = B
     return out
 
 
-def shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct shingle hashes of all texts, text by text in ascending order, first shingle of each text with the total)."""
-    hashes, first = _words.hash_words(texts, lower=True)
-    windows = _words.Windows(hashes, first)
+def shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(high and low halves of the distinct shingles' hashes, text by text in ascending order, first shingle of each text with the total)."""
+    codes, first = _words.hash_words(texts, lower=True)
+    windows = _words.Windows(codes, first)
     counts = np.diff(first)
     short = np.flatnonzero((counts > 0) & (counts < size))
     starts = windows.starts(size)
     starts = np.concatenate([starts, first[short]])
     lengths = np.concatenate([np.full(len(starts) - len(short), size), counts[short]])
-    values = windows.hash(starts, lengths)
+    high, low = (windows.hash(starts, lengths, half) for half in (0, 1))
     row = np.searchsorted(first, starts, "right") - 1
-    order = np.lexsort((values, row))
-    values, row = values[order], row[order]
-    fresh = np.ones(len(values), bool)
-    fresh[1:] = (values[1:] != values[:-1]) | (row[1:] != row[:-1])
-    values, row = values[fresh], row[fresh]
-    return values, np.searchsorted(row, np.arange(len(texts) + 1))
+    order, fresh = _words.equal_runs(high, low, row)
+    kept = order[fresh]
+    return high[kept], low[kept], np.searchsorted(row[kept], np.arange(len(texts) + 1))
+
+
+def similar(n: int, m: int, both: int, similarity: int) -> bool:
+    return 100 * both >= similarity * (n + m - both)
+
+
+def common(high: np.ndarray, low: np.ndarray, first: np.ndarray, i: int, j: int) -> int:
+    """Shingles that the sets i and j share."""
+    a, b = slice(first[i], first[i + 1]), slice(first[j], first[j + 1])
+    return int(len(high[a]) + len(high[b]) - _words.equal_runs(np.concatenate([high[a], high[b]]), np.concatenate([low[a], low[b]]))[1].sum())
 
 
 def _family(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,16 +95,16 @@ def signatures(docs: DataFrame, size: int = SHINGLE, doc_id: str = "doc_id", tex
             out: dict[str, list] = {"n_shingles": [], "cls": [], "sig": [], "bands": []}
             texts = [x.encode() for x in batch.column(2).to_pylist()]
             for part in _words.chunks([len(x) for x in texts]):
-                values, first = shingles(texts[part], size)
+                values, low, first = shingles(texts[part], size)
                 counts = np.diff(first)
                 full = np.flatnonzero(counts)
                 at = first[:-1][full]
-                low = (values >> U64(32)).astype(U32)
+                short = (values >> U64(32)).astype(U32)
                 sig = np.empty((len(full), HASHES), U32)
                 if len(full):
                     for k in range(HASHES):
-                        sig[:, k] = np.minimum.reduceat(low * a[k] + b[k], at)
-                    cls = np.stack([np.add.reduceat(_words.mix(values ^ c), at) for c in (U64(0x51ED27), U64(0xC0FFEE123))], 1)
+                        sig[:, k] = np.minimum.reduceat(short * a[k] + b[k], at)
+                    cls = np.stack([np.add.reduceat(_words.mix(x ^ U64(0x51ED27)), at) for x in (values, low)], 1)
                     bands = _words.mix((sig[:, : BANDS * BAND_ROWS].astype(U64).reshape(-1, BANDS, BAND_ROWS) * salt).sum(2, dtype=U64)).view(np.int64)
                     small = (sig & U32(255)).astype(np.uint8)
                 place = dict(zip(full.tolist(), range(len(full)), strict=True))
@@ -191,83 +202,144 @@ def _unit_rows(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return names, np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(names), -1), np.array(table.column("side").to_pylist())
 
 
-def _edges(schema_names, found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=schema_names)
-
-
 def _dealt(rows: DataFrame, *columns: str) -> DataFrame:
     width = _base.shuffle_width(rows.sparkSession)
-    name = F.concat_ws(":", F.hex(F.col("unit.key")), "unit.i", "unit.j").alias("name")
-    return rows.select(name, *columns).repartition(width, "name").sortWithinPartitions("name", "cls")
+    name = F.concat_ws(":", "unit.key", "unit.i", "unit.j").alias("name")
+    return rows.select(name, "unit.key", *columns).repartition(width, "name").sortWithinPartitions("name", "cls")
 
 
-def candidate_groups(classes: DataFrame, similarity: int = SIMILARITY, miss: float = MISS, block: int = BLOCK) -> DataFrame:
-    """(node, root): classes connected by banded pairs that survive the signature bounds."""
+def in_bands(classes: DataFrame, block: int) -> DataFrame:
+    """Units of the bands that more than one class has: (unit, side, cls, sig)."""
     bands = classes.select("cls", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = bands.join(shared, "band").join(classes.select("cls", "sig"), "cls")
-    bounds = keep_at(miss, similarity / 100)
+    return into_units(bands.join(shared, "band").join(classes.select("cls", "sig"), "cls"), "band", "n", block)
+
+
+def spanning_pairs(units: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
+    """(key, a, b): of each unit the surviving pairs that span it, most similar first, equally similar ones in one order everywhere."""
 
     def run(batches):
-        found: set[tuple[bytes, bytes]] = set()
+        out: dict[str, list] = {"key": [], "a": [], "b": []}
         for table in _groups(batches):
             names, sig, side = _unit_rows(table)
+            key = table.column("key")[0].as_py()
             links = Links(len(names))
-            left, right, _ = surviving_pairs(sig, np.full_like(side, 2), bounds)
+            left, right, matches = surviving_pairs(sig, np.full_like(side, 2), bounds)
             # A unit of two blocks names only what joins them: each block's own unit names the links inside it.
             inside = (side[left] == side[right]) & (side[left] != 2)
             for i, j in zip(left[inside].tolist(), right[inside].tolist(), strict=True):
                 links.join(i, j)
-            for i, j in zip(left[~inside].tolist(), right[~inside].tolist(), strict=True):
-                i, j = links.root(i), links.root(j)
+            left, right, matches = left[~inside], right[~inside], matches[~inside]
+            for k in np.lexsort((right, left, -matches)).tolist():  # rows stand in the order of their classes
+                i, j = int(left[k]), int(right[k])
                 if links.join(i, j):
-                    found.add((names[i], names[j]))
-            if len(found) > 50_000:
-                yield _edges(["a", "b"], list(found))
-                found.clear()
-        yield _edges(["a", "b"], list(found))
+                    for name, value in zip(out, (key, names[i], names[j]), strict=True):
+                        out[name].append(value)
+            if len(out["key"]) > 50_000:
+                yield pa.RecordBatch.from_pydict(out, schema=arrow)
+                out = {k: [] for k in out}
+        yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
-    units = _dealt(into_units(members, "band", "n", block), "cls", "sig", "side")
-    return _base.components(units.mapInArrow(run, "a binary, b binary"), "candidates")
+    arrow = pa.schema([("key", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
+    return _dealt(units, "cls", "sig", "side").mapInArrow(run, "key long, a binary, b binary")
 
 
-def verified_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, size: int, similarity: int = SIMILARITY, miss: float = MISS, block: int = BLOCK) -> DataFrame:
-    """(a, b): links, by full sets, that span the classes of every unit of a candidate group.
+def class_texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cls, text) of the wanted classes, by the row that stands for each. docs: (id, key, text); classes: (cls, id, key)."""
+    rows = classes.join(wanted, "cls", "left_semi").select("cls", F.col("id").alias("c_id"), F.col("key").alias("c_key"))
+    return docs.join(rows, (F.col("key") == F.col("c_key")) & F.col("id").eqNullSafe(F.col("c_id"))).dropDuplicates(["cls"]).select("cls", "text")
 
-    docs: (id, key, text); classes: (cls, sig, id, key) with one row of docs to stand for the class.
-    """
-    sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
-    members = groups.withColumnRenamed("node", "cls").join(sizes, "root").join(classes.select("cls", "sig", "id", "key"), "cls")
-    members = into_units(members, "root", "n", block)
-    texts = docs.select(F.col("id").alias("t_id"), F.col("key").alias("t_key"), "text")
-    rows = members.join(texts, (F.col("key") == F.col("t_key")) & F.col("id").eqNullSafe(F.col("t_id")))
-    bounds = keep_at(miss, similarity / 100)
+
+def verified(pairs: DataFrame, size: int, similarity: int) -> DataFrame:
+    """(a, b) of the pairs (a, b, text_a, text_b) whose full sets are similar enough."""
+
+    def make():
+        def one(batch):
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            left, right = ([x.encode() for x in batch.column(k).to_pylist()] for k in (2, 3))
+            good = []
+            for part in _words.chunks([len(x) + len(y) for x, y in zip(left, right, strict=True)]):
+                n = len(left[part])
+                high, low, first = shingles(left[part] + right[part], size)
+                sizes = np.diff(first)
+                good += [part.start + i for i in range(n) if similar(sizes[i], sizes[n + i], common(high, low, first, i, n + i), similarity)]
+            return {"a": [a[i] for i in good], "b": [b[i] for i in good]}
+
+        return one
+
+    return _base.map_batches(pairs.select("a", "b", "text_a", "text_b"), make, "a binary, b binary")
+
+
+def open_rows(units: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
+    """(name, cls, sig, side, root) of the rows of units that have a surviving pair with a class of another component."""
+
+    def run(batches):
+        for table in _groups(batches):
+            _, sig, side = _unit_rows(table)
+            roots = np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)[1]
+            left, right, _ = surviving_pairs(sig, side, bounds)
+            apart = roots[left] != roots[right]
+            rows = np.unique(np.concatenate([left[apart], right[apart]]))
+            if rows.size:
+                yield from table.take(pa.array(rows)).select(["name", "cls", "sig", "side", "root"]).combine_chunks().to_batches()
+
+    return _dealt(units, "cls", "sig", "side", "root").mapInArrow(run, "name string, cls binary, sig binary, side int, root binary")
+
+
+def links_between(rows: DataFrame, bounds: list[tuple[int, int]], size: int, similarity: int) -> DataFrame:
+    """(a, b): links that join the components of each unit's open rows (name, cls, sig, side, root, text)."""
 
     def run(batches):
-        found: list[tuple[bytes, bytes]] = []
         for table in _groups(batches):
             names, sig, side = _unit_rows(table)
-            values, first = shingles([x.encode() for x in table.column("text").to_pylist()], size)
-            links = Links(len(names))
-            seen: dict[bytes, int] = {}
-            for i, name in enumerate(names):  # equal rows of a class's document
-                links.join(seen.setdefault(name, i), i)
+            high, low, first = shingles([x.encode() for x in table.column("text").to_pylist()], size)
+            links, seen, found = Links(len(names)), {}, []
+            for i, root in enumerate(table.column("root").to_pylist()):
+                links.join(seen.setdefault(root, i), i)
             left, right, matches = surviving_pairs(sig, side, bounds)
             for k in np.argsort(-matches, kind="stable").tolist():
                 i, j = int(left[k]), int(right[k])
                 n, m = int(first[i + 1] - first[i]), int(first[j + 1] - first[j])
-                if 100 * min(n, m) < similarity * max(n, m) or links.root(i) == links.root(j):
-                    continue
-                both = len(np.intersect1d(values[first[i] : first[i + 1]], values[first[j] : first[j + 1]], assume_unique=True))
-                if 100 * both >= similarity * (n + m - both):
+                if 100 * min(n, m) >= similarity * max(n, m) and links.root(i) != links.root(j) and similar(n, m, common(high, low, first, i, j), similarity):
                     links.join(i, j)
                     found.append((names[i], names[j]))
-            if len(found) > 50_000:
-                yield _edges(["a", "b"], found)
-                found = []
-        yield _edges(["a", "b"], found)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    width = _base.shuffle_width(rows.sparkSession)
+    return rows.repartition(width, "name").sortWithinPartitions("name", "cls").mapInArrow(run, "a binary, b binary")
 
-    return _dealt(rows, "cls", "sig", "side", "text").mapInArrow(run, "a binary, b binary")
+
+def linked_classes(docs: DataFrame, classes: DataFrame, size: int, similarity: int = SIMILARITY, miss: float = MISS, block: int = BLOCK) -> DataFrame:
+    """(node, root): the classes that are linked with another one, and their component.
+
+    docs: (id, key, text); classes: (cls, n_shingles, sig, bands, id, key).
+    """
+    bounds = keep_at(miss, similarity / 100)
+    spanning = _base.save(spanning_pairs(in_bands(classes, block), bounds), "spanning")
+    pairs = spanning.select("a", "b").distinct()
+    sizes = lambda c: classes.select(F.col("cls").alias(c), F.col("n_shingles").alias(f"n_{c}"))
+    pairs = pairs.join(sizes("a"), "a").join(sizes("b"), "b").where(100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).select("a", "b")
+    pairs = _base.save(pairs, "pairs")
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+    texts = _base.save(class_texts(docs, classes, wanted), "texts")
+    of = lambda c: texts.select(F.col("cls").alias(c), F.col("text").alias(f"text_{c}"))
+    links = _base.save(verified(pairs.join(of("a"), "a").join(of("b"), "b"), size, similarity), "links")
+    roots = _base.components(links, "links")
+    at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    apart = spanning.join(at("a"), "a", "left").join(at("b"), "b", "left").where("coalesce(root_a, a) <> coalesce(root_b, b)")
+    unsettled = _base.save(apart.select("key").distinct(), "unsettled")
+    for old in (pairs, texts, spanning):
+        _base.release(old)
+    if unsettled.isEmpty():
+        return roots
+    members = in_bands(classes, block).join(unsettled.select(F.col("key").alias("u_key")), F.col("unit.key") == F.col("u_key"), "left_semi")
+    members = members.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    rows = _base.save(open_rows(members, bounds), "open")
+    texts = _base.save(class_texts(docs, classes, rows.select("cls").distinct()), "texts")
+    more = _base.save(links_between(rows.join(texts, "cls"), bounds, size, similarity), "links")
+    _base.release(texts)
+    return roots if more.isEmpty() else _base.components(links.unionByName(more), "links")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY, doc_id: str = "doc_id", text: str = "text", miss: float = MISS, block: int = BLOCK) -> DataFrame:
@@ -283,11 +355,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMI
     _base.small_batches(spark)
     sigs = _base.save(signatures(docs, size, doc_id, text), "signatures")
     full = sigs.where("cls is not null")
-    classes = full.groupBy("cls").agg(F.min(F.struct("id", "key")).alias("row"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    classes = _base.save(classes.select("cls", "sig", "bands", "row.id", "row.key"), "classes")
-    groups = candidate_groups(classes, similarity, miss, block)
+    classes = full.groupBy("cls").agg(F.min(F.struct("id", "key")).alias("row"), *(F.first(c).alias(c) for c in ("n_shingles", "sig", "bands")))
+    classes = _base.save(classes.select("cls", "n_shingles", "sig", "bands", "row.id", "row.key"), "classes")
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), _base.text_key(doc_id, text).alias("key"), F.col(text).alias("text"))
-    roots = _base.components(verified_links(rows, classes, groups, size, similarity, miss, block), "links")
+    roots = linked_classes(rows, classes, size, similarity, miss, block)
     least = full.groupBy("cls").agg(F.min("id").alias("least"))
     placed = least.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("cls").alias("of_cls"), "component_id")

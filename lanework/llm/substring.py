@@ -1,18 +1,21 @@
 """Removal of passages that occur more than once, by level-wise doubling of repeated windows.
 
-The levels are window lengths, each about twice the one before, up to the wanted length. A window goes to the next level
-only if its start at this level occurs elsewhere too; the last level decides. At the first level not every position needs
-to be asked: of the positions at which a shorter window lies inside a wanted window, the one of least hash stands for it
-(equal wanted windows have the same one), so one or two positions in ten are exchanged.
-
-A level is one exchange. Tasks hash the candidate windows of their texts, drop what repeats within a batch to one message,
-and send messages to buckets of hashes; a bucket tells which of its hashes came more than once, and whence. So a passage that
-stands in a third of all texts costs a message per batch, not one per text.
+The levels are window lengths, each twice the one before, up to the wanted length. A window goes to the next level only if
+its start at this level occurs elsewhere too; the last level decides. At the first level not every position needs to be
+asked: of the positions at which a shorter window lies inside a wanted window, the one of least hash stands for it (equal
+wanted windows have the same one), so one or two positions in ten are exchanged. ``longest_repeats`` goes on doubling from
+the wanted length until no candidate survives.
+
+Texts are dealt out once, into a bucketed table, and each level joins them where they lie. A level is one exchange of
+hashes: tasks hash the candidate windows of their texts, drop what repeats within a batch to one message, and send messages
+to buckets of hashes; a bucket tells which of its hashes came more than once, and whence. So a passage that stands in a
+third of all texts costs a message per batch, not one per text. Windows are compared by 128 bits (see ``_words``).
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +25,13 @@ from pyspark.sql import functions as F
 from lanework.llm import _base, _words
 
 WINDOW = 35
-#: Length at the first level: 18 doubles to 35 at once; 9 takes one level more.
-BASE = 18
-I64 = np.int64
+#: Length at the first level: 9 doubles to 18, and to the wanted 35.
+BASE = 9
+I64, U64 = np.int64, np.uint64
 #: Bytes of texts hashed at once.
 CHUNK_BYTES = 4 << 20
+#: Bytes of text whose candidates share a bucket (about a sixth as many bytes of hashes at a level).
+BUCKET_BYTES = 32 << 20
 
 
 def level_lengths(window: int, base: int) -> list[int]:
@@ -86,81 +91,82 @@ def unpack_rows(data: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
-def _candidates(windows: _words.Windows, lengths: list[int], level: int, alive: np.ndarray | None) -> np.ndarray:
+def _candidates(windows: _words.Windows, lengths: list[int], level: int, wanted_level: int, alive: np.ndarray | None) -> np.ndarray:
     """Starts of the windows to ask about at a level; alive marks the positions that the level before kept."""
-    last = level == len(lengths) - 1
-    window = lengths[-1]
-    if len(lengths) == 1:
+    window = lengths[wanted_level]
+    if level > wanted_level:
+        starts = np.flatnonzero(alive)
+        return starts[starts + lengths[level] <= windows.end[starts]]
+    if wanted_level == 0:
         return windows.starts(window)
-    wanted, stands = anchors(windows, lengths[0], window, lengths[-2])
-    if last:
+    wanted, stands = anchors(windows, lengths[0], window, lengths[wanted_level - 1])
+    if level == wanted_level:
         return wanted[alive[stands]]
     found = np.unique(stands)
     return found if alive is None else found[alive[found]]
 
 
-def _messages(docs: DataFrame, lengths: list[int], level: int, buckets: int) -> DataFrame:
+def _messages(docs: DataFrame, lengths: list[int], level: int, wanted_level: int, buckets: int) -> DataFrame:
     """Rows (bucket, own, payload): hashes of candidates with their addresses, and what is known to repeat already.
 
-    docs: (id, key, text, kept): kept holds the positions of the level before (null at the first).
+    docs: (id0, key, text, kept): kept holds the positions of the level before (null at the first).
     """
 
     def make():
         def one(batch):
-            ids = np.array([0 if x is None else x for x in batch.column(0).to_pylist()], I64)
-            keys = np.array(batch.column(1).to_pylist(), I64)
-            texts = [x.encode() for x in batch.column(2).to_pylist()]
+            ids, keys = (np.asarray(batch.column(k)).astype(I64) for k in (0, 1))
+            texts = [(x or "").encode() for x in batch.column(2).to_pylist()]
             kept = batch.column(3).to_pylist()
             out: dict[str, list] = {"bucket": [], "own": [], "payload": []}
             for part in _words.chunks([len(x) for x in texts], CHUNK_BYTES):
-                hashes, first = _words.hash_words(texts[part])
-                windows = _words.Windows(hashes, first)
+                codes, first = _words.hash_words(texts[part])
+                windows = _words.Windows(codes, first)
                 alive = None
                 if level:
                     alive = np.zeros(windows.n, bool)
                     for at, positions in zip(first, kept[part], strict=False):
                         alive[np.frombuffer(positions, np.uint32).astype(I64) + at] = True
-                starts = _candidates(windows, lengths, level, alive)
+                starts = _candidates(windows, lengths, level, wanted_level, alive)
                 if not starts.size:
                     continue
-                found = windows.hash(starts, lengths[level])
+                high, low = (windows.hash(starts, lengths[level], half) for half in (0, 1))
                 row = np.searchsorted(first, starts, "right") - 1
                 place = (starts - first[row]).astype(np.uint32)
                 row = row + part.start
-                _, index, inverse, counts = np.unique(found, return_index=True, return_inverse=True, return_counts=True)
-                twice = counts[inverse] > 1
+                order, fresh = _words.equal_runs(high, low)
+                sizes = np.diff(np.append(np.flatnonzero(fresh), len(order)))
+                twice = np.zeros(len(order), bool)
+                twice[order] = np.repeat(sizes > 1, sizes)
                 if twice.any():  # known here already: told to the others once, without an address
-                    out["bucket"].append(int(found[0] % np.uint64(buckets)))
+                    out["bucket"].append(int(high[0] % U64(buckets)))
                     out["own"].append(True)
                     out["payload"].append(pack_rows(ids[row[twice]], keys[row[twice]], place[twice]))
-                index.sort()
-                sent, lone = found[index], ~twice[index]
-                bucket = (sent % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                for b in np.flatnonzero(np.diff(edges)):
-                    mine = order[edges[b] : edges[b + 1]]
-                    at = index[mine]
-                    out["bucket"].append(int(b))
+                index = np.sort(order[fresh])
+                bucket = (high[index] % U64(buckets)).astype(I64)
+                by_bucket = np.argsort(bucket, kind="stable")
+                cuts = np.flatnonzero(np.diff(bucket[by_bucket], prepend=-1))
+                for a, b in zip(cuts, np.append(cuts[1:], len(by_bucket)), strict=True):
+                    at = index[by_bucket[a:b]]
+                    out["bucket"].append(int(bucket[by_bucket[a]]))
                     out["own"].append(False)
-                    out["payload"].append(pack_rows(sent[mine], lone[mine], ids[row[at]], keys[row[at]], place[at]))
+                    out["payload"].append(pack_rows(high[at], low[at], ~twice[at], ids[row[at]], keys[row[at]], place[at]))
             return out
 
         return one
 
-    return _base.map_batches(docs, make, "bucket int, own boolean, payload binary")
+    return _base.map_batches(docs, make, "bucket long, own boolean, payload binary")
 
 
-def _repeated(messages: DataFrame, buckets: int) -> DataFrame:
+def _repeated(messages: DataFrame, parts: int) -> DataFrame:
     """Rows (part, payload): addresses (id, key, place) of candidates whose hash came more than once, dealt by key."""
 
     def emit(out, ids, keys, place):
-        part = (keys.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+        part = (keys.view(U64) % U64(parts)).astype(I64)
         order = np.argsort(part, kind="stable")
-        edges = np.searchsorted(part[order], np.arange(buckets + 1))
-        for b in np.flatnonzero(np.diff(edges)):
-            mine = order[edges[b] : edges[b + 1]]
-            out["part"].append(int(b))
+        cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
+        for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
+            mine = order[a:b]
+            out["part"].append(int(part[mine[0]]))
             out["payload"].append(pack_rows(ids[mine], keys[mine], place[mine]))
 
     def run(table: pa.Table) -> pa.Table:
@@ -170,21 +176,20 @@ def _repeated(messages: DataFrame, buckets: int) -> DataFrame:
         for o, p in zip(own, payloads, strict=True):
             if o:
                 emit(out, *unpack_rows(p, I64, I64, np.uint32))
-        got = [unpack_rows(p, np.uint64, bool, I64, I64, np.uint32) for o, p in zip(own, payloads, strict=True) if not o]
+        got = [unpack_rows(p, U64, U64, bool, I64, I64, np.uint32) for o, p in zip(own, payloads, strict=True) if not o]
         if got:
-            sent, lone, ids, keys, place = (np.concatenate(x) for x in zip(*got, strict=True))
-            order = np.argsort(sent, kind="stable")
-            same = sent[order][1:] == sent[order][:-1]
-            again = np.zeros(len(sent), bool)
-            again[order[1:][same]] = True
-            again[order[:-1][same]] = True
+            high, low, lone, ids, keys, place = (np.concatenate(x) for x in zip(*got, strict=True))
+            order, fresh = _words.equal_runs(high, low)
+            sizes = np.diff(np.append(np.flatnonzero(fresh), len(order)))
+            again = np.zeros(len(high), bool)
+            again[order] = np.repeat(sizes > 1, sizes)
             # A lone hash that another batch sent (once or as known to repeat) repeats; known ones were answered by their own batch.
             again &= lone
             if again.any():
                 emit(out, ids[again], keys[again], place[again])
-        return pa.table({"part": pa.array(out["part"], pa.int32()), "payload": pa.array(out["payload"], pa.binary())})
+        return pa.table({"part": pa.array(out["part"], pa.int64()), "payload": pa.array(out["payload"], pa.binary())})
 
-    return messages.groupBy("bucket").applyInArrow(run, "part int, payload binary")
+    return messages.groupBy("bucket").applyInArrow(run, "part long, payload binary")
 
 
 def _by_text(repeated: DataFrame) -> DataFrame:
@@ -201,27 +206,67 @@ def _by_text(repeated: DataFrame) -> DataFrame:
     return repeated.groupBy("part").applyInArrow(run, "id0 long, key long, kept binary")
 
 
-def _compact(docs: DataFrame, kept: DataFrame, how: str) -> DataFrame:
-    """docs (id, key, text, ...) with the kept positions of their rows."""
-    mine = kept.select(F.col("id0").alias("k_id"), F.col("key").alias("k_key"), "kept")
-    return docs.join(mine, (F.col("key") == F.col("k_key")) & (F.coalesce("id", F.lit(0)) == F.col("k_id")), how).drop("k_id", "k_key")
+def dealt(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, int]:
+    """(table of id0, key and docs' columns as c0, c1, ...; its number of buckets): the table lies in buckets of (key, id0).
 
-
-def repeated_windows(docs: DataFrame, window: int = WINDOW, base: int = BASE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id0, key, kept): for every row that has some, the word positions at which a window begins that begins elsewhere too."""
+    Null ids are 0 there; rows of equal id and text share both. The buckets follow the volume of text.
+    """
     spark = docs.sparkSession
-    buckets = _base.shuffle_width(spark)
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), _base.text_key(doc_id, text).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    lengths = level_lengths(window, base)
-    kept = None
-    for level in range(len(lengths)):
-        asked = rows.withColumn("kept", F.lit(None).cast("binary")) if kept is None else _compact(rows, kept, "inner")
-        kept = _base.save(_by_text(_repeated(_messages(asked, lengths, level, buckets), buckets)), f"windows{lengths[level]}")
+    volume = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = max(_base.shuffle_width(spark), -(-volume // BUCKET_BYTES))
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("id0"), _base.text_key(doc_id, text).alias("key"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    name = f"lanework_texts_{uuid.uuid4().hex}"
+    writer = rows.repartition(buckets, "key", "id0").write.bucketBy(buckets, "key", "id0").sortBy("key", "id0")
+    writer.option("compression", "zstd").option("path", _base.scratch(spark, "texts")).saveAsTable(name)
+    return spark.table(name), buckets
+
+
+def _levels(rows: DataFrame, buckets: int, text: str, lengths: list[int], wanted_level: int):
+    """(length, (id0, key, kept) of the positions whose window of that length repeats), level by level, until none is left."""
+    rows, kept = rows.select("id0", "key", F.col(text).alias("text")), None
+    for level, length in enumerate(lengths):
+        asked = rows.withColumn("kept", F.lit(None).cast("binary")) if kept is None else rows.join(kept, ["key", "id0"]).select("id0", "key", "text", "kept")
+        kept = _base.save(_by_text(_repeated(_messages(asked, lengths, level, wanted_level, buckets), buckets)), f"windows{length}")
+        yield length, kept
         if kept.isEmpty():
-            break
+            return
+
+
+def repeated_windows(rows: DataFrame, buckets: int, text: str, window: int = WINDOW, base: int = BASE) -> DataFrame:
+    """(id0, key, kept): for every row of a dealt table that has some, the word positions at which a window begins that begins elsewhere too."""
+    lengths = level_lengths(window, base)
+    kept, before = None, None
+    for _, kept in _levels(rows, buckets, text, lengths, len(lengths) - 1):
+        if before is not None:
+            _base.release(before)
+        before = kept
     return kept
 
 
+def longest_repeats(docs: DataFrame, window: int = WINDOW, base: int = BASE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, longest): the greatest of window, 2 * window, 4 * window, ... words that some passage of a row shares with another place; 0 if none.
+
+    Null ids stay null; rows of equal id and text share their result. An empty table gives an empty result.
+    """
+    _base.small_batches(docs.sparkSession)
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows, buckets = dealt(docs, "doc_id", "text")
+    lengths = level_lengths(window, base)
+    wanted = len(lengths) - 1
+    longest = rows.agg(F.max(F.size(F.split("c1", r"[\x20\x09-\x0D]+")))).first()[0] or 0
+    while lengths[-1] * 2 <= longest:
+        lengths.append(lengths[-1] * 2)
+    found = None
+    for length, kept in _levels(rows, buckets, "c1", lengths, wanted):
+        if length >= window:
+            part = kept.select("id0", "key", F.lit(length).alias("length"))
+            found = part if found is None else found.unionByName(part)
+    if found is None:
+        return rows.select(F.col("c0").alias("doc_id"), F.lit(0).alias("longest"))
+    best = found.groupBy("key", "id0").agg(F.max("length").alias("longest"))
+    return rows.join(best, ["key", "id0"], "left").select(F.col("c0").alias("doc_id"), F.coalesce("longest", F.lit(0)).alias("longest"))
+
+
 def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
     """Which of n words lie in a window that begins at one of the starts."""
     steps = np.zeros(n + 1, np.int32)
@@ -245,13 +290,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, base: int = BASE, doc_
     and stays null. Windows are judged on the input; equal rows repeat each other wholly. An empty table gives an empty
     result. Columns of the two new names are replaced.
     """
-    import pyarrow as pa
     from pyspark.sql.types import StructType
 
     docs = docs.drop("n_words", "n_removed")
-    joined = with_positions(docs, window, base, doc_id, text)
-    schema = StructType(docs.schema.fields + StructType.fromDDL("n_words long, n_removed long").fields)
-    place = docs.columns.index(text)
+    names = docs.columns
+    joined, place = with_positions(docs, window, base, doc_id, text), names.index(text)
+    schema = StructType(joined.schema.fields[:-1] + StructType.fromDDL("n_words long, n_removed long").fields)
 
     def run(batches):
         for batch in batches:
@@ -265,7 +309,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, base: int = BASE, doc_
             columns[place] = pa.array(texts, columns[place].type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    done = joined.mapInArrow(run, schema)
+    return done.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), "n_words", "n_removed")
 
 
 def digests(docs: DataFrame, window: int = WINDOW, base: int = BASE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -287,9 +332,8 @@ def digests(docs: DataFrame, window: int = WINDOW, base: int = BASE, doc_id: str
 
 
 def with_positions(docs: DataFrame, window: int, base: int, doc_id: str, text: str) -> DataFrame:
-    """docs' columns and last the positions (binary, null if none) of their repeated windows."""
-    spark = docs.sparkSession
-    _base.small_batches(spark)
-    kept = repeated_windows(docs, window, base, doc_id, text).select(F.col("id0").alias("_k_id"), F.col("key").alias("_k_key"), F.col("kept").alias("_kept"))
-    keyed = docs.withColumns({"_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), "_key": _base.text_key(doc_id, text)})
-    return keyed.join(kept, (F.col("_key") == F.col("_k_key")) & (F.col("_id") == F.col("_k_id")), "left").select(*(F.col(f"`{c}`") for c in docs.columns), "_kept")
+    """docs' columns as c0, c1, ... and last the positions (binary, null if none) of their repeated windows."""
+    _base.small_batches(docs.sparkSession)
+    rows, buckets = dealt(docs, doc_id, text)
+    kept = repeated_windows(rows, buckets, f"c{docs.columns.index(text)}", window, base)
+    return rows.join(kept, ["key", "id0"], "left").select(*(f"c{i}" for i in range(len(docs.columns))), "kept")

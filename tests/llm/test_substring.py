@@ -30,7 +30,7 @@ def test_words_and_windows():
     hashes, first = _words.hash_words(texts)
     assert first.tolist() == [0, 3, 3, 6, 11]
     flat = [w for t in texts for w in t.split()]
-    assert len(set(hashes.tolist())) == len(set(flat))
+    assert len(set(hashes[:, 0].tolist())) == len(set(hashes[:, 1].tolist())) == len(set(flat))
     windows = _words.Windows(hashes, first)
     starts = windows.starts(2)
     found = windows.hash(starts, 2).tolist()
@@ -59,12 +59,51 @@ def test_against_all_windows(spark, window, base):
 def test_hot_passage_is_one_message_per_batch(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     docs = spark.createDataFrame([(i, f"{passage} own{i}") for i in range(400)], "doc_id long, text string").coalesce(1)
-    rows = docs.selectExpr("doc_id as id", "xxhash64(doc_id, text) as key", "text", "cast(null as binary) as kept")
-    sent = [len(substring.unpack_rows(r.payload, np.uint64, bool, np.int64, np.int64, np.uint32)[0]) for r in substring._messages(rows, [18, 35], 0, 4).where("not own").collect()]
+    rows = docs.selectExpr("doc_id as id0", "xxhash64(doc_id, text) as key", "text", "cast(null as binary) as kept")
+    sent = [len(substring.unpack_rows(r.payload, np.uint64, np.uint64, bool, np.int64, np.int64, np.uint32)[0]) for r in substring._messages(rows, [18, 35], 0, 1, 4).where("not own").collect()]
     assert sum(sent) < 60 + 400 * 3
     assert {r.n_removed for r in substring.digests(docs).collect()} == {60}
 
 
+def thue_morse(n):
+    return [bin(i).count("1") % 2 for i in range(n)]
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_thue_morse_texts_differ(spark, n):
+    bits = thue_morse(n)
+    words = ["".join("ab"[b ^ flip] for b in bits) for flip in (0, 1)]
+    codes, _ = _words.hash_words([w.encode() for w in words])
+    assert (codes[0] != codes[1]).all()
+    texts = [" ".join(["x", "y"][b ^ flip] for b in bits) for flip in (0, 1)]
+    windows = _words.Windows(*_words.hash_words([t.encode() for t in texts]))
+    assert windows.hash(np.array([0, n]), 35, 0)[0] != windows.hash(np.array([0, n]), 35, 0)[1]
+    rest = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, f"{words[0]} {rest}"), (2, f"{words[1]} {rest} z")], "doc_id long, text string")
+    assert sorted(r.n_removed for r in substring.digests(docs).collect()) == [40, 40]
+    alone = " ".join(f"w{i}" for i in range(34))
+    docs = spark.createDataFrame([(1, f"{words[0]} {alone}"), (2, f"{words[1]} {alone}")], "doc_id long, text string")
+    assert [r.n_removed for r in substring.digests(docs).collect()] == [0, 0]
+
+
+def test_doubling_goes_on_until_none_survives(spark):
+    line = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(1, line("a", 300) + " x " + line("b", 40)), (2, "y " + line("a", 300)), (3, line("b", 40)), (4, line("c", 34)), (4, None), (None, line("c", 34) + " z"), (6, line("a", 100))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sorted((str(r.doc_id), r.longest) for r in substring.longest_repeats(docs).collect())
+    assert found == sorted([("1", 280), ("2", 280), ("3", 35), ("4", 0), ("4", 0), ("None", 0), ("6", 70)])
+    assert substring.longest_repeats(docs.limit(0)).count() == 0
+
+
+def test_texts_stay_in_their_buckets(spark):
+    docs = spark.createDataFrame([(i, f"t{i % 7} " * 50) for i in range(50)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = substring.with_positions(docs, 35, 9, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" in plan
+
+
 def test_query_against_sql(spark):
     import duckdb
 
