@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lanework.plans.ship import ship
 
 #: Rows, and bytes, handed to Python at once: a longer text comes alone.
-ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -1,8 +1,11 @@
 """Words of whole texts and hashes of word windows, vectorized over a batch of texts.
 
-Words are the maximal runs of bytes other than ASCII white space (0x20, 0x09-0x0D) of a text's UTF-8 form. A word's code is
-its 128-bit hash (xxh3), a window's two sums of its words' codes with independent codes and multipliers; windows are equal
-where both halves are. With n windows of a few dozen words the chance that any two different ones agree is below n^2 / 2^100.
+Words are the maximal runs of bytes other than ASCII white space (0x20, 0x09-0x0D) of a text's UTF-8 form. A word's code
+has two 64-bit halves: sums of random codes of its bytes times powers, with independent codes and multipliers; words of more
+than 64 bytes, where such sums can be made to agree, have their xxh3 hash. A window's hash are two such sums of its words'
+codes; windows are equal where both halves are. For windows of at most 64 words, each half of two different ones agrees by a
+chance below 2^-49, so n windows hold two different ones that agree with a chance below n^2 / 2^98. Longer windows are
+hashed piece by piece, and the pieces' hashes likewise.
 """
 
 from __future__ import annotations
@@ -11,11 +14,11 @@ import numpy as np
 import xxhash
 
 U64 = np.uint64
-#: Odd multipliers of the running sums, one for each half of a word's code.
+#: Odd multipliers of the running sums, one for each half: of bytes and of words.
+BYTE_BASES = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F))
 WORD_BASES = (U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F))
-#: Entries of a worker's table of words; beyond it the table starts anew.
-MOST_WORDS = 400_000
-LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: Longest word, and longest window, that one sum stands for.
+LONGEST = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,6 +31,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+BYTE_CODES = [mix(np.arange(1, 257, dtype=U64) * k) for k in (U64(0x2545F4914F6CDD1D), U64(0xDA942042E4DD58B5))]
+SPACE = np.zeros(256, bool)
+SPACE[[32, 9, 10, 11, 12, 13]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.full(n, base, U64)
     if n:
@@ -46,44 +56,41 @@ def _table(base: np.uint64, n: int, inverse: bool = False) -> np.ndarray:
     return _powers[key][:n]
 
 
-class _Codes(dict):
-    """Place of each word's code in ``table``."""
-
-    def __init__(self):
-        super().__init__()
-        self.table = bytearray()
-
-    def __missing__(self, word: bytes) -> int:
-        self.table += xxhash.xxh3_128_digest(word)
-        found = self[word] = len(self)
-        return found
+def running(values: np.ndarray, base: np.uint64) -> np.ndarray:
+    """Prefix sums of values[i] * base**i, with a leading 0: runs can be hashed by a subtraction."""
+    out = np.zeros(len(values) + 1, U64)
+    np.cumsum(values * _table(base, len(values)), out=out[1:])
+    return out
 
 
-_codes = _Codes()
+def run_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64) -> np.ndarray:
+    return mix((prefix[ends] - prefix[starts]) * _table(base, len(prefix), True)[starts])
 
 
 def hash_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(codes of all words as (words, 2), first word of each text with the total at the end)."""
-    global _codes
-    if len(_codes) > MOST_WORDS:
-        _codes = _Codes()
-    places, first = [], [0]
-    for text in texts:
-        places += map(_codes.__getitem__, (text.translate(LOWER) if lower else text).split())
-        first.append(len(places))
-    return np.frombuffer(bytes(_codes.table), U64).reshape(-1, 2)[np.array(places, np.int64)], np.array(first)
+    """(codes of all words as (2, words), first word of each text with the total at the end)."""
+    joined = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    if lower:
+        joined = LOWER[joined]
+    inside = np.zeros(len(joined) + 2, np.int8)
+    inside[1:-1] = ~SPACE[joined]
+    edges = np.flatnonzero(np.diff(inside))
+    starts, ends = edges[::2], edges[1::2]
+    sizes = (ends - starts).astype(U64)
+    codes = np.stack([run_hash(running(table[joined], base), starts, ends, base) + sizes for table, base in zip(BYTE_CODES, BYTE_BASES, strict=True)])
+    for i in np.flatnonzero(sizes > LONGEST).tolist():
+        codes[:, i] = np.frombuffer(xxhash.xxh3_128_digest(joined[starts[i] : ends[i]].tobytes()), U64)
+    limits = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(x) + 1 for x in texts], out=limits[1:])
+    return codes, np.searchsorted(starts, limits)
 
 
 class Windows:
     """Hashes of windows of consecutive words of one text each."""
 
     def __init__(self, codes: np.ndarray, first: np.ndarray):
-        self.n, self.first = len(codes), first
-        self.prefix = []
-        for k, base in enumerate(WORD_BASES):
-            sums = np.zeros(self.n + 1, U64)
-            np.cumsum(mix(codes[:, k]) * _table(base, self.n), out=sums[1:])
-            self.prefix.append(sums)
+        self.n, self.first = codes.shape[1], first
+        self.prefix = [running(mix(codes[k]), base) for k, base in enumerate(WORD_BASES)]
         #: For each word, the end of its text.
         self.end = np.repeat(first[1:], np.diff(first))
 
@@ -92,19 +99,30 @@ class Windows:
         return np.flatnonzero(np.arange(self.n) + length <= self.end)
 
     def hash(self, starts: np.ndarray, length: int | np.ndarray, half: int = 0) -> np.ndarray:
-        sums = self.prefix[half]
-        return mix((sums[starts + length] - sums[starts]) * _table(WORD_BASES[half], self.n + 1, True)[starts])
+        base = WORD_BASES[half]
+        if np.max(length, initial=0) <= LONGEST:
+            return run_hash(self.prefix[half], starts, starts + length, base)
+        out = np.zeros(len(starts), U64)
+        at, end = starts.copy(), starts + length
+        while (left := np.minimum(LONGEST, end - at)).any():
+            out = mix(out * base + run_hash(self.prefix[half], at, at + left, base)) * (left > 0) + out * (left == 0)
+            at = at + left
+        return out
 
 
 def equal_runs(high: np.ndarray, low: np.ndarray, *before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, fresh): an order in which equal pairs (within equal values of ``before``) stand together, and where in it each run begins."""
-    order = np.lexsort((low, high, *before))
+    order = np.lexsort((high, *before)) if before else np.argsort(high)
+    same = np.all([x[order][1:] == x[order][:-1] for x in (high, *before)], axis=0)
     fresh = np.ones(len(order), bool)
-    fresh[1:] = np.any([x[order][1:] != x[order][:-1] for x in (high, low, *before)], axis=0)
+    fresh[1:] = ~same
+    if (same & (low[order][1:] != low[order][:-1])).any():  # the first halves agree by chance
+        order = np.lexsort((low, high, *before))
+        fresh[1:] = np.any([x[order][1:] != x[order][:-1] for x in (low, high, *before)], axis=0)
     return order, fresh
 
 
-def chunks(sizes: list[int], most: int = 4 << 20):
+def chunks(sizes: list[int], most: int = 1 << 20):
     """Slices of a batch whose sizes add up to about ``most``, so that arrays stay small whatever the batch holds."""
     start = total = 0
     for i, n in enumerate(sizes):

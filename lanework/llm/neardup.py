@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanework.llm import _base, _words
+from lanework.llm._words import equal_runs
 
 SHINGLE = 5
 SIMILARITY = 80  # per cent
@@ -64,7 +65,7 @@ def shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.
     lengths = np.concatenate([np.full(len(starts) - len(short), size), counts[short]])
     high, low = (windows.hash(starts, lengths, half) for half in (0, 1))
     row = np.searchsorted(first, starts, "right") - 1
-    order, fresh = _words.equal_runs(high, low, row)
+    order, fresh = equal_runs(high, low, row)
     kept = order[fresh]
     return high[kept], low[kept], np.searchsorted(row[kept], np.arange(len(texts) + 1))
 
@@ -76,7 +77,8 @@ def similar(n: int, m: int, both: int, similarity: int) -> bool:
 def common(high: np.ndarray, low: np.ndarray, first: np.ndarray, i: int, j: int) -> int:
     """Shingles that the sets i and j share."""
     a, b = slice(first[i], first[i + 1]), slice(first[j], first[j + 1])
-    return int(len(high[a]) + len(high[b]) - _words.equal_runs(np.concatenate([high[a], high[b]]), np.concatenate([low[a], low[b]]))[1].sum())
+    pair, half = np.concatenate([high[a], high[b]]), np.concatenate([low[a], low[b]])
+    return int(len(pair) - equal_runs(pair, half)[1].sum())
 
 
 def _family(n: int) -> tuple[np.ndarray, np.ndarray]:

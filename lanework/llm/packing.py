@@ -21,8 +21,8 @@ from lanework.llm import _base
 
 WINDOW = 4096
 BIN_WIDTH = 16
-#: Entries of a worker's table of encoded words; beyond it the table starts anew.
-CACHE_WORDS = 600_000
+#: Entries of a worker's tables of pieces and of odd words; beyond it a table starts anew.
+CACHE_PIECES, CACHE_WORDS = 300_000, 50_000
 
 
 def byte_letters() -> list[str]:
@@ -91,7 +91,7 @@ class WordBpe:
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.pieces) > CACHE_WORDS:
+        if len(self.pieces) > CACHE_PIECES:
             self.pieces.clear()
         other = self.OTHER.search
         out = [None if x and other(x) else self.plain(x or "") for x in texts]

@@ -53,8 +53,8 @@ def op8_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda k: F.size(F.filter("secret_spans", lambda s: s["kind_order"] == k)).cast("long")
-    rows = found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), secrets.spans_text(F.col("secret_spans")).alias("spans"))
-    return rows.withColumn("base_sha256", F.sha2(F.col("spans").cast("binary"), 256))
+    rows = found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), secrets.spans_text(F.col("secret_spans")).alias("spans"), secrets.spans_text(F.filter("secret_spans", lambda s: s["kind_order"] < secrets.BASE_RULES)).alias("base"))
+    return rows.withColumn("base_sha256", F.sha2(F.col("base").cast("binary"), 256)).drop("base")
 
 
 def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,10 +113,12 @@ ORACLES = {
     "op9_secret_trigrams": f"""
         WITH spans AS ({_spans_sql("assign", 0, """'((?i:password|passwd|secret|token|api_?key))["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)'""", 2, 6)}
                        UNION ALL {_spans_sql("access", 1, "'AKIA[A-Z0-9]+'", 0, 20)}
-                       UNION ALL {_spans_sql("hex", 2, "'[0-9a-f]+'", 0, 24)}),
+                       UNION ALL {_spans_sql("hex", 2, "'[0-9a-f]+'", 0, 24)}
+                       UNION ALL {_spans_sql("key_block", 3, "'-----BEGIN [A-Z ]*PRIVATE KEY-----'", 0, 1)}
+                       UNION ALL {_spans_sql("chat_token", 4, "'xox[abprs]-[A-Za-z0-9-]{10,}'", 0, 1)}),
              per AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS b, count(*) FILTER (kind = 'hex') AS c,
-                            string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, kind_order) AS spans FROM spans GROUP BY doc_id)
-        SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, coalesce(spans, '') AS spans, sha256(coalesce(spans, '')) AS base_sha256
+                            string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, kind_order) AS spans, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, kind_order) FILTER (kind_order < 3) AS base FROM spans GROUP BY doc_id)
+        SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, coalesce(spans, '') AS spans, sha256(coalesce(base, '')) AS base_sha256
         FROM documents LEFT JOIN per USING (doc_id)
     """,
     "op5_warc_salvage": """

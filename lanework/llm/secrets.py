@@ -1,15 +1,17 @@
-"""Secret scan over a trigram inverted index, in DataFrame functions only.
+"""Secret scan over trigram postings, in DataFrame functions only.
 
-From each rule's pattern the trigrams that a match must hold are derived, as alternatives of conjunctions. Postings are
-kept for these trigrams alone; a rule's candidates are the rows that stand in all postings of one of its alternatives.
-Candidates are verified by the pattern itself. A rule with an alternative without a trigram is run over every row.
+From each rule's pattern the trigrams that a match must hold are derived, as alternatives of conjunctions. A rule's
+candidates are the rows that stand in all postings of one of its alternatives; they are verified by the pattern itself. A
+rule with an alternative without a trigram is run over every row.
+
+``scan`` reads a row's postings off its own text and keeps them beside it, so texts do not move; an alternative's postings
+are intersected rarest first and given up at the first that the row is not in. ``build_index`` stores the postings as a
+table, and ``search_index`` intersects them there, for texts that are asked again.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from re import _constants as op
-from re import _parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,33 +34,66 @@ RULES = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
+    Rule("key_block", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
 )
+#: How many of the rules are the base ones.
+BASE_RULES = 3
+#: Letters of English texts, most frequent first (a fixed value): what is rarer in it is looked for first.
+FREQUENT = "etaoinshrdlucmfwypvbgkjqxz"
+#: Matches whose places are summed up in one go.
+PLACES = 256
 MARK = "[SECRET]"
 
 
 def literal_runs(pattern: str) -> list[frozenset[str]]:
-    """Alternatives of a pattern, each as the lower-case literal strings that every match of it contains."""
-
-    def walk(items, state: list[tuple[frozenset[str], str]]) -> list[tuple[frozenset[str], str]]:
-        cut = lambda s: [(runs | {tail}, "") for runs, tail in s]
-        for kind, value in items:
-            if kind is op.LITERAL:
-                state = [(runs, tail + chr(value).lower()) for runs, tail in state]
-            elif kind is op.SUBPATTERN:
-                state = walk(value[3], state)
-            elif kind is op.BRANCH:
-                state = [x for branch in value[1] for x in walk(branch, state)]
-            elif kind in (op.MAX_REPEAT, op.MIN_REPEAT):
-                least, most, inner = value
-                if (least, most) == (0, 1):
-                    state = state + walk(inner, state)
-                else:
-                    state = cut(walk(inner, state) if least else state)
-            elif kind is not op.AT:
-                state = cut(state)
-        return state
-
-    return list({frozenset(x for x in runs | {tail} if x) for runs, tail in walk(_parser.parse(pattern), [(frozenset(), "")])})
+    """Alternatives of a pattern, each as the lower-case literal strings that every match of it contains.
+
+    The pattern may hold literals, \\xHH and escaped characters, classes, groups, alternation and repeats.
+    """
+    at = 0
+    # A state: the literals that are complete, and the one that goes on.
+    State = list[tuple[frozenset[str], str]]  # noqa: N806
+    cut = lambda states: [(runs | {tail}, "") for runs, tail in states]
+
+    def alternatives(states: State) -> State:
+        nonlocal at
+        found = sequence(states)
+        while pattern[at : at + 1] == "|":
+            at += 1
+            found = found + sequence(states)
+        return found
+
+    def sequence(states: State) -> State:
+        nonlocal at
+        while at < len(pattern) and pattern[at] not in "|)":
+            before, start = states, at
+            if pattern[at] == "(":
+                at += 1
+                if pattern[at] == "?":
+                    at = pattern.index(":", at) + 1
+                states = alternatives(states)
+                at += 1
+            elif pattern[at] == "[":
+                at = pattern.index("]", at + 2) + 1
+                states = cut(states)
+            elif pattern.startswith("\\x", at):
+                states = [(runs, tail + chr(int(pattern[start + 2 : start + 4], 16)).lower()) for runs, tail in states]
+                at += 4
+            elif pattern[at] in ".^$" or (pattern[at] == "\\" and pattern[at + 1].isalnum()):
+                at += 1 + (pattern[at] == "\\")
+                states = cut(states)
+            else:
+                at += pattern[at] == "\\"
+                states = [(runs, tail + pattern[at].lower()) for runs, tail in states]
+                at += 1
+            if (sign := pattern[at : at + 1]) and sign in "?*+{":
+                at = pattern.index("}", at) + 1 if sign == "{" else at + 1
+                least = int(pattern[start:at].rsplit("{", 1)[1].split(",")[0].rstrip("}")) if sign == "{" else int(sign == "+")
+                states = before + states if sign == "?" else cut(states) if least else cut(before)
+        return states
+
+    return list({frozenset(x for x in runs | {tail} if x) for runs, tail in alternatives([(frozenset(), "")])})
 
 
 def trigram_query(pattern: str) -> list[frozenset[str]] | None:
@@ -67,64 +102,101 @@ def trigram_query(pattern: str) -> list[frozenset[str]] | None:
     return None if frozenset() in found else sorted(found, key=sorted)
 
 
-def postings(docs: DataFrame, keys: list[str], text: str, trigrams: list[str]) -> DataFrame:
-    """(keys, trigram): the inverted index of the given trigrams over lower-cased texts."""
-    low = F.lower(F.col(text))
-    held = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in trigrams)))
-    return docs.select(*keys, F.explode(held).alias("trigram"))
+def rarest_first(trigrams: frozenset[str]) -> list[str]:
+    return sorted(trigrams, key=lambda t: (-sum(len(FREQUENT) if c not in FREQUENT else FREQUENT.index(c) for c in t), t))
+
+
+def candidate_kinds(text: Column, rules: tuple[Rule, ...]) -> Column:
+    """The kinds of rules whose trigram query a text satisfies; the text is lower-cased once."""
+    queries = [(r.kind, q) for r in rules if (q := trigram_query(r.pattern)) is not None]
+
+    def kinds(low: Column) -> Column:
+        found = []
+        for kind, query in queries:
+            some = F.lit(False)
+            for trigrams in query:
+                every = F.lit(True)
+                for t in rarest_first(trigrams):
+                    every = every & F.contains(low, F.lit(t))
+                some = some | every
+            found.append(F.when(some, F.lit(kind)))
+        return F.array_compact(F.array(*found))
+
+    return F.transform(F.array(F.lower(text)), kinds)[0] if queries else F.array().cast("array<string>")
+
+
+def build_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(trigram, id, key): stored postings, a folder for each trigram that the rules ask for; key is xxhash64(doc_id, text)."""
+    wanted = sorted({t for r in rules for part in trigram_query(r.pattern) or () for t in part})
+    rows = docs.select(F.col(doc_id).alias("id"), _base.text_key(doc_id, text).alias("key"), F.lower(F.col(text)).alias("low"))
+    held = F.filter(F.array(*(F.lit(t) for t in wanted)), lambda t: F.contains(F.col("low"), t)) if wanted else F.array().cast("array<string>")
+    return _base.save(rows.select(F.explode(held).alias("trigram"), "id", "key"), "postings", "trigram").select("trigram", "id", "key")
 
 
-def candidates(docs: DataFrame, keys: list[str], text: str, rules: tuple[Rule, ...]) -> DataFrame | None:
-    """(keys, kinds): the rules whose trigram query a row satisfies. None if every rule scans fully."""
-    queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not None}
-    if not queries:
-        return None
-    wanted = [(kind, i, t, len(part)) for kind, query in queries.items() for i, part in enumerate(query) for t in sorted(part)]
-    table = docs.sparkSession.createDataFrame(wanted, "kind string, alternative int, trigram string, needed int")  # as long as the rules
-    index = postings(docs, keys, text, sorted({x[2] for x in wanted}))
-    met = index.join(F.broadcast(table), "trigram").groupBy(*keys, "kind", "alternative").agg(F.count_distinct("trigram").alias("n"), F.first("needed").alias("needed"))
-    return met.where("n = needed").groupBy(*keys).agg(F.collect_set("kind").alias("kinds"))
+def search_index(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(id, key, kind) of the candidates in stored postings; only the folders of a rule's own trigrams are read for it."""
+    found = index.select("id", "key", F.lit("").alias("kind")).limit(0)
+    for rule in rules:
+        for trigrams in trigram_query(rule.pattern) or ():
+            mine = index.where(F.col("trigram").isin(*sorted(trigrams))).distinct()
+            met = mine.groupBy("id", "key").agg(F.count("*").alias("n")).where(F.col("n") == len(trigrams))
+            found = found.unionByName(met.select("id", "key", F.lit(rule.kind).alias("kind")))
+    return found.distinct()
+
+
+SPANS = "array<struct<start:bigint,kind_order:int,end:bigint>>"
 
 
 def rule_spans(text: Column, rule: Rule, order: int) -> Column:
-    """array<struct<start, kind_order, end>> of one rule, leftmost and non-overlapping, in code points."""
-    pattern = F.lit(rule.pattern)
-    whole = F.regexp_extract_all(text, pattern, F.lit(0))
-    value = whole if rule.group == 0 else F.regexp_extract_all(text, pattern, F.lit(rule.group))
-    rows = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), whole.alias("whole"), value.alias("value"))
-    kind = "array<struct<start:bigint,kind_order:int,end:bigint>>"
-    start = lambda acc, x: acc["at"] + F.length(x["gap"])
+    """array<struct<start, kind_order, end>> of one rule, leftmost and non-overlapping, in code points.
+
+    Matches and the gaps between them alternate, so the sums of their lengths are their places. They are summed up within
+    blocks of matches and over the blocks: the work grows with the matches, not with their square.
+    """
+
+    def places(whole: Column) -> Column:
+        value = lambda x: x if rule.group == 0 else F.regexp_extract(x, rule.pattern, rule.group)
+        lengths = F.zip_with(F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(whole)), whole, lambda gap, x: F.struct(F.length(gap).cast("bigint").alias("gap"), F.length(x).cast("bigint").alias("size"), (F.length(value(x)) >= rule.min_chars).alias("kept")))
+        return F.transform(F.array(lengths), in_blocks)[0]
+
+    def in_blocks(lengths: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / PLACES).cast("int")), lambda b: F.slice(lengths, b * PLACES + 1, F.lit(PLACES)))
+        return F.transform(F.array(blocks), joined)[0]
+
+    def joined(blocks: Column) -> Column:
+        zero = F.lit(0).cast("bigint")
+        sums = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda acc, x: acc + x["gap"] + x["size"]))
+        starts = F.aggregate(sums, F.array(zero), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        return F.flatten(F.zip_with(blocks, F.slice(starts, F.lit(1), F.size(blocks)), one_block))
+
+    def one_block(block: Column, at: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            start, end = acc["at"] + x["gap"], acc["at"] + x["gap"] + x["size"]
+            span = F.struct(start.alias("start"), F.lit(order).cast("int").alias("kind_order"), end.alias("end"))
+            return F.struct(end.alias("at"), F.when(x["kept"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).cast(SPANS).alias("spans"))
 
-    def step(acc: Column, x: Column) -> Column:
-        span = F.struct(start(acc, x).alias("start"), F.lit(order).cast("int").alias("kind_order"), (start(acc, x) + F.length(x["whole"])).alias("end"))
-        kept = F.when(F.length(x["value"]) >= rule.min_chars, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct((start(acc, x) + F.coalesce(F.length(x["whole"]), F.lit(0))).cast("bigint").alias("at"), kept.cast(kind).alias("spans"))
+        first = F.struct(at.alias("at"), F.array().cast(SPANS).alias("spans"))
+        return F.aggregate(block, first, step, lambda acc: acc["spans"])
 
-    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(kind).alias("spans"))
-    return F.when(text.rlike(rule.pattern), F.aggregate(rows, first, step, lambda acc: acc["spans"])).otherwise(F.array().cast(kind))
+    found = F.array(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)))
+    return F.transform(found, lambda whole: F.when(F.size(whole) > 0, places(whole)).otherwise(F.array().cast(SPANS)))[0]
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(docs' columns, secret_spans): spans of every row, sorted by start, then by the rules' order.
 
-    A null text counts as empty; null ids and equal rows are ordinary rows (rows are joined to their candidates by id and
-    text hash); an empty table gives an empty result. A column called secret_spans is replaced.
+    A null text counts as empty; null ids and equal rows are ordinary rows; an empty table gives an empty result. A column
+    called secret_spans is replaced. Nothing is shuffled.
     """
-    spark = docs.sparkSession
-    keyed = docs.drop("secret_spans").withColumns({"_scan_id": F.col(doc_id), "_scan_key": _base.text_key(doc_id, text)})
-    found = candidates(keyed, ["_scan_id", "_scan_key"], text, rules)
-    if found is None:
-        joined = keyed.withColumn("_scan_kinds", F.array().cast("array<string>"))
-    else:
-        found = found.select(F.col("_scan_id").alias("_c_id"), F.col("_scan_key").alias("_c_key"), F.col("kinds").alias("_scan_kinds"))
-        joined = keyed.join(found, F.col("_scan_key").eqNullSafe(F.col("_c_key")) & F.col("_scan_id").eqNullSafe(F.col("_c_id")), "left")
-    body = F.coalesce(F.col(text), F.lit(""))
-    none = F.array().cast("array<struct<start:bigint,kind_order:int,end:bigint>>")
+    docs = docs.drop("secret_spans")
+    names = docs.columns
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    rows = rows.withColumn("kinds", candidate_kinds(F.col("body"), rules))
     parts = []
     for i, rule in enumerate(rules):
-        spans = rule_spans(body, rule, i)
-        parts.append(spans if trigram_query(rule.pattern) is None else F.when(F.array_contains("_scan_kinds", rule.kind), spans).otherwise(none))
-    return joined.select(*(F.col(f"`{c}`") for c in docs.columns if c != "secret_spans"), F.array_sort(F.concat(*parts)).alias("secret_spans"))
+        spans = rule_spans(F.col("body"), rule, i)
+        parts.append(spans if trigram_query(rule.pattern) is None else F.when(F.array_contains("kinds", rule.kind), spans).otherwise(F.array().cast(SPANS)))
+    return rows.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), F.array_sort(F.concat(*parts)).alias("secret_spans"))
 
 
 def spans_text(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:

@@ -29,7 +29,7 @@ WINDOW = 35
 BASE = 9
 I64, U64 = np.int64, np.uint64
 #: Bytes of texts hashed at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Bytes of text whose candidates share a bucket (about a sixth as many bytes of hashes at a level).
 BUCKET_BYTES = 32 << 20
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from dataclasses import dataclass
 from itertools import pairwise
 
@@ -33,7 +34,7 @@ SAMPLE_ROWS = 1500
 WINDOWS, WINDOWS_PER_TEXT = 2000, 8
 HALF_WINDOW = 4
 WIDTH = 2 * HALF_WINDOW + 1
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 #: A token's log-odds are kept within this bound, which is also what a document without tokens has.
 MOST = 30.0
 #: Log-odds from which a document's likeliest token is told even if it is rather clean.
@@ -235,19 +236,19 @@ class Tagger:
         self.overlap = 1 if shrink < EXACT else math.ceil(math.log(EXACT / (4 * MOST)) / math.log(shrink))
         self.segment = max(SEGMENT, 2 * self.overlap)
         self.cache: dict[str, int] = {}
-        self.table: list[tuple[float, float, float]] = []
+        self.table = (array("d"), array("d"), array("d"))
 
-    def _word(self, word: str) -> int:
-        """The place of a word's weights: for itself, for the token after it and for the one before it."""
+    def _word(self, word: str) -> None:
+        """Note a word's weights: for itself, for the token after it and for the one before it."""
         weights, low = self.field.weights, word.lower()
-        self.table.append((self.field.bias + sum(weights.get(f, 0.0) for f in features(low)), weights.get("<" + low, 0.0), weights.get(">" + low, 0.0)))
-        self.cache[word] = len(self.table) - 1
-        return self.cache[word]
+        for column, value in zip(self.table, (self.field.bias + sum(weights.get(f, 0.0) for f in features(low)), weights.get("<" + low, 0.0), weights.get(">" + low, 0.0)), strict=True):
+            column.append(value)
+        self.cache[word] = len(self.cache)
 
     def emissions(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(emissions of all tokens, first token of each text with the total at the end)."""
         if len(self.cache) > CACHE_WORDS:
-            self.cache, self.table = {}, []
+            self.cache, self.table = {}, (array("d"), array("d"), array("d"))
         known, ids, first = self.cache, [], [0]
         for text in texts:
             words = TOKEN.findall(text)
@@ -256,7 +257,7 @@ class Tagger:
             ids += map(known.__getitem__, words)
             first.append(len(ids))
         ids, first = np.array(ids, np.int64), np.array(first)
-        own, after, before = (np.array(x) for x in zip(*self.table, strict=True)) if self.table else (np.zeros(0),) * 3
+        own, after, before = (np.array(x) for x in self.table)
         out = own[ids]
         inner = np.ones(len(ids), bool)
         inner[first[:-1][first[:-1] < len(ids)]] = False  # a text's first token follows nothing

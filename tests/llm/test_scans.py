@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lanework.llm import queries, secrets, toxicity
 
@@ -20,15 +21,28 @@ def test_trigram_queries():
     assert secrets.trigram_query("ab|cdef") is None
     assert {frozenset(x) for x in secrets.trigram_query("(?:tok)en_?x|pass(word)?")} == {frozenset({"tok", "oke", "ken", "enx"}), frozenset({"tok", "oke", "ken", "en_", "n_x"}), frozenset({"pas", "ass"}), frozenset({"pas", "ass", "ssw", "swo", "wor", "ord"})}
     assert len(secrets.trigram_query(secrets.RULES[0].pattern)) == 6
+    assert secrets.trigram_query(r"a\.bc\x20[x]+(def){2,}") == [frozenset({"a.b", ".bc", "bc ", "def"})] and secrets.trigram_query(r"(abc)*\dx") is None
+    assert secrets.rarest_first(frozenset({"ass", "ssw"}))[0] == "ssw"
+
+
+def test_stored_postings(spark):
+    rows = [(i % 5, t) for i, t in enumerate(ODD)] + [(1, ODD[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.id, r.key, r.kind) for r in secrets.search_index(secrets.build_index(docs)).collect()}
+    texts = {(r.doc_id, r.key): r.text or "" for r in docs.selectExpr("doc_id", "text", "xxhash64(doc_id, text) as key").collect()}
+    expected = {(i, k, rule.kind) for (i, k), t in texts.items() for rule in secrets.RULES for part in secrets.trigram_query(rule.pattern) or () if all(g in t.lower() for g in part)}
+    assert found == expected and expected
+    here = {(r.id, r.key, kind) for r in docs.selectExpr("doc_id as id", "xxhash64(doc_id, text) as key", "coalesce(text, '') as text").select("id", "key", secrets.candidate_kinds(F.col("text"), secrets.RULES).alias("kinds")).collect() for kind in r.kinds}
+    assert here == expected
 
 
 def plain_spans(text):
-    rules = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 6), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile("[0-9a-f]+"), 0, 24)]
+    rules = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 6), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile("[0-9a-f]+"), 0, 24), ("key_block", re.compile("-----BEGIN [A-Z ]*PRIVATE KEY-----"), 0, 1), ("chat_token", re.compile("xox[abprs]-[A-Za-z0-9-]{10,}"), 0, 1)]
     found = [(m.start(), k, m.end(), kind) for k, (kind, p, g, least) in enumerate(rules) for m in p.finditer(text) if len(m[g]) >= least]
     return sorted(found)
 
 
-ODD = ["", None, "token=abc secret=token:abcdefgh", "é日😀 Password: 'hunter2hunter2' x", "AKIA" + "A" * 15 + " AKIA" + "B1" * 8, "f" * 23 + " " + "f" * 24 + "g" + "0a" * 20, "api_key==xyzxyz apikey = \"0123456789abcdef0123456789abcdef\"", "secret=secret=secret=secret", "TOKEN:abcdef" * 400, "passwd  :=  a.b.c_d"]
+ODD = ["", None, "token=abc secret=token:abcdefgh", "é日😀 Password: 'hunter2hunter2' x", "AKIA" + "A" * 15 + " AKIA" + "B1" * 8, "f" * 23 + " " + "f" * 24 + "g" + "0a" * 20, "api_key==xyzxyz apikey = \"0123456789abcdef0123456789abcdef\"", "secret=secret=secret=secret", "TOKEN:abcdef" * 400, "passwd  :=  a.b.c_d", "x -----BEGIN RSA PRIVATE KEY----- y -----BEGIN PRIVATE KEY-----", "xoxb-0123456789 xoxz-0123456789 xoxp-012", "Secret=abcdefg é " * 1500]
 
 
 def test_spans_and_redaction(spark):
@@ -36,8 +50,6 @@ def test_spans_and_redaction(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans array<int>")
     found = secrets.scan(docs).collect()
     assert len(found) == len(rows)
-    from pyspark.sql import functions as F
-
     redacted = {r.text: r.clean for r in secrets.scan(docs).select("text", secrets.redact(F.col("text"), F.col("secret_spans")).alias("clean")).collect()}
     for r in found:
         expected = plain_spans(r.text or "")
@@ -56,14 +68,14 @@ def test_spans_and_redaction(spark):
 def test_secret_query_runs_no_python(spark, sf_dir):
     df = queries.op9_secret_trigrams(spark, sf_dir)
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+    assert not re.search("Python|Pandas|Arrow|Exchange", plan)
     docs = {d.doc_id: d.text or "" for d in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = df.collect()
     assert len(rows) == len(docs)
     for r in rows:
         spans = plain_spans(docs[r.doc_id])
-        joined = ",".join(f"{kind}:{s}:{e}" for s, _, e, kind in spans)
-        assert (r.spans, r.base_sha256) == (joined, hashlib.sha256(joined.encode()).hexdigest())
+        joined, base = (",".join(f"{kind}:{s}:{e}" for s, k, e, kind in spans if k < most) for most in (9, 3))
+        assert (r.spans, r.base_sha256) == (joined, hashlib.sha256(base.encode()).hexdigest())
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x[1] == k for x in spans) for k in range(3))
 
 

@@ -30,7 +30,7 @@ def test_words_and_windows():
     hashes, first = _words.hash_words(texts)
     assert first.tolist() == [0, 3, 3, 6, 11]
     flat = [w for t in texts for w in t.split()]
-    assert len(set(hashes[:, 0].tolist())) == len(set(hashes[:, 1].tolist())) == len(set(flat))
+    assert len(set(hashes[0].tolist())) == len(set(hashes[1].tolist())) == len(set(flat))
     windows = _words.Windows(hashes, first)
     starts = windows.starts(2)
     found = windows.hash(starts, 2).tolist()
@@ -74,7 +74,7 @@ def test_thue_morse_texts_differ(spark, n):
     bits = thue_morse(n)
     words = ["".join("ab"[b ^ flip] for b in bits) for flip in (0, 1)]
     codes, _ = _words.hash_words([w.encode() for w in words])
-    assert (codes[0] != codes[1]).all()
+    assert (codes[:, 0] != codes[:, 1]).all()
     texts = [" ".join(["x", "y"][b ^ flip] for b in bits) for flip in (0, 1)]
     windows = _words.Windows(*_words.hash_words([t.encode() for t in texts]))
     assert windows.hash(np.array([0, n]), 35, 0)[0] != windows.hash(np.array([0, n]), 35, 0)[1]
