@@ -217,6 +217,76 @@ def test_main_text_of_odd_pages(spark):
     assert len(rows) == 4 and {r.n_chars for r in rows} == {0, len(f"A & B!\n\n{words}bold <x>\n\nShort.")}
 
 
+CHANGES = {
+    "div": lambda x: x.replace("<article>", "<div>").replace("</article>", "</div>"),
+    "section": lambda x: x.replace("<article>", "<section>").replace("</article>", "</section>"),
+    "body class": lambda x: x.replace("<body>", "<body class='has-sidebar'>").replace("<article>", "<div>").replace("</article>", "</div>"),
+    "title attribute": lambda x: x.replace("<p>", "<p title='a hidden gem' data-x=nav>"),
+    "article class": lambda x: x.replace("<article>", "<article class='post legal-news'>"),
+    "no marks at all": lambda x: re.sub(r"<(/?)(?:nav|article|footer)>", r"<\1div>", x),
+    "no footer": lambda x: re.sub(r"<footer>.*?</footer>", "", x, flags=re.S),
+    "nothing else": lambda x: re.search(r"<article>.*</article>", x, re.S)[0].replace("article>", "div>"),
+    "nested spans": lambda x: x.replace("<article>", "<article><span class=ad>buy <span>this</span> lamp</span>"),
+}
+
+
+@pytest.mark.parametrize("change", CHANGES)
+def test_main_text_does_not_hang_on_marks(change):
+    import pyarrow.parquet as pq
+
+    tree = html_text.grow(*html_text.labelled_table())
+    for html in pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist():
+        assert html_text.main_text(CHANGES[change](html), tree) == html_text.main_text(html, tree) != ""
+
+
+def asked(tree):
+    return set() if isinstance(tree, int) else {html_text.FEATURES[tree[0]]} | asked(tree[2]) | asked(tree[3])
+
+
+def test_tree_asks_for_words_and_links_of_neighbours():
+    rows, labels = html_text.labelled_table()
+    tree = html_text.grow(rows, labels)
+    assert {"link_density", "link_density_before", "words_after", "container_share"} <= asked(tree)
+    assert sum(html_text.judge(tree, list(r)) == y for r, y in zip(rows, labels, strict=True)) > 0.98 * len(labels)
+
+
+def plain_blocks(html):
+    """Words and link density of each block by a regular expression over a page without nesting."""
+    out = []
+    for part in re.split(r"</?(?:p|div|h1|nav|footer|body)[^>]*>", html):
+        text = re.sub(r"\s+", " ", re.sub(r"<[^>]*>", "", part)).strip()
+        if text:
+            linked = " ".join(re.findall(r"<a [^>]*>(.*?)</a>", part)).split()
+            out.append((text, len(text.split()), len(linked) / len(text.split())))
+    return out
+
+
+def test_blocks_and_neighbours():
+    rng = random.Random(6)
+    for _ in range(50):
+        bits = []
+        for _ in range(rng.randint(1, 8)):
+            tag = rng.choice(["p", "div", "h1"])
+            inside = " ".join(rng.choice(["w", "two words", "<a href='/x?y=1>2'>link here</a>", "<b>bold</b>"]) for _ in range(rng.randint(0, 5)))
+            bits.append(f"<{tag} title='a > b'>{inside}</{tag}>".replace("'a > b'", "t"))
+        html = "<body>" + "".join(bits) + "</body>"
+        plain = plain_blocks(html.replace("?y=1>2", ""))
+        found = html_text.blocks(html)
+        assert [(t, f[0], f[1]) for t, f in found] == plain
+        for i, (_, f) in enumerate(found):
+            assert (f[2], f[3]) == (plain[i - 1][1:] if i else (0, 0.0)) and (f[4], f[5]) == (plain[i + 1][1:] if i + 1 < len(plain) else (0, 0.0))
+
+
+def test_malformed_pages_take_linear_time():
+    import time
+
+    tree = html_text.grow(*html_text.labelled_table())
+    for bad in ("<a '" * 250_000, '<a b="' * 200_000, '<a b="x" ' * 100_000, "<" * 1_000_000, "<!--" * 250_000, "<script>" * 125_000, "<p>" * 330_000, "<span class=ad>" * 70_000):
+        began = time.process_time()
+        html_text.main_text(bad, tree)
+        assert time.process_time() - began < 5
+
+
 def test_tiff_keeps_good_pages(spark):
     good = [np.full((2, 3, 1), i, np.uint8) for i in range(3)]
     data = bytearray(tiff.write_pages(good))
