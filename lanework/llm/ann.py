@@ -1,10 +1,10 @@
 """Nearest neighbours by NN-descent graphs and greedy graph search.
 
-Equal vectors are one node. Nodes are dealt to shards of bounded size by hash. Each shard gets a neighbour graph: first
-lists come from a few random-projection trees, then rounds of NN-descent: Spark joins every node's list with the lists
-that name it, and the neighbours of a common node are compared with each other. A query walks the graph of every shard
-(a stated query set against all rows, in blocks): it starts from its own leaf of every tree and from nodes that together
-lead to all others, however many parts the graph has, and expands the nearest nodes it has seen until none of the nearest
+Equal vectors are one node. Nodes are dealt to shards of bounded size by hash. Each shard gets a neighbour graph by
+NN-descent: lists start at random, and in each round Spark joins every node's list with the lists that name it, and the
+neighbours of a common node are compared with each other; the rounds end when hardly any entry changes. A query walks the
+graph of every shard (a stated query set against all rows, in blocks): it starts from a few fixed nodes, and from one more
+in each part of the graph that these do not lead to, and expands the nearest nodes it has seen until none of the nearest
 ``beam`` is left to expand. Distances are exact, in double precision, on the original vectors.
 """
 
@@ -21,10 +21,10 @@ from lanework.llm import _base
 
 SHARD = 8192
 DEGREE, REVERSE = 20, 20
-TREES, LEAF = 3, 64
-ROUNDS = 4
-BEAM = 200
-ENTRIES = 48
+#: The rounds end when at most this share of the lists' entries changed.
+SETTLED = 0.05
+BEAM = 96
+ENTRIES = 16
 #: Offered to each member of a common neighbourhood in a round.
 OFFERS = 8
 QUERY_BLOCK = 16384
@@ -85,24 +85,6 @@ def _best_lists(n: int, rows: np.ndarray, others: np.ndarray, squares: np.ndarra
     return [others[a : min(b, a + degree)] for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def _tree_leaves(x: np.ndarray, leaf: int, seed: int, queries: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(rows of x, rows of queries) in each leaf of a random-projection tree over x."""
-    queries = x[:0] if queries is None else queries
-    rng, out, todo = np.random.default_rng(seed), [], [(np.arange(len(x)), np.arange(len(queries)))]
-    while todo:
-        part, asked = todo.pop()
-        if len(part) <= leaf:
-            out.append((part, asked))
-            continue
-        i, j = rng.choice(part, 2, replace=False)
-        axis = x[i] - x[j]
-        along = x[part] @ axis
-        order, half = np.argsort(along, kind="stable"), len(part) // 2
-        low = queries[asked] @ axis < along[order[half]]
-        todo += [(part[order[:half]], asked[low]), (part[order[half:]], asked[~low])]
-    return out
-
-
 def _entries(links: list[np.ndarray], start: np.ndarray) -> np.ndarray:
     """start and further nodes, one at least in each part of the graph, from which the links lead to every node."""
     reached = np.zeros(len(links), bool)
@@ -121,31 +103,28 @@ def _entries(links: list[np.ndarray], start: np.ndarray) -> np.ndarray:
         found.append(frontier)
 
 
-def _graph_table(shard: int, names: np.ndarray, lists: list[np.ndarray]) -> pa.Table:
-    return pa.table({"shard": np.full(len(names), shard, np.int32), "node": names, "nbrs": pa.array([names[x] for x in lists], pa.list_(pa.int64()))})
+GRAPH = "shard int, node long, nbrs array<long>, fresh int"
+
+
+def _graph_table(shard: int, names: np.ndarray, lists: list[np.ndarray], fresh: list[int]) -> pa.Table:
+    return pa.table({"shard": np.full(len(names), shard, np.int32), "node": names, "nbrs": pa.array([names[x] for x in lists], pa.list_(pa.int64())), "fresh": pa.array(fresh, pa.int32())})
 
 
-def first_graph(nodes: DataFrame, degree: int, trees: int, leaf: int) -> DataFrame:
-    """(shard, node, nbrs): lists within the leaves of random-projection trees."""
+def first_graph(nodes: DataFrame, degree: int) -> DataFrame:
+    """(shard, node, nbrs, fresh): random lists within a shard, all of it where it is that small."""
 
     def run(table: pa.Table) -> pa.Table:
-        order = np.argsort(np.asarray(table.column("node")), kind="stable")
-        names, x = np.asarray(table.column("node"))[order], _matrix(table, "vec")[order]
-        shard = table.column("shard")[0].as_py()
-        found = []
-        for seed in range(trees):
-            leaves = [part for part, _ in _tree_leaves(x, leaf, seed)]
-            members = np.full((len(leaves), max(map(len, leaves))), -1)
-            for i, part in enumerate(leaves):
-                members[i, : len(part)] = part
-            found.append(_nearest_in(members, x, degree))
-        return _graph_table(shard, names, _best_lists(len(names), *(np.concatenate(x) for x in zip(*found, strict=True)), degree))
+        names = np.sort(np.asarray(table.column("node")))
+        n, shard = len(names), table.column("shard")[0].as_py()
+        rng = np.random.default_rng(shard)
+        drawn = (rng.choice(n, min(n, degree + 1), replace=False) for _ in range(n))
+        return _graph_table(shard, names, [x[x != i][:degree] for i, x in enumerate(drawn)], [degree] * n)
 
-    return nodes.select("shard", "node", "vec").groupBy("shard").applyInArrow(run, "shard int, node long, nbrs array<long>")
+    return nodes.select("shard", "node").groupBy("shard").applyInArrow(run, GRAPH)
 
 
 def descend(graph: DataFrame, nodes: DataFrame, degree: int, reverse: int, offers: int, tag: int) -> DataFrame:
-    """One round: lists joined with the lists that name their node (a drawn part of them), members compared, best kept."""
+    """One round: lists joined with the lists that name their node (a drawn part of them), members compared, best kept; fresh counts a list's new entries."""
     named = graph.select("shard", F.col("node").alias("by"), F.explode("nbrs").alias("node"))
     drawn = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("by", "node", F.lit(tag)), "by"))
     back = named.withColumn("n", drawn).where(F.col("n") <= reverse).groupBy("node").agg(F.collect_list("by").alias("back"))
@@ -163,22 +142,30 @@ def descend(graph: DataFrame, nodes: DataFrame, degree: int, reverse: int, offer
             me, mine = np.searchsorted(names, node), np.searchsorted(names, np.array(nbrs, np.int64))
             old.append((np.full(len(mine), me), mine, ((x[mine] - x[me]) ** 2).sum(1)))
         found = [_nearest_in(members, x, offers), *old]
-        return _graph_table(shard, names, _best_lists(len(names), *(np.concatenate(x) for x in zip(*found, strict=True)), degree))
+        best = _best_lists(len(names), *(np.concatenate(x) for x in zip(*found, strict=True)), degree)
+        before = {int(me[0]): mine for me, mine, _ in old if len(mine)}
+        return _graph_table(shard, names, best, [len(x) - int(np.isin(x, before.get(i, x[:0])).sum()) for i, x in enumerate(best)])
 
-    return joined.groupBy("shard").cogroup(nodes.select("shard", "node", "vec").groupBy("shard")).applyInArrow(run, "shard int, node long, nbrs array<long>")
+    return joined.groupBy("shard").cogroup(nodes.select("shard", "node", "vec").groupBy("shard")).applyInArrow(run, GRAPH)
 
 
-def build_index(vectors: DataFrame, neighbours: int = 10, shard: int = SHARD, degree: int = DEGREE, reverse: int = REVERSE, rounds: int = ROUNDS, trees: int = TREES, leaf: int = LEAF, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def build_index(vectors: DataFrame, neighbours: int = 10, shard: int = SHARD, degree: int = DEGREE, reverse: int = REVERSE, rounds: int | None = None, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(shard, node, vec, ids, links): every usable vector's node, with the graph's links in both directions.
 
     ids: the node's ``neighbours`` + 1 smallest vec_ids; farther copies of a vector cannot be among that many nearest.
+    rounds: how many there are, instead of until the lists are settled.
     """
     nodes = _base.save(nodes_of(usable(vectors, vec_id, embedding), neighbours + 1), "nodes")
     shards = max(1, math.ceil(nodes.count() / shard))
     nodes = _base.save(nodes.withColumn("shard", F.pmod(F.xxhash64("node", F.lit(5)), F.lit(shards)).cast("int")), "sharded")
-    graph = _base.save(first_graph(nodes, degree, trees, leaf), "graph")
-    for i in range(rounds):
-        graph = _base.save(descend(graph, nodes, degree, reverse, OFFERS, i), "graph")
+    graph, turn = _base.save(first_graph(nodes, degree), "graph"), 0
+    while turn != rounds:
+        before, graph = graph, _base.save(descend(graph, nodes, degree, reverse, OFFERS, turn), "graph")
+        _base.release(before)
+        turn += 1
+        fresh, entries = graph.agg(F.sum("fresh"), F.sum(F.size("nbrs"))).first()
+        if rounds is None and (fresh or 0) <= SETTLED * (entries or 0):
+            break
     edges = graph.select("node", F.explode("nbrs").alias("to"))
     drawn = F.row_number().over(Window.partitionBy("to").orderBy(F.xxhash64("node", "to"), "node"))
     back = edges.withColumn("n", drawn).where(F.col("n") <= 2 * reverse).groupBy(F.col("to").alias("node")).agg(F.collect_list(F.col("node")).alias("back"))
@@ -206,7 +193,7 @@ def greedy(x: np.ndarray, links: list[np.ndarray], query: np.ndarray, beam: int,
         rows, squares = np.concatenate([rows, near]), np.concatenate([squares, distance(near)])
 
 
-def search(index: DataFrame, queries: DataFrame, neighbours: int = 10, beam: int = BEAM, entries: int = ENTRIES, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, neighbours: int = 10, beam: int = BEAM, entries: int = ENTRIES) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's nearest found, its own id apart; ties go to the smaller id.
 
     queries: (vec_id, vec). Fewer candidates than wanted are all returned.
@@ -223,16 +210,9 @@ def search(index: DataFrame, queries: DataFrame, neighbours: int = 10, beam: int
             names, x = np.asarray(part.column("node"))[order], _matrix(part, "vec")[order]
             ids, links = part.column("ids").to_pylist(), part.column("links").to_pylist()
             links = [np.searchsorted(names, np.array(links[i] or [], np.int64)) for i in order.tolist()]
-            asks, every = _matrix(ask, "query"), np.arange(len(names))
-            whole = len(names) <= beam + entries
-            start = every if whole else _entries(links, np.unique(np.linspace(0, len(names) - 1, entries).astype(int)))
-            starts = [[start] for _ in asks]
-            for seed in range(0 if whole else trees):
-                for rows, routed in _tree_leaves(x, leaf, seed, asks):
-                    for i in routed.tolist():
-                        starts[i].append(rows)
-            for query, vec, own in zip(ask.column("query_id").to_pylist(), asks, starts, strict=True):
-                near, squares = greedy(x, links, vec, beam, np.unique(np.concatenate(own)), neighbours + 1)
+            start = _entries(links, np.unique(np.linspace(0, len(names) - 1, entries).astype(int)))
+            for query, vec in zip(ask.column("query_id").to_pylist(), _matrix(ask, "query"), strict=True):
+                near, squares = greedy(x, links, vec, beam, start, neighbours + 1)
                 got = [(float(math.sqrt(s)), i) for r, s in zip(near.tolist(), squares.tolist(), strict=True) for i in ids[order[r]] if i != query]
                 for score, i in sorted(got)[:neighbours]:
                     for name, value in zip(out, (query, i, score), strict=True):
@@ -244,12 +224,12 @@ def search(index: DataFrame, queries: DataFrame, neighbours: int = 10, beam: int
     return found.withColumn("rank", rank).where(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")
 
 
-def nearest(vectors: DataFrame, every: int = 100, neighbours: int = 10, shard: int = SHARD, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 100, neighbours: int = 10, shard: int = SHARD, rounds: int | None = None, beam: int = BEAM, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """Nearest neighbours of the rows whose id is divisible by ``every``, among all others.
 
     Rows without an id or with an unusable vector take no part; a row that occurs twice counts once. An empty table gives
     an empty result; further columns are not read.
     """
     _base.small_batches(vectors.sparkSession)
-    index = build_index(vectors, neighbours, shard, vec_id=vec_id, embedding=embedding)
-    return search(index, usable(vectors, vec_id, embedding).where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]), neighbours)
+    index = build_index(vectors, neighbours, shard, rounds=rounds, vec_id=vec_id, embedding=embedding)
+    return search(index, usable(vectors, vec_id, embedding).where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]), neighbours, beam)

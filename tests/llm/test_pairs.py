@@ -183,6 +183,20 @@ def test_recall_over_shards(spark):
     assert sum((q, i) in hits for q, near in expected.items() for _, i in near) / (10 * len(expected)) >= 0.9
 
 
+def test_recall_comes_from_the_rounds(spark):
+    """A full shard of vectors without any structure: a narrow search finds little over random lists, and more with each round."""
+    rng = np.random.default_rng(8)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(8000, 48)))]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4).cache()
+    expected = brute(rows, every=100)
+    recalls = []
+    for rounds, beam in ((0, 40), (1, 40), (None, 40), (None, ann.BEAM)):
+        hits = {(r.query_id, r.vec_id) for r in ann.nearest(vectors, rounds=rounds, beam=beam).collect()}
+        recalls.append(sum((q, i) in hits for q, near in expected.items() for _, i in near) / (10 * len(expected)))
+    vectors.unpersist()
+    assert recalls[0] < 0.6 and recalls == sorted(recalls) and recalls[2] > recalls[0] + 0.25 and recalls[3] >= 0.95, recalls
+
+
 def test_recall_on_separated_clusters(spark):
     rng = np.random.default_rng(3)
     middles = rng.normal(size=(150, 16)) * 10
