@@ -199,43 +199,46 @@ def plan_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
 def write_archives(planned: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write planned pages as .warc.gz files below folder (on a store that all executors see); (file, records, bytes) of each.
 
-    A task's files are named after its partition and moved into place whole, so a task that runs again replaces its own.
+    A task fills one file after another. They are named after its partition and moved into place whole, so a task that
+    runs again replaces its own.
     """
+    import pyarrow as pa
 
-    def make():
+    _base.small_batches(planned.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         context = TaskContext.get()
-        state = {"n": 0}
+        files: list[tuple[str, int, int]] = []
+        members: list[bytes] = []
 
-        def flush(members: list[bytes]) -> tuple[str, int, int]:
-            name = f"part-{context.partitionId():06d}-{state['n']:06d}.warc.gz"
-            state["n"] += 1
+        def flush() -> None:
+            name = f"part-{context.partitionId():06d}-{len(files):06d}.warc.gz"
             data = b"".join(members)
             own = f"{root}/.{name}.{context.taskAttemptId()}"
             with store.open_output_stream(own, compression=None) as out:
                 out.write(data)
             store.move(own, f"{root}/{name}")
-            return name, len(members), len(data)
+            files.append((name, len(members), len(data)))
+            members.clear()
 
-        def one(batch):
-            files, members, size = [], [], 0
+        size = 0
+        for batch in batches:
             for page, uri, html, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 kind = "response" if refers_to is None else "revisit"
                 members.append(member(record(kind, f"urn:page:{'' if page is None else page}", uri or "", html.encode(), None if refers_to is None else f"urn:page:{refers_to}")))
                 size += len(members[-1])
                 if size >= file_bytes:
-                    files.append(flush(members))
-                    members, size = [], 0
-            if members:
-                files.append(flush(members))
-            return {"file": [x[0] for x in files], "records": [x[1] for x in files], "bytes": [x[2] for x in files]}
+                    flush()
+                    size = 0
+        if members:
+            flush()
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in files], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["file", "records", "bytes"])
 
-        return one
-
-    return _base.map_batches(planned.select("page_id", "url", "html", "refers_to"), make, "file string, records long, bytes long")
+    return planned.select("page_id", "url", "html", "refers_to").mapInArrow(run, "file string, records long, bytes long")
 
 
 def read_archives(spark, folder: str, payloads: bool = True) -> DataFrame:
@@ -275,17 +278,30 @@ def read_archives(spark, folder: str, payloads: bool = True) -> DataFrame:
     return _base.map_batches(files, make, schema)
 
 
+def lost_files(written: DataFrame, found: DataFrame) -> DataFrame:
+    """(file, records, read, gaps) of the written files that did not give back just what was put into them."""
+    read = found.groupBy(F.element_at(F.split("file", "/"), -1).alias("file")).agg(F.count_if(F.col("record_type").isNotNull()).alias("read"), F.count_if(F.col("record_type").isNull()).alias("gaps"))
+    both = written.join(read, "file", "left").fillna(0, ["read", "gaps"])
+    return both.where("read <> records or gaps > 0").select("file", "records", "read", "gaps")
+
+
 def archive_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Write all pages to archives in the shared folder, read them back by the salvage reader.
 
-    (page_id, payload_bytes, payload_digest, record_type, refers_to); an empty table gives an empty result.
+    (page_id, payload_bytes, payload_digest, record_type, refers_to); an empty table gives an empty result. Only the files
+    that the writer names count. Records and quarantined gaps are kept as a table beside the archives; a file that loses a
+    record or has a gap is an error.
     """
     spark = pages.sparkSession
     folder = _base.scratch(spark, "warc")
     written = _base.save(write_archives(plan_records(pages, page_id, url, html), folder), "warc-files")
     if written.isEmpty():
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    every = read_archives(spark, folder, payloads=False)
+    named = every.join(written.select(F.col("file").alias("_file")), F.element_at(F.split("file", "/"), -1) == F.col("_file"), "left_semi")
+    found = _base.save(named, "warc-records")
+    if lost := lost_files(written, found).take(3):
+        raise RuntimeError(f"archives do not give back what was written: {lost}")
     of = lambda c: F.regexp_extract(c, r"^urn:page:(-?[0-9]+)$", 1)
     number = lambda c: F.when(of(c) != "", of(c).cast("long"))
-    found = read_archives(spark, folder, payloads=False).where("record_type is not null")
     return found.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))

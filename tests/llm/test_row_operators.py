@@ -184,6 +184,27 @@ def test_tiff_query(spark, sf_dir):
         assert r.media_bytes > 0 and re.fullmatch("[0-9a-f]{64}", r.media_sha256)
 
 
+def test_every_form_is_used(documents, spark):
+    texts = [(i, f"{'ab' * (i % 40)} text {i} \u00e9 {'z' * (i % 300)}") for i in range(300)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = tiff.text_media(docs).collect()
+    used = set()
+    for r in rows:
+        (tags,) = tiff.directories(bytes(r.media))
+        used.add((tags[tiff.COMPRESSION][0], tags[tiff.PREDICTOR][0], tags.get(tiff.TILE_WIDTH, [None])[0]))
+        assert tiff.read_page(bytes(r.media), tags).tobytes().rstrip(b" ") == texts[r.doc_id][1].encode().rstrip(b" ")
+    assert used == set(tiff.FORMS)
+    for form in set(tiff.FORMS):
+        assert tiff.read_pages(tiff.text_media(documents, form=form)).where("error is null").count() == 10
+
+
+def test_pack_bits_of_runs():
+    rng = random.Random(3)
+    for _ in range(300):
+        data = b"".join(bytes([rng.randrange(4)]) * rng.choice([1, 1, 1, 2, 3, 127, 128, 129, 300]) for _ in range(rng.randrange(12)))
+        assert tiff.unpack_bits(tiff.pack_bits(data)) == data
+
+
 def test_tiff_pages_and_errors(spark, documents, nothing):
     two = tiff.write_pages([np.zeros((2, 3, 1), np.uint8), np.ones((4, 5, 3), np.uint8)])
     media = spark.createDataFrame([(1, bytearray(two)), (2, None), (3, bytearray(b"II*\0junk"))], "doc_id long, media binary")
@@ -364,6 +385,24 @@ def test_warc_pages(spark):
     assert warc.archive_pages(pages.limit(0)).count() == 0
 
 
+def test_archives_are_filled_and_checked(spark, tmp_path):
+    rng = random.Random(2)
+    pages = spark.createDataFrame([(i, "u", rng.randbytes(700).hex()) for i in range(2500)], "page_id long, url string, html string").coalesce(2)
+    folder = f"file://{tmp_path}/warc"
+    written = warc.write_archives(warc.plan_records(pages), folder, file_bytes=400_000).collect()
+    assert sum(r.records for r in written) == 2500 and len(written) < 12 and sum(r.bytes >= 400_000 for r in written) >= len(written) - 8
+    (tmp_path / "warc" / "part-000099-000000.warc.gz").write_bytes(warc.member(warc.record("response", "urn:page:7", "u", b"of a task that failed")))
+    table = spark.createDataFrame(written)
+    found = warc.read_archives(spark, folder, payloads=False)
+    assert warc.lost_files(table, found).count() == 0
+    first = tmp_path / "warc" / written[0].file
+    data = bytearray(first.read_bytes())
+    data[len(data) // 2] ^= 255
+    first.write_bytes(bytes(data))
+    (lost,) = warc.lost_files(table, found).collect()
+    assert lost.file == written[0].file and lost.read == lost.records - 1 and lost.gaps == 1
+
+
 def test_warc_query(spark, sf_dir):
     import duckdb
 
