@@ -50,17 +50,35 @@ def lifecycle_scan_type(source_group: Column, scan_type: Column) -> Column:
     return F.when(source_group.isin(*EVENT_GROUPS), "progressive").otherwise(scan_type)
 
 
-def access_class(provider: Column, source_group: Column, http_status: Column) -> Column:
-    """What a failed request says: gone, forbidden (for some providers a route problem), another failure."""
-    route = provider_name(provider).isin(*ROUTE_403_PROVIDERS) | F.upper(source_group).isin(*ROUTE_403_GROUPS)
-    return (
-        F.when(http_status.isNull(), "timeout")
-        .when(http_status.isin(404, 410), "gone")
-        .when((http_status == 403) & route, "route_suspected")
-        .when(http_status.isin(401, 403), "forbidden")
-        .when(http_status >= 400, "failed")
-        .otherwise("ok")
+def classify_access(provider: Column, source_group: Column, http_status: Column, error_type: Column, country: Column) -> Column:
+    """struct(blocked, kind, http_status, geo_country) of a failed request; http_status is null if it failed without an answer.
+
+    A 403 that says it is geo-blocked is confirmed; other 403 of some groups and providers, and 450 and 451, suggest a route problem.
+    """
+    text = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    geo = (http_status == 403) & (F.lower(text(error_type)) == "geo-blocked")
+    route = (http_status == 403) & (F.upper(text(source_group)).isin(*ROUTE_403_GROUPS) | F.upper(text(provider)).isin(*ROUTE_403_PROVIDERS)) | http_status.isin(450, 451)
+    kind = F.when(geo, "confirmed_geo").when(route, "vpn_route_suspected").otherwise("")
+    return F.struct((kind != "").alias("blocked"), kind.alias("kind"), F.when(http_status != 0, http_status).alias("http_status"), F.when(geo, F.nullif(text(country), F.lit(""))).alias("geo_country"))
+
+
+def classify_variant_failure(non_hls: Column, http_status: Column, http_reason: Column, timed_out: Column, detail: Column) -> Column:
+    """struct(status, classification, reason, http_status) of a variant that could not be read, the first that holds: no
+    manifest, an HTTP error (http_status not null), a timeout, another failure with its detail."""
+    text = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    http = http_status.isNotNull() & ~yes(non_hls)
+    status = F.when(yes(non_hls), "hls_variant_invalid").when(http & http_status.isin(404, 410), "hls_variant_unavailable").when(http & http_status.isin(401, 403), "hls_variant_access_failed").otherwise("hls_variant_check_failed")
+    said = F.when(http_status == 0, "HTTP request failed").otherwise(F.trim(F.concat_ws(" ", F.lit("HTTP"), http_status.cast("string"), text(http_reason))))
+    tail = F.when(status == "hls_variant_unavailable", "selected HLS variant/path unavailable").when(status == "hls_variant_access_failed", "selected HLS variant access failed").otherwise("selected HLS variant check failed")
+    reason = (
+        F.when(yes(non_hls), "selected HLS variant returned a non-HLS response")
+        .when(http, F.concat(said, F.lit(" — "), tail))
+        .when(yes(timed_out), "connection timed out while checking selected HLS variant")
+        .when(text(detail) != "", F.concat(text(detail), F.lit(" — "), tail))
+        .otherwise(tail)
     )
+    return F.struct(status.alias("status"), F.upper(F.replace(status, F.lit("_"), F.lit(" "))).alias("classification"), reason.alias("reason"), F.when(http & (http_status != 0), http_status).alias("http_status"))
 
 
 def probe_status(expired: Column, unsupported: Column, key_missing: Column, check_failed: Column, variant_failure: Column, is_playlist: Column) -> Column:

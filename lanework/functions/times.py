@@ -19,21 +19,52 @@ def frame_rate(text: Column) -> Column:
     return F.coalesce(F.when(bottom == "", top).otherwise(F.try_divide(top, bottom.try_cast("double"))), F.lit(0.0))
 
 
-def source_timestamp(text: Column) -> Column:
-    """Epoch seconds of a stamp in one of the usual forms; IST is five and a half hours ahead, no zone means UTC."""
-    plain = F.trim(F.regexp_replace(text, r"(?i)\s*(IST|UTC|GMT)\s*$", ""))
-    forms = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "dd-MM-yyyy HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "yyyy-MM-dd HH:mm", "EEE, dd MMM yyyy HH:mm:ss")
-    stamp = F.coalesce(*(F.try_to_timestamp(plain, F.lit(f)) for f in forms if not f.startswith("EEE")), F.try_to_timestamp(F.regexp_replace(plain, r"^[A-Za-z]{3}, ", ""), F.lit("dd MMM yyyy HH:mm:ss")))
-    return F.unix_timestamp(stamp) - F.when(text.rlike(r"(?i)\bIST\s*$"), 19800).otherwise(0)
+#: The forms of a stamp, without fraction and zone.
+FORMS = (
+    "yyyy-MM-dd HH:mm:ss",
+    "yyyy-MM-dd'T'HH:mm:ss",
+    "yyyy-MM-dd HH:mm",
+    "yyyy-MM-dd'T'HH:mm",
+    "yyyy-MM-dd",
+    "dd-MM-yyyy HH:mm:ss",
+    "dd-MM-yyyy HH:mm",
+    "dd/MM/yyyy HH:mm:ss",
+    "dd/MM/yyyy HH:mm",
+    "dd MMM yyyy HH:mm:ss",
+)
+IST_S = 19800
+
 
+def source_timestamp(text: Column) -> Column:
+    """Epoch seconds (double) of a stamp in one of the forms; null for anything else.
 
-#: A stamp in a catalog's head.
-STAMP = r"(?i)(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2})?(?:\s+(?:UTC|GMT|IST))?|\d{2}[-/]\d{2}[-/]\d{4}\s+\d{2}:\d{2}(?::\d{2})?)"
+    A zone is a word (IST, UTC, GMT), Z, or an offset after the time; without one the stamp is in the session's zone. A
+    leading day's name and a fraction of the second may stand there.
+    """
+    text = F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"^[A-Za-z]{3}, ", "")
+    word = F.upper(F.regexp_extract(text, r"(?i)(?:\s(IST|UTC|GMT)|(?<=\d)Z)$", 1))
+    body = F.regexp_replace(text, r"(?i)(?:\s+(?:IST|UTC|GMT)|(?<=\d)Z)$", "")
+    offset = r"(?<=:\d\d|\.\d{1,9})([+-])(\d\d):?(\d\d)$"
+    hours, minutes = (F.regexp_extract(body, offset, i).try_cast("int") for i in (2, 3))
+    ahead = F.coalesce(F.when(F.regexp_extract(body, offset, 1) == "-", -1).otherwise(1) * (hours * 3600 + minutes * 60), F.lit(0))
+    body = F.regexp_replace(body, offset, "")
+    fraction = F.coalesce(F.concat(F.lit("0."), F.nullif(F.regexp_extract(body, r":\d\d\.(\d+)$", 1), F.lit(""))).try_cast("double"), F.lit(0.0))
+    body = F.regexp_replace(body, r"(?<=:\d\d)\.\d+$", "")
+    stamp = F.coalesce(*(F.try_to_timestamp(body, F.lit(f)) for f in FORMS))
+    return F.unix_timestamp(stamp) - F.when(word == "IST", IST_S).otherwise(ahead) + fraction
 
 
 def generated_timestamp(text: Column) -> Column:
-    """Epoch seconds of the first stamp in the first 80 lines that say when the text was generated or updated; else null."""
+    """Epoch seconds of the first stamp with a time in the first 80 lines that say when the text was generated or updated; else null.
+
+    A line's stamp begins at its first date and is the longest run of up to three words from there that is a stamp.
+    """
     lines = F.slice(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n"), 1, 80)
     said = F.filter(lines, lambda x: x.rlike(r"(?i)\b(?:generated|updated)\b"))
-    stamps = F.transform(said, lambda x: source_timestamp(F.regexp_extract(x, STAMP, 1)))
-    return F.try_element_at(F.filter(stamps, lambda x: x.isNotNull()), F.lit(1))
+
+    def stamp(line: Column) -> Column:
+        words = F.split(F.regexp_extract(line, r"(\d{2,4}[-/]\d\d[-/]\d{2,4}.*)$", 1), r"\s+")
+        runs = [F.regexp_replace(F.array_join(F.slice(words, 1, n), " "), r"[,.;)\]]+$", "") for n in (3, 2, 1)]
+        return F.coalesce(*(F.when(run.contains(":"), source_timestamp(run)) for run in runs))
+
+    return F.try_element_at(F.filter(F.transform(said, stamp), lambda x: x.isNotNull()), F.lit(1))

@@ -47,3 +47,22 @@ def auth_expiry(*texts: Column) -> Column:
     """The earliest of all expiry stamps in the texts, null if there is none."""
     found = F.flatten(F.array(*(F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(r"(?i)(?:^|[?&~=;])(?:exp|expires)=(\d+)"), F.lit(1)) for t in texts)))
     return F.array_min(F.transform(found, lambda x: x.try_cast("bigint")))
+
+
+def manifest_type(text: Column) -> Column:
+    """HLS, DASH or '' by what a manifest says."""
+    body = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+", "")
+    return F.when(body.startswith("#EXTM3U"), "HLS").when(body.rlike(r"(?i)<(?:[a-z_][\w.-]*:)?MPD\b"), "DASH").otherwise("")
+
+
+def join(base: Column, uri: Column) -> Column:
+    """The address that a reference in the document at ``base`` means (RFC 3986, section 5.2); the reference itself where base has no scheme."""
+    base, uri = F.coalesce(base, F.lit("")), F.trim(F.coalesce(uri, F.lit("")))
+    scheme, host = part(base, 1), part(base, 2)
+    path = F.when(part(uri, 3).startswith("/"), part(uri, 3)).when(part(uri, 3) == "", part(base, 3)).otherwise(F.concat(F.regexp_extract(part(base, 3), r"^(.*/)", 1), part(uri, 3)))
+    pieces = F.split(path, "/")
+    kept = F.aggregate(F.filter(pieces, lambda x: x != "."), F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(F.concat(acc, F.array(x))))
+    clean = F.concat(F.array_join(kept, "/"), F.when(F.element_at(pieces, -1).isin(".", ".."), "/").otherwise(""))
+    rest = F.concat(F.when(part(uri, 4) != "", F.concat(F.lit("?"), part(uri, 4))).when((part(uri, 3) == "") & (part(base, 4) != ""), F.concat(F.lit("?"), part(base, 4))).otherwise(""), F.when(part(uri, 5) != "", F.concat(F.lit("#"), part(uri, 5))).otherwise(""))
+    whole = F.concat(scheme, F.lit("://"), F.when(part(uri, 2) != "", part(uri, 2)).otherwise(host), F.when(part(uri, 2) != "", part(uri, 3)).when(clean.startswith("/") | ((clean == "") & (part(uri, 3) == "")), clean).otherwise(F.concat(F.lit("/"), clean)), rest)
+    return F.when((part(uri, 1) != "") | (scheme == ""), uri).otherwise(whole)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanework.functions import policy
+from lanework.functions import policy, states
 from lanework.operators import identity
 
 
@@ -56,4 +56,4 @@ def metadata_groups(entries: DataFrame) -> DataFrame:
 def ownership_summary(accepted: DataFrame) -> DataFrame:
     """Per session: feeds owned now (their latest accepted state is none of the final ones) and all feeds."""
     last = accepted.groupBy("session_id", "identity_key").agg(F.max_by("new_state", "seq").alias("state"))
-    return last.groupBy("session_id").agg(F.count_if(~F.col("state").isin("ENDED", "CRASHED")).alias("active"), F.count("*").alias("feeds"))
+    return last.groupBy("session_id").agg(F.count_if(~F.col("state").isin(*states.FINAL)).alias("active"), F.count("*").alias("feeds"))

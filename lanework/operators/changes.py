@@ -6,7 +6,7 @@ window over narrow rows instead of a join of two snapshots.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanework.operators import identity
@@ -19,26 +19,76 @@ def numbered(rows: DataFrame, scan: str = "scan_id") -> DataFrame:
     return rows.join(order, scan)
 
 
+def _told(rows: DataFrame, keys: list[str], *cases: tuple[Column, Column, str]) -> DataFrame:
+    """(keys, n, marker) of the cases (condition, scan, marker) that hold, in one pass."""
+    said = F.array_compact(F.array(*(F.when(cond, F.struct(n.cast("int").alias("n"), F.lit(marker).alias("marker"))) for cond, n, marker in cases)))
+    return rows.withColumn("_said", said).select(*keys, F.inline("_said"))
+
+
+def _came_and_went(own) -> tuple[Column, Column]:
+    """Whether a key was not there at the scan before, and will not be at the next, where there is one."""
+    before, after, n = F.lag("n").over(own), F.lead("n").over(own), F.col("n")
+    return (n > 1) & (before.isNull() | (before < n - 1)), (n < F.col("last")) & (after.isNull() | (after > n + 1))
+
+
 def appearances(rows: DataFrame, keys: list[str], came: str, went: str) -> DataFrame:
     """(keys, n, marker): a key that the scan before did not have, and, at the next scan, one that it no longer has."""
     seen = numbered(rows.select("scan_id", *keys).distinct())
-    own = Window.partitionBy(*keys).orderBy("n")
-    seen = seen.withColumns({"before": F.lag("n").over(own), "after": F.lead("n").over(own)})
-    new = seen.where("n > 1 and (before is null or before < n - 1)").select(*keys, "n", F.lit(came).alias("marker"))
-    gone = seen.where("n < last and (after is null or after > n + 1)").select(*keys, (F.col("n") + 1).alias("n"), F.lit(went).alias("marker"))
-    return new.unionByName(gone)
+    new, gone = _came_and_went(Window.partitionBy(*keys).orderBy("n"))
+    return _told(seen, keys, (new, F.col("n"), came), (gone, F.col("n") + 1, went))
 
 
 def diff_identities(entries: DataFrame) -> DataFrame:
     return appearances(entries, ["identity_key"], "NEW", "REMOVED")
 
 
+def _by_feed(rows: DataFrame) -> DataFrame:
+    """Dealt by feed once: windows over a feed, and over any finer key of it, then need no further exchange."""
+    return numbered(rows.distinct()).repartition("identity_key")
+
+
+def _fed(step: int) -> Column:
+    """Whether the feed has any row in the scan before (-1) or after (1)."""
+    return F.count("*").over(Window.partitionBy("identity_key").orderBy("n").rangeBetween(step, step)) > 0
+
+
+def diff_blocks(entries: DataFrame, policy: str = "policy") -> DataFrame:
+    """(policy, identity_key, n, marker): feeds that appeared or went. A feed that only moves between policies is neither."""
+    seen = _by_feed(entries.select("scan_id", policy, "identity_key"))
+    new, gone = _came_and_went(Window.partitionBy("identity_key", policy).orderBy("n"))
+    return _told(seen, [policy, "identity_key"], (new & ~_fed(-1), F.col("n"), "NEW"), (gone & ~_fed(1), F.col("n") + 1, "REMOVED"))
+
+
 def diff_sources(entries: DataFrame) -> DataFrame:
     """Catalogs that joined or left a feed that both scans have."""
-    moved = appearances(entries, ["identity_key", "playlist_url"], "SOURCE+", "SOURCE-")
-    feeds = numbered(entries.select("scan_id", "identity_key").distinct()).select("identity_key", "n")
-    both = feeds.join(feeds.select("identity_key", (F.col("n") + 1).alias("n")), ["identity_key", "n"])
-    return moved.join(both, ["identity_key", "n"], "left_semi")
+    seen = _by_feed(entries.select("scan_id", "identity_key", "playlist_url"))
+    new, gone = _came_and_went(Window.partitionBy("identity_key", "playlist_url").orderBy("n"))
+    return _told(seen, ["identity_key", "playlist_url"], (new & _fed(-1), F.col("n"), "SOURCE+"), (gone & _fed(1), F.col("n") + 1, "SOURCE-"))
+
+
+def diff_updates(entries: DataFrame) -> DataFrame:
+    """(identity_key, playlist_url, n, details): what changed in a feed's catalog since the scan before, if both have it.
+
+    Titles, groups, names and states of its rows are compared as sorted sets. A feed whose overall state changed has a row
+    without a catalog, unless a catalog's states changed at that scan, which says it already.
+    """
+    parts = {"Event": "entry_title", "Group": "group_title", "TVG": "tvg_name", "Candidate states": "state"}
+    rows = entries.withColumn("state", identity.state_of(entries))
+    text = lambda c: F.coalesce(F.nullif(F.array_join(F.array_sort(F.collect_set(F.nullif(F.col(c), F.lit("")))), " / "), F.lit("")), F.lit("-"))
+    works = (F.max(F.when(F.col("state") == "WORKING", 1).otherwise(0)) == 1).alias("works")
+    seen = numbered(rows.groupBy("scan_id", "identity_key", "playlist_url").agg(*(text(c).alias(c) for c in parts.values()), works)).repartition("identity_key")
+    own = Window.partitionBy("identity_key", "playlist_url").orderBy("n")
+    follows = F.lag("n").over(own) == F.col("n") - 1
+    was = {c: F.lag(c).over(own) for c in parts.values()}
+    changed = [F.when(follows & (was[c] != F.col(c)), F.concat(F.lit(f"{label} "), was[c], F.lit(" -> "), F.col(c))) for label, c in parts.items()]
+    seen = seen.withColumns({"details": F.concat_ws("; ", *changed), "state_changed": F.coalesce(follows & (was["state"] != F.col("state")), F.lit(False))})
+    updates = seen.where("details <> ''").select("identity_key", "playlist_url", "n", "details")
+    feeds = seen.groupBy("identity_key", "n").agg(F.bool_or("works").alias("works"), F.bool_or("state_changed").alias("told"))
+    feed = Window.partitionBy("identity_key").orderBy("n")
+    turned = (F.lag("n").over(feed) == F.col("n") - 1) & (F.lag("works").over(feed) != F.col("works")) & ~F.col("told")
+    said = F.concat(F.lit("Identity state "), F.when(F.col("works"), "UNUSABLE -> AVAILABLE").otherwise("AVAILABLE -> UNUSABLE"))
+    states = feeds.select("identity_key", F.lit(None).cast("string").alias("playlist_url"), "n", F.when(turned, said).alias("details")).where("details is not null")
+    return updates.unionByName(states)
 
 
 def best_per_scan(entries: DataFrame) -> DataFrame:

@@ -10,19 +10,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanework.functions import quality, times
+from lanework.functions import quality, times, urls
 from lanework.plans.ship import ship
 
 
 def hls_variants(manifests: DataFrame) -> DataFrame:
-    """(manifest_url, variant, width, height, fps, bitrate, codecs, uri): one row per #EXT-X-STREAM-INF with the address after it."""
+    """(manifest_url, variant, width, height, fps, bitrate, codecs, uri, url, expiry): one row per #EXT-X-STREAM-INF with the address after it.
+
+    url is the whole address that uri means in its manifest, expiry what url says of its end.
+    """
     parts = F.slice(F.split(F.concat(F.lit("\n"), F.regexp_replace("text", r"\r\n?", "\n")), r"\n\s*#EXT-X-STREAM-INF:"), 2, 1 << 30)
     rows = manifests.select("manifest_url", F.posexplode(parts).alias("at", "part"))
     line = F.split_part("part", F.lit("\n"), F.lit(1))
     number = lambda p: F.coalesce(F.regexp_extract(line, p, 1).try_cast("bigint"), F.lit(0))
     average, peak = number(r"AVERAGE-BANDWIDTH=(\d+)"), number(r"(?:^|,)\s*BANDWIDTH=(\d+)")
     uris = F.filter(F.slice(F.transform(F.split("part", "\n"), lambda x: F.trim(x)), 2, 1 << 30), lambda x: (x != "") & ~x.startswith("#"))
-    return rows.select(
+    found = rows.select(
         "manifest_url",
         (F.col("at") + 1).alias("variant"),
         number(r"RESOLUTION=(\d+)x").cast("int").alias("width"),
@@ -32,6 +35,7 @@ def hls_variants(manifests: DataFrame) -> DataFrame:
         F.regexp_extract(line, r'CODECS="([^"]*)"', 1).alias("codecs"),
         F.coalesce(F.try_element_at(uris, F.lit(1)), F.lit("")).alias("uri"),
     )
+    return found.withColumn("url", urls.join(F.col("manifest_url"), F.col("uri"))).withColumn("expiry", urls.auth_expiry(F.col("url")))
 
 
 def best_variant(variants: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
 """The ownership machine over an event log, without a capacity limit, as windows.
 
-Per session and feed: the first claim wins; a first accepted final state ends everything after it; in between a transition
-is accepted if it changes the state and does not go back to LAUNCHING, and needs a worker for RECORDING and WAITING.
+Per session and feed: the first claim wins; a bind names a worker while the feed is launching; a transition holds if
+``states.ALLOWED`` has it and, for RECORDING and WAITING_FOR_SOURCE, a worker is named. Two properties of that table make
+windows enough: a state that is not final may go to every other but LAUNCHING, and final states to none. So a feed stands
+where its last event leads that could ever hold, and refused events leave it there.
 """
 
 from __future__ import annotations
@@ -9,41 +11,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-FINAL = ("ENDED", "CRASHED")
+from lanework.functions import states
+
+FINAL = states.FINAL
+assert all(set(to) == set(states.ALLOWED) - {"LAUNCHING", s} for s, to in states.ALLOWED.items() if s in states.OWNED)
 
 
 def decide(events: DataFrame) -> DataFrame:
     """events with accepted and reason. Without a column worker_pid no worker is asked for."""
     own = Window.partitionBy("session_id", "identity_key").orderBy("seq")
-    upto = own.rowsBetween(Window.unboundedPreceding, 0)
-    before = own.rowsBetween(Window.unboundedPreceding, -1)
-    rows = events.withColumn("claims", F.count_if(F.col("op") == "claim").over(upto))
-    # Transitions after the claim, compared with the one before them; a repeated claim is no event of the machine.
-    live = (F.col("claims") >= 1) & ((F.col("op") != "claim") | (F.col("claims") == 1))
-    rows = rows.withColumns({"live": live, "first_claim": live & (F.col("op") == "claim")})
-    # A worker is kept from one transition to the next; the refused ones leave the state as it is.
-    moves = F.col("live") & (F.col("op") != "claim")
-    named = (F.max(F.when(moves & (F.col("new_state") != "LAUNCHING") & (F.col("worker_pid") > 0), 1)).over(upto) == 1) if "worker_pid" in events.columns else F.lit(True)
-    rows = rows.withColumns({"back": moves & (F.col("new_state") == "LAUNCHING"), "idle": moves & F.col("new_state").isin("RECORDING", "WAITING") & ~F.coalesce(named, F.lit(False))})
-    final = F.coalesce(F.max(F.when(F.col("live") & F.col("new_state").isin(*FINAL), 1)).over(before), F.lit(0)) == 1
-    was = F.last(F.when(F.col("live") & ~F.col("back") & ~F.col("idle"), F.col("new_state")), ignorenulls=True).over(before)
-    rows = rows.withColumns({"over": final, "was": was})
+    upto, before = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(Window.unboundedPreceding, -1)
+    asked = "worker_pid" in events.columns
+    op, new, worker = F.col("op"), F.col("new_state"), F.col("worker_pid") if asked else F.lit(1)
+    rows = events.withColumn("claims", F.count_if(op == "claim").over(upto))
+    known, bad = F.coalesce(new.isin(*states.ALLOWED), F.lit(False)), F.coalesce(worker <= 0, F.lit(False))
+    move, bind = op == "transition", op == "bind"
+    # Events that hold in some state: binds that name a worker, and moves to a state that some state may go to.
+    able = (F.col("claims") >= 1) & ~bad & ((bind & worker.isNotNull()) | (move & known & (new != "LAUNCHING")))
+    rows = rows.withColumn("able", F.coalesce(able, F.lit(False)))
+    named = F.max(F.when(F.col("able") & (bind | new.isin(*states.NEEDS_WORKER)) & (worker > 0), 1)).over(upto) == 1
+    rows = rows.withColumn("idle", F.col("able") & move & new.isin(*states.NEEDS_WORKER) & ~F.coalesce(named, F.lit(False)))
+    holds = F.col("able") & move & ~F.col("idle")
+    over = F.coalesce(F.max(F.when(holds & new.isin(*FINAL), 1)).over(before), F.lit(0)) == 1
+    rows = rows.withColumns({"over": over, "now": F.coalesce(F.last(F.when(holds, new), ignorenulls=True).over(before), F.lit("LAUNCHING"))})
     reason = (
-        F.when(F.col("claims") == 0, "not claimed")
-        .when(~F.col("live"), "claimed already")
+        F.when(op == "claim", F.when(F.col("claims") == 1, "").otherwise("claimed already"))
+        .when(bind & (bad | worker.isNull()), "bad worker")
+        .when(move & ~known, "no such state")
+        .when(bad, "bad worker")
+        .when(F.col("claims") == 0, "not claimed")
+        .when(bind, F.when(F.col("over") | (F.col("now") != "LAUNCHING"), "not launching").otherwise(""))
         .when(F.col("over"), "final")
-        .when(F.col("first_claim"), "")
-        .when((F.col("new_state") == F.col("was")) | F.col("back"), "same state")
+        .when((new == F.col("now")) | (new == "LAUNCHING"), "not allowed")
         .when(F.col("idle"), "no worker")
         .otherwise("")
     )
-    return rows.withColumn("reason", reason).select("session_id", "identity_key", "seq", "new_state", (F.col("reason") == "").alias("accepted"), "reason")
+    stands = F.when(op == "claim", "LAUNCHING").when(bind, F.col("now")).otherwise(new)
+    return rows.withColumn("reason", reason).select("session_id", "identity_key", "seq", stands.alias("new_state"), (F.col("reason") == "").alias("accepted"), "reason")
 
 
 def registry_changes(decided: DataFrame) -> DataFrame:
-    """Accepted steps from state to state; '-' stands for no entry."""
+    """Accepted steps from state to state; '-' stands for no entry. A bind is no step."""
     own = Window.partitionBy("session_id", "identity_key").orderBy("seq")
-    return decided.where("accepted").withColumn("was", F.coalesce(F.lag("new_state").over(own), F.lit("-"))).select("session_id", "identity_key", "seq", "was", F.col("new_state").alias("is"))
+    steps = decided.where("accepted").withColumn("was", F.coalesce(F.lag("new_state").over(own), F.lit("-")))
+    return steps.where("was <> new_state").select("session_id", "identity_key", "seq", "was", F.col("new_state").alias("is"))
 
 
 def latest_status(events: DataFrame) -> DataFrame:
@@ -53,7 +64,7 @@ def latest_status(events: DataFrame) -> DataFrame:
 
 def scan_windows(events: DataFrame, width: str = "300 seconds") -> DataFrame:
     """Events, feeds and states per scan cycle and session."""
-    return events.groupBy(F.window("ts", width).alias("w"), "session_id").agg(F.count("*").alias("n"), F.approx_count_distinct("identity_key", 0.01).alias("feeds"), F.count_if(F.col("new_state") == "RECORDING").alias("recording")).select(F.col("w.start").alias("cycle"), "session_id", "n", "recording")
+    return events.groupBy(F.window("ts", width).alias("w"), "session_id").agg(F.count("*").alias("n"), F.count_distinct("identity_key").alias("feeds"), F.count_if(F.col("new_state") == "RECORDING").alias("recording")).select(F.col("w.start").alias("cycle"), "session_id", "n", "feeds", "recording")
 
 
 def session_rollover(events: DataFrame) -> DataFrame:

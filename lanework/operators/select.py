@@ -1,6 +1,7 @@
 """The best source of each feed, why others lost, and better ones than the running source.
 
-Everything is a conditional aggregate: max_by over null-free structs combines on the map side, so no group is sorted.
+The best row is the least of a struct: negated ranks, then catalog and position, then what is to be known of it. So one
+aggregate, combined on the map side, finds it.
 """
 
 from __future__ import annotations
@@ -8,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanework.functions import policy
+from lanework.functions import policy, quality
 from lanework.operators import identity
 
 
@@ -22,8 +23,19 @@ def _safe(now: Column, column: str = "expiry") -> Column:
     return F.col(column).isNull() | (F.col(column) - now >= policy.MIN_REMAINING_S)
 
 
-def _tie(*columns: str) -> Column:
-    return F.struct(*(F.col(c) for c in columns))
+def _down(rank: Column, fields: tuple[str, ...]) -> list[Column]:
+    return [(-rank[f]).alias(f"less_{f}") for f in fields]
+
+
+def _best(entries: DataFrame, now: int, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, best, considered, n_eligible, n_safe): best is a struct of the selected row's place, address, quality, expiry and preference; null if no row is eligible."""
+    rows = entries.where("launchable")
+    eligible = F.col("expiry").isNotNull() | policy.allows_unknown(F.col("provider"))
+    rows = rows.withColumns({"_eligible": eligible, "_safe": eligible & _safe(F.lit(now)), "_rank": selection_rank(rows)})
+    rank, kept = F.col("_rank"), ("playlist_url", "entry_index", "stream_url", "expiry", "preferred")
+    order = [(-F.col("_safe").cast("int")).alias("less_safe"), *_down(rank, ("preferred",)), *_down(rank["quality"], quality.RANK_FIELDS), *_down(rank, ("unknown_first", "expiry"))]
+    row = F.struct(*order, *(F.col(c).alias(c) for c in kept), rank["quality"].alias("quality"))
+    return rows.groupBy(*keys).agg(F.min(F.when(F.col("_eligible"), row)).alias("best"), F.count("*").alias("considered"), F.count_if("_eligible").alias("n_eligible"), F.count_if("_safe").alias("n_safe"))
 
 
 def select_best(entries: DataFrame, now: int, keys: tuple[str, ...] = ("identity_key",)) -> DataFrame:
@@ -32,22 +44,7 @@ def select_best(entries: DataFrame, now: int, keys: tuple[str, ...] = ("identity
     Input rows that cannot be launched are left out. Unknown expiry needs the provider's leave; among eligible rows those
     that live long enough come first, the others only if there is none.
     """
-    rows = entries.where("launchable")
-    eligible = F.col("expiry").isNotNull() | policy.allows_unknown(F.col("provider"))
-    safe = eligible & _safe(F.lit(now))
-    # Smaller catalog and position win a tie: hence the negative position and the inverted order of catalogs by min_by.
-    rows = rows.withColumns({"_eligible": eligible, "_safe": safe, "_rank": selection_rank(rows)})
-    best = rows.groupBy(*keys).agg(
-        F.max(F.when(F.col("_eligible"), F.struct(F.col("_safe").cast("int").alias("safe"), F.col("_rank").alias("rank")))).alias("_top"),
-        F.count("*").alias("considered"),
-        F.count_if("_eligible").alias("n_eligible"),
-        F.count_if("_safe").alias("n_safe"),
-    )
-    # Rows that reach the top rank: the first of them by catalog and position.
-    mine = F.struct(F.col("_safe").cast("int").alias("safe"), F.col("_rank").alias("rank"))
-    tops = rows.where("_eligible").select(*keys, mine.alias("_mine"), "playlist_url", "entry_index", "stream_url")
-    first = tops.join(best.select(*keys, "_top"), list(keys)).where(F.col("_mine") == F.col("_top")).groupBy(*keys).agg(F.min(_tie("playlist_url", "entry_index", "stream_url")).alias("best"))
-    return best.join(first, list(keys), "left").select(
+    return _best(entries, now, keys).select(
         *keys,
         F.col("best.playlist_url").alias("playlist_url"),
         F.col("best.entry_index").alias("entry_index"),
@@ -61,10 +58,9 @@ def select_best(entries: DataFrame, now: int, keys: tuple[str, ...] = ("identity
 
 def explain_losers(entries: DataFrame, now: int) -> DataFrame:
     """Why each row that could be launched was not the selected one of its feed."""
-    rows = entries.where("launchable").withColumn("quality", identity.rank_of(entries))
-    chosen = select_best(entries, now).where("decision = 'selected'").select("identity_key", F.col("playlist_url").alias("w_url"), F.col("entry_index").alias("w_index"))
-    winner = rows.join(chosen, (rows["playlist_url"] == F.col("w_url")) & (rows["entry_index"] == F.col("w_index")) & (rows["identity_key"] == chosen["identity_key"])).select(
-        rows["identity_key"], "w_url", "w_index", F.col("quality").alias("w_quality"), F.col("expiry").alias("w_expiry"), F.col("preferred").alias("w_preferred")
+    rows = entries.where("launchable").select("identity_key", "playlist_url", "entry_index", "provider", "expiry", "preferred", identity.rank_of(entries).alias("quality"))
+    winner = _best(entries, now, ("identity_key",)).where("best is not null").select(
+        "identity_key", F.col("best.playlist_url").alias("w_url"), F.col("best.entry_index").alias("w_index"), F.col("best.quality").alias("w_quality"), F.col("best.expiry").alias("w_expiry"), F.col("best.preferred").alias("w_preferred")
     )
     both = rows.join(winner, "identity_key").where((F.col("playlist_url") != F.col("w_url")) | (F.col("entry_index") != F.col("w_index")))
     but_bitrate = lambda c: F.struct(*(F.col(f"{c}.{x}") for x in ("known", "motion_class", "resolution_class", "motion", "scan_rank", "area", "height", "width")))

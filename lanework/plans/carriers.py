@@ -10,20 +10,21 @@ NOW = 896659200
 PROVIDERS = ("HOTSTAR", "SONY", "FANCODE", "JIO", "KHEL", "OTHER")
 HEIGHTS = (0, 480, 720, 1080, 1440, 2160)
 RATES = (0.0, 25.0, 29.97, 50.0, 60.0)
-_ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
+#: A row's place in its catalog: from its own keys, so that no catalog is sorted. Lines of one order and number are told apart by price.
+_PLACE = "(l_orderkey * 8 + l_linenumber) * 1000000 + CAST(floor(l_extendedprice) AS BIGINT)"
 
 
 def _case(expr: str, values: tuple) -> str:
     return f"CASE {expr} " + " ".join(f"WHEN {i} THEN {v!r}" for i, v in enumerate(values)) + " END"
 
 
-def _columns(epoch: str, text: str, entry_index: str) -> str:
+def _columns(epoch: str, text: str) -> str:
     """The carrier's select list; epoch and text give each engine's own spelling."""
     n = lambda x: f"CAST({x} AS {text})"
     return f"""
         year(l_shipdate) * 12 + month(l_shipdate) AS scan_id,
         'https://src' || {n('l_suppkey % 20')} || '.test/list.m3u' AS playlist_url,
-        {entry_index} AS entry_index,
+        {_PLACE} AS entry_index,
         {_case('l_suppkey % 6', PROVIDERS)} AS provider,
         'G' || {n('l_suppkey % 4')} AS group_title,
         CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE 'CH-' || {n('l_partkey % 50')} END AS tvg_name,
@@ -45,8 +46,7 @@ def _columns(epoch: str, text: str, entry_index: str) -> str:
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalog entries with quality, from lineitem."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    place = f"row_number() OVER (PARTITION BY l_suppkey % 20 ORDER BY {_ORDER})"
-    return items.selectExpr(*_split(_columns("unix_timestamp(l_shipdate)", "STRING", place)))
+    return items.selectExpr(*_split(_columns("unix_timestamp(l_shipdate)", "STRING")))
 
 
 def _split(text: str) -> list[str]:
@@ -60,8 +60,7 @@ def _split(text: str) -> list[str]:
     return [*out, text[start:].strip()]
 
 
-_PLACE = f"row_number() OVER (PARTITION BY l_suppkey % 20 ORDER BY {_ORDER})"
-ENTRIES_SQL = f"SELECT {_columns('CAST(epoch(l_shipdate) AS BIGINT)', 'VARCHAR', _PLACE)} FROM lineitem"
+ENTRIES_SQL = f"SELECT {_columns('CAST(epoch(l_shipdate) AS BIGINT)', 'VARCHAR')} FROM lineitem"
 #: Provider names and the path that names the feed, as DuckDB says them.
 KEYED_SQL = f"""
     SELECT *, CASE WHEN provider = 'SONY' THEN 'SONYLIV' ELSE provider END || '|' || regexp_extract(replace(split_part(stream_url, '|', 1), 'test//', 'test/'), '^https://[^/]*(/[^?]*)/[^/?]*', 1) AS identity_key
@@ -69,26 +68,24 @@ KEYED_SQL = f"""
 """
 
 
+def _k(number: str) -> str:
+    """(op, new_state, worker_pid) of an event; number: its k, in each engine's own spelling."""
+    return f"""
+        CASE WHEN event_type = 'signup' THEN 'claim' WHEN event_type = 'click' AND event_id % 3 = 0 THEN 'bind' ELSE 'transition' END AS op,
+        CASE event_type WHEN 'signup' THEN 'LAUNCHING' WHEN 'view' THEN 'RECORDING' WHEN 'click' THEN 'WAITING_FOR_SOURCE' WHEN 'purchase' THEN CASE WHEN {number} % 3 = 0 THEN 'MANUALLY_STOPPED' ELSE 'ENDED' END
+             ELSE CASE WHEN {number} % 5 = 0 THEN 'LOST' WHEN {number} % 5 = 1 THEN 'LAUNCHING' ELSE 'CRASHED' END END AS new_state,
+        CASE WHEN {number} % 4 = 0 THEN NULL WHEN {number} % 17 = 0 THEN 0 ELSE {number} END AS worker_pid
+    """
+
+
+def event_columns(rows: DataFrame) -> DataFrame:
+    """Ownership events, from events: claims, binds and transitions of an identity within a session."""
+    plain = ("concat('s', user_id % 4) AS session_id", "concat('feed', user_id) AS identity_key", "event_id AS seq", "ts")
+    return rows.selectExpr(*plain, *_split(_k("CAST(get_json_object(props, '$.k') AS INT)")))
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ownership events, from events: claim, bind and transitions of an identity within a session."""
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
-    kind = F.create_map(*(F.lit(x) for pair in STATES.items() for x in pair))
-    return rows.select(
-        F.concat(F.lit("s"), (F.col("user_id") % 4).cast("string")).alias("session_id"),
-        F.concat(F.lit("feed"), F.col("user_id").cast("string")).alias("identity_key"),
-        F.col("event_id").alias("seq"),
-        "ts",
-        F.when(F.col("event_type") == "signup", "claim").otherwise("transition").alias("op"),
-        F.try_element_at(kind, F.col("event_type")).alias("new_state"),
-        (F.get_json_object("props", "$.k").cast("int") + 1).alias("worker_pid"),
-    )
-
-
-STATES = {"signup": "LAUNCHING", "view": "RECORDING", "click": "WAITING", "purchase": "ENDED", "error": "CRASHED"}
-EVENTS_SQL = f"""
-    SELECT 's' || (user_id % 4) AS session_id, 'feed' || user_id AS identity_key, event_id AS seq, ts,
-           CASE WHEN event_type = 'signup' THEN 'claim' ELSE 'transition' END AS op,
-           CASE event_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in STATES.items())} END AS new_state,
-           CAST(json_extract_string(props, '$.k') AS INT) + 1 AS worker_pid
-    FROM events
-"""
+    return event_columns(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+EVENTS_SQL = f"SELECT 's' || (user_id % 4) AS session_id, 'feed' || user_id AS identity_key, event_id AS seq, ts, {_k(chr(34) + 'k' + chr(34))} FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanework.functions import quality, urls
+from lanework.functions import quality, states, urls
 from lanework.operators import aggregate, changes, identity, join, match, ownership, parse, select
 from lanework.plans import carriers
 from lanework.plans.carriers import EVENTS_SQL, KEYED_SQL, NOW
@@ -237,6 +237,37 @@ def diff_sources(spark, sf_dir):
     return changes.diff_sources(keyed(spark, sf_dir))
 
 
+@query(
+    "diff_blocks",
+    f"""WITH e AS (SELECT *, CASE preferred WHEN 1 THEN 'MANUAL' ELSE 'ALL_IDENTITIES' END AS policy FROM ({KEYED_SQL})), {_SCANS},
+             p AS (SELECT DISTINCT n, last, policy, identity_key FROM e JOIN s USING (scan_id)), f AS (SELECT DISTINCT n, identity_key FROM p)
+        SELECT policy, identity_key, n, 'NEW' AS marker FROM p WHERE n > 1 AND NOT EXISTS (FROM f WHERE f.identity_key = p.identity_key AND f.n = p.n - 1)
+        UNION ALL SELECT policy, identity_key, n + 1, 'REMOVED' FROM p WHERE n < last AND NOT EXISTS (FROM f WHERE f.identity_key = p.identity_key AND f.n = p.n + 1)""",
+)
+def diff_blocks(spark, sf_dir):
+    return changes.diff_blocks(keyed(spark, sf_dir).withColumn("policy", F.when(F.col("preferred") == 1, "MANUAL").otherwise("ALL_IDENTITIES")))
+
+
+@query(
+    "diff_updates",
+    f"""WITH e AS ({RANKED_SQL}), {_SCANS},
+             o AS (SELECT n, identity_key, playlist_url, string_agg(DISTINCT entry_title, ' / ' ORDER BY entry_title) AS titles, string_agg(DISTINCT group_title, ' / ' ORDER BY group_title) AS groups,
+                          coalesce(string_agg(DISTINCT nullif(tvg_name, ''), ' / ' ORDER BY nullif(tvg_name, '')), '-') AS names, string_agg(DISTINCT state, ' / ' ORDER BY state) AS states, bool_or(state = 'WORKING') AS works
+                   FROM e JOIN s USING (scan_id) GROUP BY ALL),
+             c AS (SELECT a.identity_key, a.playlist_url, a.n, a.states <> b.states AS state_changed,
+                          concat_ws('; ', CASE WHEN a.titles <> b.titles THEN 'Event ' || b.titles || ' -> ' || a.titles END, CASE WHEN a.groups <> b.groups THEN 'Group ' || b.groups || ' -> ' || a.groups END,
+                                    CASE WHEN a.names <> b.names THEN 'TVG ' || b.names || ' -> ' || a.names END, CASE WHEN a.states <> b.states THEN 'Candidate states ' || b.states || ' -> ' || a.states END) AS details
+                   FROM o a JOIN o b ON a.identity_key = b.identity_key AND a.playlist_url = b.playlist_url AND b.n = a.n - 1),
+             i AS (SELECT identity_key, n, bool_or(works) AS works FROM o GROUP BY ALL)
+        SELECT identity_key, playlist_url, n, details FROM c WHERE details <> ''
+        UNION ALL SELECT x.identity_key, NULL, x.n, 'Identity state ' || CASE WHEN x.works THEN 'UNUSABLE -> AVAILABLE' ELSE 'AVAILABLE -> UNUSABLE' END
+        FROM i x JOIN i y ON x.identity_key = y.identity_key AND y.n = x.n - 1
+        WHERE x.works <> y.works AND NOT EXISTS (FROM c WHERE c.identity_key = x.identity_key AND c.n = x.n AND c.state_changed)""",
+)
+def diff_updates(spark, sf_dir):
+    return changes.diff_updates(keyed(spark, sf_dir))
+
+
 _BEST = f"""e AS ({RANKED_SQL}), {_SCANS},
     g AS (SELECT n, identity_key, max(({_ROW}, signature)) AS best FROM e JOIN s USING (scan_id) WHERE launchable GROUP BY ALL),
     q AS (SELECT a.identity_key, a.n, CASE WHEN a.best[1] > b.best[1] THEN 'QUALITY+' WHEN a.best[2] <> b.best[2] THEN 'QUALITY-' END AS marker, b.best[2] AS was, a.best[2] AS "is"
@@ -297,7 +328,7 @@ def fill_quality(spark, sf_dir):
 @query(
     "attach_context",
     f"""WITH e AS ({KEYED_SQL}), m AS (SELECT * FROM e WHERE entry_title LIKE 'Channel 7 A')
-        SELECT identity_key, playlist_url, entry_index FROM e WHERE identity_key IN (SELECT identity_key FROM m) AND (playlist_url, entry_index) NOT IN (SELECT (playlist_url, entry_index) FROM m)""",
+        SELECT identity_key, playlist_url, entry_index FROM e WHERE identity_key IN (SELECT identity_key FROM m) AND NOT EXISTS (FROM m WHERE m.playlist_url = e.playlist_url AND m.entry_index = e.entry_index)""",
 )
 def attach_context(spark, sf_dir):
     rows = keyed(spark, sf_dir)
@@ -361,52 +392,65 @@ def as_of_freshness(spark, sf_dir):
     return join.as_of(left, right, ["user_id"], "ts", "seen").select("event_id", "user_id", "seen")
 
 
+_PAIRS = ", ".join(f"'{a}>{b}'" for a, to in states.ALLOWED.items() for b in to)
+_NAMES = lambda names: ", ".join(f"'{x}'" for x in names)
+#: The machine, event by event: state and worker of every feed are carried from one to the next.
 _DECIDED = f"""
-    v AS ({EVENTS_SQL}),
-    c AS (SELECT *, count(*) FILTER (op = 'claim') OVER (PARTITION BY session_id, identity_key ORDER BY seq) AS claims FROM v),
-    l AS (SELECT *, claims >= 1 AND (op <> 'claim' OR claims = 1) AS live FROM c),
-    y AS (SELECT session_id, identity_key, seq, lag(new_state) OVER (PARTITION BY session_id, identity_key ORDER BY seq) AS was,
-                 count(*) FILTER (new_state IN ('ENDED', 'CRASHED')) OVER (PARTITION BY session_id, identity_key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS finals FROM l WHERE live),
-    d AS (SELECT l.session_id, l.identity_key, l.seq, l.new_state, CASE WHEN claims = 0 THEN 'not claimed' WHEN NOT live THEN 'claimed already' WHEN finals > 0 THEN 'final' WHEN op = 'claim' THEN ''
-                 WHEN new_state = was THEN 'same state' ELSE '' END AS reason FROM l LEFT JOIN y USING (session_id, identity_key, seq))
+    RECURSIVE v AS (SELECT *, row_number() OVER (PARTITION BY session_id, identity_key ORDER BY seq) AS i FROM ({EVENTS_SQL})),
+    m AS (SELECT session_id, identity_key, 0::BIGINT AS i, NULL::VARCHAR AS state, NULL::INT AS pid, NULL::BIGINT AS seq, NULL::VARCHAR AS new_state, NULL::VARCHAR AS reason FROM (SELECT DISTINCT session_id, identity_key FROM v)
+          UNION ALL
+          SELECT session_id, identity_key, i, CASE WHEN reason <> '' THEN state WHEN op = 'claim' THEN 'LAUNCHING' WHEN op = 'bind' THEN state ELSE to_state END,
+                 CASE WHEN reason = '' AND op <> 'claim' THEN coalesce(worker_pid, pid) ELSE pid END, seq, CASE op WHEN 'claim' THEN 'LAUNCHING' WHEN 'bind' THEN state ELSE to_state END, reason
+          FROM (SELECT v.session_id, v.identity_key, v.i, m.state, m.pid, v.seq, v.op, v.new_state AS to_state, v.worker_pid,
+                       CASE v.op WHEN 'claim' THEN CASE WHEN m.state IS NULL THEN '' ELSE 'claimed already' END
+                                 WHEN 'bind' THEN CASE WHEN v.worker_pid IS NULL OR v.worker_pid <= 0 THEN 'bad worker' WHEN m.state IS NULL THEN 'not claimed' WHEN m.state <> 'LAUNCHING' THEN 'not launching' ELSE '' END
+                                 ELSE CASE WHEN v.new_state NOT IN ({_NAMES(states.ALLOWED)}) THEN 'no such state' WHEN v.worker_pid <= 0 THEN 'bad worker' WHEN m.state IS NULL THEN 'not claimed' WHEN m.state IN ({_NAMES(states.FINAL)}) THEN 'final'
+                                           WHEN m.state || '>' || v.new_state NOT IN ({_PAIRS}) THEN 'not allowed' WHEN v.new_state IN ({_NAMES(states.NEEDS_WORKER)}) AND coalesce(v.worker_pid, m.pid) IS NULL THEN 'no worker' ELSE '' END END AS reason
+                FROM m JOIN v ON v.session_id = m.session_id AND v.identity_key = m.identity_key AND v.i = m.i + 1)),
+    d AS (SELECT session_id, identity_key, seq, new_state, reason, state FROM m WHERE i > 0)
 """
 
 
-@query("registry_events", f"WITH {_DECIDED} SELECT *, reason = '' AS accepted FROM d")
+@query("registry_events", f"WITH {_DECIDED} SELECT session_id, identity_key, seq, new_state, reason, reason = '' AS accepted FROM d WHERE reason = ''")
 def registry_events(spark, sf_dir):
-    return ownership.decide(carriers.events(spark, sf_dir))
+    return ownership.decide(carriers.events(spark, sf_dir)).where("accepted")
+
+
+@query("registry_refusals", f"WITH {_DECIDED} SELECT session_id, identity_key, seq, reason FROM d WHERE reason <> ''")
+def registry_refusals(spark, sf_dir):
+    return ownership.decide(carriers.events(spark, sf_dir)).where("not accepted").select("session_id", "identity_key", "seq", "reason")
 
 
-@query("registry_changes", f"""WITH {_DECIDED} SELECT session_id, identity_key, seq, coalesce(lag(new_state) OVER (PARTITION BY session_id, identity_key ORDER BY seq), '-') AS was, new_state AS "is" FROM d WHERE reason = ''""")
+@query("registry_changes", f"""WITH {_DECIDED}, x AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY session_id, identity_key ORDER BY seq), '-') AS was FROM d) SELECT session_id, identity_key, seq, was, state AS "is" FROM x WHERE was IS DISTINCT FROM state AND reason = ''""")
 def registry_changes(spark, sf_dir):
     return ownership.registry_changes(ownership.decide(carriers.events(spark, sf_dir)))
 
 
-@query("ownership_summary", f"WITH {_DECIDED}, z AS (SELECT session_id, identity_key, arg_max(new_state, seq) AS state FROM d WHERE reason = '' GROUP BY ALL) SELECT session_id, count(*) FILTER (state NOT IN ('ENDED', 'CRASHED')) AS active, count(*) AS feeds FROM z GROUP BY 1")
+@query("ownership_summary", f"WITH {_DECIDED}, z AS (SELECT session_id, identity_key, arg_max(new_state, seq) AS state FROM d WHERE reason = '' GROUP BY ALL) SELECT session_id, count(*) FILTER (state NOT IN ('ENDED', 'MANUALLY_STOPPED', 'CRASHED')) AS active, count(*) AS feeds FROM z GROUP BY 1")
 def ownership_summary(spark, sf_dir):
     return aggregate.ownership_summary(ownership.decide(carriers.events(spark, sf_dir)).where("accepted"))
 
 
-@query("latest_status", f"SELECT session_id, identity_key, max(seq) AS seq, arg_max(new_state, seq) AS state, arg_max(worker_pid, seq) AS worker_pid FROM ({EVENTS_SQL}) GROUP BY ALL")
+@query("latest_status", f"SELECT session_id, identity_key, max(seq) AS seq, arg_max(new_state, seq) AS state, arg_max_null(worker_pid, seq) AS worker_pid FROM ({EVENTS_SQL}) GROUP BY ALL")
 def latest_status(spark, sf_dir):
     return ownership.latest_status(carriers.events(spark, sf_dir))
 
 
-@query("scan_windows", f"SELECT time_bucket(INTERVAL '300 seconds', ts) AS cycle, session_id, count(*) AS n, count(*) FILTER (new_state = 'RECORDING') AS recording FROM ({EVENTS_SQL}) GROUP BY ALL")
+@query("scan_windows", f"SELECT time_bucket(INTERVAL '300 seconds', ts) AS cycle, session_id, count(*) AS n, count(DISTINCT identity_key) AS feeds, count(*) FILTER (new_state = 'RECORDING') AS recording FROM ({EVENTS_SQL}) GROUP BY ALL")
 def scan_windows(spark, sf_dir):
     return ownership.scan_windows(carriers.events(spark, sf_dir))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogs of up to 50 pages each, as M3U text."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", F.regexp_extract("html", "<title>([^<\"',]*)", 1).alias("title"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"))
     entry = F.concat(F.lit('#EXTINF:-1 tvg-name="p'), F.col("page_id").cast("string"), F.lit("\" group-title='g"), (F.col("page_id") % 3).cast("string"), F.lit("',"), F.trim("title"), F.lit("\n#EXTVLCOPT:x=1\n"), F.when(F.col("page_id") % 10 == 0, "").otherwise(F.concat("url", F.lit("\n"))))
     lines = pages.select(F.floor(F.col("page_id") / 50).alias("catalog"), F.struct("page_id", entry.alias("entry")).alias("x"))
     text = F.concat(F.lit("#EXTM3U\n"), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["entry"]), ""))
     return lines.groupBy("catalog").agg(text.alias("text")).select(F.concat(F.lit("c"), F.col("catalog").cast("string")).alias("url"), "text")
 
 
-_TITLE = "trim(regexp_extract(html, '<title>([^<\"'',]*)', 1))"
+_TITLE = "trim(regexp_extract(html, '<title>([^<]*)', 1))"
 
 
 @query(

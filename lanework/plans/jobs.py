@@ -29,16 +29,21 @@ _ROWS = f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(floor({_HE
 _ORDER = "l_linenumber, l_partkey, l_suppkey, b"
 
 
+#: How a variant's address begins: beside its manifest, a folder up, or at the host's root.
+_UP = "CASE l_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN '../' ELSE '/r/./' END"
+_URL = "CASE l_partkey % 3 WHEN 0 THEN 'https://m.test/o/' || l_orderkey || '/x/' WHEN 1 THEN 'https://m.test/o/' || l_orderkey || '/' ELSE 'https://m.test/r/' END || 'v' || l_partkey || '.m3u8'"
+
+
 def _manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One master manifest per order, with its few lines as variants."""
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("lanework_lineitem")
     rows = spark.sql(_ROWS.replace("FROM lineitem", "FROM lanework_lineitem"))
-    line = F.concat(F.lit("#EXT-X-STREAM-INF:BANDWIDTH="), F.col("b").cast("string"), F.lit(",RESOLUTION="), F.col("w").cast("string"), F.lit("x"), F.col("h").cast("string"), F.lit(",FRAME-RATE="), F.col("f").cast("string"), F.lit(',CODECS="a,b"\nv'), F.col("l_partkey").cast("string"), F.lit(".m3u8\n"))
+    line = F.concat(F.lit("#EXT-X-STREAM-INF:BANDWIDTH="), F.col("b").cast("string"), F.lit(",RESOLUTION="), F.col("w").cast("string"), F.lit("x"), F.col("h").cast("string"), F.lit(",FRAME-RATE="), F.col("f").cast("string"), F.lit(',CODECS="a,b"\n'), F.expr(_UP), F.lit("v"), F.col("l_partkey").cast("string"), F.lit(".m3u8\n"))
     listed = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "b", line.alias("line"))))
-    return rows.groupBy("l_orderkey").agg(listed.alias("x")).select(F.concat(F.lit("m"), F.col("l_orderkey").cast("string")).alias("manifest_url"), F.concat(F.lit("#EXTM3U\n"), F.array_join(F.transform("x", lambda x: x["line"]), "")).alias("text"))
+    return rows.groupBy("l_orderkey").agg(listed.alias("x")).select(F.concat(F.lit("https://m.test/o/"), F.col("l_orderkey").cast("string"), F.lit("/x/master.m3u8?t=1")).alias("manifest_url"), F.concat(F.lit("#EXTM3U\n"), F.array_join(F.transform("x", lambda x: x["line"]), "")).alias("text"))
 
 
-@query("hls_variants", f"SELECT 'm' || l_orderkey AS manifest_url, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER})::INT AS variant, w AS width, h AS height, f AS fps, b AS bitrate, 'a,b' AS codecs, 'v' || l_partkey || '.m3u8' AS uri FROM ({_ROWS})")
+@query("hls_variants", f"SELECT 'https://m.test/o/' || l_orderkey || '/x/master.m3u8?t=1' AS manifest_url, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER})::INT AS variant, w AS width, h AS height, f AS fps, b AS bitrate, 'a,b' AS codecs, {_UP} || 'v' || l_partkey || '.m3u8' AS uri, {_URL} AS url, NULL::BIGINT AS expiry FROM ({_ROWS})")
 def hls_variants(spark, sf_dir):
     return manifests.hls_variants(_manifests(spark, sf_dir))
 
@@ -48,7 +53,7 @@ def hls_variants(spark, sf_dir):
     f"""WITH v AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER})::INT AS variant FROM ({_ROWS})),
              k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY (f > 0 OR h > 0 OR b > 0) DESC, CASE WHEN f >= 50 THEN 2 WHEN f > 0 THEN 1 ELSE 0 END DESC,
                           CASE WHEN h >= 2160 THEN 2160 WHEN h >= 1440 THEN 1440 WHEN h >= 1080 THEN 1080 WHEN h >= 720 THEN 720 ELSE 0 END DESC, least(f, 50) DESC, w * h DESC, h DESC, w DESC, b DESC, variant) AS place FROM v)
-        SELECT 'm' || l_orderkey AS manifest_url, variant, w AS width, h AS height, f AS fps, b AS bitrate, 'v' || l_partkey || '.m3u8' AS uri FROM k WHERE place = 1""",
+        SELECT 'https://m.test/o/' || l_orderkey || '/x/master.m3u8?t=1' AS manifest_url, variant, w AS width, h AS height, f AS fps, b AS bitrate, {_UP} || 'v' || l_partkey || '.m3u8' AS uri FROM k WHERE place = 1""",
 )
 def best_variant(spark, sf_dir):
     return manifests.best_variant(manifests.hls_variants(_manifests(spark, sf_dir)))
@@ -79,16 +84,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ownership events as a file stream."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     found = spark.readStream.schema(schema).parquet(f"{sf_dir}/[e]vents.parquet")
-    kind = F.create_map(*(F.lit(x) for pair in carriers.STATES.items() for x in pair))
-    return found.select(
-        F.concat(F.lit("s"), (F.col("user_id") % 4).cast("string")).alias("session_id"),
-        F.concat(F.lit("feed"), F.col("user_id").cast("string")).alias("identity_key"),
-        F.col("event_id").alias("seq"),
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.when(F.col("event_type") == "signup", "claim").otherwise("transition").alias("op"),
-        F.try_element_at(kind, F.col("event_type")).alias("new_state"),
-        (F.get_json_object("props", "$.k").cast("int") + 1).alias("worker_pid"),
-    )
+    return carriers.event_columns(found).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query("stream_scan_windows", f"SELECT time_bucket(INTERVAL '300 seconds', ts) AS cycle, session_id, count(*) AS n, count(*) FILTER (new_state = 'RECORDING') AS recording FROM ({EVENTS_SQL}) GROUP BY ALL")
@@ -96,7 +92,7 @@ def stream_scan_windows(spark, sf_dir):
     return jobs.drain(jobs.scan_windows(event_stream(spark, sf_dir)), "update", "windows", ("cycle", "session_id")).withColumn("cycle", F.col("cycle").cast("timestamp_ntz"))
 
 
-@query("stream_latest_status", f"SELECT session_id, identity_key, max(seq) AS seq, arg_max(new_state, seq) AS state, arg_max(worker_pid, seq) AS worker_pid FROM ({EVENTS_SQL}) GROUP BY ALL")
+@query("stream_latest_status", f"SELECT session_id, identity_key, max(seq) AS seq, arg_max(new_state, seq) AS state, arg_max_null(worker_pid, seq) AS worker_pid FROM ({EVENTS_SQL}) GROUP BY ALL")
 def stream_latest_status(spark, sf_dir):
     return jobs.drain(jobs.latest_status(event_stream(spark, sf_dir)), "update", "status", ("session_id", "identity_key"))
 

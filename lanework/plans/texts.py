@@ -72,7 +72,7 @@ def encryption_flags(spark, sf_dir):
 @query(
     "session_rollover",
     f"""WITH {catalog._DECIDED}, z AS (SELECT session_id, identity_key, arg_max(new_state, seq) AS state FROM d WHERE reason = '' GROUP BY ALL),
-             a AS (SELECT session_id, count(*) FILTER (state NOT IN ('ENDED', 'CRASHED')) AS active FROM z GROUP BY 1)
+             a AS (SELECT session_id, count(*) FILTER (state NOT IN ('ENDED', 'MANUALLY_STOPPED', 'CRASHED')) AS active FROM z GROUP BY 1)
         SELECT s.session_id, CASE WHEN active > 0 THEN 'CONTINUED' WHEN active = 0 THEN 'ROLLED_OVER' ELSE 'CREATED' END AS action FROM (SELECT DISTINCT session_id FROM v) s LEFT JOIN a USING (session_id)""",
 )
 def session_rollover(spark, sf_dir):

@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``; only where that is unset (tests), an own folder is taken."""
+    """A fresh path below ``spark.checkpoint.dir``; where that is unset, a session on one machine (tests) takes a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lanework-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/lanework/{tag}-{uuid.uuid4().hex}"

@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lanework.functions import states
 from lanework.operators import changes
 from lanework.operators.evidence import CONTAINED
 from lanework.plans.ship import ship
 from lanework.sources.shared import shared_path
 
-OWNED = ("LAUNCHING", "RECORDING", "WAITING")
-CAPACITY = 20
+CAPACITY = states.CAPACITY
 
 
 def scan_windows(events: DataFrame, width: str = "300 seconds", lateness: str = "10 minutes") -> DataFrame:
@@ -33,24 +33,13 @@ def latest_status(events: DataFrame) -> DataFrame:
 def step(held: dict, owned: int, op: str, identity: str, state: str, pid, capacity: int) -> tuple[str, int]:
     """The reason against an event ('' if it is accepted) and how many feeds are owned after it; held is changed in place."""
     now = held.get(identity)
-    if op == "claim":
-        if now is not None:
-            return "claimed already", owned
-        if owned >= capacity:
-            return "no capacity", owned
-        held[identity] = ["LAUNCHING", None]
-        return "", owned + 1
-    if now is None:
-        return "not claimed", owned
-    if now[0] not in OWNED:
-        return "final", owned
-    if state == now[0] or state == "LAUNCHING":
-        return "same state", owned
-    worker = int(pid) if pid and pid > 0 else now[1]
-    if state in ("RECORDING", "WAITING") and not worker:
-        return "no worker", owned
-    held[identity] = [state, worker]
-    return "", owned - (state not in OWNED)
+    reason = states.reason_against(now, op, state, pid)
+    if not reason and op == "claim" and owned >= capacity:
+        reason = "no capacity"
+    if not reason:
+        held[identity] = list(states.after(now, op, state, pid))
+        owned += (held[identity][0] in states.OWNED) - (now is not None and now[0] in states.OWNED)
+    return reason, owned
 
 
 def registry(events: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -62,11 +51,11 @@ def registry(events: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = json.loads(state.get[0]) if state.exists else {}
-        owned = sum(x[0] in OWNED for x in held.values())
+        owned = sum(x[0] in states.OWNED for x in held.values())
         rows = pd.concat(list(frames)).sort_values("seq")
         reasons = []
         for op, identity, new, pid in zip(rows["op"], rows["identity_key"], rows["new_state"], rows["worker_pid"], strict=True):
-            reason, owned = step(held, owned, op, identity, new, pid, capacity)
+            reason, owned = step(held, owned, op, identity, new, None if pd.isna(pid) else int(pid), capacity)
             reasons.append(reason)
         state.update((json.dumps(held),))
         yield pd.DataFrame({"session_id": key[0], "identity_key": rows["identity_key"], "seq": rows["seq"], "new_state": rows["new_state"], "reason": reasons})
@@ -167,23 +156,24 @@ def drain(stream: DataFrame, mode: str, tag: str, keys: tuple[str, ...] = ()) ->
 
 
 def change_stream(scans: DataFrame, snapshot: str, log: str):
-    """foreachBatch writer: each arriving scan is compared with the stored one before it, changes are appended, the scan is stored.
+    """foreachBatch writer: each arriving scan is compared with the stored one before it; its changes and the scan are stored.
 
-    scans: (scan_id, identity_key, ...). Start it with ``.start()``.
+    scans: (scan_id, identity_key, ...). Start it with ``.start()``. Log and snapshots lie in one partition per batch number,
+    which a replayed batch overwrites; a batch reads the latest snapshot of the batches before it and no other.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         current = batch.select("scan_id", "identity_key").distinct()
-        try:
-            stored = spark.read.parquet(snapshot)
+        stored = current.limit(0)
+        path = spark._jvm.org.apache.hadoop.fs.Path(snapshot)
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        numbers = [int(x.getPath().getName().split("=")[1]) for x in store.listStatus(path) if "batch=" in x.getPath().getName()] if store.exists(path) else []
+        if before := [n for n in numbers if n < number]:
+            stored = spark.read.schema(current.schema).parquet(f"{snapshot}/batch={max(before)}")
             stored = stored.join(stored.agg(F.max("scan_id").alias("scan_id")), "scan_id", "left_semi")
-        except Exception as e:  # the first batch has no snapshot yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            stored = current.limit(0)
-        both = stored.unionByName(current)
-        changes.diff_identities(both).withColumn("batch", F.lit(number)).write.mode("append").parquet(log)
-        current.write.mode("append").parquet(snapshot)
+        diff = changes.diff_identities(stored.unionByName(current))
+        diff.write.mode("overwrite").parquet(f"{log}/batch={number}")
+        current.write.mode("overwrite").parquet(f"{snapshot}/batch={number}")
 
     return scans.writeStream.foreachBatch(write)

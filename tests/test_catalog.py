@@ -48,8 +48,8 @@ def test_urls(spark):
 
 def test_policy(spark):
     f = F.lit
-    row = one(spark, policy.provider_name(f("sony_tv")), policy.provider_name(f(None).cast("string")), policy.candidate_state(f("HOTSTAR"), f(True), f(None).cast("double"), f("working"), f(False), f("")), policy.candidate_state(f("JIO"), f(True), f(None).cast("double"), f("working"), f(False), f("")), policy.candidate_state(f("JIO"), f(False), f(1.0), f("x_y"), f(False), f("")), policy.access_class(f("FANCODE"), f(""), f(403)), policy.access_class(f("HOTSTAR"), f(""), f(403)), policy.lifecycle_scan_type(f("FANCODE"), f("")))
-    assert tuple(row) == ("SONYLIV", "UNKNOWN", "AUTH_UNKNOWN", "WORKING", "X_Y", "route_suspected", "forbidden", "progressive")
+    row = one(spark, policy.provider_name(f("sony_tv")), policy.provider_name(f(None).cast("string")), policy.candidate_state(f("HOTSTAR"), f(True), f(None).cast("double"), f("working"), f(False), f("")), policy.candidate_state(f("JIO"), f(True), f(None).cast("double"), f("working"), f(False), f("")), policy.candidate_state(f("JIO"), f(False), f(1.0), f("x_y"), f(False), f("")), policy.classify_access(f("FANCODE"), f(""), f(403), f(None).cast("string"), f(""))["kind"], policy.classify_access(f("HOTSTAR"), f(""), f(403), f(" GEO-blocked"), f("XX"))["geo_country"], policy.lifecycle_scan_type(f("FANCODE"), f("")))
+    assert tuple(row) == ("SONYLIV", "UNKNOWN", "AUTH_UNKNOWN", "WORKING", "X_Y", "vpn_route_suspected", "XX", "progressive")
 
 
 def test_motion(spark):
@@ -115,22 +115,22 @@ def test_matching(spark):
 
 
 def test_ownership(spark):
-    events = [(1, "transition", "RECORDING"), (2, "claim", "LAUNCHING"), (3, "transition", "RECORDING"), (4, "claim", "LAUNCHING"), (5, "transition", "RECORDING"), (6, "transition", "ENDED"), (7, "transition", "WAITING")]
+    events = [(1, "transition", "RECORDING"), (2, "claim", "LAUNCHING"), (3, "transition", "RECORDING"), (4, "claim", "LAUNCHING"), (5, "transition", "RECORDING"), (6, "transition", "ENDED"), (7, "transition", "WAITING_FOR_SOURCE")]
     rows = spark.createDataFrame([("s", "f", *e) for e in events], "session_id string, identity_key string, seq int, op string, new_state string")
-    assert [r.reason for r in ownership.decide(rows).orderBy("seq").collect()] == ["not claimed", "", "", "claimed already", "same state", "", "final"]
+    assert [r.reason for r in ownership.decide(rows).orderBy("seq").collect()] == ["not claimed", "", "", "claimed already", "not allowed", "", "final"]
     assert [(r["was"], r["is"]) for r in ownership.registry_changes(ownership.decide(rows)).orderBy("seq").collect()] == [("-", "LAUNCHING"), ("LAUNCHING", "RECORDING"), ("RECORDING", "ENDED")]
 
 
 def test_ownership_needs_a_worker(spark):
     from lanework.streaming import jobs
 
-    events = [(1, "claim", "LAUNCHING", None), (2, "transition", "RECORDING", None), (3, "transition", "LAUNCHING", 5), (4, "transition", "WAITING", 0), (5, "transition", "RECORDING", 7), (6, "transition", "LAUNCHING", 7), (7, "transition", "RECORDING", None), (8, "transition", "WAITING", None), (9, "transition", "ENDED", None), (10, "transition", "LAUNCHING", 7)]
+    events = [(1, "claim", "LAUNCHING", None), (2, "transition", "RECORDING", None), (3, "transition", "LAUNCHING", 5), (4, "transition", "WAITING_FOR_SOURCE", None), (5, "transition", "RECORDING", 7), (6, "transition", "LAUNCHING", 7), (7, "transition", "RECORDING", None), (8, "transition", "WAITING_FOR_SOURCE", None), (9, "transition", "ENDED", None), (10, "transition", "LAUNCHING", 7)]
     rows = spark.createDataFrame([("s", "f", *e) for e in events], "session_id string, identity_key string, seq int, op string, new_state string, worker_pid int")
     held, owned, expected = {}, 0, []
     for _, op, state, pid in events:
         reason, owned = jobs.step(held, owned, op, "f", state, pid, 20)
         expected.append(reason)
-    assert [r.reason for r in ownership.decide(rows).orderBy("seq").collect()] == expected == ["", "no worker", "same state", "no worker", "", "same state", "same state", "", "", "final"]
+    assert [r.reason for r in ownership.decide(rows).orderBy("seq").collect()] == expected == ["", "no worker", "not allowed", "no worker", "", "not allowed", "not allowed", "", "", "final"]
 
 
 def test_changes_of_equal_scans_are_none(spark):
