@@ -90,7 +90,7 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
     """Connected components of an undirected graph: (node, root), root one node of the component, the same for all of it.
 
     edges: (a, b) of any type that hashes. Nodes without an edge do not occur. In a round every node points to the
-    neighbour that hashes least, if it hashes below the node; pointers are followed, doubling the way each time, until all
+    neighbour that hashes least, if it hashes below the node; pointers are followed, four times as far each time, until all
     lead to a root; then the graph shrinks to its roots. The order is drawn anew each round, so at least half of the nodes
     with an edge are expected to go, whatever the graph and its ids; the rounds end when no edge is left. A table is deleted when
     the next one stands; the driver sees one row per round.
@@ -104,8 +104,9 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
         least = both.groupBy("a").agg(F.min(order("b")).alias("near"))
         up = save(least.select(F.col("a").alias("node"), F.least("near", order("a"))["node"].alias("up")), f"{tag}-up")
         while True:
-            ahead = up.select(F.col("node").alias("up"), F.col("up").alias("further"))
-            moved = save(up.join(ahead, "up").select("node", F.col("further").alias("up"), (F.col("further") != F.col("up")).alias("moved")), f"{tag}-up")
+            far = lambda t: t.join(t.select(F.col("node").alias("up"), F.col("up").alias("further")), "up").select("node", "up", "further")
+            twice = far(up).select("node", F.col("further").alias("up"))
+            moved = save(far(twice).select("node", F.col("further").alias("up"), (F.col("further") != F.col("up")).alias("moved")), f"{tag}-up")
             done = moved.where("moved").isEmpty()
             release(up)
             up = moved.drop("moved")
