@@ -4,13 +4,14 @@ Documents of equal shingle sets form a class; only classes are compared. Classes
 compared signature batch by signature batch: after each, a pair is dropped if its chance of reaching the wanted similarity
 (under a uniform prior) is below the miss probability.
 
-Of the pairs that survive in a band's bucket, those that span it, most similar first, are verified on the full sets: one
-pair less than classes, each a row with its two texts. Where all of a bucket's spanning pairs end in one component, its
-other pairs can add nothing. In the other buckets every surviving pair of classes from different components is verified,
-with the texts of just these classes. So no link is lost, and texts move once per pair that may matter, not per pair of a group.
-
-Buckets of any size are split into blocks, and pairs of blocks are separate units of work of bounded size. Sets are
-compared by 128-bit hashes of shingles (see ``_words``).
+A band's bucket of any size is split into blocks. First each block is compared within itself and with a few leaders of its
+bucket; of the pairs that survive, those that span the unit, most similar first, are verified on the full sets, each a row
+with its two texts. That joins a group of copies, however large, by one pair less than it has classes. Where all classes of
+a bucket are then in one component, or all spanning pairs of a small bucket end in one, its other pairs can add nothing.
+In the other buckets the classes outside the bucket's largest component visit every block, and every surviving pair of
+classes from different components is verified, with the texts of just these classes. So no link is lost, units of work are
+bounded, rows grow with a bucket's size times its classes outside the largest component, and texts move once per pair that
+may matter. Sets are compared by 128-bit hashes of shingles (see ``_words``).
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanework.llm import _base, _words
@@ -32,6 +33,8 @@ BANDS, BAND_ROWS = 24, 4
 HASHES, BATCH = 128, 32
 MISS = 1e-5
 BLOCK = 128
+#: Classes of a bucket of several blocks that all its blocks are compared with.
+LEADERS = 8
 U32, U64 = np.uint32, np.uint64
 
 
@@ -124,17 +127,37 @@ def signatures(docs: DataFrame, size: int = SHINGLE, doc_id: str = "doc_id", tex
     return _base.map_batches(rows, make, "id long, key long, n_shingles long, cls binary, sig binary, bands array<long>")
 
 
-def into_units(rows: DataFrame, key: str, count: str, block: int = BLOCK) -> DataFrame:
-    """Rows with (unit struct, side): a key of many rows is split into blocks, and a row goes to all pairs with its block.
+def bucketed(classes: DataFrame, block: int) -> DataFrame:
+    """(band, cls, sig, blocks, mine) of the bands that more than one class has: how many blocks, and which a class is in."""
+    bands = classes.select("cls", F.explode("bands").alias("band"))
+    shared = bands.groupBy("band").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    rows = bands.join(shared, "band").join(classes.select("cls", "sig"), "cls")
+    return rows.withColumn("mine", F.pmod(F.xxhash64("cls", F.lit(11)), F.col("blocks")).cast("int"))
+
+
+def led_units(rows: DataFrame) -> DataFrame:
+    """(unit, side, cls, sig): each block's own rows (side 1), and the bucket's leaders from other blocks (side 0)."""
+    own = rows.select(F.struct("band", F.col("mine").alias("i"), F.lit(0).alias("v")).alias("unit"), F.lit(1).alias("side"), "cls", "sig")
+    first = Window.partitionBy("band").orderBy(F.xxhash64("cls", F.lit(17)), "cls")
+    leaders = rows.where("blocks > 1").withColumn("place", F.row_number().over(first)).where(F.col("place") <= LEADERS)
+    leaders = leaders.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("i <> mine")
+    return own.unionByName(leaders.select(F.struct("band", "i", F.lit(0).alias("v")).alias("unit"), F.lit(0).alias("side"), "cls", "sig"))
+
 
-    side is 2 for a row of a unit that is one block, else 0 or 1 for the unit's first or second block.
+def visited_units(rows: DataFrame, unsettled: DataFrame, block: int) -> DataFrame:
+    """(unit, side, cls, sig, root) of the unsettled bands, and of bands of several blocks with more than one component: each block with the classes outside the band's largest component as visitors (side 0), in parts of bounded size.
+
+    rows: bucketed rows with root.
     """
-    blocks = F.ceil(F.col(count) / block).cast("int")
-    rows = rows.withColumn("_blocks", blocks).withColumn("_mine", F.pmod(F.xxhash64("cls", F.lit(11)), F.col("_blocks")).cast("int"))
-    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    unit = F.struct(F.col(key).alias("key"), F.least("_mine", "_other").alias("i"), F.greatest("_mine", "_other").alias("j"))
-    side = F.when(F.col("_mine") == F.col("_other"), 2).when(F.col("_mine") < F.col("_other"), 0).otherwise(1)
-    return rows.withColumns({"unit": unit, "side": side}).drop("_blocks", "_mine", "_other")
+    sizes = rows.groupBy("band", "root").agg(F.count("*").alias("n"), F.first("blocks").alias("b"))
+    bands = sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), (F.sum("n") - F.max("n")).alias("others"), F.count("*").alias("roots"), F.first("b").alias("b"))
+    marked = bands.join(unsettled.withColumn("open", F.lit(True)), "band", "left").where("open or (b > 1 and roots > 1)")
+    marked = marked.select("band", "largest", F.greatest(F.ceil(F.col("others") / block), F.lit(1)).cast("int").alias("parts"))
+    rows = rows.join(marked, "band")
+    own = rows.withColumn("v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"i": F.col("mine"), "side": F.lit(1)})
+    visitors = rows.where("root <> largest and blocks > 1").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("i <> mine")
+    visitors = visitors.withColumns({"v": F.pmod(F.xxhash64("cls", F.lit(13)), F.col("parts")).cast("int"), "side": F.lit(0)})
+    return own.select("band", "i", "v", "side", "cls", "sig", "root").unionByName(visitors.select("band", "i", "v", "side", "cls", "sig", "root")).withColumn("unit", F.struct("band", "i", "v"))
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -175,13 +198,12 @@ class Links:
 
 
 def surviving_pairs(sig: np.ndarray, side: np.ndarray, bounds: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, matches) of the pairs of rows that pass every bound; rows of one side (0 or 1) are not compared with each other."""
+    """(i, j, matches) of the pairs of rows that pass every bound; of each pair one row at least is a block's own (side 1)."""
     left, right, matches = [], [], []
-    n = len(sig)
-    for i in range(n - 1):
-        j = np.arange(i + 1, n) if side[i] == 2 else np.flatnonzero(side == 1) if side[i] == 0 else np.empty(0, int)
-        if side[i] != 2:
-            j = j[j != i]
+    own = np.flatnonzero(side == 1)
+    guests = np.flatnonzero(side == 0)
+    for place, i in enumerate(own.tolist()):
+        j = np.concatenate([own[place + 1 :], guests])
         same, before = np.zeros(len(j), int), 0
         for upto, least in bounds:
             if not j.size:
@@ -196,7 +218,8 @@ def surviving_pairs(sig: np.ndarray, side: np.ndarray, bounds: list[tuple[int, i
     if not left:
         none = np.empty(0, int)
         return none, none, none
-    return np.concatenate(left), np.concatenate(right), np.concatenate(matches)
+    left, right = np.concatenate(left), np.concatenate(right)
+    return np.minimum(left, right), np.maximum(left, right), np.concatenate(matches)
 
 
 def _unit_rows(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -206,44 +229,32 @@ def _unit_rows(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 
 def _dealt(rows: DataFrame, *columns: str) -> DataFrame:
     width = _base.shuffle_width(rows.sparkSession)
-    name = F.concat_ws(":", "unit.key", "unit.i", "unit.j").alias("name")
-    return rows.select(name, "unit.key", *columns).repartition(width, "name").sortWithinPartitions("name", "cls")
-
-
-def in_bands(classes: DataFrame, block: int) -> DataFrame:
-    """Units of the bands that more than one class has: (unit, side, cls, sig)."""
-    bands = classes.select("cls", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    return into_units(bands.join(shared, "band").join(classes.select("cls", "sig"), "cls"), "band", "n", block)
+    name = F.concat_ws(":", "unit.band", "unit.i", "unit.v").alias("name")
+    return rows.select(name, "unit.band", *columns).repartition(width, "name").sortWithinPartitions("name", "cls")
 
 
 def spanning_pairs(units: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
-    """(key, a, b): of each unit the surviving pairs that span it, most similar first, equally similar ones in one order everywhere."""
+    """(band, a, b): of each unit the surviving pairs that span it, most similar first, equally similar ones in one order everywhere."""
+    arrow = pa.schema([("band", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
 
     def run(batches):
-        out: dict[str, list] = {"key": [], "a": [], "b": []}
+        out: dict[str, list] = {"band": [], "a": [], "b": []}
         for table in _groups(batches):
             names, sig, side = _unit_rows(table)
-            key = table.column("key")[0].as_py()
+            band = table.column("band")[0].as_py()
             links = Links(len(names))
-            left, right, matches = surviving_pairs(sig, np.full_like(side, 2), bounds)
-            # A unit of two blocks names only what joins them: each block's own unit names the links inside it.
-            inside = (side[left] == side[right]) & (side[left] != 2)
-            for i, j in zip(left[inside].tolist(), right[inside].tolist(), strict=True):
-                links.join(i, j)
-            left, right, matches = left[~inside], right[~inside], matches[~inside]
+            left, right, matches = surviving_pairs(sig, side, bounds)
             for k in np.lexsort((right, left, -matches)).tolist():  # rows stand in the order of their classes
                 i, j = int(left[k]), int(right[k])
                 if links.join(i, j):
-                    for name, value in zip(out, (key, names[i], names[j]), strict=True):
+                    for name, value in zip(out, (band, names[i], names[j]), strict=True):
                         out[name].append(value)
-            if len(out["key"]) > 50_000:
+            if len(out["band"]) > 50_000:
                 yield pa.RecordBatch.from_pydict(out, schema=arrow)
                 out = {k: [] for k in out}
         yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
-    arrow = pa.schema([("key", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
-    return _dealt(units, "cls", "sig", "side").mapInArrow(run, "key long, a binary, b binary")
+    return _dealt(units, "cls", "sig", "side").mapInArrow(run, "band long, a binary, b binary")
 
 
 def class_texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -318,7 +329,8 @@ def linked_classes(docs: DataFrame, classes: DataFrame, size: int, similarity: i
     docs: (id, key, text); classes: (cls, n_shingles, sig, bands, id, key).
     """
     bounds = keep_at(miss, similarity / 100)
-    spanning = _base.save(spanning_pairs(in_bands(classes, block), bounds), "spanning")
+    rows = bucketed(classes, block)
+    spanning = _base.save(spanning_pairs(led_units(rows), bounds), "spanning")
     pairs = spanning.select("a", "b").distinct()
     sizes = lambda c: classes.select(F.col("cls").alias(c), F.col("n_shingles").alias(f"n_{c}"))
     pairs = pairs.join(sizes("a"), "a").join(sizes("b"), "b").where(100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).select("a", "b")
@@ -330,14 +342,13 @@ def linked_classes(docs: DataFrame, classes: DataFrame, size: int, similarity: i
     roots = _base.components(links, "links")
     at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     apart = spanning.join(at("a"), "a", "left").join(at("b"), "b", "left").where("coalesce(root_a, a) <> coalesce(root_b, b)")
-    unsettled = _base.save(apart.select("key").distinct(), "unsettled")
+    unsettled = _base.save(apart.select("band").distinct(), "unsettled")
     for old in (pairs, texts, spanning):
         _base.release(old)
-    if unsettled.isEmpty():
+    placed = rows.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    rows = _base.save(open_rows(visited_units(placed, unsettled, block), bounds), "open")
+    if rows.isEmpty():
         return roots
-    members = in_bands(classes, block).join(unsettled.select(F.col("key").alias("u_key")), F.col("unit.key") == F.col("u_key"), "left_semi")
-    members = members.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    rows = _base.save(open_rows(members, bounds), "open")
     texts = _base.save(class_texts(docs, classes, rows.select("cls").distinct()), "texts")
     more = _base.save(links_between(rows.join(texts, "cls"), bounds, size, similarity), "links")
     _base.release(texts)
