@@ -36,7 +36,7 @@ def _links(rows: DataFrame, keys: list[str]) -> DataFrame:
     A value of the needed length is looked up by its first characters among all grams of the longer ones, so that no two
     values of a feed are compared without a common gram.
     """
-    beside = rows.where(F.size("values") > 1).select(*keys, F.col("values")[0].alias("a"), F.explode(F.slice("values", 2, 8)).alias("b"))
+    beside = rows.where(F.size("values") > 1).select(*keys, F.col("values")[0].alias("a"), F.explode(F.slice("values", F.lit(2), F.size("values") - 1)).alias("b"))
     named = rows.select(*keys, F.explode("values").alias("v")).distinct().where(F.length("v") >= CONTAINED)
     short = named.select(*keys, F.col("v").alias("a"), F.substring("v", 1, CONTAINED).alias("gram"))
     at = F.sequence(F.lit(1), F.length("v") - CONTAINED + 1)

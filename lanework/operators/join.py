@@ -42,12 +42,6 @@ def fill_quality(entries: DataFrame) -> DataFrame:
     return both.select("playlist_url", "entry_index", "persistence_key", take("video_height").alias("video_height"), F.round(take("video_fps"), 3).alias("video_fps"), filled.alias("filled"))
 
 
-def attach_context(entries: DataFrame, matched: DataFrame) -> DataFrame:
-    """Rows of matched feeds that did not match themselves: semi join on the feed, anti join on the observation."""
-    feeds = matched.select("identity_key").distinct()
-    return entries.join(feeds, "identity_key", "left_semi").join(matched.select("playlist_url", "entry_index").distinct(), ["playlist_url", "entry_index"], "left_anti")
-
-
 def retain_failed(entries: DataFrame, failed: DataFrame) -> DataFrame:
     """Rows of the scan before that a failed catalog would lose: carried on as unavailable unless they are there again.
 

@@ -325,16 +325,6 @@ def fill_quality(spark, sf_dir):
     return join.fill_quality(carriers.entries(spark, sf_dir))
 
 
-@query(
-    "attach_context",
-    f"""WITH e AS ({KEYED_SQL}), m AS (SELECT * FROM e WHERE entry_title LIKE 'Channel 7 A')
-        SELECT identity_key, playlist_url, entry_index FROM e WHERE identity_key IN (SELECT identity_key FROM m) AND NOT EXISTS (FROM m WHERE m.playlist_url = e.playlist_url AND m.entry_index = e.entry_index)""",
-)
-def attach_context(spark, sf_dir):
-    rows = keyed(spark, sf_dir)
-    return join.attach_context(rows, rows.where("entry_title like 'Channel 7 A'")).select("identity_key", "playlist_url", "entry_index")
-
-
 @query(
     "retain_failed",
     f"""WITH e AS ({KEYED_SQL}), {_SCANS}, p AS (SELECT DISTINCT n, playlist_url, identity_key, entry_title FROM e JOIN s USING (scan_id)),

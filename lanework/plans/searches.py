@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanework.functions import policy
-from lanework.operators import display, evidence, headers, manifests, scope
+from lanework.operators import display, evidence, headers, manifests, match, scope
 from lanework.plans import catalog
 from lanework.plans.carriers import KEYED_SQL, NOW, _case
 from lanework.plans.catalog import _PLACED, RANKED_SQL
@@ -71,6 +71,37 @@ def conflict_clusters(spark, sf_dir):
     return evidence.conflict_clusters(_evidence(spark, sf_dir))
 
 
+CONTEXT_TARGETS = [
+    {"name": "t1", "primary": [["match 7"]], "required": [["match"]], "rejected": [["extra 2"]], "preferred": [["live"], ["extra 1", "ch 3"]]},
+    {"name": "t2", "primary": [["match 3", "match 4"], ["live"]], "preferred": [["ch 1", "ch 2"]]},
+    {"name": "t3", "match_all": True, "required": [["ch 5"], ["extra 0"]]},
+]
+
+
+def _context_sql(t: dict) -> str:
+    """Rows that match a target (hit), or pass its gates, and their titles."""
+    bounded = lambda group: "(" + " OR ".join(f"regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}_]){p}($|[^\\p{{L}}\\p{{N}}_])')" for p in group) + ")"
+    primary = " AND ".join("(" + " OR ".join(f"contains(t, '{p}')" for p in group) + ")" for group in t.get("primary", ())) or "true"
+    gate = " AND ".join([bounded(g) for g in t.get("required", ())] + ["NOT " + bounded(g) for g in t.get("rejected", ())]) or "true"
+    score = " + ".join(f"{bounded(g)}::INT" for g in t.get("preferred", ())) or "0"
+    return f"SELECT *, '{t['name']}' AS target, ({score})::INT AS score, {primary} AS hit FROM x WHERE {gate}"
+
+
+@query(
+    "attach_context",
+    f"""WITH x AS (SELECT *, {_PLAIN.format(x="tvg_name || ' ' || entry_title")} AS t, list_distinct([x FOR x IN [{_PLAIN.format(x='entry_title')}, {_PLAIN.format(x='tvg_name')}] IF x <> '']) AS vals FROM ({EVIDENCE_SQL})),
+             g AS ({' UNION ALL '.join(map(_context_sql, CONTEXT_TARGETS))}),
+             k AS (SELECT target, identity_key, list_distinct(flatten(list(vals))) AS known FROM g WHERE hit GROUP BY ALL)
+        SELECT g.identity_key, playlist_url, entry_index, entry_title, tvg_name, g.target, score,
+               len(vals) > 0 AND len(known) > 0 AND len([1 FOR a IN vals IF len([1 FOR b IN known IF a = b OR (length(a) >= 8 AND contains(b, a)) OR (length(b) >= 8 AND contains(a, b))]) > 0]) = 0 AS conflict
+        FROM g JOIN k ON k.target = g.target AND k.identity_key = g.identity_key
+        WHERE NOT EXISTS (FROM g h WHERE h.hit AND h.target = g.target AND h.playlist_url = g.playlist_url AND h.entry_index = g.entry_index)""",
+)
+def attach_context(spark, sf_dir):
+    rows = _evidence(spark, sf_dir).select("identity_key", "playlist_url", "entry_index", "entry_title", "tvg_name", F.concat_ws(" ", F.nullif("tvg_name", F.lit("")), F.nullif("entry_title", F.lit(""))).alias("title"), F.lit("").alias("path"))
+    return match.attach_context(rows, CONTEXT_TARGETS).drop("title", "path")
+
+
 _NEWER = f"""SELECT * FROM (SELECT *, max(source_freshness_ts) FILTER (NOT ignored) OVER (PARTITION BY identity_key) AS newest FROM ({EVIDENCE_SQL})
              WHERE source_freshness_ts IS NOT NULL AND (NOT ignored OR coalesce(conflict, true))) WHERE ignored AND (newest IS NULL OR source_freshness_ts > newest)"""
 
