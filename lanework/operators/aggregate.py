@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanework.functions import policy, states
+from lanework.functions import policy, quality, states
 from lanework.operators import identity
 
 
@@ -20,10 +20,11 @@ def dedupe_observations(entries: DataFrame, keys: tuple[str, ...] = ("identity_k
 
 
 def source_observations(entries: DataFrame) -> DataFrame:
-    """Per feed and catalog: distinct names, sorted states, and WORKING if any row works, else the first state."""
-    rows = entries.withColumn("state", identity.state_of(entries))
+    """Per feed and catalog: distinct names, sorted states, WORKING if any row works, else the first state, and the place of its best working row, else of its best row."""
+    rows = entries.withColumns({"state": identity.state_of(entries), "_rank": identity.rank_of(entries)})
     state = F.when(F.bool_or(F.col("state") == "WORKING"), "WORKING").otherwise(F.min("state"))
-    return rows.groupBy("identity_key", "playlist_url").agg(_joined("entry_title").alias("titles"), _joined("tvg_name").alias("tvg_names"), _joined("group_title").alias("groups"), _joined("state").alias("states"), state.alias("state"), F.count("*").alias("observations"))
+    best = F.min(F.struct((F.col("state") != "WORKING").alias("idle"), *((-F.col("_rank")[f]).alias(f) for f in quality.RANK_FIELDS), F.col("entry_index").alias("entry_index")))
+    return rows.groupBy("identity_key", "playlist_url").agg(_joined("entry_title").alias("titles"), _joined("tvg_name").alias("tvg_names"), _joined("group_title").alias("groups"), _joined("state").alias("states"), state.alias("state"), F.count("*").alias("observations"), best["entry_index"].alias("best_index"))
 
 
 def identity_blocks(entries: DataFrame) -> DataFrame:

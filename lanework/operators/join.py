@@ -62,10 +62,12 @@ def probe_fanout(entries: DataFrame) -> DataFrame:
 
 
 def launch_candidates(entries: DataFrame, owned: DataFrame, now: int, capacity: int) -> DataFrame:
-    """Feeds with a selected source and no owner, in order of name; the first ``capacity`` are admitted, others suppressed.
+    """Feeds with a selected source and no owner, in order of name; as many are admitted as the owned ones leave of the capacity, others suppressed.
 
-    Only the admitted few are ordered globally: a top-k, not a full sort.
+    Only the first few are ordered globally: a top-k, not a full sort.
     """
-    free = select.select_best(entries, now).where("decision = 'selected'").join(owned.select("identity_key").distinct(), "identity_key", "left_anti")
-    admitted = free.orderBy("identity_key").limit(capacity).select("identity_key", F.lit(True).alias("in"))
+    held = owned.select("identity_key").distinct()
+    free = select.select_best(entries, now).where("decision = 'selected'").join(held, "identity_key", "left_anti")
+    first = free.orderBy("identity_key").limit(capacity).select("identity_key", F.row_number().over(Window.orderBy("identity_key")).alias("place"))  # at most ``capacity`` rows
+    admitted = first.join(F.broadcast(held.agg(F.count("*").alias("n"))), F.col("place") <= capacity - F.col("n")).select("identity_key", F.lit(True).alias("in"))
     return free.join(F.broadcast(admitted), "identity_key", "left").select("identity_key", "selected_url", F.when(F.col("in"), "ADMITTED").otherwise("SUPPRESSED").alias("decision"))

@@ -27,14 +27,18 @@ def _down(rank: Column, fields: tuple[str, ...]) -> list[Column]:
     return [(-rank[f]).alias(f"less_{f}") for f in fields]
 
 
+def _order(rank: Column) -> list[Column]:
+    """A selection rank, best first."""
+    return [*_down(rank, ("preferred",)), *_down(rank["quality"], quality.RANK_FIELDS), *_down(rank, ("unknown_first", "expiry"))]
+
+
 def _best(entries: DataFrame, now: int, keys: tuple[str, ...]) -> DataFrame:
     """(keys, best, considered, n_eligible, n_safe): best is a struct of the selected row's place, address, quality, expiry and preference; null if no row is eligible."""
     rows = entries.where("launchable")
     eligible = F.col("expiry").isNotNull() | policy.allows_unknown(F.col("provider"))
     rows = rows.withColumns({"_eligible": eligible, "_safe": eligible & _safe(F.lit(now)), "_rank": selection_rank(rows)})
-    rank, kept = F.col("_rank"), ("playlist_url", "entry_index", "stream_url", "expiry", "preferred")
-    order = [(-F.col("_safe").cast("int")).alias("less_safe"), *_down(rank, ("preferred",)), *_down(rank["quality"], quality.RANK_FIELDS), *_down(rank, ("unknown_first", "expiry"))]
-    row = F.struct(*order, *(F.col(c).alias(c) for c in kept), rank["quality"].alias("quality"))
+    kept = ("playlist_url", "entry_index", "stream_url", "expiry", "preferred")
+    row = F.struct((-F.col("_safe").cast("int")).alias("less_safe"), *_order(F.col("_rank")), *(F.col(c).alias(c) for c in kept), F.col("_rank.quality").alias("quality"))
     return rows.groupBy(*keys).agg(F.min(F.when(F.col("_eligible"), row)).alias("best"), F.count("*").alias("considered"), F.count_if("_eligible").alias("n_eligible"), F.count_if("_safe").alias("n_safe"))
 
 
@@ -90,7 +94,9 @@ def select_upgrade(running: DataFrame, entries: DataFrame, now: int, target_fps:
     kept &= F.when(F.col("expiry").isNull(), policy.allows_unknown(F.col("provider"))).otherwise(F.col("expiry") - now >= policy.MIN_REMAINING_S)
     base = running.select("identity_key", F.col("preferred").alias("r_preferred"), F.col("quality").alias("r_quality"))
     better = rows.where(kept).join(base, "identity_key").where("preferred >= r_preferred and _quality > r_quality")
-    return better.groupBy("identity_key").agg(F.count("*").alias("eligible"), F.max(F.col("_rank.quality.bitrate")).alias("top_bitrate"), F.max("_rank").alias("_best")).select("identity_key", "eligible", "top_bitrate", F.col("_best.preferred").alias("preferred"), F.round("_best.quality.motion", 3).alias("motion"), F.col("_best.quality.height").alias("height"), F.col("_best.quality.bitrate").alias("bitrate"))
+    row = F.struct(*_order(F.col("_rank")), "playlist_url", "entry_index", F.col("stream_url").alias("upgrade_url"), F.col("_rank").alias("rank"))
+    best = better.groupBy("identity_key").agg(F.count("*").alias("eligible"), F.min(row).alias("b"))
+    return best.select("identity_key", "b.playlist_url", "b.entry_index", "b.upgrade_url", "eligible", F.col("b.rank.preferred").alias("preferred"), F.round("b.rank.quality.motion", 3).alias("motion"), F.col("b.rank.quality.height").alias("height"), F.col("b.rank.quality.bitrate").alias("bitrate"))
 
 
 def top_k_sources(entries: DataFrame, k: int) -> DataFrame:

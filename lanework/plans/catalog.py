@@ -95,15 +95,15 @@ def explain_losers(spark, sf_dir):
     f"""
     WITH r AS ({RANKED_SQL}),
          run AS (SELECT identity_key, max(preferred) AS rp, min({_ROW}) AS rq FROM r GROUP BY identity_key),
-         c AS (SELECT r.*, row_number() OVER (PARTITION BY identity_key ORDER BY preferred DESC, {_DOWN}, unknown_first DESC, until DESC) AS place,
+         c AS (SELECT r.*, row_number() OVER (PARTITION BY identity_key ORDER BY preferred DESC, {_DOWN}, unknown_first DESC, until DESC, playlist_url, entry_index) AS place,
                       count(*) OVER (PARTITION BY identity_key) AS eligible
                FROM r JOIN run USING (identity_key) WHERE launchable AND motion >= 25 AND safe AND preferred >= rp AND {_ROW} > rq)
-    SELECT identity_key, eligible, preferred, round(motion, 3) AS motion, video_height AS height, video_bitrate_bps AS bitrate FROM c WHERE place = 1""",
+    SELECT identity_key, playlist_url, entry_index, stream_url AS upgrade_url, eligible, preferred, round(motion, 3) AS motion, video_height AS height, video_bitrate_bps AS bitrate FROM c WHERE place = 1""",
 )
 def select_upgrade(spark, sf_dir):
     rows = keyed(spark, sf_dir)
     running = rows.groupBy("identity_key").agg(F.max("preferred").alias("preferred"), F.min(identity.rank_of(rows)).alias("quality"))
-    return select.select_upgrade(running, rows, NOW, 25.0).drop("top_bitrate")
+    return select.select_upgrade(running, rows, NOW, 25.0)
 
 
 @query("top_k_sources", f"WITH r AS ({RANKED_SQL}), p AS (SELECT *, row_number() OVER (PARTITION BY identity_key ORDER BY preferred DESC, {_DOWN}, unknown_first DESC, until DESC, playlist_url, entry_index) AS place FROM r WHERE launchable) SELECT identity_key, place, playlist_url, entry_index FROM p WHERE place <= 3")
@@ -176,7 +176,8 @@ def dedupe_observations(spark, sf_dir):
     "source_observations",
     f"""WITH r AS ({RANKED_SQL}) SELECT identity_key, playlist_url, coalesce(string_agg(DISTINCT entry_title, ',' ORDER BY entry_title), '') AS titles,
         coalesce(string_agg(DISTINCT nullif(tvg_name, ''), ',' ORDER BY nullif(tvg_name, '')), '') AS tvg_names, string_agg(DISTINCT group_title, ',' ORDER BY group_title) AS groups,
-        string_agg(DISTINCT state, ',' ORDER BY state) AS states, CASE WHEN bool_or(state = 'WORKING') THEN 'WORKING' ELSE min(state) END AS state, count(*) AS observations FROM r GROUP BY ALL""",
+        string_agg(DISTINCT state, ',' ORDER BY state) AS states, CASE WHEN bool_or(state = 'WORKING') THEN 'WORKING' ELSE min(state) END AS state, count(*) AS observations,
+        arg_min(entry_index, (state <> 'WORKING', -motion_class, -class, -motion, -scan_rank, -area, -video_height, -video_width, -video_bitrate_bps, entry_index)) AS best_index FROM r GROUP BY ALL""",
 )
 def source_observations(spark, sf_dir):
     return aggregate.source_observations(keyed(spark, sf_dir))
@@ -349,13 +350,13 @@ def probe_fanout(spark, sf_dir):
 
 @query(
     "launch_candidates",
-    f"""WITH r AS ({RANKED_SQL}), p AS ({_PLACED}), o AS (SELECT DISTINCT identity_key FROM r WHERE video_bitrate_bps % 97 = 0),
+    f"""WITH r AS ({RANKED_SQL}), p AS ({_PLACED}), o AS (SELECT DISTINCT identity_key FROM r WHERE video_bitrate_bps % 9973 = 0),
              f AS (SELECT identity_key, stream_url AS selected_url, row_number() OVER (ORDER BY identity_key) AS k FROM p WHERE place = 1 AND n_ok > 0 AND identity_key NOT IN (FROM o))
-        SELECT identity_key, selected_url, CASE WHEN k <= 20 THEN 'ADMITTED' ELSE 'SUPPRESSED' END AS decision FROM f""",
+        SELECT identity_key, selected_url, CASE WHEN k <= 20 - (SELECT count(*) FROM o) THEN 'ADMITTED' ELSE 'SUPPRESSED' END AS decision FROM f""",
 )
 def launch_candidates(spark, sf_dir):
     rows = keyed(spark, sf_dir)
-    return join.launch_candidates(rows, rows.where("video_bitrate_bps % 97 = 0"), NOW, 20)
+    return join.launch_candidates(rows, rows.where("video_bitrate_bps % 9973 = 0"), NOW, 20)
 
 
 @query(

@@ -92,7 +92,7 @@ def test_upgrade(spark):
     rows = entries(spark, {"video_height": 720, "video_width": 1280, "video_fps": 50.0}, {"video_fps": 50.0}, {"video_fps": 50.0, "expiry": 1_000_600.0, "video_bitrate_bps": 9_000_000})
     running = rows.where("entry_index = 1").select("identity_key", "preferred", identity.rank_of(rows).alias("quality"))
     r = select.select_upgrade(running, rows, 1_000_000, 50.0).first()
-    assert (r.eligible, r.height, r.bitrate) == (1, 1080, 5_000_000)
+    assert (r.entry_index, r.eligible, r.height, r.bitrate) == (2, 1, 1080, 5_000_000)
 
 
 def test_extinf_and_explode(spark):
@@ -145,3 +145,45 @@ def test_empty_inputs(spark):
     rows = entries(spark, {}).limit(0)
     assert select.select_best(rows, 0).count() == 0 and aggregate.identity_blocks(rows.withColumn("entry_title", F.lit(""))).count() == 0
     assert join.probe_fanout(rows).count() == 0
+
+
+def test_ownership_equals_a_fold(spark):
+    """Random events of few feeds: windows against the transition table, event by event."""
+    import random
+
+    from lanework.functions import states
+
+    rng = random.Random(9)
+    rows = [("s", f"f{rng.randrange(6)}", i, rng.choice(["claim", "bind", "transition", "transition", "transition"]), rng.choice([*states.ALLOWED, "ODD", None]), rng.choice([None, None, 0, 5])) for i in range(600)]
+    events = spark.createDataFrame(rows, "session_id string, identity_key string, seq int, op string, new_state string, worker_pid int")
+    held: dict = {}
+    expected = []
+    for _, who, _, op, state, pid in rows:
+        reason = states.reason_against(held.get(who), op, state, pid)
+        if not reason:
+            held[who] = states.after(held.get(who), op, state, pid)
+        expected.append(reason)
+    assert [r.reason for r in ownership.decide(events).orderBy("seq").collect()] == expected and {"", "not launching", "no worker", "final"} <= set(expected)
+
+
+def test_updates_and_policies(spark):
+    rows = entries(spark, {"entry_index": 1}, {"entry_index": 1}, {"entry_index": 2, "playlist_url": "l2", "launchable": False, "probe_status": "expired"})
+    rows = rows.withColumns({"scan_id": F.monotonically_increasing_id() * 0, "entry_title": F.lit("A"), "group_title": F.lit("G"), "tvg_name": F.lit("")})
+    later = rows.withColumns({"scan_id": F.lit(1), "entry_title": F.when(F.col("playlist_url") == "l1", "B").otherwise("A"), "launchable": F.lit(True)})
+    found = sorted((r.playlist_url or "", r.n, r.details) for r in changes.diff_updates(rows.unionByName(later)).collect())
+    assert found == [("l1", 2, "Event A -> B"), ("l2", 2, "Candidate states EXPIRED -> WORKING")]
+    moved = rows.withColumn("policy", F.lit("MANUAL")).unionByName(later.withColumn("policy", F.lit("ALL")))
+    assert changes.diff_blocks(moved).count() == 0 and changes.diff_blocks(moved.withColumn("identity_key", F.concat("identity_key", "policy"))).count() == 2
+
+
+def test_channels(spark):
+    rows = spark.createDataFrame([("Ten 1 HD", ""), ("", "Ten10"), ("TENNIS", "x"), ("Ten", "replay"), (None, None), ("ＴＥＮ ２", "straße")], "tvg_name string, entry_title string")
+    target = [{"name": "t", "primary": [["ten"]], "rejected": [["replay"]], "preferred": [["hd"], ["1"]]}]
+    assert sorted((r.tvg_name, r.score) for r in match.match_channels(rows, target).collect()) == [("", 0), ("Ten 1 HD", 2), ("ＴＥＮ ２", 0)]
+
+
+def test_context_rows(spark):
+    rows = [("f", "a", 1, "Final Match Live", "", ""), ("f", "b", 2, "Another Event", "", ""), ("f", "c", 3, "match live", "", ""), ("f", "d", 4, "Another Event Hindi", "", ""), ("g", "e", 5, "Other", "", ""), ("f", "h", 6, "", "", "")]
+    table = spark.createDataFrame(rows, "identity_key string, playlist_url string, entry_index int, entry_title string, tvg_name string, path string").withColumn("title", F.col("entry_title"))
+    found = match.attach_context(table, [{"name": "t", "primary": [["final"]], "rejected": [["hindi"]]}]).collect()
+    assert sorted((r.entry_index, r.conflict) for r in found) == [(2, True), (3, False), (6, False)]
