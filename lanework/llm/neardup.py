@@ -128,10 +128,10 @@ def signatures(docs: DataFrame, size: int = SHINGLE, doc_id: str = "doc_id", tex
 
 
 def bucketed(classes: DataFrame, block: int) -> DataFrame:
-    """(band, cls, sig, blocks, mine) of the bands that more than one class has: how many blocks, and which a class is in."""
+    """(band, cls, sig, bands, blocks, mine) of the bands that more than one class has: how many blocks, and which a class is in."""
     bands = classes.select("cls", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = bands.join(shared, "band").join(classes.select("cls", "sig"), "cls")
+    rows = bands.join(shared, "band").join(classes.select("cls", "sig", "bands"), "cls")
     return rows.withColumn("mine", F.pmod(F.xxhash64("cls", F.lit(11)), F.col("blocks")).cast("int"))
 
 
@@ -145,7 +145,7 @@ def led_units(rows: DataFrame) -> DataFrame:
 
 
 def visited_units(rows: DataFrame, unsettled: DataFrame, block: int) -> DataFrame:
-    """(unit, side, cls, sig, root) of the unsettled bands, and of bands of several blocks with more than one component: each block with the classes outside the band's largest component as visitors (side 0), in parts of bounded size.
+    """(unit, side, cls, sig, bands, root) of the unsettled bands, and of bands of several blocks with more than one component: each block with the classes outside the band's largest component as visitors (side 0), in parts of bounded size.
 
     rows: bucketed rows with root.
     """
@@ -157,7 +157,8 @@ def visited_units(rows: DataFrame, unsettled: DataFrame, block: int) -> DataFram
     own = rows.withColumn("v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"i": F.col("mine"), "side": F.lit(1)})
     visitors = rows.where("root <> largest and blocks > 1").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("i <> mine")
     visitors = visitors.withColumns({"v": F.pmod(F.xxhash64("cls", F.lit(13)), F.col("parts")).cast("int"), "side": F.lit(0)})
-    return own.select("band", "i", "v", "side", "cls", "sig", "root").unionByName(visitors.select("band", "i", "v", "side", "cls", "sig", "root")).withColumn("unit", F.struct("band", "i", "v"))
+    kept = ("band", "i", "v", "side", "cls", "sig", "bands", "root")
+    return own.select(*kept).unionByName(visitors.select(*kept)).withColumn("unit", F.struct("band", "i", "v"))
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -283,44 +284,66 @@ def verified(pairs: DataFrame, size: int, similarity: int) -> DataFrame:
     return _base.map_batches(pairs.select("a", "b", "text_a", "text_b"), make, "a binary, b binary")
 
 
+def _open_pairs(table: pa.Table, bounds: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Surviving pairs of rows of different components, in the first band only of those that both are in."""
+    _, sig, side = _unit_rows(table)
+    roots = np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)[1]
+    bands = np.array(table.column("bands").to_pylist(), np.int64)
+    left, right, _ = surviving_pairs(sig, side, bounds)
+    apart = roots[left] != roots[right]
+    left, right = left[apart], right[apart]
+    here = (bands[0] == table.column("band")[0].as_py()).argmax()
+    first = np.concatenate([(bands[left[k : k + 4096]] == bands[right[k : k + 4096]]).argmax(1) for k in range(0, len(left), 4096)] or [left])
+    return left[first == here], right[first == here]
+
+
+OPEN = ("name", "band", "cls", "sig", "side", "bands", "root")
+
+
 def open_rows(units: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
-    """(name, cls, sig, side, root) of the rows of units that have a surviving pair with a class of another component."""
+    """(name, band, cls, sig, side, bands, root) of the rows of units that have a surviving pair with a class of another component."""
 
     def run(batches):
         for table in _groups(batches):
-            _, sig, side = _unit_rows(table)
-            roots = np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)[1]
-            left, right, _ = surviving_pairs(sig, side, bounds)
-            apart = roots[left] != roots[right]
-            rows = np.unique(np.concatenate([left[apart], right[apart]]))
+            rows = np.unique(np.concatenate(_open_pairs(table, bounds)))
             if rows.size:
-                yield from table.take(pa.array(rows)).select(["name", "cls", "sig", "side", "root"]).combine_chunks().to_batches()
+                yield from table.take(pa.array(rows)).select(list(OPEN)).combine_chunks().to_batches()
 
-    return _dealt(units, "cls", "sig", "side", "root").mapInArrow(run, "name string, cls binary, sig binary, side int, root binary")
+    return _dealt(units, "cls", "sig", "side", "bands", "root").mapInArrow(run, "name string, band long, cls binary, sig binary, side int, bands array<long>, root binary")
 
 
 def links_between(rows: DataFrame, bounds: list[tuple[int, int]], size: int, similarity: int) -> DataFrame:
-    """(a, b): links that join the components of each unit's open rows (name, cls, sig, side, root, text)."""
+    """(a, b): links that join the components of each unit's open rows (OPEN and text).
+
+    A row's shingles are marked once and counted in all sets of the unit, so its pairs are verified together.
+    """
 
     def run(batches):
         for table in _groups(batches):
-            names, sig, side = _unit_rows(table)
+            left, right = _open_pairs(table, bounds)
+            names = table.column("cls").to_pylist()
             high, low, first = shingles([x.encode() for x in table.column("text").to_pylist()], size)
-            links, seen, found = Links(len(names)), {}, []
+            order, fresh = equal_runs(high, low)
+            ids = np.empty(len(high), np.int64)
+            ids[order] = np.cumsum(fresh) - 1
+            links, seen, found, sizes = Links(len(names)), {}, [], np.diff(first)
             for i, root in enumerate(table.column("root").to_pylist()):
                 links.join(seen.setdefault(root, i), i)
-            left, right, matches = surviving_pairs(sig, side, bounds)
-            for k in np.argsort(-matches, kind="stable").tolist():
-                i, j = int(left[k]), int(right[k])
-                n, m = int(first[i + 1] - first[i]), int(first[j + 1] - first[j])
-                if 100 * min(n, m) >= similarity * max(n, m) and links.root(i) != links.root(j) and similar(n, m, common(high, low, first, i, j), similarity):
-                    links.join(i, j)
-                    found.append((names[i], names[j]))
+            marked = np.zeros(len(high) + 1, bool)
+            for i in np.unique(left).tolist():
+                mine = ids[first[i] : first[i + 1]]
+                marked[mine] = True
+                both = np.add.reduceat(marked[ids], first[:-1], dtype=np.int64)
+                marked[mine] = False
+                others = right[left == i]
+                for j in others[100 * both[others] >= similarity * (sizes[i] + sizes[others] - both[others])].tolist():
+                    if links.join(i, j):
+                        found.append((names[i], names[j]))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
     width = _base.shuffle_width(rows.sparkSession)
-    return rows.repartition(width, "name").sortWithinPartitions("name", "cls").mapInArrow(run, "a binary, b binary")
+    return rows.select(*OPEN, "text").repartition(width, "name").sortWithinPartitions("name", "cls").mapInArrow(run, "a binary, b binary")
 
 
 def linked_classes(docs: DataFrame, classes: DataFrame, size: int, similarity: int = SIMILARITY, miss: float = MISS, block: int = BLOCK) -> DataFrame:
