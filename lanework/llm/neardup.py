@@ -128,26 +128,26 @@ def signatures(docs: DataFrame, size: int = SHINGLE, doc_id: str = "doc_id", tex
 
 
 def bucketed(classes: DataFrame, block: int) -> DataFrame:
-    """(band, cls, sig, bands, blocks, mine) of the bands that more than one class has: how many blocks, and which a class is in."""
+    """(band, cls, blocks, mine) of the bands that more than one class has: how many blocks, and which a class is in."""
     bands = classes.select("cls", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = bands.join(shared, "band").join(classes.select("cls", "sig", "bands"), "cls")
-    return rows.withColumn("mine", F.pmod(F.xxhash64("cls", F.lit(11)), F.col("blocks")).cast("int"))
+    return bands.join(shared, "band").withColumn("mine", F.pmod(F.xxhash64("cls", F.lit(11)), F.col("blocks")).cast("int"))
 
 
-def led_units(rows: DataFrame) -> DataFrame:
+def led_units(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """(unit, side, cls, sig): each block's own rows (side 1), and the bucket's leaders from other blocks (side 0)."""
-    own = rows.select(F.struct("band", F.col("mine").alias("i"), F.lit(0).alias("v")).alias("unit"), F.lit(1).alias("side"), "cls", "sig")
+    own = rows.select(F.struct("band", F.col("mine").alias("i"), F.lit(0).alias("v")).alias("unit"), F.lit(1).alias("side"), "cls")
     first = Window.partitionBy("band").orderBy(F.xxhash64("cls", F.lit(17)), "cls")
     leaders = rows.where("blocks > 1").withColumn("place", F.row_number().over(first)).where(F.col("place") <= LEADERS)
     leaders = leaders.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("i <> mine")
-    return own.unionByName(leaders.select(F.struct("band", "i", F.lit(0).alias("v")).alias("unit"), F.lit(0).alias("side"), "cls", "sig"))
+    every = own.unionByName(leaders.select(F.struct("band", "i", F.lit(0).alias("v")).alias("unit"), F.lit(0).alias("side"), "cls"))
+    return every.join(classes.select("cls", "sig"), "cls")
 
 
-def visited_units(rows: DataFrame, unsettled: DataFrame, block: int) -> DataFrame:
+def visited_units(rows: DataFrame, classes: DataFrame, unsettled: DataFrame, block: int) -> DataFrame:
     """(unit, side, cls, sig, bands, root) of the unsettled bands, and of bands of several blocks with more than one component: each block with the classes outside the band's largest component as visitors (side 0), in parts of bounded size.
 
-    rows: bucketed rows with root.
+    rows: bucketed rows with root. Signatures join what is left of them.
     """
     sizes = rows.groupBy("band", "root").agg(F.count("*").alias("n"), F.first("blocks").alias("b"))
     bands = sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), (F.sum("n") - F.max("n")).alias("others"), F.count("*").alias("roots"), F.first("b").alias("b"))
@@ -157,8 +157,9 @@ def visited_units(rows: DataFrame, unsettled: DataFrame, block: int) -> DataFram
     own = rows.withColumn("v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"i": F.col("mine"), "side": F.lit(1)})
     visitors = rows.where("root <> largest and blocks > 1").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("i <> mine")
     visitors = visitors.withColumns({"v": F.pmod(F.xxhash64("cls", F.lit(13)), F.col("parts")).cast("int"), "side": F.lit(0)})
-    kept = ("band", "i", "v", "side", "cls", "sig", "bands", "root")
-    return own.select(*kept).unionByName(visitors.select(*kept)).withColumn("unit", F.struct("band", "i", "v"))
+    kept = ("band", "i", "v", "side", "cls", "root")
+    every = own.select(*kept).unionByName(visitors.select(*kept)).join(classes.select("cls", "sig", "bands"), "cls")
+    return every.withColumn("unit", F.struct("band", "i", "v"))
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -353,7 +354,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame, size: int, similarity: i
     """
     bounds = keep_at(miss, similarity / 100)
     rows = bucketed(classes, block)
-    spanning = _base.save(spanning_pairs(led_units(rows), bounds), "spanning")
+    spanning = _base.save(spanning_pairs(led_units(rows, classes), bounds), "spanning")
     pairs = spanning.select("a", "b").distinct()
     sizes = lambda c: classes.select(F.col("cls").alias(c), F.col("n_shingles").alias(f"n_{c}"))
     pairs = pairs.join(sizes("a"), "a").join(sizes("b"), "b").where(100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).select("a", "b")
@@ -369,7 +370,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame, size: int, similarity: i
     for old in (pairs, texts, spanning):
         _base.release(old)
     placed = rows.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    rows = _base.save(open_rows(visited_units(placed, unsettled, block), bounds), "open")
+    rows = _base.save(open_rows(visited_units(placed, classes, unsettled, block), bounds), "open")
     if rows.isEmpty():
         return roots
     texts = _base.save(class_texts(docs, classes, rows.select("cls").distinct()), "texts")
