@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanework.llm import ann, bpe, html_text, neardup, packing, secrets, substring, tiff, toxicity, warc
+from lanework.llm import ann, bpe, html_text, neardup, packing, runs, secrets, substring, tiff, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op11_minimizer_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(runs.find_runs(table(spark, sf_dir, "documents"), places=runs.repeated_tail))
+
+
 QUERIES = {
     "op1_html_blocks": op1_html_blocks,
     "op2_pack_least_squares": op2_pack_least_squares,
@@ -72,6 +76,7 @@ QUERIES = {
     "op8_minhash_bayes": op8_minhash_bayes,
     "op9_secret_trigrams": op9_secret_trigrams,
     "op10_bpe_tree": op10_bpe_tree,
+    "op11_minimizer_runs": op11_minimizer_runs,
 }
 
 
@@ -88,7 +93,28 @@ def _spans_sql(kind: str, order: int, pattern: str, group: int, least: int) -> s
     """
 
 
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text by DuckDB, bit by bit."""
+    step = lambda c: f"list_reduce(range(8), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, {c})"
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT), lambda crc, x: {step('xor(crc, x)')}, 4294967295::BIGINT), 4294967295)"
+
+
 ORACLES = {
+    "op11_minimizer_runs": rf"""
+        WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, {_crc32_sql("doc_id::VARCHAR")} AS h FROM documents),
+             p AS (SELECT *, len(ws) AS n, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) END AS a, (h // 10) % 8 AS g FROM d),
+             w AS (SELECT doc_id, i, ws[1 + CASE WHEN a IS NULL OR i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g)) END] AS word, n FROM (SELECT *, unnest(range(n)) AS i FROM p)),
+             e AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+             k AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e),
+             s AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM k GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(24, 3 * q)),
+             r AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s t WHERE t.doc_id = s.doc_id AND t.q < s.q AND t.start <= s.start AND t.start + t.length >= s.start + s.length)),
+             m AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines FROM r GROUP BY doc_id),
+             b AS (SELECT doc_id, start, length, q AS period FROM r WHERE NOT EXISTS (SELECT 1 FROM r t WHERE t.doc_id = r.doc_id AND (t.length * r.q > r.length * t.q OR (t.length * r.q = r.length * t.q AND (t.start < r.start OR (t.start = r.start AND t.q < r.q)))))),
+             g AS (SELECT DISTINCT doc_id, unnest(range(start + q, start + length)) AS i FROM r),
+             c AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM w ANTI JOIN g USING (doc_id, i) GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, (1000 * length) // period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+        FROM documents LEFT JOIN m USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id)
+    """,
     "op8_minhash_bayes": r"""
         WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
              w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM d),
