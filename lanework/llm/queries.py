@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanework.llm import ann, bpe, html_text, neardup, packing, runs, secrets, substring, tiff, toxicity, warc
+from lanework.llm import ann, bpe, conversations, html_text, neardup, packing, runs, secrets, simhash, substring, tiff, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,15 @@ def op11_minimizer_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_digests(runs.find_runs(table(spark, sf_dir, "documents"), places=runs.repeated_tail))
 
 
+def op12_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), size=4).drop("kept")
+
+
+def op13_repair_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.repair_digests(rows, conversations.damaged(rows))
+
+
 QUERIES = {
     "op1_html_blocks": op1_html_blocks,
     "op2_pack_least_squares": op2_pack_least_squares,
@@ -77,6 +86,8 @@ QUERIES = {
     "op9_secret_trigrams": op9_secret_trigrams,
     "op10_bpe_tree": op10_bpe_tree,
     "op11_minimizer_runs": op11_minimizer_runs,
+    "op12_simhash_pivots": op12_simhash_pivots,
+    "op13_repair_blocks": op13_repair_blocks,
 }
 
 
@@ -99,7 +110,44 @@ def _crc32_sql(text: str) -> str:
     return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT), lambda crc, x: {step('xor(crc, x)')}, 4294967295::BIGINT), 4294967295)"
 
 
+def _repair_step_sql(q: int) -> str:
+    """Cheapest (cost, audit, lines) behind a row in state q, of what stood before it: a state kept by a deletion, or reached by the row kept or made user or assistant."""
+    late, able = "CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END", "fault NOT IN ('blank', 'duplicate')"
+    put = lambda p, cost, letter, role: f"{{'c': p.s{p}.c + CASE WHEN {able} THEN {cost} + {late} ELSE 1000000 END, 'a': p.s{p}.a || '{letter}', 't': list_append(p.s{p}.t, {role} || ':' || text)}}"
+    keep = lambda p, x: put(p, f"CASE WHEN x = '{x}' THEN 0 ELSE 1000000 END", "K", "role")
+    options = [f"{{'c': p.s{q}.c + 2, 'a': p.s{q}.a || 'D', 't': p.s{q}.t}}"]
+    options += [keep(0, "s")] if q == 1 else []
+    options += [o for p in (0, 1, 3) for o in (keep(p, "u"), put(p, "1", "R", "'user'"))] if q == 2 else []
+    options += [keep(2, "a"), put(2, "1", "R", "'assistant'")] if q == 3 else []
+    return f"least({', '.join(options)})" if len(options) > 1 else options[0]
+
+
+def _inserted_sql(state: str, role: str) -> str:
+    return f"{{'c': {state}.c + 5, 'a': {state}.a || 'I', 't': list_append({state}.t, '{role}:')}}"
+
+
 ORACLES = {
+    "op13_repair_blocks": rf"""
+        WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32_sql("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS h FROM conversations),
+             dam AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                            unnest(CASE WHEN h = 3 THEN [1, 2] ELSE [1] END) AS copy FROM src WHERE h <> 0),
+             o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+                          row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen, left(role, 1) AS x FROM dam),
+             f AS (SELECT *, lag(x) OVER (PARTITION BY conv_id ORDER BY i) AS before, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+                          WHEN regexp_matches(text, '[^.!? 	-][ 	-]*$') THEN 'truncated' ELSE '' END AS fault FROM o),
+             p AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': '', 't': []::VARCHAR[]}} AS s0, {{'c': 1000000, 'a': '', 't': []::VARCHAR[]}} AS s1, {{'c': 5, 'a': 'I', 't': ['user:']}} AS s2, {{'c': 10, 'a': 'II', 't': ['user:', 'assistant:']}} AS s3 FROM f
+                   UNION ALL
+                   SELECT conv_id, i, n0, n1, m2, least(n3, {_inserted_sql("m2", "assistant")}) FROM
+                   (SELECT *, least(n2, {_inserted_sql("n0", "user")}, {_inserted_sql("n1", "user")}, {_inserted_sql("n3", "user")}) AS m2 FROM
+                   (SELECT f.conv_id, f.i, {", ".join(f"{_repair_step_sql(q)} AS n{q}" for q in range(4))} FROM p JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i + 1))),
+             c AS (SELECT conv_id, least(s0, s3) AS best FROM p JOIN (SELECT conv_id AS id, max(i) AS n FROM f GROUP BY conv_id) ON id IS NOT DISTINCT FROM conv_id AND p.i = n),
+             g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                          count(*) FILTER (before IS NOT NULL AND before || x NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+             ids AS (SELECT DISTINCT conv_id FROM conversations)
+        SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(best.t, chr(10)), '')) AS repaired_sha256
+        FROM ids LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM ids.conv_id
+    """,
     "op11_minimizer_runs": rf"""
         WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, {_crc32_sql("doc_id::VARCHAR")} AS h FROM documents),
              p AS (SELECT *, len(ws) AS n, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) END AS a, (h // 10) % 8 AS g FROM d),
