@@ -66,31 +66,93 @@ def diff_sources(entries: DataFrame) -> DataFrame:
     return _told(seen, ["identity_key", "playlist_url"], (new & _fed(-1), F.col("n"), "SOURCE+"), (gone & _fed(1), F.col("n") + 1, "SOURCE-"))
 
 
-def diff_updates(entries: DataFrame) -> DataFrame:
-    """(identity_key, playlist_url, n, details): what changed in a feed's catalog since the scan before, if both have it.
+#: What a feed's catalog is compared by: the words of an update, and the column that they tell of.
+COMPARED = {"Event": "entry_title", "Group": "group_title", "TVG": "tvg_name", "Candidate states": "state"}
 
-    Titles, groups, names and states of its rows are compared as sorted sets. A feed whose overall state changed has a row
-    without a catalog, unless a catalog's states changed at that scan, which says it already.
+
+def summary(entries: DataFrame, *more: Column) -> DataFrame:
+    """(scan_id, identity_key, playlist_url, entry_title, group_title, tvg_name, state, works): what a scan says of each feed's catalogs.
+
+    Titles, groups, names and states are sorted sets, as text; '-' if there is none. More aggregates may follow.
     """
-    parts = {"Event": "entry_title", "Group": "group_title", "TVG": "tvg_name", "Candidate states": "state"}
     rows = entries.withColumn("state", identity.state_of(entries))
     text = lambda c: F.coalesce(F.nullif(F.array_join(F.array_sort(F.collect_set(F.nullif(F.col(c), F.lit("")))), " / "), F.lit("")), F.lit("-"))
     works = (F.max(F.when(F.col("state") == "WORKING", 1).otherwise(0)) == 1).alias("works")
-    seen = numbered(rows.groupBy("scan_id", "identity_key", "playlist_url").agg(*(text(c).alias(c) for c in parts.values()), works)).repartition("identity_key")
+    return rows.groupBy("scan_id", "identity_key", "playlist_url").agg(*(text(c).alias(c) for c in COMPARED.values()), works, *more)
+
+
+def _with_details(seen: DataFrame) -> DataFrame:
+    """seen with details, what changed since the scan before, and state_changed. A catalog that the scan before does not have has neither."""
     own = Window.partitionBy("identity_key", "playlist_url").orderBy("n")
     follows = F.lag("n").over(own) == F.col("n") - 1
-    was = {c: F.lag(c).over(own) for c in parts.values()}
-    changed = [F.when(follows & (was[c] != F.col(c)), F.concat(F.lit(f"{label} "), was[c], F.lit(" -> "), F.col(c))) for label, c in parts.items()]
-    seen = seen.withColumns({"details": F.concat_ws("; ", *changed), "state_changed": F.coalesce(follows & (was["state"] != F.col("state")), F.lit(False))})
+    was = {c: F.lag(c).over(own) for c in COMPARED.values()}
+    changed = [F.when(follows & (was[c] != F.col(c)), F.concat(F.lit(f"{label} "), was[c], F.lit(" -> "), F.col(c))) for label, c in COMPARED.items()]
+    return seen.withColumns({"details": F.concat_ws("; ", *changed), "state_changed": F.coalesce(follows & (was["state"] != F.col("state")), F.lit(False))})
+
+
+#: Said of a feed of which ``works`` differs from the scan before.
+TURNED = ("Identity state UNUSABLE -> AVAILABLE", "Identity state AVAILABLE -> UNUSABLE")
+
+
+def diff_updates(entries: DataFrame) -> DataFrame:
+    """(identity_key, playlist_url, n, details): what changed in a feed's catalog since the scan before, if both have it.
+
+    Titles, groups, names and states of its rows are compared as sorted sets. A feed whose overall state changed has a row
+    without a catalog, unless a catalog's states changed at that scan, which says it already.
+    """
+    seen = _with_details(numbered(summary(entries)).repartition("identity_key"))
     updates = seen.where("details <> ''").select("identity_key", "playlist_url", "n", "details")
     feeds = seen.groupBy("identity_key", "n").agg(F.bool_or("works").alias("works"), F.bool_or("state_changed").alias("told"))
     feed = Window.partitionBy("identity_key").orderBy("n")
     turned = (F.lag("n").over(feed) == F.col("n") - 1) & (F.lag("works").over(feed) != F.col("works")) & ~F.col("told")
-    said = F.concat(F.lit("Identity state "), F.when(F.col("works"), "UNUSABLE -> AVAILABLE").otherwise("AVAILABLE -> UNUSABLE"))
+    said = F.when(F.col("works"), TURNED[0]).otherwise(TURNED[1])
     states = feeds.select("identity_key", F.lit(None).cast("string").alias("playlist_url"), "n", F.when(turned, said).alias("details")).where("details is not null")
     return updates.unionByName(states)
 
 
+def summary_with_quality(entries: DataFrame) -> DataFrame:
+    """summary with best, the highest rank and its signature among launchable rows (null without one): all that ``all_changes`` needs of a scan."""
+    best = F.struct(identity.rank_of(entries).alias("rank"), identity.signature_of(entries).alias("signature"))
+    return summary(entries.withColumn("_best", F.when(F.col("launchable"), best)), F.max("_best").alias("best"))
+
+
+def all_changes(summaries: DataFrame) -> DataFrame:
+    """(scan_id, identity_key, playlist_url, marker, details) of every change from one scan to the next.
+
+    Markers: NEW and REMOVED feeds, SOURCE+ and SOURCE- catalogs of a feed that both scans have, UPDATE as in
+    ``diff_updates``, QUALITY+ and QUALITY- as in ``diff_quality`` (of feeds that both scans can launch). summaries: rows of
+    ``summary_with_quality``. They are dealt by feed once; all comparisons are windows over that.
+    """
+    by_scan = Window.orderBy("scan_id")  # over the distinct scans only
+    scans = summaries.select("scan_id").distinct().select("scan_id", F.row_number().over(by_scan).alias("n"), F.lead("scan_id").over(by_scan).alias("next_scan"))
+    seen = _with_details(summaries.join(scans, "scan_id").repartition("identity_key"))
+    n, here, there, nothing = F.col("n"), F.col("scan_id"), F.col("next_scan"), F.lit(None).cast("string")
+    say = lambda cond, scan, marker, details: F.when(cond, F.struct(scan.alias("at"), F.lit(marker).alias("marker"), details.alias("details")))
+    told = lambda rows, catalog, *said: rows.withColumn("_said", F.array_compact(F.array(*said))).select("identity_key", catalog.alias("playlist_url"), F.inline("_said"))
+
+    own = Window.partitionBy("identity_key", "playlist_url").orderBy("n")
+    absent = lambda window, step: ~F.coalesce((F.lag("n", 1) if step < 0 else F.lead("n", 1)).over(window) == n + step, F.lit(False))
+    catalogs = seen.withColumns({"came": absent(own, -1) & _fed(-1), "went": absent(own, 1) & _fed(1)})
+    by_catalog = told(catalogs, F.col("playlist_url"), say(F.col("came"), here, "SOURCE+", nothing), say(F.col("went"), there, "SOURCE-", nothing), say(F.col("details") != "", here, "UPDATE", F.col("details")))
+
+    feeds = seen.groupBy("identity_key", "n", "scan_id", "next_scan").agg(F.bool_or("works").alias("works"), F.bool_or("state_changed").alias("told"), F.max("best").alias("best"))
+    feed = Window.partitionBy("identity_key").orderBy("n")
+    feeds = feeds.withColumns({"came": absent(feed, -1), "went": absent(feed, 1), "was": F.lag("best").over(feed), "worked": F.lag("works").over(feed)})
+    stayed = ~F.col("came")
+    better = F.col("best.rank") > F.col("was.rank")
+    quality = F.concat(F.col("was.signature"), F.lit(" -> "), F.col("best.signature"))
+    by_feed = told(
+        feeds,
+        nothing,
+        say(F.col("came") & (n > 1), here, "NEW", nothing),
+        say(F.col("went") & there.isNotNull(), there, "REMOVED", nothing),
+        say(stayed & (F.col("works") != F.col("worked")) & ~F.col("told"), here, "UPDATE", F.when(F.col("works"), TURNED[0]).otherwise(TURNED[1])),
+        say(stayed & better, here, "QUALITY+", quality),
+        say(stayed & ~better & (F.col("best.signature") != F.col("was.signature")), here, "QUALITY-", quality),
+    )
+    return by_catalog.unionByName(by_feed).select(F.col("at").alias("scan_id"), "identity_key", "playlist_url", "marker", "details")
+
+
 def best_per_scan(entries: DataFrame) -> DataFrame:
     rows = entries.where("launchable").withColumns({"rank": identity.rank_of(entries), "signature": identity.signature_of(entries)})
     return numbered(rows.groupBy("scan_id", "identity_key").agg(F.max(F.struct("rank", "signature")).alias("best")))

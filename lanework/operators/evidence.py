@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanework.sources.shared import shared_path
+from lanework.sources.shared import delete, stored
 
 #: A shorter text says the same as a longer one that holds it only if it has this many characters.
 CONTAINED = 8
@@ -54,32 +54,28 @@ def value_clusters(rows: DataFrame, keys: list[str]) -> DataFrame:
     task. Only the number of changed labels reaches the driver.
     """
     spark = rows.sparkSession
-    links = _stored(_links(rows, keys), "links")
-    labels = _stored(rows.select(*keys, F.explode("values").alias("value")).distinct().withColumn("cluster", F.col("value")), "labels")
+    links = stored(_links(rows, keys), "links")
+    labels = stored(rows.select(*keys, F.explode("values").alias("value")).distinct().withColumn("cluster", F.col("value")), "labels")
     while True:
         heard = links.join(labels.withColumnRenamed("value", "a"), [*keys, "a"]).groupBy(*keys, F.col("b").alias("value")).agg(F.min("cluster").alias("heard"))
         near = labels.join(heard, [*keys, "value"], "left").withColumn("next", F.least("cluster", "heard"))
         further = labels.select(*keys, F.col("value").alias("next"), F.col("cluster").alias("jump"))
         moved = near.join(further, [*keys, "next"], "left").select(*keys, "value", F.least("next", "jump").alias("cluster"), (F.least("next", "jump") != F.col("cluster")).alias("changed"))
-        moved = _stored(moved, "labels")
+        before, moved = labels, stored(moved, "labels")
         labels = moved.drop("changed")
-        if not moved.where("changed").limit(1).count():
+        delete(before)
+        if moved.where("changed").isEmpty():
+            delete(links)
             return labels
 
 
-def _stored(rows: DataFrame, tag: str) -> DataFrame:
-    path = shared_path(rows.sparkSession, tag)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def conflict_clusters(entries: DataFrame, keys: tuple[str, ...] = ("identity_key",)) -> DataFrame:
     """(keys, cluster, n_rows, sources): rows of a feed that describe one event; a row without metadata is its own cluster.
 
     entries: (keys, playlist_url, entry_index, entry_title, tvg_name). sources counts different catalogs with a name.
     """
     keys = list(keys)
-    rows = _stored(entries.select(*keys, "playlist_url", "entry_index", metadata_values(F.col("entry_title"), F.col("tvg_name")).alias("values")), "rows")
+    rows = stored(entries.select(*keys, "playlist_url", "entry_index", metadata_values(F.col("entry_title"), F.col("tvg_name")).alias("values")), "rows")
     named = rows.where(F.size("values") > 0)
     labels = value_clusters(named, keys)
     placed = named.withColumn("value", F.col("values")[0]).join(labels, [*keys, "value"])

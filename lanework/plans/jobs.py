@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanework.operators import apply, manifests
+from lanework.functions import states
+from lanework.operators import apply, changes, manifests, ownership
 from lanework.plans import carriers, catalog
 from lanework.plans.carriers import EVENTS_SQL, HEIGHTS, RATES, _case
+from lanework.sources.shared import shared_path, stored
 from lanework.streaming import jobs
 
 QUERIES: dict = {}
@@ -97,6 +99,64 @@ def stream_latest_status(spark, sf_dir):
     return jobs.drain(jobs.latest_status(event_stream(spark, sf_dir)), "update", "status", ("session_id", "identity_key"))
 
 
-@query("stream_registry", None)
+#: The claims that find room, session by session, carried from claim to claim; then the machine, in which a claim without room has no effect.
+_LIMITED = catalog._DECIDED.replace(
+    "RECURSIVE v AS (SELECT *,",
+    f"""RECURSIVE ev AS ({EVENTS_SQL}),
+    cl AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS k, coalesce((SELECT min(f.seq) FROM ev f WHERE f.session_id = c.session_id AND f.identity_key = c.identity_key AND f.seq > c.seq AND f.op = 'transition'
+                  AND f.new_state IN ({catalog._NAMES(states.FINAL)}) AND coalesce(f.worker_pid, 1) > 0), 9000000000000000000) AS ends FROM ev c WHERE op = 'claim'),
+    ad AS (SELECT session_id, 0::BIGINT AS k, []::BIGINT[] AS live, []::VARCHAR[] AS taken, NULL::BIGINT AS seq, false AS granted FROM (SELECT DISTINCT session_id FROM ev)
+           UNION ALL
+           SELECT session_id, k, CASE WHEN ok THEN list_append(live, ends) ELSE live END, CASE WHEN ok THEN list_append(taken, identity_key) ELSE taken END, seq, ok
+           FROM (SELECT cl.session_id, cl.k, cl.seq, cl.ends, cl.identity_key, list_filter(ad.live, lambda x: x > cl.seq) AS live, ad.taken, NOT list_contains(ad.taken, cl.identity_key) AND len(list_filter(ad.live, lambda x: x > cl.seq)) < {states.CAPACITY} AS ok
+                 FROM ad JOIN cl ON cl.session_id = ad.session_id AND cl.k = ad.k + 1)),
+    v AS (SELECT *, EXISTS (FROM ad WHERE ad.session_id = e0.session_id AND ad.seq = e0.seq AND ad.granted) AS granted,""",
+).replace(f"FROM ({EVENTS_SQL})),\n    m AS", "FROM ev e0),\n    m AS").replace("v.new_state AS to_state, v.worker_pid,", "v.new_state AS to_state, v.worker_pid, v.granted,").replace("CASE WHEN m.state IS NULL THEN '' ELSE 'claimed already' END", "CASE WHEN m.state IS NOT NULL THEN 'claimed already' WHEN v.granted THEN '' ELSE 'no capacity' END")
+_LIMITED_SQL = f"WITH {_LIMITED} SELECT session_id, identity_key, seq, ev.new_state, reason FROM d JOIN ev USING (session_id, identity_key, seq)"
+
+
+@query("registry_within", _LIMITED_SQL)
+def registry_within(spark, sf_dir):
+    return jobs.logged(ownership.decide_within(carriers.events(spark, sf_dir)))
+
+
+@query("stream_registry", _LIMITED_SQL)
 def stream_registry(spark, sf_dir):
-    return jobs.drain(jobs.registry(event_stream(spark, sf_dir)), "append", "registry")
+    return jobs.run_registry(event_stream(spark, sf_dir))
+
+
+def _change_sql() -> str:
+    """The single diffs, put together; each keeps its own SQL."""
+    parts = {name: catalog.ORACLES[name] for name in ("diff_identities", "diff_sources", "diff_updates")}
+    quality = f"WITH {catalog._BEST} SELECT * FROM q WHERE marker IS NOT NULL"
+    return f"""
+        WITH sc AS (SELECT scan_id, row_number() OVER (ORDER BY scan_id) AS n FROM (SELECT DISTINCT scan_id FROM ({carriers.KEYED_SQL}))),
+             c AS (SELECT identity_key, NULL AS playlist_url, n, marker, NULL AS details FROM ({parts["diff_identities"]})
+                   UNION ALL SELECT identity_key, playlist_url, n, marker, NULL FROM ({parts["diff_sources"]})
+                   UNION ALL SELECT identity_key, playlist_url, n, 'UPDATE', details FROM ({parts["diff_updates"]})
+                   UNION ALL SELECT identity_key, NULL, n, marker, was || ' -> ' || "is" FROM ({quality}))
+        SELECT scan_id, identity_key, playlist_url, marker, details FROM c JOIN sc USING (n)"""
+
+
+@query("all_changes", _change_sql())
+def all_changes(spark, sf_dir):
+    return changes.all_changes(changes.summary_with_quality(catalog.keyed(spark, sf_dir)))
+
+
+#: Arrivals of the history that the stream is fed: each brings a third of the range of scans.
+ARRIVALS = 3
+
+
+@query("change_stream", _change_sql())
+def change_stream(spark, sf_dir):
+    """The history of all scans, arriving part by part, each in a batch of its own."""
+    rows = catalog.keyed(spark, sf_dir)
+    landed, scans, log, place = (shared_path(spark, f"changes-{x}") for x in ("landed", "scans", "log", "state"))
+    span = rows.agg(F.min("scan_id").alias("low"), F.max("scan_id").alias("high"))
+    part = F.floor((F.col("scan_id") - F.col("low")) * ARRIVALS / (F.col("high") - F.col("low") + 1))
+    parts = stored(rows.join(F.broadcast(span), F.lit(True)).withColumn("_part", part).drop("low", "high"), "history")  # span is one row
+    for k in range(ARRIVALS):
+        parts.where(F.col("_part") == k).drop("_part").write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(rows.schema).parquet(landed)
+        jobs.full_change_stream(stream, scans, log).trigger(availableNow=True).option("checkpointLocation", place).start().awaitTermination()
+    return jobs.logged_changes(spark, log)

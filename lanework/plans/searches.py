@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanework.functions import policy
-from lanework.operators import display, evidence, headers, manifests, match, scope
+from lanework.operators import display, evidence, headers, manifests, match, phrases, scope
 from lanework.plans import catalog
 from lanework.plans.carriers import KEYED_SQL, NOW, _case
 from lanework.plans.catalog import _PLACED, RANKED_SQL
@@ -345,3 +345,74 @@ def stream_transitions(spark, sf_dir):
 )
 def quality_groups(spark, sf_dir):
     return display.quality_groups(catalog.keyed(spark, sf_dir))
+
+
+#: Entries whose titles hold numbered events with and without a blank, and a saved search for every customer.
+_LISTED = """
+    SELECT l_orderkey * 8 + l_linenumber AS entry_index, CAST(floor(l_extendedprice) AS BIGINT) AS price, 'G' || {n}(l_suppkey % 25 AS {t}) AS source_group,
+           'Match' || CASE WHEN l_linenumber % 4 = 0 THEN '' ELSE ' ' END || {n}(l_partkey % 40 AS {t}) || CASE l_linenumber % 3 WHEN 0 THEN '' WHEN 1 THEN ' Live!' ELSE ': Extra-' || {n}(l_suppkey % 3 AS {t}) END AS entry_title,
+           CASE WHEN l_partkey % 4 = 0 THEN 'CH-' || {n}(l_partkey % 7 AS {t}) ELSE '' END AS tvg_name, '/live/' || {n}(l_partkey % 9 AS {t}) || '/hd' AS path
+    FROM {l}"""
+_WANTED = """
+    SELECT 't' || {n}(c_custkey AS {t}) AS name, {a}'G' || {n}(c_nationkey AS {t}), 'G' || {n}(c_custkey % 25 AS {t}){z} AS source_groups, c_custkey % 50 = 0 AS match_all,
+           CASE WHEN c_custkey % 3 = 0 THEN {a}{a}'Match ' || {n}(c_custkey % 40 AS {t}), 'match' || {n}(c_custkey % 11 AS {t}){z}, {a}'live', 'e', ''{z}{z} ELSE {a}{a}'MATCH ' || {n}(c_custkey % 40 AS {t}), 'live {slash} 3 hd'{z}{z} END AS {q}primary{q},
+           CASE WHEN c_custkey % 5 = 0 THEN {a}{a}'Match'{z}, {a}'ch-' || {n}(c_custkey % 7 AS {t}), 'extra 1'{z}{z} WHEN c_custkey % 50 = 1 THEN {a}{a}' '{z}{z} END AS required,
+           CASE WHEN c_custkey % 4 = 0 THEN {a}{a}'extra ' || {n}(c_custkey % 3 AS {t}){z}{z} END AS rejected, {a}{a}'live'{z}, {a}'ch 1', 'ch 2'{z}, {a}'3'{z}{z} AS preferred
+    FROM {c}"""
+_DUCK = {"q": '"', "n": "CAST", "t": "VARCHAR", "a": "[", "z": "]", "slash": "/"}
+_SPARK = {"q": "`", "n": "CAST", "t": "STRING", "a": "array(", "z": ")", "slash": "/"}
+_PLAIN_GROUPS = "list_filter(list_transform(coalesce({c}, []), lambda g: list_filter(list_transform(g, lambda p: trim(regexp_replace(lower(p), '[^a-z0-9]+', ' ', 'g'))), lambda p: p <> '')), lambda g: len(g) > 0)"
+_PLAIN_TARGETS = f"SELECT name AS target, source_groups, CASE WHEN match_all THEN [] ELSE {_PLAIN_GROUPS.format(c='"primary"')} END AS needed, {', '.join(f'{_PLAIN_GROUPS.format(c=c)} AS {c}' for c in ('required', 'rejected', 'preferred'))} FROM ({_WANTED.format(c='customer', **_DUCK)})"
+_PLAIN_TEXT = "trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def _all_sql(groups: str, test: str) -> str:
+    return f"len(list_filter({groups}, lambda g: len(list_filter(g, lambda p: {test})) = 0)) = 0"
+
+
+def _some_sql(groups: str, test: str) -> str:
+    return f"len(list_filter({groups}, lambda g: len(list_filter(g, lambda p: {test})) > 0))"
+
+
+_WORDED = "contains(' ' || {x} || ' ', ' ' || p || ' ')"
+
+
+def _listed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    for name in ("lineitem", "customer"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(f"lanework_{name}")
+    return spark.sql(_LISTED.format(l="lanework_lineitem", **_SPARK)), spark.sql(_WANTED.format(c="lanework_customer", **_SPARK))
+
+
+@query(
+    "match_targets",
+    f"""WITH e AS (SELECT *, {_PLAIN_TEXT.format(x="tvg_name || ' ' || entry_title")} AS text, {_PLAIN_TEXT.format(x="tvg_name || ' ' || entry_title || ' ' || path")} AS whole FROM ({_LISTED.format(l='lineitem', **_DUCK)})),
+             u AS (SELECT DISTINCT text, whole, source_group FROM e), t AS ({_PLAIN_TARGETS}),
+             m AS (SELECT text, whole, source_group, target, {_some_sql('preferred', _WORDED.format(x='text'))}::INT AS score FROM u JOIN t ON list_contains(source_groups, source_group)
+                   WHERE {_all_sql('needed', 'contains(whole, p)')} AND {_all_sql('required', _WORDED.format(x='text'))} AND {_some_sql('rejected', _WORDED.format(x='text'))} = 0)
+        SELECT entry_index, price, e.source_group, target, score FROM e JOIN m ON m.text = e.text AND m.whole = e.whole AND m.source_group = e.source_group""",
+)
+def match_targets(spark, sf_dir):
+    rows, wanted = _listed(spark, sf_dir)
+    rows = rows.withColumn("title", F.concat_ws(" ", F.nullif("tvg_name", F.lit("")), "entry_title"))
+    return phrases.match_targets(rows, wanted).select("entry_index", "price", "source_group", "target", "score")
+
+
+_AFTER_WORD = "regexp_matches({x}, '(^| )' || p || CASE WHEN regexp_matches(p, '[a-z]$') THEN '($|[ 0-9])' ELSE '($| )' END)"
+
+
+def _field_sql(field: str) -> str:
+    good = " AND ".join((f"{field} <> ''", _all_sql("needed", _AFTER_WORD.format(x=field)), _all_sql("required", _WORDED.format(x=field))))
+    return f"CASE WHEN {good} THEN {_some_sql('preferred', _WORDED.format(x=field))}::INT END"
+
+
+@query(
+    "match_channel_targets",
+    f"""WITH e AS (SELECT *, {_PLAIN_TEXT.format(x='tvg_name')} AS a, {_PLAIN_TEXT.format(x='entry_title')} AS b FROM ({_LISTED.format(l='lineitem', **_DUCK)})),
+             u AS (SELECT DISTINCT a, b, source_group FROM e), t AS ({_PLAIN_TARGETS}),
+             m AS (SELECT a, b, source_group, target, greatest({_field_sql('a')}, {_field_sql('b')}) AS score FROM u JOIN t ON list_contains(source_groups, source_group)
+                   WHERE {_some_sql('rejected', _WORDED.format(x="trim(a || ' ' || b)"))} = 0)
+        SELECT entry_index, price, e.source_group, target, score FROM e JOIN m ON m.a = e.a AND m.b = e.b AND m.source_group = e.source_group WHERE score IS NOT NULL""",
+)
+def match_channel_targets(spark, sf_dir):
+    rows, wanted = _listed(spark, sf_dir)
+    return phrases.match_channel_targets(rows, wanted).select("entry_index", "price", "source_group", "target", "score")

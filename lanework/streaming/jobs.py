@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lanework.functions import states
-from lanework.operators import changes
+from lanework.operators import changes, ownership
 from lanework.operators.evidence import CONTAINED
 from lanework.plans.ship import ship
-from lanework.sources.shared import shared_path
+from lanework.sources.shared import delete, shared_path, stored
 
 CAPACITY = states.CAPACITY
 
@@ -42,26 +43,71 @@ def step(held: dict, owned: int, op: str, identity: str, state: str, pid, capaci
     return reason, owned
 
 
-def registry(events: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Events with their reason under a capacity per session: (session_id, identity_key, seq, new_state, reason).
+class Batches:
+    """Tables of a foreachBatch job, a partition per batch number: a batch that is run again replaces its own, and reads only what earlier ones wrote."""
 
-    A session is inherently ordered, so it is one key; sessions run in parallel. Works on streams and tables alike.
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def before(self, number: int, empty: DataFrame) -> DataFrame:
+        """What the latest batch before this one wrote; ``empty`` (for its schema) if there was none."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        store = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in store.listStatus(path)] if store.exists(path) else []
+        numbers = [n for n in (int(x.split("=")[1]) for x in names if x.startswith("batch=")) if n < number]
+        return self.spark.read.schema(empty.schema).parquet(f"{self.path}/batch={max(numbers)}") if numbers else empty
+
+    def write(self, number: int, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/batch={number}")
+
+    def all(self, like: DataFrame) -> DataFrame:
+        """All batches, with their numbers in a column batch; empty if none was written."""
+        schema = StructType([*like.schema.fields, StructField("batch", IntegerType())])
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.path)
+
+    def forget(self, before: int) -> None:
+        """Delete the batches that no later one reads any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        store = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for x in store.listStatus(path) if store.exists(path) else []:
+            name = x.getPath().getName()
+            if name.startswith("batch=") and int(name.split("=")[1]) < before:
+                store.delete(x.getPath(), True)
+
+
+LOGGED = "session_id string, identity_key string, seq long, new_state string, reason string"
+REGISTRY_STATE = "session_id string, identity_key string, state string, worker long"
+
+
+def logged(rows: DataFrame) -> DataFrame:
+    """The rows of ``ownership.decide_within`` as a registry's log has them: each event with its own state and what is against it."""
+    return rows.select("session_id", "identity_key", "seq", F.col("asked").alias("new_state"), "reason")
+
+
+def registry(events: DataFrame, held: str, log: str, capacity: int = CAPACITY):
+    """foreachBatch writer of events with their reason under a capacity per session, in two stages (see ``ownership``).
+
+    The log has (session_id, identity_key, seq, new_state, reason), held the feeds that were ever claimed: they block a
+    later claim of their session. Each lies in a partition per batch number. Events that come late are taken in the batch
+    that they come with. Start it with ``.start()``.
     """
-    ship(events.sparkSession)
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {}
-        owned = sum(x[0] in states.OWNED for x in held.values())
-        rows = pd.concat(list(frames)).sort_values("seq")
-        reasons = []
-        for op, identity, new, pid in zip(rows["op"], rows["identity_key"], rows["new_state"], rows["worker_pid"], strict=True):
-            reason, owned = step(held, owned, op, identity, new, None if pd.isna(pid) else int(pid), capacity)
-            reasons.append(reason)
-        state.update((json.dumps(held),))
-        yield pd.DataFrame({"session_id": key[0], "identity_key": rows["identity_key"], "seq": rows["seq"], "new_state": rows["new_state"], "reason": reasons})
+    def write(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        states_, out = Batches(batch.sparkSession, held), Batches(batch.sparkSession, log)
+        known = states_.before(number, batch.sparkSession.createDataFrame([], REGISTRY_STATE))
+        rows = ownership.decide_within(batch, capacity, known)
+        rows = stored(rows.withColumn("seq", F.col("seq").cast("long")), "decided")
+        out.write(number, logged(rows))
+        states_.write(number, ownership.held_after(rows, known).select("session_id", "identity_key", "state", F.col("worker").cast("long").alias("worker")))
+        states_.forget(number - 1)
+        delete(rows)
+        batch.unpersist()
 
-    out = "session_id string, identity_key string, seq long, new_state string, reason string"
-    return events.groupBy("session_id").applyInPandasWithState(run, out, "held string", "append", GroupStateTimeout.NoTimeout)
+    return events.writeStream.foreachBatch(write)
 
 
 def date_fetch(known: list | None, at: int, content: str, commit: int | None, generated: int | None, modified: int | None) -> list:
@@ -140,40 +186,66 @@ def transitions(verdicts: DataFrame) -> DataFrame:
 
 
 def drain(stream: DataFrame, mode: str, tag: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Run a stream over all that is there now and return what it wrote; in update mode the last row of each key."""
+    """Run a stream over all that is there now and return what it wrote; in update mode the last row of each key.
+
+    Every batch has a partition of its own, which it replaces if it runs again.
+    """
     spark = stream.sparkSession
-    out, place = shared_path(spark, f"{tag}-out"), shared_path(spark, f"{tag}-state")
+    path, place = shared_path(spark, f"{tag}-out"), shared_path(spark, f"{tag}-state")
+    out = Batches(spark, path)
+    stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", place).foreachBatch(lambda batch, number: out.write(number, batch)).start().awaitTermination()
+    written = out.all(stream)
+    if not keys:
+        return written.drop("batch")
+    rest = [c for c in written.columns if c not in (*keys, "batch")]
+    return written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("x")).select(*keys, "x.*")
+
+
+def run_registry(events: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """The log of ``registry`` over all events that are there now."""
+    spark = events.sparkSession
+    held, log, place = (shared_path(spark, f"registry-{x}") for x in ("held", "log", "state"))
+    registry(events, held, log, capacity).trigger(availableNow=True).option("checkpointLocation", place).start().awaitTermination()
+    return spark.read.schema(LOGGED).parquet(log).drop("batch")
+
+
+def _compared(scans: DataFrame, state: str, log: str, summarise: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame]):
+    """foreachBatch writer: what is summed up of each batch's scans is compared, together with that of the last scan before them."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("append").parquet(out)
+        spark = batch.sparkSession
+        kept, out = Batches(spark, state), Batches(spark, log)
+        summaries = summarise(batch)
+        last = kept.before(number, summaries.limit(0))
+        newest = last.agg(F.max("scan_id").alias("seen"))
+        fresh = summaries.join(F.broadcast(newest), F.col("seen").isNull() | (F.col("scan_id") > F.col("seen"))).drop("seen")  # newest is one row
+        both = stored(last.unionByName(fresh), "summaries")
+        out.write(number, compare(both))
+        kept.write(number, both.join(F.broadcast(both.agg(F.max("scan_id").alias("scan_id"))), "scan_id", "left_semi").select(summaries.columns))
+        kept.forget(number - 1)
+        delete(both)
 
-    stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", place).foreachBatch(write).start().awaitTermination()
-    written = spark.read.parquet(out)
-    if not keys:
-        return written.drop("_batch")
-    rest = [c for c in written.columns if c not in (*keys, "_batch")]
-    return written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("x")).select(*keys, "x.*")
+    return scans.writeStream.foreachBatch(write)
 
 
 def change_stream(scans: DataFrame, snapshot: str, log: str):
-    """foreachBatch writer: each arriving scan is compared with the stored one before it; its changes and the scan are stored.
+    """foreachBatch writer: each arriving scan is compared with the one before it; feeds that came and went are logged.
 
-    scans: (scan_id, identity_key, ...). Start it with ``.start()``. Log and snapshots lie in one partition per batch number,
-    which a replayed batch overwrites; a batch reads the latest snapshot of the batches before it and no other.
+    scans: (scan_id, identity_key, ...); ``full_change_stream`` logs all that changes. Start it with ``.start()``.
     """
+    return _compared(scans, snapshot, log, lambda batch: batch.select("scan_id", "identity_key").distinct(), changes.diff_identities)
 
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        current = batch.select("scan_id", "identity_key").distinct()
-        stored = current.limit(0)
-        path = spark._jvm.org.apache.hadoop.fs.Path(snapshot)
-        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        numbers = [int(x.getPath().getName().split("=")[1]) for x in store.listStatus(path) if "batch=" in x.getPath().getName()] if store.exists(path) else []
-        if before := [n for n in numbers if n < number]:
-            stored = spark.read.schema(current.schema).parquet(f"{snapshot}/batch={max(before)}")
-            stored = stored.join(stored.agg(F.max("scan_id").alias("scan_id")), "scan_id", "left_semi")
-        diff = changes.diff_identities(stored.unionByName(current))
-        diff.write.mode("overwrite").parquet(f"{log}/batch={number}")
-        current.write.mode("overwrite").parquet(f"{snapshot}/batch={number}")
 
-    return scans.writeStream.foreachBatch(write)
+def full_change_stream(entries: DataFrame, state: str, log: str):
+    """foreachBatch writer: the scans of each batch are compared with each other and with the last scan before them; the log is that of ``changes.all_changes``.
+
+    entries: rows as ``changes.summary_with_quality`` takes them; a scan comes whole in one batch. All that is kept is the
+    summary of the last scan: a row for each catalog of a feed. Rows of a scan that is not after the last one seen come too
+    late and are left out. Log and state lie in one partition per batch number, which a replayed batch overwrites; a batch
+    reads only what earlier ones wrote. Start it with ``.start()``.
+    """
+    return _compared(entries, state, log, changes.summary_with_quality, changes.all_changes)
+
+
+def logged_changes(spark: SparkSession, log: str) -> DataFrame:
+    return spark.read.parquet(log).select("scan_id", "identity_key", "playlist_url", "marker", "details")

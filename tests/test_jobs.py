@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lanework.functions import times
-from lanework.operators import apply, manifests
+from lanework.operators import apply, changes, manifests, ownership
 from lanework.plans import jobs as plans
 from lanework.sources import snapshots
 from lanework.streaming import jobs
@@ -86,3 +86,100 @@ def test_change_stream(spark, tmp_path):
         stream = spark.readStream.schema("scan_id int, identity_key string").parquet(str(tmp_path / "in"))
         jobs.change_stream(stream, str(tmp_path / "snap"), str(tmp_path / "log")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     assert sorted((r.identity_key, r.marker) for r in spark.read.parquet(str(tmp_path / "log")).collect()) == [("a", "REMOVED"), ("c", "NEW")]
+
+
+def fold(rows, capacity):
+    """The machine event by event, a dict of feeds for each session."""
+    held: dict = {}
+    out = {}
+    for r in rows:
+        state, owned = held.setdefault(r.session_id, ({}, [0]))
+        reason, owned[0] = jobs.step(state, owned[0], r.op, r.identity_key, r.new_state, r.worker_pid, capacity)
+        out[r.seq] = reason
+    return out
+
+
+EVENT = "session_id string, identity_key string, seq long, op string, new_state string, worker_pid int"
+
+
+def odd_events(n, seed, sessions=3, feeds=14):
+    import random
+
+    rng = random.Random(seed)
+    move = lambda: rng.choice(["RECORDING", "WAITING_FOR_SOURCE", "ENDED", "MANUALLY_STOPPED", "CRASHED", "LAUNCHING", "LOST", None])
+    return [(f"s{rng.randrange(sessions)}", f"f{rng.randrange(feeds)}", i, op, None if op == "claim" else move(), rng.choice([None, 1, 7, 0, -2])) for i in range(n) for op in [rng.choice(["claim", "claim", "bind", "transition", "transition"])]]
+
+
+def test_two_stage_admission_equals_fold(spark):
+    """Claims that come again after a refusal, ends that free a place, sessions at and under capacity."""
+    for capacity, seed in ((0, 1), (1, 2), (2, 3), (4, 4), (50, 5)):
+        events = spark.createDataFrame(odd_events(700, seed), EVENT)
+        found = {r.seq: r.reason for r in ownership.decide_within(events.repartition(5), capacity).collect()}
+        expected = fold(events.collect(), capacity)
+        assert found == expected, capacity
+        assert (capacity == 50) != ("no capacity" in expected.values())
+    assert ownership.decide_within(events.limit(0), 3).count() == 0
+
+
+def test_registry_over_batches_equals_fold(spark, tmp_path):
+    """Events in several batches, one of which runs twice: what is held is carried on, and nothing is logged twice."""
+    rows = odd_events(600, 9)
+    arrivals = [rows[:200], rows[200:230], rows[230:600]]
+    held, log = str(tmp_path / "held"), str(tmp_path / "log")
+    for i, part in enumerate(arrivals):
+        spark.createDataFrame(part, EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(EVENT).parquet(str(tmp_path / "in"))
+        jobs.registry(stream, held, log, 3).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+        if i == 1:  # the last batch is lost from the stream's own books, and so runs again
+            (tmp_path / "state" / "commits" / "1").unlink()
+            (tmp_path / "state" / "commits" / ".1.crc").unlink(missing_ok=True)
+    found = [(r.seq, r.reason) for r in spark.read.parquet(log).collect()]
+    assert len(found) == len(rows) and dict(found) == fold(spark.createDataFrame(rows, EVENT).collect(), 3)
+
+
+def test_one_session_streams_through_admission(spark):
+    """Admission keeps ends of held feeds only: a session of many claims, each a feed of its own, goes through in order."""
+    rows = spark.range(40_000).selectExpr("'s' AS session_id", "id AS seq", "concat('f', id) AS identity_key", "id + 10 AS ends", "false AS again")
+    found = ownership.admit(rows, 5)
+    # Five claims find room, then none until the first of them ends, eleven later.
+    assert [r.admitted_seq for r in found.orderBy("admitted_seq").limit(12).collect()] == [0, 1, 2, 3, 4, 11, 12, 13, 14, 15, 22, 23]
+
+
+ENTRY = "scan_id int, identity_key string, playlist_url string, entry_title string, group_title string, tvg_name string, provider string, launchable boolean, expiry double, probe_status string, access_blocked boolean, video_fps double, video_width int, video_height int, video_bitrate_bps long, video_scan_type string"
+
+
+def scan_rows(seed, scans):
+    import random
+
+    rng = random.Random(seed)
+    out = []
+    for n in scans:
+        for feed in "abcdef":
+            if rng.random() < 0.3:
+                continue
+            for catalog in ("l1", "l2", "l3"):
+                for _ in range(rng.randint(0, 2)):
+                    works = rng.random() < 0.7
+                    out.append((n, feed, catalog, rng.choice(["T", "T", "U"]), rng.choice(["G", ""]), rng.choice(["n", None]), "KHEL", works, 9e9, "working" if works else "expired", False, rng.choice([25.0, 50.0]), 1920, 1080, rng.choice([1, 2]) * 1000, "p"))
+    return out
+
+
+def test_full_change_stream_equals_batch(spark, tmp_path):
+    """Scans in batches of one and several, one batch run twice, a scan that comes too late: all markers as over the whole history."""
+    rows = scan_rows(4, range(1, 10))
+    arrivals = [[1, 2], [3], [4, 5, 6], [7], [8, 9]]
+    late = [(0, *rows[0][1:]), (3, *rows[1][1:])]
+    for i, scans in enumerate(arrivals):
+        part = [r for r in rows if r[0] in scans] + (late if i == 3 else [])
+        spark.createDataFrame(part, ENTRY).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(ENTRY).parquet(str(tmp_path / "in"))
+        jobs.full_change_stream(stream, str(tmp_path / "kept"), str(tmp_path / "log")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+        if i == 2:
+            (tmp_path / "state" / "commits" / "2").unlink()
+            (tmp_path / "state" / "commits" / ".2.crc").unlink(missing_ok=True)
+    found = sorted(map(str, map(tuple, jobs.logged_changes(spark, str(tmp_path / "log")).collect())))
+    whole = changes.all_changes(changes.summary_with_quality(spark.createDataFrame(rows, ENTRY))).collect()
+    assert found == sorted(map(str, map(tuple, whole)))
+    assert {r.marker for r in whole} == {"NEW", "REMOVED", "SOURCE+", "SOURCE-", "UPDATE", "QUALITY+", "QUALITY-"}
+    kept = spark.read.parquet(str(tmp_path / "kept"))
+    assert {r.batch for r in kept.select("batch").distinct().collect()} == {3, 4} and [r.scan_id for r in kept.where("batch = 4").select("scan_id").distinct().collect()] == [9]
