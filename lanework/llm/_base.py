@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,27 +9,38 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanework.plans.ship import ship
+from lanework.sources.shared import shared_path
 
 #: Rows, and bytes, handed to Python at once: a longer text comes alone.
 ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: ``spark.checkpoint.dir``.
-
-    Where it is unset, a session on one machine (tests) gets a folder of its own; on a cluster that is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="lanework-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+#: Scratch paths given out by this process and not deleted since, in order.
+_given: list[str] = []
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/lanework/{tag}-{uuid.uuid4().hex}"
+    _given.append(shared_path(spark, tag))
+    return _given[-1]
+
+
+def mark() -> int:
+    """Where the list of scratch paths ends now, for ``sweep``."""
+    return len(_given)
+
+
+def sweep(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Delete all scratch tables given out since the mark, but for those that the kept frames read. Nothing else may read them any more."""
+    held = {f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for df in keep for f in df.inputFiles()}
+    for name in _given[since:]:
+        if not any(h.startswith(name.split(":", 1)[-1].lstrip("/")) for h in held):
+            _delete(spark, name)
+            _given.remove(name)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def save(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
@@ -49,8 +58,7 @@ def shuffle_width(spark: SparkSession) -> int:
 def release(df: DataFrame) -> None:
     """Delete the table that ``save`` wrote for df, once nothing reads it any more."""
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, name)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -174,23 +174,24 @@ def build_index(vectors: DataFrame, neighbours: int = 10, shard: int = SHARD, de
 
 
 def greedy(x: np.ndarray, links: list[np.ndarray], query: np.ndarray, beam: int, start: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, squared distances) of the nearest found, nearest first."""
-    distance = lambda rows: ((x[rows] - query) ** 2).sum(1)
+    """(rows, distances) of the nearest found, nearest first, ties by row, which is the order of their ids. Rows as far as the beam's last one are expanded too."""
+    distance = lambda rows: np.sqrt(((x[rows] - query) ** 2).sum(1))
     seen = np.zeros(len(x), bool)
     expanded = np.zeros(len(x), bool)
     seen[start] = True
-    rows, squares = start, distance(start)
+    rows, far = start, distance(start)
     while True:
-        order = np.argsort(squares, kind="stable")[:beam]
-        rows, squares = rows[order], squares[order]
+        order = np.lexsort((rows, far))
+        order = order[: max(beam, int(np.searchsorted(far[order], far[order[min(beam, len(order)) - 1]], "right")))]
+        rows, far = rows[order], far[order]
         frontier = rows[~expanded[rows]]
         if not frontier.size:
-            return rows[:top], squares[:top]
+            return rows[:top], far[:top]
         expanded[frontier] = True
         near = np.unique(np.concatenate([links[i] for i in frontier.tolist()]))
         near = near[~seen[near]]
         seen[near] = True
-        rows, squares = np.concatenate([rows, near]), np.concatenate([squares, distance(near)])
+        rows, far = np.concatenate([rows, near]), np.concatenate([far, distance(near)])
 
 
 def search(index: DataFrame, queries: DataFrame, neighbours: int = 10, beam: int = BEAM, entries: int = ENTRIES) -> DataFrame:
@@ -212,8 +213,8 @@ def search(index: DataFrame, queries: DataFrame, neighbours: int = 10, beam: int
             links = [np.searchsorted(names, np.array(links[i] or [], np.int64)) for i in order.tolist()]
             start = _entries(links, np.unique(np.linspace(0, len(names) - 1, entries).astype(int)))
             for query, vec in zip(ask.column("query_id").to_pylist(), _matrix(ask, "query"), strict=True):
-                near, squares = greedy(x, links, vec, beam, start, neighbours + 1)
-                got = [(float(math.sqrt(s)), i) for r, s in zip(near.tolist(), squares.tolist(), strict=True) for i in ids[order[r]] if i != query]
+                near, far = greedy(x, links, vec, beam, start, neighbours + 1)
+                got = [(d, i) for r, d in zip(near.tolist(), far.tolist(), strict=True) for i in ids[order[r]] if i != query]
                 for score, i in sorted(got)[:neighbours]:
                     for name, value in zip(out, (query, i, score), strict=True):
                         out[name].append(value)

@@ -218,7 +218,9 @@ def dealt(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, int]:
     name = f"lanework_texts_{uuid.uuid4().hex}"
     writer = rows.repartition(buckets, "key", "id0").write.bucketBy(buckets, "key", "id0").sortBy("key", "id0")
     writer.option("compression", "zstd").option("path", _base.scratch(spark, "texts")).saveAsTable(name)
-    return spark.table(name), buckets
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the frame knows its files and buckets; they go with the scratch folder
+    return table, buckets
 
 
 def _levels(rows: DataFrame, buckets: int, text: str, lengths: list[int], wanted_level: int):

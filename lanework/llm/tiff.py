@@ -183,6 +183,10 @@ def write_pages(pages: list[np.ndarray], compression: int = ADOBE_DEFLATE, predi
     return bytes(out)
 
 
+#: Most bytes that a byte of a file can stand for (LZW, the highest: a code of 12 bits for 4 KB), and most of a page.
+EXPANSION, PAGE_BYTES = 4096, 1 << 30
+
+
 def directories(data: bytes) -> list[dict[int, list[int]] | str]:
     """The chain of image directories, as tag -> integers, or why one is unreadable; a loop in the chain ends it, and so does a broken link."""
     if len(data) < 8 or data[:2] not in (b"II", b"MM"):
@@ -231,13 +235,21 @@ def read_page(data: bytes, tags: dict[int, list[int]]) -> np.ndarray:
     unpack, predictor = UNPACKERS.get(tags.get(COMPRESSION, [1])[0]), tags.get(PREDICTOR, [1])[0]
     if unpack is None or predictor not in (1, 2):
         raise ValueError("unknown compression or predictor")
+    if min(width, height, samples) < 1 or height * width * samples > min(PAGE_BYTES, EXPANSION * len(data)):
+        raise ValueError(f"declared size {width} x {height} x {samples} is nothing, or more than the file can hold")
     page = np.zeros((height, width, samples), np.uint8)
     if TILE_OFFSETS in tags:
         down, across = tags[TILE_LENGTH][0], tags[TILE_WIDTH][0]
+        if min(down, across) < 1 or down * across * samples > min(PAGE_BYTES, EXPANSION * len(data)):
+            raise ValueError(f"declared tile size {across} x {down} is nothing, or more than the file can hold")
+        if len(tags[TILE_OFFSETS]) != -(-width // across) * -(-height // down):
+            raise ValueError("the tiles do not make up the page")
         places = [(i // -(-width // across) * down, i % -(-width // across) * across) for i in range(len(tags[TILE_OFFSETS]))]
         offsets, counts, shapes = tags[TILE_OFFSETS], tags[TILE_COUNTS], [(down, across)] * len(places)
     else:
         rows = min(tags.get(ROWS_PER_STRIP, [height])[0], height)
+        if rows < 1:
+            raise ValueError("strips of no rows")
         places = [(y, 0) for y in range(0, height, rows)]
         offsets, counts, shapes = tags[STRIP_OFFSETS], tags[STRIP_COUNTS], [(min(rows, height - y), width) for y, _ in places]
     for (y, x), offset, count, (h, w) in zip(places, offsets, counts, shapes, strict=True):
@@ -305,7 +317,7 @@ def read_pages(media: DataFrame, key: str = "doc_id", column: str = "media", car
     def make():
         names = ("page", "n_pages", "width", "height", "n_samples", "samples", "payload_bytes", "payload_sha256", "tail_crc32", "feature", "error")
 
-        errors = (ValueError, KeyError, IndexError, struct.error, zlib.error)
+        errors = (ValueError, KeyError, IndexError, OverflowError, ZeroDivisionError, MemoryError, struct.error, zlib.error)
 
         def read(data, i, n, tags):
             try:

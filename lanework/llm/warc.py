@@ -21,6 +21,9 @@ from lanework.llm import _base
 
 MEMBER, VERSION = b"\x1f\x8b\x08", re.compile(rb"WARC/\d+\.\d+\r\n")
 FILE_BYTES = 8 << 20
+#: A record's headers end within so many bytes.
+HEADER_BYTES = 64 << 10
+BLANK_LINE, NEXT_VERSION = b"\r\n\r\n", re.compile(rb"\r\nWARC/\d+\.\d+\r\n")
 #: A record of fewer payload bytes is stored again rather than referred to.
 REVISIT_BYTES = 1000
 DATE = "2020-01-01T00:00:00Z"
@@ -45,14 +48,37 @@ def member(data: bytes, level: int = 1) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
-    """(headers, payload, end) of the record that starts at ``at``, or what is wrong with it."""
+class Ahead:
+    """The next place of something at or after positions that never fall: the data are searched once, however many ask."""
+
+    def __init__(self, data: bytes, what: bytes | re.Pattern[bytes]):
+        self.data, self.what, self.place = data, what, -1
+
+    def after(self, at: int) -> int:
+        """The data's length if there is none."""
+        if self.place < at:
+            if isinstance(self.what, bytes):
+                place = self.data.find(self.what, at)
+            else:
+                found = self.what.search(self.data, at)
+                place = found.start() if found else -1
+            self.place = len(self.data) if place < 0 else place
+        return self.place
+
+
+def parse_record(data: bytes, at: int, blank: Ahead | None = None) -> tuple[dict[str, str], bytes, int] | str:
+    """(headers, payload, end) of the record that starts at ``at``, or what is wrong with it. blank: the data's blank lines, for many rising starts.
+
+    Headers end at the first blank line; they are bounded, and hold no version line.
+    """
     version = VERSION.match(data, at)
     if not version:
         return "no version line"
-    end = data.find(b"\r\n\r\n", version.end() - 2)
-    if end < 0:
-        return "headers do not end"
+    end = (blank or Ahead(data, BLANK_LINE)).after(version.end() - 2)
+    if end - version.end() > HEADER_BYTES or end == len(data):
+        return f"headers do not end within {HEADER_BYTES} bytes"
+    if NEXT_VERSION.search(data, version.end() - 2, end + 2):
+        return "another record begins in the headers"
     headers = {}
     for line in data[version.end() : end].decode("utf-8", "replace").split("\r\n"):
         name, colon, value = line.partition(":")
@@ -61,20 +87,37 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | st
     length = headers.get("content-length", "")
     if not re.fullmatch(r"[0-9]{1,18}", length):
         return "no content length"
-    start = end + 4
-    payload = data[start : start + int(length)]
-    if len(payload) < int(length):
+    start, stop = end + 4, end + 4 + int(length)
+    if stop > len(data):
         return "payload is cut short"
-    if data[start + len(payload) : start + len(payload) + 4] != b"\r\n\r\n":
+    if data[stop : stop + 4] != BLANK_LINE:
         return "record does not end where it says"
+    payload = data[start:stop]
     claimed = headers.get("warc-payload-digest", "")
     if headers.get("warc-type") != "revisit" and claimed.startswith("sha1:") and claimed != digest(payload):
         return "payload digest differs"
     return headers, payload, start + len(payload) + 4
 
 
+def member_begins(data: bytes, at: int) -> bool:
+    """Whether the gzip header at ``at`` comes to an end: its name and comment, if any, within 4096 bytes each."""
+    if len(data) < at + 10 or data[at + 3] & 0xE0:
+        return False
+    flags, end = data[at + 3], at + 10
+    if flags & 4:
+        end += 2 + int.from_bytes(data[end : end + 2], "little")
+    for bit in (8, 16):
+        if flags & bit:
+            end = data.find(b"\0", end, end + 4096) + 1
+            if not end:
+                return False
+    return end + 2 * (flags >> 1 & 1) <= len(data)
+
+
 def inflate(data: bytes, at: int, step: int = 1 << 14) -> tuple[bytes, int | None, str]:
     """What the member at ``at`` holds, where it ends and ""; or what inflates before it fails, None and the reason."""
+    if not member_begins(data, at):
+        return b"", None, "member header does not end"
     unpacker, parts = zlib.decompressobj(31), []
     for start in range(at, len(data), step):
         before = unpacker.copy()
@@ -112,13 +155,13 @@ def inflated_by(data: bytes, at: int, size: int, step: int = 1 << 14) -> int:
 def records_in(plain: bytes) -> tuple[list[tuple[dict[str, str] | None, bytes | None, str | None]], int]:
     """(headers, payload, None) of every record and (None, None, reason) of every gap, in order, and where the last record ends."""
     found, at, last = [], 0, 0
+    blank, version = Ahead(plain, BLANK_LINE), Ahead(plain, VERSION)
     while at < len(plain):
-        one = parse_record(plain, at)
+        one = parse_record(plain, at, blank)
         if isinstance(one, str):
             if not found or found[-1][0] is not None:
                 found.append((None, None, one))
-            version = VERSION.search(plain, at + 1)
-            at = version.start() if version else len(plain)
+            at = version.after(at + 1)
         else:
             found.append((*one[:2], None))
             at = last = one[2]
@@ -132,6 +175,7 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
     check of a member of one record is that record's own; of more records, each is judged by itself.
     """
     at, n = 0, len(data)
+    blank, version, member_start = Ahead(data, BLANK_LINE), Ahead(data, VERSION), Ahead(data, MEMBER)
     bad: tuple[int, str] | None = None
     kept: list = []  # what the damaged member at bad[0] gave before it failed
 
@@ -161,7 +205,7 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
                     resume = inflated_by(data, at, last)
                 found = []
         elif VERSION.match(data, at):
-            one = parse_record(data, at)
+            one = parse_record(data, at, blank)
             if isinstance(one, str):
                 reason = one
             else:
@@ -174,9 +218,7 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
             at = end
             continue
         bad = bad or (at, reason)
-        version = VERSION.search(data, resume)
-        next_member, next_version = data.find(MEMBER, resume), version.start() if version else -1
-        at = min([x for x in (next_member, next_version) if x >= 0], default=n)
+        at = min(member_start.after(resume), version.after(resume))
     yield from gap(n)
 
 
@@ -187,12 +229,13 @@ def plan_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
     payload on a third of all pages costs one row per task. A null page_id is smaller than any; rows that share the
     largest id all stay responses.
     """
-    rows = pages.select(pages[page_id].cast("long").alias("page_id"), pages[url].alias("url"), F.coalesce(pages[html], F.lit("")).alias("html"))
-    ids = rows.select("page_id", F.sha1(F.col("html").cast("binary")).alias("sha1"), F.octet_length("html").alias("size")).where(F.col("size") >= revisit_bytes)
+    html_or_empty = F.coalesce(pages[html], F.lit(""))
+    rows = pages.select(pages[page_id].cast("long").alias("page_id"), pages[url].alias("url"), html_or_empty.alias("html"), F.sha1(html_or_empty.cast("binary")).alias("sha1"))
+    ids = rows.select("page_id", "sha1", F.octet_length("html").alias("size")).where(F.col("size") >= revisit_bytes)
     ids = _base.save(ids, "payloads")
     keepers = ids.groupBy("sha1", "size").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1 and keeper is not null").drop("n")
     revisits = ids.join(keepers, ["sha1", "size"]).where("not page_id <=> keeper").select(F.col("page_id").alias("again"), F.col("sha1").alias("again_sha1"), F.col("keeper").alias("refers_to")).distinct()
-    mine = [F.col("page_id").eqNullSafe(F.col("again")), F.sha1(F.col("html").cast("binary")) == F.col("again_sha1")]
+    mine = [F.col("page_id").eqNullSafe(F.col("again")), F.col("sha1") == F.col("again_sha1")]
     return rows.join(revisits, mine, "left").select("page_id", "url", "html", "refers_to")
 
 

@@ -204,3 +204,17 @@ def test_recall_on_separated_clusters(spark):
     expected = brute(rows, every=31)
     hits = {(r.query_id, r.vec_id) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=31).collect()}
     assert sum((q, i) in hits for q, near in expected.items() for _, i in near) / (10 * len(expected)) >= 0.99
+
+
+def test_ties_go_to_the_smallest_ids(spark):
+    """Many vectors at one distance exactly: the ten of smallest id are returned, for every query."""
+    n = 150
+    unit = np.eye(n + 1)
+    rows = [(i, unit[i].tolist()) for i in range(1, n + 1)] + [(0, [0.0] * n + [0.0]), (1000, (-unit[n]).tolist())]
+    rows = [(i, v if any(v) else (unit[0] * 1e-9).tolist()) for i, v in rows]
+    found = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), every=100).collect()
+    got = {q: [r.vec_id for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == q] for q in (0, 100, 1000)}
+    x = {i: np.array(v) for i, v in rows}
+    for q, ids in got.items():
+        best = sorted((float(np.sqrt(((x[i] - x[q]) ** 2).sum())), i) for i in x if i != q)[:10]
+        assert ids == [i for _, i in best]

@@ -72,3 +72,42 @@ def test_odd_documents(spark, tmp_path):
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/none/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_every_column_and_row_is_kept(spark, tmp_path):
+    """Columns named like an operator's own ones, in any case of letters, come through every stage as they were; of rows of equal id and text the first in order stays."""
+    own = ["_id", "_key", "id", "key", "row", "toxicity", "toxic_spans", "TOXICITY2", "N_Words", "n_removed", "secret_spans", "kinds", "body", "c0", "_0", "_2", "kept", "cls", "component_id", "label`s"]
+    schema = "doc_id long, text string, n_chars int, tags map<string,string>, " + ", ".join(f"`{c.replace('`', '``')}` string" for c in own)
+    value = lambda d, v: [f"{c}-{d}-{v}" for c in own]
+    rows = [(d, " ".join(f"w{d}x{i}" for i in range(40)), 7, {"a": str(d)}, *value(d, v)) for d in (5, 6, 7) for v in (2, 1)]
+    rows += [rows[0], (8, "my password = hunter2hunter2 ok", 3, None, *value(8, 0)), (None, None, None, None, *[None] * len(own))]
+    sf_dir = str(tmp_path)
+    spark.createDataFrame([(5, 1, 0), (6, 1, 0), (7, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{sf_dir}/labels.parquet")
+    docs = spark.createDataFrame(rows, schema).repartition(4)
+    rest = lambda r: tuple(str(r[i]) for i in range(len(r)) if i not in (1, 2))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.schema.simpleString() == docs.schema.simpleString(), name
+        found = out.collect()
+        if name == "near_duplicates":
+            assert sorted(map(rest, found)) == sorted({rest(r) for r in rows if "-2" not in str(r[4])})
+        elif name == "toxicity":
+            assert {rest(r) for r in found} <= {rest(r) for r in rows} and len(found) == len([r for r in rows if rest(r) in {rest(x) for x in found}])
+            continue
+        else:
+            assert sorted(map(rest, found)) == sorted(map(rest, docs.collect())) and all(r.n_chars == (None if r.text is None else len(r.text)) for r in found), name
+        docs = spark.createDataFrame(found, docs.schema)
+    assert any("hunter2" not in (r.text or "") and r.doc_id == 8 for r in docs.collect())
+
+
+def test_run_leaves_only_its_last_input(spark, tmp_path):
+    from lanework.llm import _base
+
+    rows = [(i, f"some words of text number {i} " * 12, "en", "s", 1) for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    since = _base.mark()
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    left = [x for x in _base._given[since:] if "packing" not in x and "pieces" not in x]
+    assert sum("stage-" in x for x in left) >= 1 and not [x for x in left if any(t in x for t in ("texts-", "signatures", "classes", "windows"))]
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("lanework_texts")]

@@ -411,3 +411,66 @@ def test_warc_query(spark, sf_dir):
     expected = con.execute(queries.ORACLES["op5_warc_salvage"]).fetchall()
     found = queries.op5_warc_salvage(spark, sf_dir).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
     assert sorted(map(str, map(tuple, found))) == sorted(map(str, expected))
+
+
+def test_warc_salvage_is_linear():
+    """Version lines, member starts and unfinished headers without end: each byte is looked at a few times only; sound records after them are found."""
+    import time
+
+    sound = warc.record("response", "urn:page:1", "http://a", b"x" * 50)
+    for junk in (b"WARC/1.0\r\n", b"WARC/1.1\r\nA: b\r\n", warc.MEMBER, b"WARC/1.0\r\n" + b"y" * 3000 + b"\r\n"):
+        data = junk * ((2 << 20) // len(junk))
+        start = time.perf_counter()
+        found = list(warc.salvage(data + b"\r\n\r\n" + sound))
+        inner = warc.records_in(data + b"\r\n\r\n" + sound)[0]
+        assert time.perf_counter() - start < 12
+        assert [x[2]["warc-record-id"] for x in found if x[2]] == ["<urn:page:1>"] and [x[0]["warc-record-id"] for x in inner if x[0]] == ["<urn:page:1>"]
+        assert sum(x[1] for x in found) == len(data) + 4 + len(sound)
+    longest = warc.record("response", "urn:page:2", "http://a/" + "u" * (60 << 10), b"z")
+    assert [x[4] for x in warc.salvage(longest)] == [None]
+    assert "do not end" in next(warc.salvage(warc.record("response", "urn:page:2", "u" * (70 << 10), b"z")))[4]
+    assert [x[2]["warc-target-uri"] for x in warc.salvage(warc.record("response", "urn:page:3", "see WARC/1.0", b"z")) if x[2]] == ["see WARC/1.0"]
+
+
+def test_warc_salvage_of_mutated_archives():
+    rng = random.Random(8)
+    whole = b"".join(warc.member(warc.record("response", f"urn:page:{i}", "http://a", rng.randbytes(400)) * (1 + i % 2)) for i in range(6)) + warc.record("response", "urn:page:9", "http://a", b"plain")
+    for _ in range(500):
+        data = bytearray(whole)
+        for _ in range(rng.randint(1, 12)):
+            data[rng.randrange(len(data))] = rng.randrange(256)
+        if rng.random() < 0.3:
+            a = rng.randrange(len(data))
+            del data[a : a + rng.randint(1, 300)]
+        found = list(warc.salvage(bytes(data)))
+        assert sum(x[1] for x in {(x[0], x[1]): x for x in found}.values()) == len(data)
+
+
+def test_tiff_damage_costs_its_own_row(spark):
+    """Mutated and malformed files give error rows, never a failed task."""
+    rng = random.Random(3)
+    page = np.frombuffer(rng.randbytes(192 * 20), np.uint8).reshape(20, 192, 1)
+    rows = []
+    for compression, predictor, tile in tiff.FORMS[:8]:
+        whole = tiff.write_pages([page, page[:5]], compression, predictor, tile=tile)
+        for _ in range(65):
+            data = bytearray(whole)
+            for _ in range(rng.randint(1, 4)):
+                data[rng.choice((rng.randrange(len(data)), len(data) - 1 - rng.randrange(300)))] = rng.choice((0, 1, 255, rng.randrange(256)))
+            rows.append(bytes(data))
+    files = spark.createDataFrame(list(enumerate(rows)), "doc_id long, media binary")
+    found = tiff.read_pages(files, samples=False).collect()
+    assert {r.doc_id for r in found} == set(range(len(rows))) and any(r.error for r in found) and any(r.error is None for r in found)
+
+    def changed(tag, value, tile=64):
+        data = bytearray(tiff.write_pages([page], tiff.ADOBE_DEFLATE, 1, tile=tile))
+        at = struct.unpack_from("<I", data, 4)[0]
+        for i in range(struct.unpack_from("<H", data, at)[0]):
+            if struct.unpack_from("<H", data, at + 2 + 12 * i)[0] == tag:
+                struct.pack_into("<I", data, at + 10 + 12 * i, value)
+        return bytes(data)
+
+    bad = [changed(tiff.TILE_WIDTH, 0), changed(tiff.TILE_LENGTH, 0), changed(tiff.WIDTH, 400_000), changed(tiff.HEIGHT, 0), changed(tiff.TILE_LENGTH, 1 << 31), changed(tiff.ROWS_PER_STRIP, 0, None)]
+    huge = bytearray(changed(tiff.WIDTH, 400_000))
+    found = tiff.read_pages(spark.createDataFrame(list(enumerate([*bad, bytes(huge), None, b""])), "doc_id long, media binary")).collect()
+    assert len(found) == 9 and all(r.error for r in found)
