@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,31 +13,44 @@ URL = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?"
 
 def without_suffix(url: Column) -> Column:
     """The address without what follows a bar."""
-    return F.trim(F.split_part(F.trim(F.coalesce(url, F.lit(""))), F.lit("|"), F.lit(1)))
+    return F.trim(F.substring_index(F.trim(F.coalesce(url, F.lit(""))), "|", 1))
 
 
 def part(url: Column, n: int) -> Column:
     return F.regexp_extract(url, URL, n)
 
 
+#: A path's parts after scheme and host, trailing slashes apart; in the second form also a last part with a suffix.
+PATH = r"^[^:/?#]+://[^/?#]+((?:/+[^/?#]+)*)"
+PATH_BUT_LEAF = r"(?s)^[^:/?#]+://[^/?#]+((?:/+[^/?#]+)*?)(?:/+[^/?#]*\.[^./?#]+)?/*(?:[?#].*)?\z"
+
+
+def path_or_null(url: Column, drop_leaf: bool) -> Column:
+    """As canonical_path, but null instead of empty. Each value is used once, so a row costs two regular expressions, whatever the plan inlines."""
+    parts = F.regexp_extract(without_suffix(url), PATH_BUT_LEAF if drop_leaf else PATH, 1)
+    return F.nullif(F.regexp_replace(parts, "/{2,}", "/"), F.lit(""))
+
+
 def canonical_path(url: Column, drop_leaf: bool) -> Column:
     """The path without doubled slashes and, if wanted, without a last part that has a suffix; empty without scheme and host."""
-    text = without_suffix(url)
-    parts = F.filter(F.split(part(text, 3), "/"), lambda x: x != "")
-    if drop_leaf:
-        leaf = F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
-        parts = F.when(leaf.rlike(r"\.[^./]+$"), F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
-    whole = (part(text, 1) != "") & (part(text, 2) != "") & (F.size(parts) > 0)
-    return F.when(whole, F.concat(F.lit("/"), F.array_join(parts, "/"))).otherwise("")
+    return F.coalesce(path_or_null(url, drop_leaf), F.lit(""))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once; and kept out of the compiled code, which stays small enough to be compiled to the end. For what few rows need."""
+    return F.transform(F.array(value), use)[0]
 
 
 def opaque_key(url: Column) -> Column:
     """A strict key of an address without a usable path: its hash, or the text itself if it has no host."""
-    text = without_suffix(url)
-    path = F.regexp_replace(part(text, 3), "/{2,}", "/")
-    query = part(text, 4)
-    plain = F.concat(F.lower(part(text, 1)), F.lit("://"), F.lower(part(text, 2)), F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
-    return F.when((part(text, 1) != "") & (part(text, 2) != ""), F.concat(F.lit("opaque-url:"), F.sha2(plain, 256))).otherwise(F.concat(F.lit("literal:"), text))
+
+    def key(text: Column) -> Column:
+        path = F.regexp_replace(part(text, 3), "/{2,}", "/")
+        query = part(text, 4)
+        plain = F.concat(F.lower(part(text, 1)), F.lit("://"), F.lower(part(text, 2)), F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+        return F.when((part(text, 1) != "") & (part(text, 2) != ""), F.concat(F.lit("opaque-url:"), F.sha2(plain, 256))).otherwise(F.concat(F.lit("literal:"), text))
+
+    return bound(without_suffix(url), key)
 
 
 def stream_type(url: Column) -> Column:

@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 from lanework.functions import policy, quality, urls
 
 
-def identity_key(provider: Column, *url_columns: Column) -> Column:
-    """provider|lane: the first address that gives a path, else a strict key of the first address there is."""
-    paths = [F.nullif(urls.canonical_path(u, True), F.lit("")) for u in url_columns]
+def identity_key(provider: Column, *url_columns: Column, otherwise: Column | None = None) -> Column:
+    """provider|lane: the first address that gives a path, else a strict key of the first address there is, else ``otherwise``. Never null."""
+    paths = [urls.path_or_null(u, True) for u in url_columns]
     opaque = [F.when(urls.without_suffix(u) != "", urls.opaque_key(u)) for u in url_columns]
-    return F.concat(policy.provider_name(provider), F.lit("|"), F.coalesce(*paths, *opaque, F.lit("unresolved:")))
+    rest = F.lit("unresolved:") if otherwise is None else F.concat(F.lit("unresolved:"), otherwise)
+    return F.concat(policy.provider_name(provider), F.lit("|"), F.coalesce(*paths, *opaque, rest))
 
 
 def feed_identity(entries: DataFrame) -> DataFrame:
     """entries with identity_key; rows without any address are told apart by catalog and position."""
-    found = entries.withColumn("identity_key", identity_key(F.col("provider"), F.col("stream_url")))
     place = F.sha2(F.concat_ws("|", "playlist_url", F.col("entry_index").cast("string")), 256)
-    return found.withColumn("identity_key", F.when(F.col("identity_key").endswith("|unresolved:"), F.concat("identity_key", place)).otherwise(F.col("identity_key")))
+    return entries.withColumn("identity_key", identity_key(F.col("provider"), F.col("stream_url"), otherwise=F.coalesce(place, F.lit(""))))
 
 
 def persistence_key(entries: DataFrame) -> Column:
