@@ -11,11 +11,8 @@ from pyspark.sql import functions as F
 from lanework.plans.ship import ship
 
 
-def grouped_apply(rows: DataFrame, keys: list[str], order: list[str], function: Callable[[dict], dict], schema: str, on_error: Callable[[dict, Exception], dict]) -> DataFrame:
-    """rows with the columns of schema that function returns for the first member (by order) of each group.
-
-    A failing call gives on_error's result for its group. Only representatives go to Python; members are joined back.
-    """
+def representatives(rows: DataFrame, keys: list[str], order: list[str], function: Callable[[dict], dict], schema: str, on_error: Callable[[dict, Exception], dict]) -> DataFrame:
+    """(keys, the columns of schema) that function returns for the first member (by order) of each group; on_error's result where it fails."""
     ship(rows.sparkSession)
     names = [x.split()[0] for x in schema.split(",")]
     others = [c for c in rows.columns if c not in keys]
@@ -33,5 +30,12 @@ def grouped_apply(rows: DataFrame, keys: list[str], order: list[str], function:
             yield pd.DataFrame(out, columns=[*keys, *names])
 
     types = dict(rows.dtypes)
-    found = chosen.mapInPandas(run, ", ".join([*(f"`{k}` {types[k]}" for k in keys), schema]))
-    return rows.join(found, keys)
+    return chosen.mapInPandas(run, ", ".join([*(f"`{k}` {types[k]}" for k in keys), schema]))
+
+
+def grouped_apply(rows: DataFrame, keys: list[str], order: list[str], function: Callable[[dict], dict], schema: str, on_error: Callable[[dict, Exception], dict]) -> DataFrame:
+    """rows with the columns of schema that function returns for the first member (by order) of each group.
+
+    A failing call gives on_error's result for its group. Only representatives go to Python; members are joined back.
+    """
+    return rows.join(representatives(rows, keys, order, function, schema, on_error), keys)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanework.functions import states
-from lanework.operators import apply, changes, manifests, ownership
+from lanework.operators import apply, changes, intervals, manifests, ownership, probes
 from lanework.plans import carriers, catalog
 from lanework.plans.carriers import EVENTS_SQL, HEIGHTS, RATES, _case
 from lanework.sources.shared import shared_path, stored
@@ -160,3 +160,56 @@ def change_stream(spark, sf_dir):
         stream = spark.readStream.schema(rows.schema).parquet(landed)
         jobs.full_change_stream(stream, scans, log).trigger(availableNow=True).option("checkpointLocation", place).start().awaitTermination()
     return jobs.logged_changes(spark, log)
+
+
+#: Rows that ask for one thing in several ways: header names in either case, and the address under two catalogs' suffixes.
+_ASKED = """
+    SELECT 'https://src' || {n}(l_suppkey % 20 AS {t}) AS playlist_url, l_orderkey * 8 + l_linenumber AS entry_index, CAST(floor(l_extendedprice) AS BIGINT) AS price,
+           'https://cdn' || {n}(l_suppkey % 7 AS {t}) || '.test/' || {n}(l_partkey % 200 AS {t}) || '.m3u8|' || l_returnflag AS stream_url, l_partkey % 10 = 0 AS has_keys,
+           CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE {m} END AS headers, CASE WHEN l_quantity % 5 <> 0 THEN CAST({e} AS DOUBLE) END AS expiry
+    FROM {l}"""
+_AGENT, _NAME = "CASE l_suppkey % 2 WHEN 0 THEN 'a' ELSE 'b' END", "CASE l_linenumber % 2 WHEN 0 THEN 'User-Agent' ELSE 'user-agent' END"
+_ASKED_SQL = _ASKED.format(n="CAST", t="VARCHAR", e="epoch(l_shipdate)", l="lineitem", m=_AGENT)
+_ASKED_SPARK = _ASKED.format(n="CAST", t="STRING", e="unix_timestamp(l_shipdate)", l="lanework_lineitem", m=f"map({_NAME}, {_AGENT}, 'Referer', 'r')")
+
+
+@query(
+    "probe_requests",
+    f"""WITH a AS (SELECT *, split_part(stream_url, '|', 1) AS u, coalesce(headers, '-') AS h, coalesce(expiry <= {carriers.NOW}, false) AS late FROM ({_ASKED_SQL})),
+             r AS (SELECT *, first_value(entry_index) OVER w AS asked_by, first_value(expiry) OVER w AS asked_expiry, split_part(split_part(u, '/', 4), '.', 1)::BIGINT AS part FROM a WINDOW w AS (PARTITION BY u, h, has_keys ORDER BY late, playlist_url, entry_index, price)),
+             p AS (SELECT *, part % 9 = 0 AS failed, CASE WHEN part % 9 <> 0 AND part % 4 = 0 THEN {carriers.NOW} + (asked_by % 7 - 1) * 1000.0 END AS answer_expiry FROM r)
+        SELECT playlist_url, entry_index, price, CASE WHEN late OR coalesce(answer_expiry <= {carriers.NOW}, false) THEN 'expired' WHEN failed THEN 'probe_failed' WHEN part % 5 = 0 THEN 'unsupported' ELSE 'working' END AS probe_status,
+               CASE WHEN NOT failed THEN part * 10 END AS height, least(expiry, answer_expiry) AS expiry, CASE WHEN failed THEN 'no answer from ' || u ELSE '' END AS problem,
+               count(*) OVER (PARTITION BY u, h, has_keys) AS members FROM p""",
+)
+def probe_requests(spark, sf_dir):
+    def probe(row: dict) -> dict:
+        address = row["stream_url"].split("|")[0]
+        part = int(address.split("/")[3].split(".")[0])
+        if part % 9 == 0:
+            raise ValueError(f"no answer from {address}")
+        expiry = {"answer_expiry": carriers.NOW + (row["entry_index"] % 7 - 1) * 1000.0} if part % 4 == 0 else {}
+        return {"status": None if part % 5 == 0 else "working", "height": part * 10} | expiry
+
+    spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("lanework_lineitem")
+    found = probes.probe_requests(spark.sql(_ASKED_SPARK), probe, carriers.NOW, ("playlist_url", "entry_index", "price"))
+    members = found.groupBy("probe_key").agg(F.count("*").alias("members"))
+    return found.join(members, "probe_key").select("playlist_url", "entry_index", "price", "probe_status", "height", "expiry", "problem", "members")
+
+
+#: Windows of a few days from each order, some open at one side; moments are the hours at which something happened to a line.
+_WINDOWS = """SELECT o_orderkey AS name, CASE WHEN o_orderkey % 997 <> 5 THEN {d} END AS active_from, CASE WHEN o_orderkey % 1499 <> 7 THEN {d} + {k} END AS active_until FROM {o} WHERE o_orderstatus <> 'P'"""
+
+
+@query(
+    "active_at",
+    f"""WITH w AS ({_WINDOWS.format(d="o_orderdate", k="to_hours(o_orderkey % 40)", o="orders")}), m AS (SELECT DISTINCT l_shipdate + to_hours(l_linenumber % 3) AS at FROM lineitem)
+        SELECT m.at, w.name, w.active_from, w.active_until FROM m JOIN w ON (active_from IS NULL OR active_from <= m.at) AND (active_until IS NULL OR m.at < active_until)""",
+)
+def active_at(spark, sf_dir):
+    orders, lines = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem"))
+    starts, hours = F.col("o_orderdate").cast("timestamp"), F.expr("make_dt_interval(0, CAST(o_orderkey % 40 AS INT))")
+    windows = orders.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("name"), F.when(F.col("o_orderkey") % 997 != 5, starts).alias("active_from"), F.when(F.col("o_orderkey") % 1499 != 7, starts + hours).alias("active_until"))
+    moments = lines.select((F.col("l_shipdate").cast("timestamp") + F.expr("make_dt_interval(0, CAST(l_linenumber % 3 AS INT))")).alias("at")).distinct()
+    found = intervals.active_at(moments, windows)
+    return found.select(*(F.col(c).cast("timestamp_ntz") if c != "name" else F.col(c) for c in ("at", "name", "active_from", "active_until")))
