@@ -28,21 +28,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Orders of a catalog, and users of a registry: their number follows the table, their size does not.
+PER_CATALOG, PER_SESSION = 1000, 100
+
+
 @query(
     "read_catalog_documents",
-    """WITH d AS (SELECT l_suppkey % 20 AS c, string_agg('#EXTINF:-1,' || l_orderkey || '.' || l_linenumber, chr(10) ORDER BY l_orderkey, l_linenumber) || chr(10) AS text FROM (SELECT DISTINCT l_suppkey, l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey % 10 = 0) GROUP BY 1)
-       SELECT 'https://src' || k.c || '.test/list.m3u' AS url, k.c::INT AS ord, sha256(text) AS text_sha256, text IS NOT NULL AS ok, strlen(text)::BIGINT AS size_bytes
-       FROM (SELECT unnest(range(0, 25)) AS c) k LEFT JOIN d ON d.c = k.c AND k.c % 3 <> 1""",
+    f"""WITH d AS (SELECT l_orderkey // {PER_CATALOG} AS c, string_agg('#EXTINF:-1,' || l_orderkey || '.' || l_linenumber || '.' || l_suppkey, chr(10) ORDER BY l_orderkey, l_linenumber, l_suppkey) || chr(10) AS text
+                  FROM (SELECT DISTINCT l_suppkey, l_orderkey, l_linenumber FROM lineitem) GROUP BY 1),
+             k AS (SELECT c FROM d UNION ALL SELECT -1 - c FROM d)
+       SELECT 'https://src' || k.c || '.test/list.m3u' AS url, k.c AS ord, sha256(text) AS text_sha256, text IS NOT NULL AS ok, strlen(text)::BIGINT AS size_bytes
+       FROM k LEFT JOIN d ON d.c = k.c AND k.c % 3 <> 1""",
 )
 def read_catalog_documents(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0").select((F.col("l_suppkey") % 20).alias("c"), "l_suppkey", "l_orderkey", "l_linenumber").distinct()
-    line = F.concat(F.lit("#EXTINF:-1,"), F.col("l_orderkey").cast("string"), F.lit("."), F.col("l_linenumber").cast("string"))
-    listed = F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", line.alias("line"))))
+    """Catalogs that landed, those that did not, and addresses that no catalog has; every address is configured twice."""
+    rows = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / PER_CATALOG).alias("c"), "l_orderkey", "l_linenumber", "l_suppkey").distinct()
+    line = F.concat(F.lit("#EXTINF:-1,"), F.concat_ws(".", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_suppkey"))))
+    listed = F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_suppkey", line.alias("line"))))
     texts = rows.where("c % 3 <> 1").groupBy("c").agg(F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("value")).select(F.concat(F.lit("c"), F.col("c").cast("string")).alias("file"), "value")
     path = shared_path(spark, "landed")
-    texts.write.partitionBy("file").text(path)
-    known = spark.range(25).select(F.concat(F.lit("https://src"), F.col("id").cast("string"), F.lit(".test/list.m3u")).alias("url"), F.col("id").cast("int").alias("ord"), F.concat(F.lit("c"), F.col("id").cast("string")).alias("file"))
-    sources = known.unionByName(known.select("url", (F.col("ord") + 100).alias("ord"), F.lit("other").alias("file")))
+    texts.repartition("file").write.partitionBy("file").text(path)
+    names = rows.select("c").distinct().select(F.explode(F.array(F.col("c"), -1 - F.col("c"))).alias("ord"))
+    known = names.select(F.concat(F.lit("https://src"), F.col("ord").cast("string"), F.lit(".test/list.m3u")).alias("url"), "ord", F.concat(F.lit("c"), F.col("ord").cast("string")).alias("file"))
+    sources = known.unionByName(known.select("url", (F.col("ord") + 10_000_000_000).alias("ord"), F.lit("other").alias("file")))
     return snapshots.read_catalog_documents(spark, path, sources).select("url", "ord", F.sha2("text", 256).alias("text_sha256"), "ok", "size_bytes")
 
 
@@ -64,13 +72,13 @@ _WORKER = "CASE user_id % 6 WHEN 0 THEN 'null' WHEN 1 THEN 'true' WHEN 2 THEN '\
 
 @query(
     "read_registry",
-    f"""WITH u AS (SELECT DISTINCT user_id FROM events), r AS (SELECT 's' || (user_id % 4) AS session_id, 'feed' || user_id AS identity_key, {_STATE} AS state, {_WORKER.format(text="VARCHAR")} AS w, user_id % 7 <> 0 AS mine FROM u)
+    f"""WITH u AS (SELECT DISTINCT user_id FROM events), r AS (SELECT 's' || (user_id // {PER_SESSION}) AS session_id, 'feed' || user_id AS identity_key, {_STATE} AS state, {_WORKER.format(text="VARCHAR")} AS w, user_id % 7 <> 0 AS mine FROM u)
         SELECT session_id, identity_key, CASE state WHEN 'ACTIVE' THEN 'RECORDING' ELSE state END AS state, try_cast(nullif(w, 'null') AS BIGINT) AS worker_pid, true AS good FROM r WHERE state <> 'ODD' AND mine AND w NOT IN ('true', '"4"', '-4')
         UNION ALL SELECT session_id, identity_key, state, NULL, false FROM r WHERE NOT (state <> 'ODD' AND mine AND w NOT IN ('true', '"4"', '-4'))""",
 )
 def read_registry(spark, sf_dir):
     users = table(spark, sf_dir, "events").select("user_id").distinct()
-    rows = users.selectExpr("user_id % 4 AS s", "user_id", f"{_STATE} AS state", f"{_WORKER.format(text='STRING')} AS w", "CASE WHEN user_id % 7 = 0 THEN 'other' ELSE concat('feed', user_id) END AS who")
+    rows = users.selectExpr(f"user_id div {PER_SESSION} AS s", "user_id", f"{_STATE} AS state", f"{_WORKER.format(text='STRING')} AS w", "CASE WHEN user_id % 7 = 0 THEN 'other' ELSE concat('feed', user_id) END AS who")
     entry = F.concat(F.lit('"feed'), F.col("user_id").cast("string"), F.lit('": {"identity": "'), F.col("who"), F.lit('", "state": "'), F.col("state"), F.lit('", "worker_pid": '), F.col("w"), F.lit("}"))
     texts = rows.groupBy("s").agg(F.concat(F.lit('{"entries": {'), F.array_join(F.collect_list(entry), ", "), F.lit("}}")).alias("text")).select(F.concat(F.lit("s"), F.col("s").cast("string")).alias("session_id"), "text")
     good, bad = snapshots.read_registry(texts)
