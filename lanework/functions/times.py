@@ -57,14 +57,16 @@ def source_timestamp(text: Column) -> Column:
 def generated_timestamp(text: Column) -> Column:
     """Epoch seconds of the first stamp with a time in the first 80 lines that say when the text was generated or updated; else null.
 
-    A line's stamp begins at its first date and is the longest run of up to three words from there that is a stamp.
+    Every date of a line is tried in turn: its stamp is the longest run of up to three words from there that is one.
     """
     lines = F.slice(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n"), 1, 80)
     said = F.filter(lines, lambda x: x.rlike(r"(?i)\b(?:generated|updated)\b"))
+    first = lambda values: F.try_element_at(F.filter(values, lambda x: x.isNotNull()), F.lit(1))
 
-    def stamp(line: Column) -> Column:
-        words = F.split(F.regexp_extract(line, r"(\d{2,4}[-/]\d\d[-/]\d{2,4}.*)$", 1), r"\s+")
+    def stamp(start: Column) -> Column:
+        words = F.split(start, r"\s+")
         runs = [F.regexp_replace(F.array_join(F.slice(words, 1, n), " "), r"[,.;)\]]+$", "") for n in (3, 2, 1)]
         return F.coalesce(*(F.when(run.contains(":"), source_timestamp(run)) for run in runs))
 
-    return F.try_element_at(F.filter(F.transform(said, stamp), lambda x: x.isNotNull()), F.lit(1))
+    starts = lambda line: F.regexp_extract_all(line, F.lit(r"(?<!\d)(?=(\d{2,4}[-/]\d\d[-/]\d{2,4}\S*(?:\s+\S+){0,2}))"), F.lit(1))
+    return first(F.transform(said, lambda line: first(F.transform(starts(line), stamp))))

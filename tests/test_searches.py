@@ -111,3 +111,10 @@ def test_transition_stream_equals_fold(spark, sf_dir):
         held[r.user_id], usable = jobs.move(held.get(r.user_id), *searches.VERDICTS[r.event_type])
         expected[r.event_id] = (held[r.user_id][0] if held[r.user_id] else "", usable)
     assert {r.n: (r.status, r.usable) for r in searches.QUERIES["stream_transitions"](spark, sf_dir).collect()} == expected
+
+
+def test_generated_stamp_behind_a_bare_date(spark):
+    """The first date that has a time counts, wherever on its line."""
+    texts = [("# Generated 2024-01-01, updated 2024-01-02 10:00",), ("# list of 01/02/24 updated 2024-01-02 10:00:00",), ("# updated 2024-01-01\n# generated 2024-01-02 10:00 and 2024-01-03 11:00",), ("# updated 2024-13-45 99:00 or 2024-01-02T10:00:00Z",), ("# updated 2024-01-01",)]
+    found = [r[0] for r in spark.createDataFrame(texts, "t string").select(times.generated_timestamp(F.col("t"))).collect()]
+    assert found == [1704189600.0] * 4 + [None]
