@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanework.functions import states
-from lanework.operators import apply, changes, intervals, manifests, ownership, probes
+from lanework.operators import aggregate, apply, changes, identity, intervals, manifests, ownership, probes
 from lanework.plans import carriers, catalog
 from lanework.plans.carriers import EVENTS_SQL, HEIGHTS, RATES, _case
 from lanework.sources.shared import shared_path, stored
@@ -213,3 +213,29 @@ def active_at(spark, sf_dir):
     moments = lines.select((F.col("l_shipdate").cast("timestamp") + F.expr("make_dt_interval(0, CAST(l_linenumber % 3 AS INT))")).alias("at")).distinct()
     found = intervals.active_at(moments, windows)
     return found.select(*(F.col(c).cast("timestamp_ntz") if c != "name" else F.col(c) for c in ("at", "name", "active_from", "active_until")))
+
+
+@query(
+    "stream_scan_feeds",
+    f"SELECT time_bucket(INTERVAL '300 seconds', ts) AS cycle, session_id, count(*) AS n, count(DISTINCT identity_key) AS feeds FROM ({EVENTS_SQL}) GROUP BY ALL",
+)
+def stream_scan_feeds(spark, sf_dir):
+    """A cycle sees few feeds, which its sketch counts exactly."""
+    found = jobs.drain(jobs.scan_feeds(event_stream(spark, sf_dir)), "update", "feeds", ("cycle", "session_id"))
+    return found.select(F.col("cycle").cast("timestamp_ntz").alias("cycle"), "session_id", "n", "feeds")
+
+
+@query(
+    "catalog_rollup_sketched",
+    f"""SELECT provider, group_title, state, grouping_id(provider, group_title, state)::INT AS level, count(*)::BIGINT AS observations, true AS within
+        FROM ({catalog.RANKED_SQL}) GROUP BY ROLLUP (provider, group_title, state)""",
+)
+def catalog_rollup_sketched(spark, sf_dir):
+    """Estimates beside exact counts: within four standard errors everywhere."""
+    rows = catalog.keyed(spark, sf_dir)
+    keys = ["provider", "group_title", "state"]
+    exact = rows.withColumn("state", identity.state_of(rows)).rollup(*keys).agg(F.grouping_id().cast("int").alias("level"), F.count_distinct("identity_key").alias("exact"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*keys, "level")]
+    both = aggregate.catalog_rollup_sketched(rows).alias("a").join(exact.alias("b"), same)
+    within = F.abs(F.col("feeds") - F.col("exact")) <= 4 * 0.01625 * F.col("exact")
+    return both.select(*(F.col(f"a.{c}").alias(c) for c in (*keys, "level")), "observations", within.alias("within"))

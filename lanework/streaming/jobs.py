@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lanework.functions import states
-from lanework.operators import changes, ownership
+from lanework.operators import aggregate, changes, ownership
 from lanework.operators.evidence import CONTAINED
 from lanework.plans.ship import ship
 from lanework.sources.shared import delete, shared_path, stored
@@ -26,6 +26,17 @@ def scan_windows(events: DataFrame, width: str = "300 seconds", lateness: str =
     return held.agg(F.count("*").alias("n"), F.count_if(F.col("new_state") == "RECORDING").alias("recording")).select(F.col("w.start").alias("cycle"), "session_id", "n", "recording")
 
 
+def scan_feeds(events: DataFrame, width: str = "300 seconds", lateness: str = "10 minutes", size: int = aggregate.SKETCH) -> DataFrame:
+    """(cycle, session_id, n, sketch, feeds): distinct feeds per scan cycle and session, which a stream cannot count exactly.
+
+    The state of a window is one sketch (at most 2^size registers), however many feeds it sees; windows that have passed the
+    watermark go. Sketches of windows may be merged to those of longer spans by ``hll_union_agg``.
+    """
+    held = events.withWatermark("ts", lateness).groupBy(F.window("ts", width).alias("w"), "session_id")
+    found = held.agg(F.count("*").alias("n"), F.hll_sketch_agg("identity_key", size).alias("sketch"))
+    return found.select(F.col("w.start").alias("cycle"), "session_id", "n", "sketch", F.hll_sketch_estimate("sketch").alias("feeds"))
+
+
 def latest_status(events: DataFrame) -> DataFrame:
     """Newest state of each feed by sequence, whatever the order of arrival."""
     return events.groupBy("session_id", "identity_key").agg(F.max("seq").alias("seq"), F.max_by("new_state", "seq").alias("state"), F.max_by("worker_pid", "seq").alias("worker_pid"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lanework.functions import times
-from lanework.operators import apply, changes, manifests, ownership
+from lanework.operators import aggregate, apply, changes, manifests, ownership
 from lanework.plans import jobs as plans
 from lanework.sources import snapshots
 from lanework.streaming import jobs
@@ -183,3 +183,23 @@ def test_full_change_stream_equals_batch(spark, tmp_path):
     assert {r.marker for r in whole} == {"NEW", "REMOVED", "SOURCE+", "SOURCE-", "UPDATE", "QUALITY+", "QUALITY-"}
     kept = spark.read.parquet(str(tmp_path / "kept"))
     assert {r.batch for r in kept.select("batch").distinct().collect()} == {3, 4} and [r.scan_id for r in kept.where("batch = 4").select("scan_id").distinct().collect()] == [9]
+
+
+def test_sketches_stay_within_their_error(spark):
+    """Merged sketches of groups that share feeds estimate the union; a small set is counted exactly."""
+    rows = spark.range(120_000).selectExpr("concat('p', id % 3) AS provider", "concat('g', id % 7) AS group_title", "concat('f', (id * 7919) % 50000) AS identity_key")
+    found = {(r.provider, r.group_title): (r.feeds, r.observations) for r in aggregate.merged_sketches(aggregate.feed_sketches(rows, "provider", "group_title"), "provider", "group_title").collect()}
+    exact = {(r.provider, r.group_title): r.n for r in rows.rollup("provider", "group_title").agg(F.count_distinct("identity_key").alias("n")).collect()}
+    assert found.keys() == exact.keys() and found[None, None][1] == 120_000
+    assert all(abs(found[k][0] - n) <= 4 * 0.01625 * n for k, n in exact.items())
+    few = aggregate.feed_sketches(rows.where("identity_key in ('f1', 'f2', 'f3')"), "provider").selectExpr("hll_sketch_estimate(sketch) AS n").collect()
+    assert {r.n for r in few} <= {1, 2, 3}
+    assert aggregate.merged_sketches(aggregate.feed_sketches(rows.limit(0), "provider"), "provider").where("provider is not null").count() == 0
+
+
+def test_windows_of_a_stream_merge(spark, sf_dir):
+    """Sketches of the windows of a stream, merged, count the distinct feeds of the whole span."""
+    held = jobs.drain(jobs.scan_feeds(plans.event_stream(spark, sf_dir)), "update", "merge", ("cycle", "session_id"))
+    whole = held.groupBy("session_id").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n"))
+    exact = plans.carriers.events(spark, sf_dir).groupBy("session_id").agg(F.count_distinct("identity_key").alias("n"))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, exact.collect()))
