@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanework.functions import policy
-from lanework.operators import display, evidence, headers, manifests, match, phrases, scope
+from lanework.operators import display, evidence, headers, identity, manifests, match, phrases, scope
 from lanework.plans import catalog
 from lanework.plans.carriers import KEYED_SQL, NOW, _case
 from lanework.plans.catalog import _PLACED, RANKED_SQL
@@ -416,3 +416,33 @@ def _field_sql(field: str) -> str:
 def match_channel_targets(spark, sf_dir):
     rows, wanted = _listed(spark, sf_dir)
     return phrases.match_channel_targets(rows, wanted).select("entry_index", "price", "source_group", "target", "score")
+
+
+#: Addresses of pages as the links of a chain, some of them without a path that names anything, and hints.
+_LINKS = """
+    SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'sony' WHEN 1 THEN 'x' ELSE ' ' END AS provider, 'https://l' || {n}(page_id % 4 AS {t}) || '.test' AS playlist_url, page_id % 9 AS entry_index,
+           CASE WHEN page_id % 5 = 0 THEN url || '|UA=1' WHEN page_id % 5 = 1 THEN 'https://h.test/only.m3u8' END AS final_stream_url, CASE WHEN page_id % 7 = 0 THEN url || '/deep//er/x.mpd?t=1' WHEN page_id % 7 = 1 THEN ' ' END AS manifest_final_url,
+           CASE WHEN page_id % 4 = 0 THEN 'no-scheme/a/b' WHEN page_id % 4 = 1 THEN 'https://h.test?q=/a/b' END AS effective_url, CASE WHEN page_id % 6 = 0 THEN url END AS stream_url, CASE WHEN page_id % 6 = 1 THEN 'HTTPS://H.test//a.b/c/d.e' END AS raw_stream_url,
+           CASE WHEN page_id % 10 = 3 THEN ' hint' || {n}(page_id % 50 AS {t}) || ' ' END AS provider_identity_hint
+    FROM {l}"""
+_BARE = "trim(split_part(coalesce({u}, ''), '|', 1))"
+_KEPT = "list_filter(string_split(regexp_extract(" + _BARE + ", '^[^:/?#]+://[^/?#]+(/[^?#]*)', 1), '/'), lambda x: x <> '')"
+_LANE = f"(SELECT CASE WHEN len(k) > 0 THEN '/' || array_to_string(k, '/') END FROM (SELECT CASE WHEN len(p) > 0 AND regexp_matches(p[len(p)], '\\.[^./]+$') THEN p[1:len(p) - 1] ELSE p END AS k FROM (SELECT {_KEPT} AS p)))"
+_STRICT = """CASE WHEN regexp_matches(g, '^[^:/?#]+://[^/?#]+') THEN 'opaque-url:' || sha256(lower(regexp_extract(g, '^([^:/?#]+)://', 1)) || '://' || lower(regexp_extract(g, '^[^:/?#]+://([^/?#]*)', 1)) ||
+    coalesce(nullif(regexp_replace(regexp_extract(g, '^[^:/?#]+://[^/?#]*([^?#]*)', 1), '/{2,}', '/', 'g'), ''), '/') || CASE WHEN contains(g, '?') THEN '?' || split_part(split_part(g, '?', 2), '#', 1) ELSE '' END) ELSE 'literal:' || g END"""
+
+
+@query(
+    "resolved_identity",
+    f"""WITH r AS ({_LINKS.format(n="CAST", t="VARCHAR", l="pages")}),
+             a AS (SELECT *, trim(coalesce(provider_identity_hint, '')) AS hint, [{', '.join(f"{{'c': '{c}', 'v': {_LANE.format(u=c)}}}" for c in identity.ADDRESSES)}] AS lanes, [{', '.join(f"{{'c': '{c}', 'v': {_BARE.format(u=c)}}}" for c in identity.ADDRESSES)}] AS given FROM r),
+             b AS (SELECT *, list_filter(lanes, lambda x: x.v IS NOT NULL)[1] AS lane, list_filter(given, lambda x: x.v <> '')[1] AS f FROM a), d AS (SELECT *, f.v AS g FROM b)
+        SELECT page_id, CASE WHEN provider = 'sony' THEN 'SONYLIV' WHEN trim(provider) = '' THEN 'UNKNOWN' ELSE upper(provider) END || '|' ||
+               CASE WHEN lane IS NOT NULL THEN lane.v WHEN hint <> '' THEN 'provider-hint:' || sha256(hint) WHEN g IS NOT NULL THEN {_STRICT} ELSE 'unresolved:' || sha256(playlist_url || '|' || CASE WHEN entry_index = 0 THEN '' ELSE entry_index::VARCHAR END) END AS identity_key,
+               CASE WHEN lane IS NOT NULL THEN 'path' WHEN hint <> '' THEN 'provider' WHEN g IS NOT NULL THEN 'conservative' ELSE 'unresolved' END AS confidence,
+               CASE WHEN lane IS NOT NULL THEN lane.c WHEN hint <> '' THEN 'provider_identity_hint' WHEN g IS NOT NULL THEN f.c ELSE 'playlist_url' END AS named_by FROM d""",
+)
+def resolved_identity(spark, sf_dir):
+    spark.read.parquet(f"{sf_dir}/pages.parquet").createOrReplaceTempView("lanework_pages")
+    rows = spark.sql(_LINKS.format(n="CAST", t="STRING", l="lanework_pages"))
+    return identity.resolved_identity(rows).select("page_id", "identity_key", "confidence", "named_by")

@@ -8,7 +8,7 @@ import json
 from pyspark.sql import functions as F
 
 from lanework.functions import times
-from lanework.operators import display, evidence, headers, manifests, scope
+from lanework.operators import display, evidence, headers, identity, manifests, scope
 from lanework.plans import searches
 from lanework.sources import snapshots
 from lanework.streaming import jobs
@@ -118,3 +118,32 @@ def test_generated_stamp_behind_a_bare_date(spark):
     texts = [("# Generated 2024-01-01, updated 2024-01-02 10:00",), ("# list of 01/02/24 updated 2024-01-02 10:00:00",), ("# updated 2024-01-01\n# generated 2024-01-02 10:00 and 2024-01-03 11:00",), ("# updated 2024-13-45 99:00 or 2024-01-02T10:00:00Z",), ("# updated 2024-01-01",)]
     found = [r[0] for r in spark.createDataFrame(texts, "t string").select(times.generated_timestamp(F.col("t"))).collect()]
     assert found == [1704189600.0] * 4 + [None]
+
+
+def test_chain_of_identity(spark):
+    """Every link of the chain, and what each passes over."""
+    schema = "provider string, playlist_url string, entry_index int, final_stream_url string, manifest_final_url string, effective_url string, stream_url string, raw_stream_url string, provider_identity_hint string"
+    rows = [
+        ("SONY_TV", "l", 1, "https://a/x/y/f.mpd", "https://a/z/f.mpd", None, None, None, "h"),
+        (None, "l", 1, " | ", "https://a/f.mpd", "https://a/e/f", "https://a/s/f.m3u8", None, "h"),
+        ("p", "l", 1, None, None, None, "https://a/f.mpd?t=1", "https://a/r/f.m3u8|k=v", None),
+        ("p", "l", 1, None, None, "https://A//f.mpd?t=1#x", "", None, " h "),
+        ("p", "l", 1, None, "https://A//f.mpd?t=1#x", "other", None, None, " "),
+        ("p", "l", 1, None, None, None, "plain text", None, None),
+        ("p", "l", 7, None, "", None, None, None, None),
+        ("p", None, None, None, None, None, None, None, None),
+    ]
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    found = [tuple(r) for r in identity.resolved_identity(spark.createDataFrame(rows, schema)).select("identity_key", "confidence", "named_by").collect()]
+    assert found == [
+        ("SONYLIV|/x/y", "path", "final_stream_url"),
+        ("UNKNOWN|/e/f", "path", "effective_url"),
+        ("P|/r", "path", "raw_stream_url"),
+        (f"P|provider-hint:{sha('h')}", "provider", "provider_identity_hint"),
+        (f"P|opaque-url:{sha('https://a/f.mpd?t=1')}", "conservative", "manifest_final_url"),
+        ("P|literal:plain text", "conservative", "stream_url"),
+        (f"P|unresolved:{sha('l|7')}", "unresolved", "playlist_url"),
+        (f"P|unresolved:{sha('|')}", "unresolved", "playlist_url"),
+    ]
+    few = spark.createDataFrame([("p", "l", 1)], "provider string, playlist_url string, entry_index int")
+    assert identity.resolved_identity(few).first().confidence == "unresolved"
