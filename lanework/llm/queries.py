@@ -51,7 +51,8 @@ def op8_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, index=secrets.build_index(docs))
     count = lambda k: F.size(F.filter("secret_spans", lambda s: s["kind_order"] == k)).cast("long")
     rows = found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), secrets.spans_text(F.col("secret_spans")).alias("spans"), secrets.spans_text(F.filter("secret_spans", lambda s: s["kind_order"] < secrets.BASE_RULES)).alias("base"))
     return rows.withColumn("base_sha256", F.sha2(F.col("base").cast("binary"), 256)).drop("base")
@@ -133,8 +134,11 @@ ORACLES = {
                             unnest(CASE WHEN h = 3 THEN [1, 2] ELSE [1] END) AS copy FROM src WHERE h <> 0),
              o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n,
                           row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen, left(role, 1) AS x FROM dam),
-             f AS (SELECT *, lag(x) OVER (PARTITION BY conv_id ORDER BY i) AS before, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN seen > 1 THEN 'duplicate'
-                          WHEN regexp_matches(text, '[^.!? 	-][ 	-]*$') THEN 'truncated' ELSE '' END AS fault FROM o),
+             f AS (SELECT *, lag(x) OVER (PARTITION BY conv_id ORDER BY i) AS before, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+                          WHEN regexp_matches(text, '[^.!? 	-
+][ 	-
+]*$') THEN 'truncated' ELSE '' END AS fault FROM o),
              p AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': '', 't': []::VARCHAR[]}} AS s0, {{'c': 1000000, 'a': '', 't': []::VARCHAR[]}} AS s1, {{'c': 5, 'a': 'I', 't': ['user:']}} AS s2, {{'c': 10, 'a': 'II', 't': ['user:', 'assistant:']}} AS s3 FROM f
                    UNION ALL
                    SELECT conv_id, i, n0, n1, m2, least(n3, {_inserted_sql("m2", "assistant")}) FROM

@@ -4,9 +4,10 @@ From each rule's pattern the trigrams that a match must hold are derived, as alt
 candidates are the rows that stand in all postings of one of its alternatives; they are verified by the pattern itself. A
 rule with an alternative without a trigram is run over every row.
 
-``scan`` reads a row's postings off its own text and keeps them beside it, so texts do not move; an alternative's postings
-are intersected rarest first and given up at the first that the row is not in. ``build_index`` stores the postings as a
-table, and ``search_index`` intersects them there, for texts that are asked again.
+``build_index`` stores the postings as a table, ``search_index`` intersects them there, and ``scan`` with an index verifies only
+the rows it names. A row is named by a hash of its id and text: two rows of one hash are both verified, so nothing depends on
+ids being there or being different. Without an index ``scan`` reads a row's postings off its own text and keeps them beside
+it, so texts do not move.
 """
 
 from __future__ import annotations
@@ -126,22 +127,27 @@ def candidate_kinds(text: Column, rules: tuple[Rule, ...]) -> Column:
 
 
 def build_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(trigram, id, key): stored postings, a folder for each trigram that the rules ask for; key is xxhash64(doc_id, text)."""
+    """(trigram, key): stored postings of the trigrams that the rules ask for, by trigram within a file, so that a lookup skips
+    the row groups of others; key is xxhash64(doc_id, text). Null texts have no postings."""
     wanted = sorted({t for r in rules for part in trigram_query(r.pattern) or () for t in part})
-    rows = docs.select(F.col(doc_id).alias("id"), _base.text_key(doc_id, text).alias("key"), F.lower(F.col(text)).alias("low"))
+    rows = docs.select(_base.text_key(doc_id, text).alias("key"), F.lower(F.col(text)).alias("low"))
     held = F.filter(F.array(*(F.lit(t) for t in wanted)), lambda t: F.contains(F.col("low"), t)) if wanted else F.array().cast("array<string>")
-    return _base.save(rows.select(F.explode(held).alias("trigram"), "id", "key"), "postings", "trigram").select("trigram", "id", "key")
+    return _base.save(rows.select(F.explode(held).alias("trigram"), "key").sortWithinPartitions("trigram"), "postings")
 
 
 def search_index(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(id, key, kind) of the candidates in stored postings; only the folders of a rule's own trigrams are read for it."""
-    found = index.select("id", "key", F.lit("").alias("kind")).limit(0)
-    for rule in rules:
-        for trigrams in trigram_query(rule.pattern) or ():
-            mine = index.where(F.col("trigram").isin(*sorted(trigrams))).distinct()
-            met = mine.groupBy("id", "key").agg(F.count("*").alias("n")).where(F.col("n") == len(trigrams))
-            found = found.unionByName(met.select("id", "key", F.lit(rule.kind).alias("kind")))
-    return found.distinct()
+    """(key, kinds): the candidates in stored postings, a row each, with the rules that they are candidates of.
+
+    The postings meet by key: one shuffle of the rules' postings, combined before it, gives the trigrams of a key (no more than
+    the rules ask for), and a rule stays if all trigrams of one of its alternatives are among them.
+    """
+    queries = [(r.kind, q) for r in rules if (q := trigram_query(r.pattern)) is not None]
+    wanted = sorted({t for _, q in queries for part in q for t in part})
+    met = index.where(F.col("trigram").isin(*wanted)).groupBy("key").agg(F.collect_set("trigram").alias("held"))
+    within = lambda part: F.size(F.array_intersect("held", F.array(*(F.lit(t) for t in sorted(part))))) == len(part)
+    kinds = [F.when(F.greatest(*map(within, q), F.lit(False)), F.lit(kind)) for kind, q in queries]
+    found = met.select("key", (F.array_compact(F.array(*kinds)) if kinds else F.array().cast("array<string>")).alias("kinds"))
+    return found.where(F.size("kinds") > 0)
 
 
 SPANS = "array<struct<start:bigint,kind_order:int,end:bigint>>"
@@ -182,16 +188,26 @@ def rule_spans(text: Column, rule: Rule, order: int) -> Column:
     return F.transform(found, lambda whole: F.when(F.size(whole) > 0, places(whole)).otherwise(F.array().cast(SPANS)))[0]
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text", index: DataFrame | None = None) -> DataFrame:
     """(docs' columns, secret_spans): spans of every row, sorted by start, then by the rules' order.
 
+    index: what ``build_index`` stored for these rows (or more) and rules (or more). Its candidates meet the rows by key, which
+    moves the rows once, unless Spark finds the candidates small enough to send them; copies of a text have different keys
+    unless their ids are equal too. Without an index nothing is shuffled.
+
     A null text counts as empty; null ids and equal rows are ordinary rows; an empty table gives an empty result. A column
-    called secret_spans is replaced. Nothing is shuffled.
+    called secret_spans is replaced.
     """
     docs = docs.drop("secret_spans")
     names = docs.columns
     rows = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    rows = rows.withColumn("kinds", candidate_kinds(F.col("body"), rules))
+    if index is None:
+        rows = rows.withColumn("kinds", candidate_kinds(F.col("body"), rules))
+    else:
+        at = lambda c: f"c{names.index(c)}"
+        found = search_index(index, rules).select("key", F.col("kinds").alias("found"))
+        rows = rows.withColumn("key", _base.text_key(at(doc_id), at(text))).join(found, "key", "left")
+        rows = rows.withColumn("kinds", F.coalesce("found", F.array().cast("array<string>")))
     parts = []
     for i, rule in enumerate(rules):
         spans = rule_spans(F.col("body"), rule, i)

@@ -28,12 +28,33 @@ def test_trigram_queries():
 def test_stored_postings(spark):
     rows = [(i % 5, t) for i, t in enumerate(ODD)] + [(1, ODD[3])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {(r.id, r.key, r.kind) for r in secrets.search_index(secrets.build_index(docs)).collect()}
-    texts = {(r.doc_id, r.key): r.text or "" for r in docs.selectExpr("doc_id", "text", "xxhash64(doc_id, text) as key").collect()}
-    expected = {(i, k, rule.kind) for (i, k), t in texts.items() for rule in secrets.RULES for part in secrets.trigram_query(rule.pattern) or () if all(g in t.lower() for g in part)}
+    index = secrets.build_index(docs)
+    assert index.columns == ["trigram", "key"]
+    found = {(r.key, kind) for r in secrets.search_index(index).collect() for kind in r.kinds}
+    texts = {r.key: r.text or "" for r in docs.selectExpr("text", "xxhash64(doc_id, text) as key").collect()}
+    expected = {(k, rule.kind) for k, t in texts.items() for rule in secrets.RULES for part in secrets.trigram_query(rule.pattern) or () if all(g in t.lower() for g in part)}
     assert found == expected and expected
-    here = {(r.id, r.key, kind) for r in docs.selectExpr("doc_id as id", "xxhash64(doc_id, text) as key", "coalesce(text, '') as text").select("id", "key", secrets.candidate_kinds(F.col("text"), secrets.RULES).alias("kinds")).collect() for kind in r.kinds}
+    here = {(r.key, kind) for r in docs.selectExpr("xxhash64(doc_id, text) as key", "coalesce(text, '') as text").select("key", secrets.candidate_kinds(F.col("text"), secrets.RULES).alias("kinds")).collect() for kind in r.kinds}
     assert here == expected
+    only_hex = (secrets.RULES[2],)
+    assert secrets.search_index(secrets.build_index(docs, only_hex), only_hex).count() == 0
+
+
+def test_indexed_scan(spark, nothing):
+    """An index gives what the scan of every row gives, with equal rows, null ids, clashing columns, and rows it names needlessly."""
+    rows = [(i % 5 if i else None, t, i, "own", [1]) for i, t in enumerate(ODD)] + [(1, ODD[3], 0, "own", None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key int, kinds string, found array<int>")
+    index = secrets.build_index(docs)
+    listed = lambda df: sorted(map(repr, df.collect()))
+    assert listed(secrets.scan(docs, index=index)) == listed(secrets.scan(docs))
+    more = index.union(docs.selectExpr("explode(array('pas', 'ass', 'key', 'aki')) as trigram", "xxhash64(doc_id, text) as key"))
+    assert listed(secrets.scan(docs, index=more)) == listed(secrets.scan(docs))
+    # The index decides: rows that it does not name are searched by rules without trigrams only.
+    bare = secrets.scan(docs, index=index.limit(0)).selectExpr("inline(secret_spans)")
+    assert {r.kind_order for r in bare.collect()} == {2}
+    assert secrets.scan(nothing.selectExpr("doc_id", "text"), index=secrets.build_index(nothing)).count() == 0
+    plan = secrets.scan(docs, index=index)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
 
 
 def plain_spans(text):
