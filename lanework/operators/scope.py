@@ -88,3 +88,29 @@ def recovery_scope(plan: DataFrame, scope: DataFrame) -> DataFrame:
     mine = scope.where("error = ''").withColumn("provider", policy.provider_name(F.col("context")))
     found = wanted.join(mine, ["name", "provider"]).groupBy("identity_key", F.col("name").alias("target"), "source_group").agg(F.array_sort(F.collect_set(F.struct("source_ord", "url"))).alias("x"))
     return found.select("identity_key", "target", "source_group", F.array_join(F.transform("x", lambda x: x["url"]), ",").alias("urls"))
+
+
+def recovery_lookup(plan: DataFrame, scope: DataFrame, modes: dict[str, str], mode: str = "EVENT_PHRASE") -> DataFrame:
+    """(identity_key, url, target, match_mode, place): the inverse of ``recovery_scope``, with which searches a catalog is read.
+
+    modes: how each group's meaning is matched; ``mode`` for others. place orders the searches of a feed as its plan does and
+    then their groups; a search that meets a catalog in several groups of one mode stands once, at its first place.
+    """
+    wanted = plan.select("identity_key", F.posexplode(F.split("targets", ",")).alias("ord", "target"), F.split_part("identity_key", F.lit("|"), F.lit(1)).alias("provider"))
+    named = F.try_element_at(F.create_map(*(F.lit(x) for pair in modes.items() for x in pair)), F.col("context")) if modes else F.lit(None).cast("string")
+    mine = scope.where("error = ''").select(F.col("name").alias("target"), "group_ord", "url", policy.provider_name(F.col("context")).alias("provider"), F.coalesce(named, F.lit(mode)).alias("match_mode"))
+    return wanted.join(mine, ["target", "provider"]).groupBy("identity_key", "url", "target", "match_mode").agg(F.min(F.struct("ord", "group_ord")).alias("place"))
+
+
+def recovery_contexts(lookup: DataFrame, asked: DataFrame) -> DataFrame:
+    """(identity_key, playlist_url, contexts): searches with their modes, in order, by which a feed may be found again in a catalog.
+
+    asked: (identity_key, playlist_url); a null or blank address asks for all of the feed's searches; what is not in scope gets
+    an empty list. Repeated questions are answered once.
+    """
+    questions = asked.select("identity_key", F.trim(F.coalesce("playlist_url", F.lit(""))).alias("playlist_url")).distinct()
+    every = lookup.groupBy("identity_key", "target", "match_mode").agg(F.min("place").alias("place")).withColumn("playlist_url", F.lit(""))
+    named = lookup.where("url <> ''").select("identity_key", "target", "match_mode", "place", F.col("url").alias("playlist_url"))
+    found = questions.join(named.unionByName(every), ["identity_key", "playlist_url"], "left")
+    met = F.when(F.col("place").isNotNull(), F.struct("place", F.concat_ws(":", "target", "match_mode").alias("context")))
+    return found.groupBy("identity_key", "playlist_url").agg(F.transform(F.array_sort(F.collect_list(met)), lambda x: x["context"]).alias("contexts"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lanework.plans import catalog, jobs, records, searches, texts
+from lanework.plans import carried, catalog, jobs, records, searches, texts
 
 FLAGSHIP = "select_best"
-QUERIES: dict = catalog.QUERIES | jobs.QUERIES | texts.QUERIES | records.QUERIES | searches.QUERIES
-ORACLES: dict = catalog.ORACLES | jobs.ORACLES | texts.ORACLES | records.ORACLES | searches.ORACLES
+QUERIES: dict = catalog.QUERIES | jobs.QUERIES | texts.QUERIES | records.QUERIES | searches.QUERIES | carried.QUERIES
+ORACLES: dict = catalog.ORACLES | jobs.ORACLES | texts.ORACLES | records.ORACLES | searches.ORACLES | carried.ORACLES
