@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lanework.operators import carried, changes, scope
+from lanework.operators import carried, changes, display, scope, select
 from lanework.plans import catalog, searches
-from lanework.plans.carriers import ENTRIES_SQL, KEYED_SQL, entries
-from lanework.plans.catalog import _SCANS
+from lanework.plans.carriers import ENTRIES_SQL, KEYED_SQL, NOW, entries
+from lanework.plans.catalog import _PLACED, _SCANS, RANKED_SQL
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -110,3 +110,26 @@ def recovery_contexts(spark, sf_dir):
     plan.createOrReplaceTempView("lanework_launches")
     found = scope.recovery_contexts(lookup, spark.sql(_ASKED.format(p="lanework_launches")))
     return found.withColumn("contexts", F.array_join("contexts", ","))
+
+
+_SHOWN = {"row_updated": "CASE WHEN entry_index % 3 > 0 THEN scan_id END", "source_freshness_ts": "CASE WHEN entry_index % 4 > 0 THEN expiry END", "video_bitrate_source": "CASE entry_index % 5 WHEN 0 THEN ' Manifest' WHEN 1 THEN 'ffprobe' WHEN 2 THEN 'sample' WHEN 3 THEN 'other' END"}
+
+
+@query(
+    "quality_rows",
+    f"""WITH r AS ({RANKED_SQL}), p AS ({_PLACED}), b AS (SELECT identity_key, playlist_url, entry_index FROM p WHERE place = 1 AND n_ok > 0),
+             k AS (SELECT *, {', '.join(f'{x} AS {c}' for c, x in _SHOWN.items())}, CASE WHEN provider = 'SONY' THEN 'SONYLIV' ELSE provider END || regexp_extract(stream_url, '^https://[^/]*(/[^?|]*)', 1) AS path FROM r),
+             f AS (SELECT DISTINCT ON (identity_key, path, video_width, video_height, video_fps) identity_key, path, video_width, video_height, video_fps, signature AS quality, area, round(video_fps, 3) AS fps, video_bitrate_bps AS bitrate FROM k
+                   ORDER BY identity_key, path, video_width, video_height, video_fps, (video_bitrate_bps > 0) DESC, CASE lower(trim(coalesce(video_bitrate_source, ''))) WHEN 'manifest' THEN 4 WHEN 'ffprobe' THEN 3 WHEN 'sample' THEN 1 ELSE (video_bitrate_bps > 0)::INT * 2 END DESC,
+                            (video_width > 0 AND video_height > 0 AND video_fps > 0) DESC, (video_scan_type <> '') DESC, coalesce(source_freshness_ts, 0) DESC, playlist_url, entry_index),
+             h AS (SELECT k.*, f.quality, f.area AS a, f.fps, f.bitrate, b.identity_key IS NOT NULL AS best, trim(regexp_replace(lower(coalesce(nullif(entry_title, ''), tvg_name)), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS name
+                   FROM k JOIN f USING (identity_key, path, video_width, video_height, video_fps) LEFT JOIN b ON b.identity_key = k.identity_key AND b.playlist_url = k.playlist_url AND b.entry_index = k.entry_index),
+             g AS (SELECT identity_key, quality, row_number() OVER (PARTITION BY identity_key ORDER BY bool_or(best) DESC, max(a) DESC, max(fps) DESC, max(bitrate) DESC, quality) AS heading FROM h GROUP BY identity_key, quality),
+             o AS (SELECT DISTINCT ON (identity_key, quality, playlist_url, entry_title, tvg_name, group_title, state) * FROM h ORDER BY identity_key, quality, playlist_url, entry_title, tvg_name, group_title, state, entry_index)
+        SELECT identity_key, quality, heading, row_number() OVER (PARTITION BY identity_key, quality ORDER BY row_updated DESC NULLS LAST, name, coalesce(source_freshness_ts, 0) DESC, playlist_url, entry_index, entry_title, tvg_name, group_title, state) AS place,
+               playlist_url, entry_index, state FROM o JOIN g USING (identity_key, quality)""",
+)
+def quality_rows(spark, sf_dir):
+    rows = catalog.keyed(spark, sf_dir)
+    best = select.select_best(rows, NOW).where("decision = 'selected'")
+    return display.quality_rows(rows.selectExpr("*", *(f"{x} AS {c}" for c, x in _SHOWN.items())), best, "row_updated")

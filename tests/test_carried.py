@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lanework.operators import carried, scope
+from lanework.operators import carried, display, scope
 
 QUALITY = "scan_id int, provider string, stream_url string, entry_index int, video_width int, video_height int, video_fps double, video_bitrate_bps long, video_scan_type string, video_resolution_source string, video_fps_source string, video_bitrate_source string, video_scan_type_source string, quality_source string"
 
@@ -125,3 +125,36 @@ def test_recovery_contexts(spark):
     found = {(r.identity_key, r.playlist_url): r.contexts for r in scope.recovery_contexts(lookup, asked).collect()}
     assert found == {("JIO|/a", ""): ["t2:EXACT_CHANNEL", "t1:EXACT_CHANNEL"], ("JIO|/a", "u2"): ["t2:EXACT_CHANNEL", "t1:EXACT_CHANNEL"], ("JIO|/a", "u1"): ["t1:EXACT_CHANNEL"], ("JIO|/a", "u3"): [], ("SONYLIV|/b", "u3"): ["t1:EVENT_PHRASE"], ("other", "u1"): []}
     assert {r.match_mode for r in scope.recovery_lookup(plan, scoped, {}).collect()} == {"EVENT_PHRASE"}
+
+
+SHOWN = "identity_key string, provider string, stream_url string, playlist_url string, entry_index int, entry_title string, tvg_name string, group_title string, video_width int, video_height int, video_fps double, video_bitrate_bps long, video_scan_type string, video_bitrate_source string, source_freshness_ts double, launchable boolean, expiry double, probe_status string, access_blocked boolean, at int"
+
+
+def shown(feed, path, catalog, index, title, height=1080, bitrate=500, source="manifest", fresh=None, at=None, works=True, group="g"):
+    return (feed, "JIO", f"https://h.test/{path}", catalog, index, title, "", group, height * 16 // 9, height, 50.0, bitrate, "progressive", source, fresh, works, None, "", False, at)
+
+
+def test_rows_under_their_headings(spark):
+    rows = [
+        shown("f", "a/1", "l1", 1, "B show", at=5),
+        shown("f", "a/1", "l1", 2, "B show", at=9),  # looks like the first
+        shown("f", "a/1", "l1", 3, "B show", at=9, works=False),  # another state
+        shown("f", "a/1", "l2", 1, "a  SHOW!", at=5, bitrate=700, source="sample"),  # weaker evidence of one rendition
+        shown("f", "a/2", "l3", 1, "A show", at=5, fresh=8.0),  # another rendition of the same look
+        shown("f", "a/2", "l4", 1, "A show", at=5, fresh=9.0),
+        shown("f", "a/2", "l5", 1, "A show", at=None, group=None),
+        shown("f", "b/1", "l1", 4, "C", height=2160, at=1),
+        shown("f", "b/2", "l1", 5, "C", height=720, at=1),
+        shown("f", "x/master.m3u8", "l1", 6, "C", height=720, bitrate=1, at=1),
+        shown("other", "a/1", "l1", 1, "B show", at=5),
+    ]
+    rows += [rows[0], rows[4]]
+    df = spark.createDataFrame(rows, SHOWN)
+    best = spark.createDataFrame([("f", "l3", 1)], "identity_key string, playlist_url string, entry_index int")
+    found = {(r.identity_key, r.heading, r.place): (r.playlist_url, r.entry_index) for r in display.quality_rows(df, best, "at").collect()}
+    first = [("l1", 3), ("l4", 1), ("l3", 1), ("l2", 1), ("l1", 1), ("l5", 1)]
+    assert [found.pop(("f", 1, i)) for i in range(1, 7)] == first
+    assert found == {("f", 2, 1): ("l1", 4), ("f", 3, 1): ("l1", 5), ("f", 4, 1): ("l1", 6), ("other", 1, 1): ("l1", 1)}
+    without = display.quality_rows(df, best.limit(0), "at").where("identity_key = 'f' and playlist_url = 'l1' and entry_index = 4").collect()
+    assert [r.heading for r in without] == [1]
+    assert display.quality_rows(df.limit(0), best, "at").count() == 0
