@@ -99,6 +99,17 @@ def stream_latest_status(spark, sf_dir):
     return jobs.drain(jobs.latest_status(event_stream(spark, sf_dir)), "update", "status", ("session_id", "identity_key"))
 
 
+@query(
+    "stream_status_lives",
+    f"""WITH e AS ({EVENTS_SQL}), g AS (SELECT *, coalesce(ts - lag(ts) OVER w > INTERVAL 12 HOUR, true)::INT AS fresh FROM e WINDOW w AS (PARTITION BY session_id, identity_key ORDER BY ts, seq)),
+             l AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id, identity_key ORDER BY ts, seq) AS life FROM g)
+        SELECT session_id, identity_key, min(ts) AS started, max(ts) AS last_seen, count(*) AS events, max(seq) AS seq, arg_max(new_state, seq) AS state, arg_max_null(worker_pid, seq) AS worker_pid
+        FROM l GROUP BY session_id, identity_key, life HAVING max(ts) + INTERVAL 12 HOUR <= date_trunc('milliseconds', (SELECT max(ts) FROM e)) - INTERVAL 10 MINUTE""",
+)
+def stream_status_lives(spark, sf_dir):
+    return jobs.drain(jobs.status_lives(event_stream(spark, sf_dir)), "append", "lives").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started", "last_seen")})
+
+
 #: The claims that find room, session by session, carried from claim to claim; then the machine, in which a claim without room has no effect.
 _LIMITED = catalog._DECIDED.replace(
     "RECURSIVE v AS (SELECT *,",

@@ -42,6 +42,21 @@ def latest_status(events: DataFrame) -> DataFrame:
     return events.groupBy("session_id", "identity_key").agg(F.max("seq").alias("seq"), F.max_by("new_state", "seq").alias("state"), F.max_by("worker_pid", "seq").alias("worker_pid"))
 
 
+def status_lives(events: DataFrame, silence: str = "12 hours", lateness: str = "10 minutes") -> DataFrame:
+    """(session_id, identity_key, started, last_seen, events, seq, state, worker_pid): a feed's newest state, told once it has been silent.
+
+    A feed lives while its events follow each other by no more than ``silence``; what arrives in between, in any order, joins
+    lives that it connects. A life is given out, and its state dropped, when the watermark has passed its end, so what is held
+    are the feeds of the last ``silence`` and ``lateness``, not all that ever were. Events later than ``lateness`` are left out;
+    sequence numbers of an ended life mean nothing to the next one. Runs on streams in append mode; a batch gives all lives.
+    """
+    held = events.withWatermark("ts", lateness).groupBy(F.session_window("ts", silence).alias("w"), "session_id", "identity_key")
+    # The newest state and worker are one value: their event's.
+    newest = F.max_by(F.struct("new_state", "worker_pid"), "seq").alias("x")
+    found = held.agg(F.min("ts").alias("started"), F.max("ts").alias("last_seen"), F.count("*").alias("events"), F.max("seq").alias("seq"), newest)
+    return found.select("session_id", "identity_key", "started", "last_seen", "events", "seq", F.col("x.new_state").alias("state"), "x.worker_pid")
+
+
 def step(held: dict, owned: int, op: str, identity: str, state: str, pid, capacity: int) -> tuple[str, int]:
     """The reason against an event ('' if it is accepted) and how many feeds are owned after it; held is changed in place."""
     now = held.get(identity)
@@ -180,7 +195,7 @@ def transitions(verdicts: DataFrame) -> DataFrame:
     """(identity_key, n, status, usable) per feed and scan; status is pending, confirmed or ''.
 
     verdicts: (identity_key, n, verdict, values): those of evidence.freshness_verdict, or absent for a feed that a scan
-    does not have, with the values of the newer rows. State: one row a feed.
+    does not have, with the values of the newer rows. State: one row for each feed that has something pending or confirmed.
     """
     ship(verdicts.sparkSession)
 
@@ -190,7 +205,10 @@ def transitions(verdicts: DataFrame) -> DataFrame:
         for n, verdict, values in pd.concat(list(frames)).sort_values("n")[["n", "verdict", "values"]].itertuples(index=False):
             held, usable = move(held, verdict, [] if values is None else [str(x) for x in values])
             found.append((key[0], int(n), held[0] if held else "", usable))
-        state.update((json.dumps(held),))
+        if held is not None:
+            state.update((json.dumps(held),))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(found, columns=["identity_key", "n", "status", "usable"])
 
     return verdicts.groupBy("identity_key").applyInPandasWithState(run, "identity_key string, n long, status string, usable boolean", "held string", "append", GroupStateTimeout.NoTimeout)

@@ -203,3 +203,47 @@ def test_windows_of_a_stream_merge(spark, sf_dir):
     whole = held.groupBy("session_id").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n"))
     exact = plans.carriers.events(spark, sf_dir).groupBy("session_id").agg(F.count_distinct("identity_key").alias("n"))
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, exact.collect()))
+
+
+def test_ended_lives_leave_the_state(spark, tmp_path):
+    """A stream of ever new feeds holds those of the last hours only; late and bridging events have their place."""
+    from datetime import datetime, timedelta
+
+    day = datetime(2024, 1, 1)
+    kind = "session_id string, identity_key string, seq long, ts timestamp, new_state string, worker_pid int"
+    files = [[("s", f"f{i}", i, day + timedelta(hours=i), "RECORDING", None), ("s", f"f{i}", i + 100, day + timedelta(hours=i, minutes=20), "ENDED", i), ("s", f"f{i}", i + 50, day + timedelta(hours=i, minutes=50), "LOST", 7)] for i in range(12)]
+    files[5].append(("s", "f0", 999, day, "LATE", 1))  # long ended: left out
+    files[6].append(("s", "f6", 1, day + timedelta(hours=6, minutes=75), "LAUNCHING", 2))  # arrives before what connects it
+    files[7].append(("s", "f6", 2, day + timedelta(hours=6, minutes=62), "WAITING", 3))
+    files[10].append(("s", "f1", 3, day + timedelta(hours=10), "RECORDING", 4))  # a second life
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if i == 0:
+            stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+            lives = jobs.status_lives(stream, "30 minutes", "20 minutes")
+            query = lives.writeStream.format("memory").queryName("lives").outputMode("append").option("checkpointLocation", str(tmp_path / "at")).start()
+        query.processAllAvailable()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    query.stop()
+    assert max(held) <= 5 and len(held) >= 12
+    found = {(r.identity_key, r.started.hour): (r.events, r.seq, r.state, r.worker_pid) for r in spark.table("lives").collect()}
+    assert found["f0", 0] == (3, 100, "ENDED", 0) and found["f6", 6] == (5, 106, "ENDED", 6)
+    assert found["f1", 1] == (3, 101, "ENDED", 1) and found["f1", 10] == (1, 3, "RECORDING", 4)
+    assert {k for k in found if k[0] not in ("f0", "f1", "f6")} == {(f"f{i}", i) for i in (2, 3, 4, 5, 7, 8, 9, 10)}
+    assert jobs.status_lives(spark.createDataFrame([], kind)).count() == 0
+
+
+def test_settled_feeds_hold_no_transition_state(spark, tmp_path):
+    kind = "identity_key string, n long, verdict string, values array<string>"
+    rows = [[(f"f{i}", 1, "single", ["match one"]) for i in range(20)], [(f"f{i}", 2, "eligible" if i else "single", ["match one"]) for i in range(20)]]
+    for batch in rows:
+        spark.createDataFrame(batch, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if batch is rows[0]:
+            stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
+            query = jobs.transitions(stream).writeStream.format("memory").queryName("moves").outputMode("append").option("checkpointLocation", str(tmp_path / "at")).start()
+        query.processAllAvailable()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    query.stop()
+    assert held[0] == 20 and held[-1] == 1
+    found = {(r.identity_key, r.n): (r.status, r.usable) for r in spark.table("moves").collect()}
+    assert found["f0", 2] == ("confirmed", False) and found["f1", 1] == ("pending", True) and found["f1", 2] == ("", True) and len(found) == 40
