@@ -69,7 +69,9 @@ def fill_persisted(entries: DataFrame, scan: str = "scan_id") -> DataFrame:
     """
     known = fold_evidence(quality_evidence(entries, scan), scan)
     rows = entries.withColumn("persistence_key", identity.persistence_key(entries)).join(known, ["persistence_key", scan], "left")
-    used = {f: F.when(_known(entries, f).isNull(), F.col(f"known_{f}")) for f in FACTS}
+    # Columns of their own, so that each is made once a row however often it is named below.
+    rows = rows.withColumns({f"used_{f}": F.when(_known(entries, f).isNull(), F.col(f"known_{f}")) for f in FACTS})
+    used = {f: F.col(f"used_{f}") for f in FACTS}
     newest = lambda found: F.reverse(F.array_sort(F.array_compact(F.array(*found))))
     labels = {}
     for by in LABELS:
@@ -80,7 +82,7 @@ def fill_persisted(entries: DataFrame, scan: str = "scan_id") -> DataFrame:
     was_known = F.coalesce(F.col("quality_known"), F.lit(False)) if "quality_known" in entries.columns else F.greatest(*(_known(entries, f).isNotNull() for f in FACTS))
     put = {f: F.coalesce(_known(entries, f), u["value"], F.col(f)) for f, u in used.items()} | labels
     put |= {"quality_source": merge_labels(_label(entries, "quality_source"), F.array_join(F.transform(sources, lambda x: x["label"]), "+")), "quality_known": was_known | filled, "filled": filled}
-    return rows.withColumns(put).drop(*(f"known_{f}" for f in FACTS))
+    return rows.withColumns(put).drop(*(f"{x}_{f}" for f in FACTS for x in ("known", "used")))
 
 
 #: What names a catalog that could not be read, and a row within it.
@@ -98,13 +100,13 @@ def definition_versions(definitions: DataFrame, fields: tuple[str, ...]) -> Data
     """(target, since, until, enabled, active_from, active_until): spans in which a search's definition stays the same.
 
     definitions: (target, since, enabled, active_from, active_until, fields). A definition that is saved again unchanged goes
-    on; of two saved at one time the one of greater fingerprint counts.
+    on; of two saved at one time the greater counts, by enabled, active_from, active_until and fields, nulls least.
     """
     window = ("enabled", "active_from", "active_until")
-    print_of = F.sha2(F.to_json(F.struct(*window, *fields)), 256)
-    saved = definitions.groupBy("target", "since").agg(F.max(F.struct(print_of.alias("print"), *window)).alias("d"))
+    saved = definitions.groupBy("target", "since").agg(F.max(F.struct(*window, *fields)).alias("d"))
+    saved = saved.withColumn("print", F.sha2(F.to_json("d"), 256))
     own = Window.partitionBy("target").orderBy("since")
-    changed = saved.withColumn("same", F.lag("d.print").over(own).eqNullSafe(F.col("d.print"))).where("not same")
+    changed = saved.withColumn("same", F.lag("print").over(own).eqNullSafe(F.col("print"))).where("not same")
     return changed.select("target", "since", F.lead("since").over(own).alias("until"), "d.enabled", "d.active_from", "d.active_until")
 
 

@@ -72,7 +72,7 @@ _FAILS = "(n + CAST(length(playlist_url) AS INT) + length(provider)) % 5 < 2"
 
 @query(
     "retain_unchanged",
-    f"""WITH RECURSIVE e AS ({KEYED_SQL}), {_SCANS}, d AS (SELECT target, since, max({{e: enabled, f: active_from, u: active_until, p: phrase}}) AS x FROM ({_DEFINED.format(s='supplier')}) GROUP BY ALL),
+    f"""WITH RECURSIVE e AS ({KEYED_SQL}), {_SCANS}, d AS (SELECT target, since, arg_max({{e: enabled, f: active_from, u: active_until, p: phrase}}, (enabled, coalesce(active_from, 0), coalesce(active_until, 0), phrase)) AS x FROM ({_DEFINED.format(s='supplier')}) GROUP BY ALL),
              p AS (SELECT DISTINCT n, {_TARGET} AS target, playlist_url, provider, 'G' || (entry_index % 2) AS source_group, entry_index, stream_url, tvg_name, group_title, entry_title FROM e JOIN s USING (scan_id)),
              f AS (SELECT DISTINCT n, playlist_url, provider, source_group FROM p WHERE {_FAILS}),
              t AS (SELECT q.target, s.n, s.scan_id AS at, arg_max(d.x, d.since) AS x FROM (SELECT DISTINCT target FROM p) q JOIN s ON true JOIN d ON d.target = q.target AND d.since <= s.scan_id GROUP BY ALL),
