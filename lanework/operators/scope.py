@@ -49,8 +49,12 @@ def resolve_scope(targets: DataFrame, sources: DataFrame) -> DataFrame:
     alone = F.size("others") == 1
     wanted = wanted.select("name", "group_ord", "source_group", F.when(F.col("source_group") != SHARED, F.col("source_group")).when(alone, F.col("others")[0]).alias("context"))
     named = sources.where("url <> ''").groupBy(F.upper(F.trim("bucket")).alias("source_group"), "url").agg(F.min("source_ord").alias("source_ord"))
+    # Groups are few and searches many: each group's searches are dealt to as many parts as a shuffle has, and its catalogs go to every part.
+    parts = max(1, int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = wanted.where("context is not null").withColumn("_part", F.pmod(F.xxhash64("name"), F.lit(parts))).repartition("source_group", "_part")
+    named = named.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))
     # A search whose shared bucket has no meaning reads nothing from it.
-    usable = wanted.where("context is not null").join(named, "source_group", "left")
+    usable = dealt.join(named, ["source_group", "_part"], "left").drop("_part")
     wrong = wanted.where("context is null").withColumns({"url": F.lit(None).cast("string"), "source_ord": F.lit(None).cast(dict(named.dtypes)["source_ord"])})
     error = F.when(F.col("context").isNull(), "shared group needs one other group").when(F.col("url").isNull(), "no catalogs").otherwise("")
     return usable.unionByName(wrong).select("name", "group_ord", "source_group", "context", "source_ord", "url", error.alias("error"))
@@ -74,7 +78,9 @@ def launch_plan(contexts: DataFrame, now: int) -> DataFrame:
     """
     chosen = select.select_best(contexts, now).where("decision = 'selected'").select("identity_key", "playlist_url", "entry_index", "selected_url")
     mine = contexts.where("launchable").select("identity_key", "playlist_url", "entry_index", F.col("stream_url").alias("selected_url"), "target", "duration_min")
-    winning = chosen.join(mine, ["identity_key", "playlist_url", "entry_index", "selected_url"])
+    place = ["identity_key", "playlist_url", "entry_index", "selected_url"]
+    # Dealt by place: a join that turns out small on one side would else read what one task wrote, a whole file's rows, in one task.
+    winning = chosen.join(mine.repartition(*place), place)
     duration = F.when(~F.bool_or(F.col("duration_min").isNull()), F.max("duration_min"))
     return winning.groupBy("identity_key", "playlist_url", "entry_index").agg(F.array_join(F.array_sort(F.collect_set("target")), ",").alias("targets"), duration.alias("duration_min"))
 

@@ -158,3 +158,17 @@ def test_rows_under_their_headings(spark):
     without = display.quality_rows(df, best.limit(0), "at").where("identity_key = 'f' and playlist_url = 'l1' and entry_index = 4").collect()
     assert [r.heading for r in without] == [1]
     assert display.quality_rows(df.limit(0), best, "at").count() == 0
+
+
+def test_one_group_of_many_searches_is_dealt_over_all_tasks(spark):
+    """Searches of one group are read with its catalogs by many tasks, and none reads all that one task wrote of the contexts."""
+    searches = spark.range(2000).selectExpr("concat('t', id) AS name", "array('jio') AS source_groups")
+    catalogs = spark.createDataFrame([("JIO", i, f"u{i}") for i in range(3)] + [("OTHER", 0, "x")], "bucket string, source_ord int, url string")
+    found = scope.resolve_scope(searches, catalogs)
+    assert "hashpartitioning(source_group" in (plan := found._jdf.queryExecution().executedPlan().toString()) and "_part" in plan and "REPARTITION_BY_COL" in plan
+    assert found.count() == 6000 and found.where("error <> ''").count() == 0 and found.columns == ["name", "group_ord", "source_group", "context", "source_ord", "url", "error"]
+    assert {(r.n, r.k) for r in found.groupBy("url").agg(F.count("*").alias("n"), F.count_distinct("name").alias("k")).collect()} == {(2000, 2000)}
+    row = ("JIO|/a", "JIO", "https://h.test/a", "l", 1, "x", "x", "g", 10, 10, 5.0, 7, "", "", 0.0, True, 9e9, "working", False, 1)
+    contexts = spark.createDataFrame([row], SHOWN).selectExpr("*", "explode(array('t2', 't1')) AS target", "30 AS duration_min", "1 AS preferred")
+    plan = scope.launch_plan(contexts, 0)
+    assert "REPARTITION_BY_COL" in plan._jdf.queryExecution().executedPlan().toString() and [r.targets for r in plan.collect()] == ["t1,t2"]
