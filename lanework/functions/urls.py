@@ -71,13 +71,25 @@ def manifest_type(text: Column) -> Column:
 
 
 def join(base: Column, uri: Column) -> Column:
-    """The address that a reference in the document at ``base`` means (RFC 3986, section 5.2); the reference itself where base has no scheme."""
-    base, uri = F.coalesce(base, F.lit("")), F.trim(F.coalesce(uri, F.lit("")))
-    scheme, host = part(base, 1), part(base, 2)
-    path = F.when(part(uri, 3).startswith("/"), part(uri, 3)).when(part(uri, 3) == "", part(base, 3)).otherwise(F.concat(F.regexp_extract(part(base, 3), r"^(.*/)", 1), part(uri, 3)))
-    pieces = F.split(path, "/")
-    kept = F.aggregate(F.filter(pieces, lambda x: x != "."), F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(F.concat(acc, F.array(x))))
-    clean = F.concat(F.array_join(kept, "/"), F.when(F.element_at(pieces, -1).isin(".", ".."), "/").otherwise(""))
-    rest = F.concat(F.when(part(uri, 4) != "", F.concat(F.lit("?"), part(uri, 4))).when((part(uri, 3) == "") & (part(base, 4) != ""), F.concat(F.lit("?"), part(base, 4))).otherwise(""), F.when(part(uri, 5) != "", F.concat(F.lit("#"), part(uri, 5))).otherwise(""))
-    whole = F.concat(scheme, F.lit("://"), F.when(part(uri, 2) != "", part(uri, 2)).otherwise(host), F.when(part(uri, 2) != "", part(uri, 3)).when(clean.startswith("/") | ((clean == "") & (part(uri, 3) == "")), clean).otherwise(F.concat(F.lit("/"), clean)), rest)
-    return F.when((part(uri, 1) != "") | (scheme == ""), uri).otherwise(whole)
+    """The address that a reference in the document at ``base`` means (RFC 3986, section 5.2); the reference itself where base has no scheme.
+
+    Both are taken apart once a row, and the parts bound before they are used.
+    """
+    parts = lambda url: F.array(*(part(url, n) for n in range(1, 6)))
+
+    def resolved(x: Column) -> Column:
+        (scheme, host, above, query, _), (own_scheme, own_host, path, own_query, fragment) = ([x[side][n] for n in range(5)] for side in ("base", "own"))
+        put = lambda path: F.when(path.startswith("/"), path).when(path == "", above).otherwise(F.concat(F.regexp_extract(above, r"^(.*/)", 1), path))
+
+        def cleaned(pieces: Column) -> Column:
+            kept = F.aggregate(F.filter(pieces, lambda p: p != "."), F.array().cast("array<string>"), lambda acc, p: F.when(p == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(F.concat(acc, F.array(p))))
+            return F.concat(F.array_join(kept, "/"), F.when(F.element_at(pieces, -1).isin(".", ".."), "/").otherwise(""))
+
+        clean = bound(F.split(put(path), "/"), cleaned)
+        rooted = bound(clean, lambda c: F.when(c.startswith("/") | ((c == "") & (path == "")), c).otherwise(F.concat(F.lit("/"), c)))
+        rest = F.concat(F.when(own_query != "", F.concat(F.lit("?"), own_query)).when((path == "") & (query != ""), F.concat(F.lit("?"), query)).otherwise(""), F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""))
+        whole = F.concat(scheme, F.lit("://"), F.when(own_host != "", F.concat(own_host, path)).otherwise(F.concat(host, rooted)), rest)
+        return F.when((own_scheme != "") | (scheme == ""), x["uri"]).otherwise(whole)
+
+    given = F.struct(F.coalesce(base, F.lit("")).alias("base"), F.trim(F.coalesce(uri, F.lit(""))).alias("uri"))
+    return bound(bound(given, lambda g: F.struct(parts(g["base"]).alias("base"), parts(g["uri"]).alias("own"), g["uri"].alias("uri"))), resolved)

@@ -53,6 +53,16 @@ def test_joined_addresses(spark):
     assert [(r.b, r.u, r.j) for r in rows if r.u != "//o.test/p/../q" and not (r.u == "d/" and r.b == "https://h.test")] == [(r.b, r.u, strip(urljoin(r.b, r.u)) if r.u else strip(r.b)) for r in rows if r.u != "//o.test/p/../q" and not (r.u == "d/" and r.b == "https://h.test")]
 
 
+def test_joined_addresses_are_taken_apart_once(spark):
+    """Each of both addresses costs five extractions, and the path one more, however often a part is used."""
+    from lanework.functions import urls
+
+    plan = spark.range(3).selectExpr("concat('https://h.test/', id) AS b", "'../v' AS u").select(urls.join(F.col("b"), F.col("u")).alias("j"))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") <= 11
+    odd = spark.createDataFrame([(None, "v"), ("x", "v"), ("https://h.test/a", None), (None, None)], "b string, u string").select(urls.join(F.col("b"), F.col("u")).alias("j"))
+    assert [r.j for r in odd.collect()] == ["v", "v", "https://h.test/a", ""]
+
+
 def test_times(spark):
     f = F.lit
     row = spark.range(1).select(times.iso_duration_seconds(f("PT1H2M3.5S")), times.iso_duration_seconds(f("x")), times.frame_rate(f("30000/1001")), times.frame_rate(f("a")), times.source_timestamp(f("1970-01-01 05:30:10 IST")), times.source_timestamp(f("Thu, 01 Jan 1970 00:00:05 GMT")), times.source_timestamp(f("never"))).first()
