@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,16 +124,20 @@ def dash_representations(manifests: DataFrame) -> DataFrame:
     Attributes that a rendition lacks come from its set; expiry is the earliest stamp of the rendition, its set and what
     holds them. Texts that are null, broken or declare entities give no row.
     """
-    out = "manifest_url string, id string, width int, height int, fps double, bitrate long, codecs string, scan string, expiry long, protected boolean"
     ship(manifests.sparkSession)
-    return manifests.select("manifest_url", "text").mapInPandas(_renditions, out)
+    return manifests.select("manifest_url", "text").mapInArrow(_renditions, ", ".join(f"{n} {t}" for n, t in RENDITION.items()))
 
 
-def _renditions(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = ["manifest_url", "id", "width", "height", "fps", "bitrate", "codecs", "scan", "expiry", "protected"]
-    for frame in frames:
-        rows = [(url, *x) for url, text in zip(frame["manifest_url"], frame["text"], strict=True) if text and "<!ENTITY" not in text for x in _video(text)]
-        yield pd.DataFrame(rows, columns=names).astype({"expiry": "Int64"})
+#: Columns of a rendition, as Spark and as Arrow name their types.
+RENDITION = {"manifest_url": "string", "id": "string", "width": "int", "height": "int", "fps": "double", "bitrate": "long", "codecs": "string", "scan": "string", "expiry": "long", "protected": "boolean"}
+_ARROW = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "long": pa.int64(), "boolean": pa.bool_()}
+
+
+def _renditions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(url, *x) for url, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) if text and "<!ENTITY" not in text for x in _video(text)]
+        columns = zip(*rows, strict=True) if rows else [()] * len(RENDITION)
+        yield pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t], from_pandas=True) for c, t in zip(columns, RENDITION.values(), strict=True)], names=list(RENDITION))
 
 
 def _video(text: str) -> Iterator[tuple]:
@@ -141,38 +145,60 @@ def _video(text: str) -> Iterator[tuple]:
         root = ElementTree.fromstring(text.strip().encode())
     except ElementTree.ParseError:
         return
-    protected = any(_local(e) == "ContentProtection" for e in root.iter())
+    protected = "ContentProtection" in text and any(_local(e) == "ContentProtection" for e in root.iter())
 
     def walk(node, above: list[int]) -> Iterator[tuple]:
-        inner = ("Representation",) if _local(node) == "AdaptationSet" else ("Period", "AdaptationSet", "Representation")
-        stamps = above + _stamps(node, inner)
+        a_set = _local(node) == "AdaptationSet"
+        stamps = above + _stamps(node, ("Representation",) if a_set else ("Period", "AdaptationSet", "Representation"))
         for child in node:
-            if _local(node) == "AdaptationSet" and _local(child) == "Representation":
+            kind = _local(child)
+            if a_set and kind == "Representation":
                 yield from _rendition(node, child, stamps, protected)
-            elif _local(child) in ("Period", "AdaptationSet"):
+            elif kind in ("Period", "AdaptationSet"):
                 yield from walk(child, stamps)
 
     yield from walk(root, [])
 
 
 def _rendition(parent, node, stamps: list[int], protected: bool) -> Iterator[tuple]:
-    get = lambda k: node.get(k) or parent.get(k) or ""
-    whole = lambda s: int(s) if s.strip().isdigit() else 0
-    width, height, fps = whole(get("width")), whole(get("height")), _rate(get("frameRate"))
-    kinds = f"{parent.get('mimeType') or ''} {node.get('mimeType') or ''}".lower()
-    if (parent.get("contentType") or "").lower() == "video" or "video" in kinds or (width and height) or fps > 0:
-        scan = get("scanType").strip().lower()
+    given = parent.attrib | {k: v for k, v in node.attrib.items() if v}
+    width, height, fps = _whole(given.get("width")), _whole(given.get("height")), _rate(given.get("frameRate") or "")
+    if (parent.get("contentType") or "").lower() == "video" or (width and height) or fps > 0 or "video" in f"{parent.get('mimeType') or ''} {node.get('mimeType') or ''}".lower():
+        scan = (given.get("scanType") or "").strip().lower()
         every = stamps + _stamps(node, ())
-        yield (node.get("id") or "").strip(), width, height, fps, whole(node.get("bandwidth") or ""), get("codecs").strip(), scan if scan in ("progressive", "interlaced") else "", min(every, default=None), protected
+        yield (node.get("id") or "").strip(), width, height, fps, _whole(node.get("bandwidth")), (given.get("codecs") or "").strip(), scan if scan in ("progressive", "interlaced") else "", min(every, default=None), protected
+
+
+def _whole(text: str | None) -> int:
+    return int(text) if text and text.strip().isdigit() else 0
 
 
 def _local(element) -> str:
-    return element.tag.rpartition("}")[2] if isinstance(element.tag, str) else ""
+    return element.tag.rpartition("}")[2]
+
+
+#: A stamp in a text of its own, and within the marked-up text of an element: there, an escape of what stands before ends in ";".
+_STAMP = re.compile(r"(?i)(?:^|[?&~=;])(?:exp|expires)=(\d+)")
+_STAMP_IN_TEXT = re.compile(r"(?i)[?&~=;<>](?:exp|expires)=(\d+)")
+_STAMP_IN_ATTRIBUTE = re.compile(r"(?i)[?&~=;<>\"\r\n\t](?:exp|expires)=(\d+)")
 
 
 def _stamps(node, without: tuple[str, ...]) -> list[int]:
-    texts = [*node.attrib.values(), node.text or "", *(ElementTree.tostring(c, encoding="unicode") for c in node if _local(c) not in without)]
-    return [int(x) for t in texts for x in re.findall(r"(?i)(?:^|[?&~=;])(?:exp|expires)=(\d+)", t)]
+    """Stamps in a node's attributes and text, and in the marked-up text of its children but those named; only what holds "=" is searched."""
+    found = [x for t in node.attrib.values() if "=" in t for x in _STAMP.findall(t)]
+    if node.text and "=" in node.text:
+        found += _STAMP.findall(node.text)
+    for child in node:
+        if without and _local(child) in without:
+            continue
+        for e in child.iter():
+            for t in (e.text, e.tail):
+                if t and "=" in t:
+                    found += _STAMP_IN_TEXT.findall(t)
+            for t in (e.tag, *e.attrib.keys(), *e.attrib.values()) if e.attrib else (e.tag,):
+                if "=" in t:
+                    found += _STAMP_IN_ATTRIBUTE.findall(t)
+    return [int(x) for x in found]
 
 
 def _rate(text: str) -> float:
