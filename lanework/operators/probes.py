@@ -25,11 +25,12 @@ def request_key(url: Column, headers: Column, has_keys: Column) -> Column:
     # Lengths keep one text from passing for two.
     told = lambda x: F.concat(F.length(x).cast("string"), F.lit(":"), x)
     lines = F.transform(kept, lambda p: F.concat(told(p["name"]), told(p["value"])))
-    return F.sha2(F.concat(told(urls.without_suffix(url)), F.array_join(lines, ""), F.coalesce(has_keys, F.lit(False)).cast("string")), 256)
+    key = F.sha2(F.concat(told(urls.without_suffix(url)), F.array_join(lines, ""), F.coalesce(has_keys, F.lit(False)).cast("string")), 256)
+    return F.coalesce(key, F.lit(""))  # never null, and known to be: a join then makes no filter of all this
 
 
 def probe_requests(entries: DataFrame, probe: Callable[[dict], dict], now: int, order: tuple[str, ...] = ("playlist_url", "entry_index")) -> DataFrame:
-    """entries with probe_key, probe_status, quality and expiry as a probe of their request says.
+    """entries with probe_key, probe_status, quality and expiry as a probe of their request says, and members, the number of its rows.
 
     A request is probed once: by its first row (in the given order) that has not expired, or its first row if all have. The
     answer goes to every row of the request, which keeps its own place and its own expiry: a row whose own expiry has passed
@@ -42,8 +43,8 @@ def probe_requests(entries: DataFrame, probe: Callable[[dict], dict], now: int,
     keyed = entries.withColumns({"probe_key": request_key(F.col("stream_url"), F.col("headers"), F.col("has_keys")), "_late": late.cast("int")})
     asked = keyed.select("probe_key", "_late", *order, "stream_url", F.to_json("headers").alias("headers"), "expiry")
     failed = lambda row, e: {"status": "probe_failed", "problem": str(e) or type(e).__name__}
-    answers = apply.representatives(asked, ["probe_key"], ["_late", *order], probe, ANSWER, failed)
+    answers = apply.representatives(asked, ["probe_key"], ["_late", *order], probe, ANSWER, failed, "members")
     both = keyed.join(answers, "probe_key")
     least = F.least("expiry", "answer_expiry")  # nulls are left out
     status = F.when(F.col("_late") == 1, "expired").when(F.coalesce(F.col("answer_expiry") <= now, F.lit(False)), "expired").otherwise(F.coalesce("status", F.lit("unsupported")))
-    return both.select("probe_key", *(F.col(c) for c in entries.columns if c != "expiry"), least.alias("expiry"), status.alias("probe_status"), (status == "working").alias("launchable"), "width", "height", "fps", "bitrate", F.coalesce("problem", F.lit("")).alias("problem"))
+    return both.select("probe_key", *(F.col(c) for c in entries.columns if c != "expiry"), least.alias("expiry"), status.alias("probe_status"), (status == "working").alias("launchable"), "width", "height", "fps", "bitrate", F.coalesce("problem", F.lit("")).alias("problem"), "members")

@@ -41,7 +41,7 @@ def _manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("lanework_lineitem")
     rows = spark.sql(_ROWS.replace("FROM lineitem", "FROM lanework_lineitem"))
     line = F.concat(F.lit("#EXT-X-STREAM-INF:BANDWIDTH="), F.col("b").cast("string"), F.lit(",RESOLUTION="), F.col("w").cast("string"), F.lit("x"), F.col("h").cast("string"), F.lit(",FRAME-RATE="), F.col("f").cast("string"), F.lit(',CODECS="a,b"\n'), F.expr(_UP), F.lit("v"), F.col("l_partkey").cast("string"), F.lit(".m3u8\n"))
-    listed = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "b", line.alias("line"))))
+    listed = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "b", line.alias("line"))))
     return rows.groupBy("l_orderkey").agg(listed.alias("x")).select(F.concat(F.lit("https://m.test/o/"), F.col("l_orderkey").cast("string"), F.lit("/x/master.m3u8?t=1")).alias("manifest_url"), F.concat(F.lit("#EXTM3U\n"), F.array_join(F.transform("x", lambda x: x["line"]), "")).alias("text"))
 
 
@@ -204,8 +204,7 @@ def probe_requests(spark, sf_dir):
 
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("lanework_lineitem")
     found = probes.probe_requests(spark.sql(_ASKED_SPARK), probe, carriers.NOW, ("playlist_url", "entry_index", "price"))
-    members = found.groupBy("probe_key").agg(F.count("*").alias("members"))
-    return found.join(members, "probe_key").select("playlist_url", "entry_index", "price", "probe_status", "height", "expiry", "problem", "members")
+    return found.select("playlist_url", "entry_index", "price", "probe_status", "height", "expiry", "problem", "members")
 
 
 #: Windows of a few days from each order, some open at one side; moments are the hours at which something happened to a line.
