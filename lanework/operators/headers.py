@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lanework.functions import urls
+
 #: Option names and the headers they set.
 OPTIONS = {"http-cookie": "Cookie", "http-referrer": "Referer", "http-user-agent": "User-Agent", "http-origin": "Origin"}
 #: Headers with one spelling, by their names in lower case with dashes.
@@ -33,9 +35,10 @@ def canonical_name(name: Column) -> Column:
 
 def _last_wins(pairs: Column) -> Column:
     """A map of (key, value) pairs in which the last pair of a name, in any case, counts."""
-    put = lambda done, x: F.array_append(F.filter(done, lambda y: F.lower(y["key"]) != F.lower(x["key"])), x)
-    empty = F.array().cast("array<struct<key:string,value:string>>")
-    return F.map_from_entries(F.aggregate(pairs, empty, put))
+    later = lambda names, i: F.slice(names, i + 2, F.size(names))
+    kept = lambda x: F.filter(x["pairs"], lambda _, i: ~F.array_contains(later(x["names"], i), F.get(x["names"], i)))
+    named = lambda p: F.struct(p.alias("pairs"), F.transform(p, lambda y: F.lower(y["key"])).alias("names"))
+    return F.map_from_entries(urls.bound(urls.bound(pairs, named), kept))
 
 
 def _pair(name: Column, value: Column) -> Column:
@@ -48,19 +51,32 @@ def _usable(pairs: Column, keep_blank: bool) -> Column:
 
 def option_headers(lines: Column, keep_blank: bool = False) -> Column:
     """Layer of the player options of an entry; directives in any case."""
-    body = lambda x: F.regexp_extract(F.trim(x), r"(?i)^#EXTVLCOPT:(.*)$", 1)
-    name = lambda x: F.lower(F.regexp_extract(body(x), r"^([^=]*)=", 1))
-    value = lambda x: F.regexp_extract(body(x), r"^[^=]*=(.*)$", 1)
+    told = F.filter(F.transform(_under(lines, "#EXTVLCOPT:"), lambda x: _cut(x, "=")), lambda x: x["name"] != "")
     known = F.create_map(*(F.lit(x) for pair in OPTIONS.items() for x in pair))
-    extra = lambda x: _pair(F.regexp_extract(value(x), r"^([^:]*):", 1), F.regexp_extract(value(x), r"^[^:]*:(.*)$", 1))
-    given = lambda x: F.when(name(x) == "http-extra-headers", extra(x)).otherwise(_pair(F.coalesce(F.try_element_at(known, name(x)), F.lit("")), value(x)))
-    return _last_wins(_usable(F.transform(F.coalesce(lines, F.array().cast("array<string>")), given), keep_blank))
+    meant = lambda x: F.when(x["name"] == "http-extra-headers", _cut(x["value"], ":")).otherwise(F.struct(F.coalesce(F.try_element_at(known, x["name"]), F.lit("")).alias("name"), x["value"].alias("value")))
+    low = F.transform(told, lambda x: F.struct(F.lower(x["name"]).alias("name"), x["value"].alias("value")))
+    given = F.filter(F.transform(low, meant), lambda x: x["name"] != "")
+    return _last_wins(_usable(F.transform(given, lambda x: _pair(x["name"], x["value"])), keep_blank))
+
+
+def _under(lines: Column, directive: str) -> Column:
+    """What stands behind a directive, in any case, in the lines that have it; only these cost a regular expression."""
+    trimmed = F.transform(F.coalesce(lines, F.array().cast("array<string>")), lambda x: F.trim(x))
+    own = F.filter(trimmed, lambda x: F.lower(F.substring(x, 1, len(directive))) == directive.lower())
+    return F.transform(own, lambda x: F.regexp_extract(x, rf"(?i)^{directive}(.*)$", 1))
+
+
+def _cut(text: Column, at: str) -> Column:
+    """struct(name, value): what stands before and behind the first ``at``; both blank without one."""
+    name = F.substring_index(text, at, 1)
+    there = F.contains(text, F.lit(at))
+    return F.struct(F.when(there, name).otherwise("").alias("name"), F.when(there, F.substr(text, F.length(name) + 2)).otherwise("").alias("value"))
 
 
 def json_headers(lines: Column, keep_blank: bool = False) -> Column:
-    """Layer of the JSON header lines of an entry; text that is no JSON object is skipped."""
-    payload = lambda x: F.from_json(F.regexp_extract(F.trim(x), r"(?i)^#EXTHTTP:(.*)$", 1), "map<string,string>")
-    found = F.filter(F.transform(F.coalesce(lines, F.array().cast("array<string>")), payload), lambda x: x.isNotNull())
+    """Layer of the JSON header lines of an entry; text that is no JSON object is skipped, without a trial if it never ends."""
+    closed = F.filter(_under(lines, "#EXTHTTP:"), lambda x: F.contains(x, F.lit("}")))
+    found = F.filter(F.transform(closed, lambda x: F.from_json(x, "map<string,string>")), lambda x: x.isNotNull())
     pairs = F.flatten(F.transform(found, lambda x: F.transform(F.map_entries(x), lambda y: _pair(y["key"], y["value"]))))
     return _last_wins(_usable(pairs, keep_blank))
 
@@ -70,8 +86,10 @@ def merge_header_layers(*layers: Column, keep_blank: bool = False) -> Column:
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     listed = lambda m: F.transform(F.map_entries(F.coalesce(m, empty)), lambda x: _pair(x["key"], x["value"]))
     pairs = _usable(reduce(F.concat, [listed(m) for m in layers]), keep_blank)
-    filled = lambda x: F.exists(pairs, lambda y: (F.lower(y["key"]) == F.lower(x["key"])) & (y["value"] != ""))
-    return _last_wins(F.filter(pairs, lambda x: (x["value"] != "") | ~filled(x)))
+    if not keep_blank:
+        return _last_wins(pairs)
+    filled = lambda p, x: F.exists(p, lambda y: (F.lower(y["key"]) == F.lower(x["key"])) & (y["value"] != ""))
+    return _last_wins(urls.bound(pairs, lambda p: F.filter(p, lambda x: (x["value"] != "") | ~filled(p, x))))
 
 
 def effective_headers(provider: Column, given: Column, defaults: dict[str, dict[str, str]], user_agent: str) -> Column:
