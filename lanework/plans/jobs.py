@@ -151,7 +151,8 @@ def _change_sql() -> str:
 
 @query("all_changes", _change_sql())
 def all_changes(spark, sf_dir):
-    return changes.all_changes(changes.summary_with_quality(catalog.keyed(spark, sf_dir)))
+    # Feeds and catalogs are compared apart: both read the summaries, which are made once.
+    return changes.all_changes(stored(changes.summary_with_quality(catalog.keyed(spark, sf_dir)), "summaries"))
 
 
 #: Arrivals of the history that the stream is fed: each brings a third of the range of scans.
