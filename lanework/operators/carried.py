@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanework.functions import quality
+from lanework.functions import quality, urls
 from lanework.operators import identity
 
 #: Facts of quality, and the column that tells where each comes from.
@@ -24,8 +24,12 @@ LABELS = tuple(dict.fromkeys(FACTS.values()))
 
 def merge_labels(*labels: Column) -> Column:
     """Labels joined by '+', each once, in order of first mention; null and blank ones are left out."""
-    parts = F.transform(F.split(F.concat_ws("+", *labels), r"\+"), lambda x: F.trim(x))
-    return F.array_join(F.array_distinct(F.filter(parts, lambda x: x != "")), "+")
+
+    def merged(text: Column) -> Column:
+        parts = F.array_remove(F.transform(F.split(text, r"\+"), lambda x: F.trim(x)), "")
+        return F.when(text.contains("+"), F.array_join(F.array_distinct(parts), "+")).otherwise(F.trim(text))
+
+    return urls.bound(F.concat_ws("+", *labels), merged)
 
 
 def _known(entries: DataFrame, fact: str) -> Column:
@@ -43,14 +47,16 @@ def quality_evidence(entries: DataFrame, scan: str = "scan_id") -> DataFrame:
     """(persistence_key, scan, a struct (scan, value, label, source) per fact): what each scan knows of a delivery path.
 
     Of several values in one scan the greatest counts, then the greatest label: maxima, so neither the order of rows nor
-    their split over tasks matters. Repeated evidence is folded by a hash aggregate before it moves. Rows without a path
-    have no evidence.
+    their split over tasks matters. Repeated evidence is folded before it moves. Rows without a path have no evidence.
+
+    Keys and values are columns of their own, and rows without a path go after the fold: a filter before it would be moved
+    to the input, and each row's address be taken apart again for it.
     """
-    key = F.col("_key")
-    facts = [F.when(_known(entries, f).isNotNull(), F.struct(F.col(scan).alias("scan"), _known(entries, f).alias("value"), _label(entries, by).alias("label"), _label(entries, "quality_source").alias("source"))).alias(f) for f, by in FACTS.items()]
-    rows = entries.withColumn("_key", identity.persistence_key(entries)).where(key.isNotNull() & ~key.endswith("|"))
-    once = rows.select(key.alias("persistence_key"), F.col(scan), *facts).distinct()
-    return once.groupBy("persistence_key", scan).agg(*(F.max(f).alias(f) for f in FACTS))
+    labels = {by: _label(entries, by).alias(f"_{by}") for by in LABELS}
+    rows = entries.select(identity.persistence_key(entries).alias("persistence_key"), F.col(scan), *(_known(entries, f).alias(f) for f in FACTS), *labels.values(), _label(entries, "quality_source").alias("_source"))
+    has = ~F.col("persistence_key").endswith("|")
+    facts = [F.max(F.when(has & F.col(f).isNotNull(), F.struct(F.col(scan).alias("scan"), F.col(f).alias("value"), F.col(f"_{by}").alias("label"), F.col("_source").alias("source")))).alias(f) for f, by in FACTS.items()]
+    return rows.groupBy("persistence_key", scan).agg(*facts, F.max(has).alias("_has")).where("_has").drop("_has")
 
 
 def fold_evidence(evidence: DataFrame, scan: str = "scan_id") -> DataFrame:
@@ -72,16 +78,14 @@ def fill_persisted(entries: DataFrame, scan: str = "scan_id") -> DataFrame:
     # Columns of their own, so that each is made once a row however often it is named below.
     rows = rows.withColumns({f"used_{f}": F.when(_known(entries, f).isNull(), F.col(f"known_{f}")) for f in FACTS})
     used = {f: F.col(f"used_{f}") for f in FACTS}
-    newest = lambda found: F.reverse(F.array_sort(F.array_compact(F.array(*found))))
-    labels = {}
-    for by in LABELS:
-        found = newest([F.when(used[f].isNotNull(), F.struct(used[f]["scan"].alias("scan"), used[f]["label"].alias("label"))) for f in FACTS if FACTS[f] == by])
-        labels[by] = merge_labels(_label(entries, by), F.array_join(F.transform(found, lambda x: x["label"]), "+"))
-    sources = newest([F.when(u.isNotNull(), F.struct(u["scan"].alias("scan"), u["source"].alias("label"))) for u in used.values()])
-    filled = F.size(sources) > 0
+    # What filled a row, newest first; sorted as values, so without a call for each pair.
+    newest = lambda facts, what: F.array_join(F.sort_array(F.array(*(F.when(used[f].isNotNull(), F.struct(used[f]["scan"].alias("scan"), used[f][what].alias("label"))) for f in facts)), asc=False)["label"], "+")
+    said = {by: [f for f in FACTS if FACTS[f] == by] for by in LABELS}
+    labels = {by: merge_labels(_label(entries, by), newest(facts, "label") if len(facts) > 1 else used[facts[0]]["label"]) for by, facts in said.items()}
+    filled = F.greatest(*(u.isNotNull() for u in used.values()))
     was_known = F.coalesce(F.col("quality_known"), F.lit(False)) if "quality_known" in entries.columns else F.greatest(*(_known(entries, f).isNotNull() for f in FACTS))
     put = {f: F.coalesce(_known(entries, f), u["value"], F.col(f)) for f, u in used.items()} | labels
-    put |= {"quality_source": merge_labels(_label(entries, "quality_source"), F.array_join(F.transform(sources, lambda x: x["label"]), "+")), "quality_known": was_known | filled, "filled": filled}
+    put |= {"quality_source": merge_labels(_label(entries, "quality_source"), newest(FACTS, "source")), "quality_known": was_known | filled, "filled": filled}
     return rows.withColumns(put).drop(*(f"{x}_{f}" for f in FACTS for x in ("known", "used")))
 
 

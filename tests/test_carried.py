@@ -62,6 +62,17 @@ def test_fill_without_labels_never_over_fresh(spark):
     assert not other.filled and not other.quality_known and other.video_height == 0 and not found["X", 1].filled
 
 
+def test_filling_takes_an_address_apart_once_a_side(spark):
+    """Rows without a path leave evidence after its fold: a filter before it takes each address apart again. Labels are ordered as values."""
+    plan = carried.fill_persisted(spark.range(3).selectExpr("1 AS scan_id", "'X' AS provider", "concat('https://h.test/', id) AS stream_url", "0 AS video_width", "0 AS video_height", "0D AS video_fps", "id AS video_bitrate_bps", "'' AS video_scan_type"))
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("regexp_extract(") == 2 and "array_sort(" not in text
+    pathless = spark.createDataFrame([(1, "X", None, 1920, 1080, 50.0, 5, "p"), (1, "X", "https://h.test/a", 1920, 1080, 50.0, 5, "p")], "scan_id int, provider string, stream_url string, video_width int, video_height int, video_fps double, video_bitrate_bps long, video_scan_type string")
+    assert [r.persistence_key for r in carried.quality_evidence(pathless).collect()] == ["X|/a"]
+    labels = spark.createDataFrame([(" a ", "b+ a"), (None, " "), ("x", None), ("+", " c +c")], "a string, b string")
+    assert [r[0] for r in labels.select(carried.merge_labels(F.col("a"), F.col("b"))).collect()] == ["a+b", "", "x", "c"]
+
+
 ROWS = "n int, target string, playlist_url string, provider string, source_group string, entry_index int, stream_url string, tvg_name string, group_title string, entry_title string"
 DEFINED = "target string, since int, enabled boolean, active_from int, active_until int, phrase string"
 
