@@ -52,7 +52,10 @@ def read_registry(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 STATUS = "schema_version int, registry_session_id string, identity string, provider string, worker_pid int, worker_state string, sequence long, updated_at string"
 
 
-def read_status(spark: SparkSession, path: str, session_id: str, version: int = 1) -> DataFrame:
-    """Status files (one JSON object each) of a session; broken texts, other versions or sessions and nameless feeds go."""
-    rows = spark.read.schema(STATUS).json(path, mode="PERMISSIVE", multiLine=True)
+def read_status(spark: SparkSession, path: str, session_id: str, version: int = 1, lines: bool = False) -> DataFrame:
+    """Status texts (one JSON object each) of a session; broken texts, other versions or sessions and nameless feeds go.
+
+    Each file below path is one text; with ``lines`` each line of it is, so that the texts of many feeds lie in few files.
+    """
+    rows = spark.read.schema(STATUS).json(path, mode="PERMISSIVE", multiLine=not lines)
     return rows.where((F.col("schema_version") == version) & (F.col("registry_session_id") == session_id) & (F.col("identity") != ""))

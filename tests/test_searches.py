@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lanework.functions import times
 from lanework.operators import display, evidence, headers, identity, manifests, scope
-from lanework.plans import searches
+from lanework.plans import records, searches
 from lanework.sources import snapshots
 from lanework.streaming import jobs
 
@@ -92,6 +92,15 @@ def test_status_files(spark, tmp_path):
     assert [(r.identity, r.sequence) for r in snapshots.read_status(spark, str(tmp_path), "s").collect()] == [("f", 3)]
 
 
+def test_status_lines(spark, sf_dir, tmp_path):
+    """Many feeds' texts in one file: a broken line costs no other; the query's files do not follow the feeds."""
+    good = {"schema_version": 1, "registry_session_id": "s", "identity": "f", "worker_pid": 7, "worker_state": "RECORDING", "sequence": 3}
+    texts = [json.dumps(good), "{", "", json.dumps(good | {"schema_version": 2}), json.dumps(good | {"registry_session_id": "t"}), json.dumps(good | {"identity": ""}), json.dumps(good | {"identity": "g\nh", "sequence": 4})]
+    (tmp_path / "all.json").write_text("\n".join(texts))
+    assert sorted((r.identity, r.sequence) for r in snapshots.read_status(spark, str(tmp_path), "s", lines=True).collect()) == [("f", 3), ("g\nh", 4)]
+    assert len(records.QUERIES["read_status"](spark, sf_dir).inputFiles()) <= 8
+
+
 def test_effective_headers(spark):
     rows = spark.createDataFrame([("jio", {"ACCEPT": "own", "Origin": " "}), (None, None), ("X", {"user_agent": "mine"})], "p string, h map<string,string>")
     found = [r[0] for r in rows.select(headers.effective_headers(F.col("p"), F.col("h"), {"JIO": {"Accept": "*/*", "Origin": "o"}}, "UA")).collect()]
