@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lanework.functions import urls
 from lanework.operators import evidence, identity
+from lanework.sources.shared import stored
 
 #: Fixed value: a host whose addresses name owner, project and branch.
 RAW_HOST = "raw.githubusercontent.com"
@@ -60,8 +61,8 @@ LISTS = ("master.m3u8", "index.m3u8", "playlist.m3u8", "manifest.m3u8")
 WORTH = {"manifest": 4, "ffprobe": 3, "stream": 3, "format": 3, "sample": 1}
 
 
-def _renditions(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """entries with _key, the rendition of a row, and (identity_key, _key, x, n): what the row of best evidence says of each."""
+def _renditions(entries: DataFrame) -> DataFrame:
+    """entries with _key, the rendition of a row, and _proof: its evidence, best least, then its place and what it says."""
     number = lambda c: F.coalesce(c, F.lit(0))
     has = lambda c: F.col(c) if c in entries.columns else F.lit(None)
     worth = F.try_element_at(F.create_map(*(F.lit(x) for pair in WORTH.items() for x in pair)), F.lower(F.trim(F.coalesce(has("video_bitrate_source"), F.lit("")))))
@@ -69,11 +70,10 @@ def _renditions(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = entries.withColumns({"_quality": identity.signature_of(entries), "_path": identity.persistence_key(entries)})
     leaf = F.lower(F.regexp_extract("_path", "([^/]*)$", 1))
     one = F.concat_ws("/", F.col("_path"), width, height, F.round(fps, 3))
-    rows = rows.withColumn("_key", F.when(leaf.isin("", *LISTS), F.col("_quality")).otherwise(one))
     proofs = (-(bitrate > 0).cast("int"), -F.coalesce(worth, F.when(bitrate > 0, 2).otherwise(0)), -((width > 0) & (height > 0) & (fps > 0)).cast("int"), -(F.coalesce("video_scan_type", F.lit("")) != "").cast("int"), -number(has("source_freshness_ts").cast("double")))
     shown = (F.col("_quality").alias("quality"), (width.cast("long") * height).alias("area"), F.round(fps, 3).alias("fps"), bitrate.alias("bitrate"))
-    first = F.min(F.struct(*(e.alias(f"e{i}") for i, e in enumerate(proofs)), "playlist_url", "entry_index", *shown))
-    return rows.drop("_quality", "_path"), rows.groupBy("identity_key", "_key").agg(first.alias("x"), F.count("*").alias("n"))
+    proof = F.struct(*(e.alias(f"e{i}") for i, e in enumerate(proofs)), "playlist_url", "entry_index", *shown)
+    return rows.withColumns({"_key": F.when(leaf.isin("", *LISTS), F.col("_quality")).otherwise(one), "_proof": proof}).drop("_quality", "_path")
 
 
 def quality_groups(entries: DataFrame) -> DataFrame:
@@ -83,7 +83,7 @@ def quality_groups(entries: DataFrame) -> DataFrame:
     for them (the first by catalog and position on ties). Renditions that then look the same share a heading. Sort by area,
     rate and bitrate, falling. Columns video_bitrate_source and source_freshness_ts count where there are any.
     """
-    _, speaks = _renditions(entries)
+    speaks = _renditions(entries).groupBy("identity_key", "_key").agg(F.min("_proof").alias("x"), F.count("*").alias("n"))
     return speaks.groupBy("identity_key", "x.quality").agg(F.count("*").alias("renditions"), F.sum("n").alias("observations"), F.max("x.area").alias("area"), F.max("x.fps").alias("fps"), F.max("x.bitrate").alias("bitrate"))
 
 
@@ -97,21 +97,24 @@ def quality_rows(entries: DataFrame, best: DataFrame, updated: str) -> DataFrame
     position; the last updated come first, then names in order, then the freshest catalogs. Null times come last.
 
     Rows are numbered within one time and name, behind the number of rows before, which come from counts: no task orders all
-    rows of a feed.
+    rows of a feed. Rows that look the same are folded before anything is joined, and what is used several times is stored.
     """
-    rows, speaks = _renditions(entries)
+    rows = _renditions(entries)
     fresh = F.coalesce(F.col("source_freshness_ts").cast("double"), F.lit(0.0)) if "source_freshness_ts" in entries.columns else F.lit(0.0)
     name = evidence.plain(F.coalesce(F.nullif("entry_title", F.lit("")), "tvg_name"))
     text = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    seen = rows.select("identity_key", "_key", text("playlist_url"), text("entry_title"), text("tvg_name"), text("group_title"), identity.state_of(entries).alias("state"), "entry_index", F.col(updated).alias("updated"), fresh.alias("fresh"), name.alias("name"))
-    headed = seen.join(speaks.select("identity_key", "_key", "x.quality", "x.area", "x.fps", "x.bitrate"), ["identity_key", "_key"])
+    seen = rows.select("identity_key", "_key", text("playlist_url"), text("entry_title"), text("tvg_name"), text("group_title"), identity.state_of(entries).alias("state"), "entry_index", F.col(updated).alias("updated"), fresh.alias("fresh"), name.alias("name"), "_proof")
     chosen = best.select("identity_key", text("playlist_url"), "entry_index", F.lit(True).alias("best"))
-    headed = headed.join(chosen, ["identity_key", "playlist_url", "entry_index"], "left")
+    seen = seen.join(stored(chosen, "best"), ["identity_key", "playlist_url", "entry_index"], "left")
+    looks = ["playlist_url", "entry_title", "tvg_name", "group_title", "state", "name"]
+    first, is_best = F.min(F.struct("entry_index", "updated", "fresh")), F.bool_or(F.coalesce("best", F.lit(False))).alias("best")
+    folded = stored(seen.groupBy("identity_key", "_key", *looks).agg(first.alias("first"), F.min("_proof").alias("proof"), is_best), "looks")
+    speaks = folded.groupBy("identity_key", "_key").agg(F.min("proof").alias("x"))
+    headed = folded.join(speaks.select("identity_key", "_key", "x.quality", "x.area", "x.fps", "x.bitrate"), ["identity_key", "_key"])
+    said = [F.max(c).alias(c) for c in ("area", "fps", "bitrate")]
+    once = stored(headed.groupBy("identity_key", "quality", *looks).agg(F.min("first").alias("x"), is_best, *said).select("identity_key", "quality", *looks, "x.*", "best", "area", "fps", "bitrate"), "rows")
     order = Window.partitionBy("identity_key").orderBy(F.desc("best"), F.desc("area"), F.desc("fps"), F.desc("bitrate"), "quality")
-    headings = headed.groupBy("identity_key", "quality").agg(F.bool_or(F.coalesce("best", F.lit(False))).alias("best"), *(F.max(c).alias(c) for c in ("area", "fps", "bitrate")))
-    headings = headings.select("identity_key", "quality", F.row_number().over(order).alias("heading"))
-    once = headed.groupBy("identity_key", "quality", "playlist_url", "entry_title", "tvg_name", "group_title", "state", "name").agg(F.min(F.struct("entry_index", "updated", "fresh")).alias("x"))
-    once = once.select("identity_key", "quality", "playlist_url", "state", "name", "x.*", *(F.col(c) for c in ("entry_title", "tvg_name", "group_title")))
+    headings = once.groupBy("identity_key", "quality").agg(F.bool_or("best").alias("best"), *said).select("identity_key", "quality", F.row_number().over(order).alias("heading"))
     alike = ["identity_key", "quality", "updated", "name"]
     before = Window.partitionBy("identity_key", "quality").orderBy(F.desc_nulls_last("updated"), "name").rowsBetween(Window.unboundedPreceding, -1)
     counted = once.groupBy(*alike).agg(F.count("*").alias("n"))

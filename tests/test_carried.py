@@ -171,6 +171,15 @@ def test_rows_under_their_headings(spark):
     assert display.quality_rows(df.limit(0), best, "at").count() == 0
 
 
+def test_rows_are_folded_to_their_looks_once(spark):
+    """Headings, counts and places come from what was folded and stored, not from the addresses of all rows again."""
+    rows = [shown("f", "a/1", "l1", i, "B show", at=i, bitrate=500 + i) for i in range(40)] + [shown("f", "a/2", "l1", 99, "B show", at=99, bitrate=539)]
+    found = display.quality_rows(spark.createDataFrame(rows, SHOWN), spark.createDataFrame([("f", "l1", 7), ("f", None, 7)], "identity_key string, playlist_url string, entry_index int"), "at")
+    assert "regexp_extract(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    # The rendition of path 1 is told by its first row, so the rows of both paths have headings of their own; the best row's comes first.
+    assert sorted((r.heading, r.place, r.quality, r.entry_index) for r in found.collect()) == [(1, 1, "1920/1080/50.000/500/progressive", 0), (2, 1, "1920/1080/50.000/539/progressive", 99)]
+
+
 def test_one_group_of_many_searches_is_dealt_over_all_tasks(spark):
     """Searches of one group are read with its catalogs by many tasks, and none reads all that one task wrote of the contexts."""
     searches = spark.range(2000).selectExpr("concat('t', id) AS name", "array('jio') AS source_groups")
