@@ -15,7 +15,8 @@ def iso_duration_seconds(text: Column) -> Column:
 
 def frame_rate(text: Column) -> Column:
     """Frames a second of a number or a fraction; 0 if it is none."""
-    top, bottom = F.regexp_extract(text, r"^\s*([\d.]+)", 1).try_cast("double"), F.regexp_extract(text, r"/\s*([\d.]+)\s*$", 1)
+    first, bottom = F.regexp_extract(text, r"^\s*([\d.]+)", 1), F.regexp_extract(text, r"/\s*([\d.]+)\s*$", 1)
+    top = F.when(first != "", first.try_cast("double"))  # the failed cast of an empty text costs an exception
     return F.coalesce(F.when(bottom == "", top).otherwise(F.try_divide(top, bottom.try_cast("double"))), F.lit(0.0))
 
 

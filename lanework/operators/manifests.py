@@ -19,21 +19,27 @@ def hls_variants(manifests: DataFrame) -> DataFrame:
 
     url is the whole address that uri means in its manifest, expiry what url says of its end.
     """
-    parts = F.slice(F.split(F.concat(F.lit("\n"), F.regexp_replace("text", r"\r\n?", "\n")), r"\n\s*#EXT-X-STREAM-INF:"), 2, 1 << 30)
+    # What few manifests need (other line ends, lines between a variant and its address, fractions) costs the others nothing.
+    text = F.when(F.col("text").contains("\r"), F.regexp_replace("text", r"\r\n?", "\n")).otherwise(F.col("text"))
+    parts = F.slice(F.split(F.concat(F.lit("\n"), text), r"\n\s*#EXT-X-STREAM-INF:"), 2, 1 << 30)
     rows = manifests.select("manifest_url", F.posexplode(parts).alias("at", "part"))
     line = F.split_part("part", F.lit("\n"), F.lit(1))
-    number = lambda p: F.coalesce(F.regexp_extract(line, p, 1).try_cast("bigint"), F.lit(0))
+    # A cast of an empty text costs the JVM an exception, so an attribute that is not there is not cast.
+    given = lambda x, kind: F.when(x != "", x.try_cast(kind))
+    number = lambda p: F.coalesce(given(F.regexp_extract(line, p, 1), "bigint"), F.lit(0))
     average, peak = number(r"AVERAGE-BANDWIDTH=(\d+)"), number(r"(?:^|,)\s*BANDWIDTH=(\d+)")
-    uris = F.filter(F.slice(F.transform(F.split("part", "\n"), lambda x: F.trim(x)), 2, 1 << 30), lambda x: (x != "") & ~x.startswith("#"))
+    says = lambda x: (x != "") & ~x.startswith("#")
+    uris = F.filter(F.slice(F.transform(F.split("part", "\n"), lambda x: F.trim(x)), 2, 1 << 30), says)
+    second, rate = F.trim(F.split_part("part", F.lit("\n"), F.lit(2))), F.regexp_extract(line, r"FRAME-RATE=([\d./]+)", 1)
     found = rows.select(
         "manifest_url",
         (F.col("at") + 1).alias("variant"),
         number(r"RESOLUTION=(\d+)x").cast("int").alias("width"),
         number(r"RESOLUTION=\d+x(\d+)").cast("int").alias("height"),
-        times.frame_rate(F.regexp_extract(line, r"FRAME-RATE=([\d./]+)", 1)).alias("fps"),
+        F.when(rate.contains("/"), times.frame_rate(rate)).otherwise(F.coalesce(given(rate, "double"), F.lit(0.0))).alias("fps"),
         F.when(average > 0, average).otherwise(peak).alias("bitrate"),
         F.regexp_extract(line, r'CODECS="([^"]*)"', 1).alias("codecs"),
-        F.coalesce(F.try_element_at(uris, F.lit(1)), F.lit("")).alias("uri"),
+        F.when(says(second), second).otherwise(F.coalesce(F.try_element_at(uris, F.lit(1)), F.lit(""))).alias("uri"),
     )
     return found.withColumn("url", urls.join(F.col("manifest_url"), F.col("uri"))).withColumn("expiry", urls.auth_expiry(F.col("url")))
 

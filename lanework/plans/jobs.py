@@ -42,7 +42,7 @@ def _manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.sql(_ROWS.replace("FROM lineitem", "FROM lanework_lineitem"))
     line = F.concat(F.lit("#EXT-X-STREAM-INF:BANDWIDTH="), F.col("b").cast("string"), F.lit(",RESOLUTION="), F.col("w").cast("string"), F.lit("x"), F.col("h").cast("string"), F.lit(",FRAME-RATE="), F.col("f").cast("string"), F.lit(',CODECS="a,b"\n'), F.expr(_UP), F.lit("v"), F.col("l_partkey").cast("string"), F.lit(".m3u8\n"))
     listed = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "b", line.alias("line"))))
-    return rows.groupBy("l_orderkey").agg(listed.alias("x")).select(F.concat(F.lit("https://m.test/o/"), F.col("l_orderkey").cast("string"), F.lit("/x/master.m3u8?t=1")).alias("manifest_url"), F.concat(F.lit("#EXTM3U\n"), F.array_join(F.transform("x", lambda x: x["line"]), "")).alias("text"))
+    return rows.groupBy("l_orderkey").agg(listed.alias("x")).select(F.concat(F.lit("https://m.test/o/"), F.col("l_orderkey").cast("string"), F.lit("/x/master.m3u8?t=1")).alias("manifest_url"), F.concat(F.lit("#EXTM3U\n"), F.array_join(F.col("x.line"), "")).alias("text"))
 
 
 @query("hls_variants", f"SELECT 'https://m.test/o/' || l_orderkey || '/x/master.m3u8?t=1' AS manifest_url, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER})::INT AS variant, w AS width, h AS height, f AS fps, b AS bitrate, 'a,b' AS codecs, {_UP} || 'v' || l_partkey || '.m3u8' AS uri, {_URL} AS url, NULL::BIGINT AS expiry FROM ({_ROWS})")

@@ -41,6 +41,16 @@ def test_manifests(spark):
     assert {r[0]: (r[1], r[2]) for r in manifests.encryption_flags(keys).collect()} == {"a": (False, False), "b": (True, False), "c": (True, True)}
 
 
+def test_missing_attributes_are_not_cast(spark):
+    """The failed cast of an empty text costs an exception a row; odd lines give what they gave."""
+    text = "#EXTM3U\n#EXT-X-STREAM-INF:FRAME-RATE=30000/1001\r\n# c\r\r\n  a.m3u8 \r#EXT-X-STREAM-INF:RESOLUTION=7x,FRAME-RATE=2.5.1\n b \n#EXT-X-STREAM-INF:BANDWIDTH=99999999999999999999,FRAME-RATE=/2,CODECS=\"\"\n#EXT-X-STREAM-INF:FRAME-RATE=5/0,AVERAGE-BANDWIDTH=0,BANDWIDTH=3"
+    found = manifests.hls_variants(spark.createDataFrame([("m", text), ("n", None)], "manifest_url string, text string"))
+    rows = [(r.variant, r.width, r.height, r.fps, r.bitrate, r.codecs, r.uri) for r in found.orderBy("variant").collect()]
+    assert rows == [(1, 0, 0, 30000 / 1001, 0, "", "a.m3u8"), (2, 7, 0, 0.0, 0, "", "b"), (3, 0, 0, 0.0, 0, "", ""), (4, 0, 0, 0.0, 3, "", "")]
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "coalesce(try_cast(regexp_extract(" not in plan and "THEN try_cast(regexp_extract(" in plan
+
+
 def test_joined_addresses(spark):
     from urllib.parse import urljoin
 
