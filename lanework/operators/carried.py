@@ -127,13 +127,15 @@ def retain_unchanged(entries: DataFrame, failed: DataFrame, definitions: DataFra
     """
     keys = ["target", *SOURCE, *OBSERVED]
     plain = _source_names(entries).withColumns({c: F.coalesce(c, F.lit("")) for c in OBSERVED if c != "entry_index"} | {"entry_index": F.coalesce("entry_index", F.lit(0))})
-    seen = plain.select("n", *keys).distinct().withColumn("again", F.lead("n").over(Window.partitionBy(*keys).orderBy("n")))
+    # Dealt by all that names a row but its scan: repeats and the next time it is seen are then found where it lies.
+    seen = plain.select("n", *keys).repartition(*keys).distinct().withColumn("again", F.lead("n").over(Window.partitionBy(*keys).orderBy("n")))
     source = Window.partitionBy(*SOURCE)
     runs = _source_names(failed).select("n", *SOURCE).distinct().withColumn("run", F.col("n") - F.row_number().over(source.orderBy("n")))
     runs = runs.select((F.col("n") - 1).alias("n"), *SOURCE, F.max("n").over(Window.partitionBy(*SOURCE, "run")).alias("unread_to"))
     starts = seen.join(runs, ["n", *SOURCE]).withColumn("last", F.least("unread_to", F.col("again") - 1)).where("last > n")
-    # The definition that holds at a start, and whether the search is active in the next scan already.
-    moments = starts.select("target", "n").distinct().join(scans.select("n", "at"), "n").join(scans.select((F.col("n") - 1).alias("n"), F.col("at").alias("next_at")), "n")
+    # The definition that holds at a start, and whether the search is active in the next scan already. All scans of a search's
+    # rows are asked, a superset that is folded before it moves: starts need not be found twice.
+    moments = plain.select("target", "n").distinct().join(scans.select("n", "at"), "n").join(scans.select((F.col("n") - 1).alias("n"), F.col("at").alias("next_at")), "n")
     held = moments.join(definition_versions(definitions, fields), "target").where("since <= at and (until is null or next_at < until)")
     held = held.where("enabled and (active_from is null or next_at >= active_from)").select("target", "n", "until", F.when(F.col("active_from").isNotNull(), F.col("active_until")).alias("ends"))
     steps = starts.join(held, ["target", "n"]).select(*keys, "until", "ends", F.explode(F.sequence(F.col("n") + 1, "last")).alias("n"))

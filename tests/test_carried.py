@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,6 +117,16 @@ def test_retained_rows(spark, seed):
     assert carried.retain_unchanged(frames[0].limit(0), *frames[1:], ("phrase",)).count() == 0
 
 
+def test_rows_that_may_be_retained_move_once(spark):
+    """One exchange by the names of a row, for its repeats and for when it is seen again; starts are found once."""
+    rows = spark.createDataFrame([(n, "t", "l", "x", "g", 1, f"u{n % 3}", "", "", "") for n in (*range(9), 0)], ROWS)
+    failed = rows.select("n", "playlist_url", "provider", "source_group")
+    found = carried.retain_unchanged(rows, failed, spark.createDataFrame([("t", 0, True, None, None, "p")], DEFINED), rows.selectExpr("n", "n * 10 AS at").distinct(), ("phrase",))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\([^)]*stream_url", plan)) == 1
+    assert sorted((r.n, r.stream_url) for r in found.collect()) == sorted((n, f"u{k}") for k in range(3) for n in range(9) if n > k and n % 3 != k)
+
+
 def test_changed_and_inactive_searches_retain_nothing(spark):
     rows = [(1, t, "l", "X", "G", 1, "u", "", "", "") for t in ("same", "changed", "disabled", "ended", "early", "undefined")]
     definitions = [("same", 0, True, None, None, "p"), ("changed", 0, True, None, None, "p"), ("changed", 15, True, None, None, "q"), ("disabled", 0, False, None, None, "p"), ("ended", 0, True, 0, 20, "p"), ("early", 0, True, 21, None, "p")]
