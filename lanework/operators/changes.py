@@ -113,7 +113,8 @@ def diff_updates(entries: DataFrame) -> DataFrame:
 def summary_with_quality(entries: DataFrame) -> DataFrame:
     """summary with best, the highest rank and its signature among launchable rows (null without one): all that ``all_changes`` needs of a scan."""
     best = F.struct(identity.rank_of(entries).alias("rank"), identity.signature_of(entries).alias("signature"))
-    return summary(entries.withColumn("_best", F.when(F.col("launchable"), best)), F.max("_best").alias("best"))
+    # Made for every row: within a condition nothing is shared, and the compiled method passes the JVM's limit and runs interpreted.
+    return summary(entries.withColumn("_best", best), F.expr("max(_best) FILTER (WHERE launchable)").alias("best"))
 
 
 def all_changes(summaries: DataFrame) -> DataFrame:

@@ -164,11 +164,11 @@ def change_stream(spark, sf_dir):
     """The history of all scans, arriving part by part, each in a batch of its own."""
     rows = catalog.keyed(spark, sf_dir)
     landed, scans, log, place = (shared_path(spark, f"changes-{x}") for x in ("landed", "scans", "log", "state"))
-    span = rows.agg(F.min("scan_id").alias("low"), F.max("scan_id").alias("high"))
-    part = F.floor((F.col("scan_id") - F.col("low")) * ARRIVALS / (F.col("high") - F.col("low") + 1))
-    parts = stored(rows.join(F.broadcast(span), F.lit(True)).withColumn("_part", part).drop("low", "high"), "history")  # span is one row
+    low, high = (F.lit(x).cast("int") for x in rows.agg(F.min("scan_id"), F.max("scan_id")).first())
+    part = F.floor((F.col("scan_id") - low) * ARRIVALS / (high - low + 1))
     for k in range(ARRIVALS):
-        parts.where(F.col("_part") == k).drop("_part").write.mode("append").parquet(landed)
+        # Told apart before keys are made, so that a row's is made once and the history written once.
+        rows.where(part == k).write.mode("append").parquet(landed)
         stream = spark.readStream.schema(rows.schema).parquet(landed)
         jobs.full_change_stream(stream, scans, log).trigger(availableNow=True).option("checkpointLocation", place).start().awaitTermination()
     return jobs.logged_changes(spark, log)

@@ -41,6 +41,24 @@ def test_manifests(spark):
     assert {r[0]: (r[1], r[2]) for r in manifests.encryption_flags(keys).collect()} == {"a": (False, False), "b": (True, False), "c": (True, True)}
 
 
+def test_best_of_a_scan_is_not_made_within_a_condition(spark, sf_dir):
+    """A rank within a condition shares nothing and outgrows what the JVM compiles; only rows known to be launchable count."""
+    rows = plans.catalog.keyed(spark, sf_dir)
+    found = changes.summary_with_quality(rows)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FILTER (WHERE launchable" in plan and "THEN struct(rank" not in plan
+    one = rows.limit(1).selectExpr("* EXCEPT (launchable, video_bitrate_bps, scan_id)", "stack(4, 1, 5L, true, 1, 9L, false, 1, 8L, CAST(NULL AS BOOLEAN), 2, 7L, false) AS (scan_id, video_bitrate_bps, launchable)")
+    assert {r.scan_id: r.best and r.best["rank"].bitrate for r in changes.summary_with_quality(one).collect()} == {1: 5, 2: None}
+
+
+def test_history_lands_once(spark, sf_dir, monkeypatch):
+    """Each arrival is written from the tables, not from a copy of the whole history."""
+    rows = plans.catalog.keyed(spark, sf_dir)
+    expected = sorted(map(tuple, changes.all_changes(changes.summary_with_quality(rows)).collect()), key=repr)
+    monkeypatch.setattr(plans, "stored", lambda df, tag: 1 / 0)
+    assert sorted(map(tuple, plans.QUERIES["change_stream"](spark, sf_dir).collect()), key=repr) == expected
+
+
 def test_missing_attributes_are_not_cast(spark):
     """The failed cast of an empty text costs an exception a row; odd lines give what they gave."""
     text = "#EXTM3U\n#EXT-X-STREAM-INF:FRAME-RATE=30000/1001\r\n# c\r\r\n  a.m3u8 \r#EXT-X-STREAM-INF:RESOLUTION=7x,FRAME-RATE=2.5.1\n b \n#EXT-X-STREAM-INF:BANDWIDTH=99999999999999999999,FRAME-RATE=/2,CODECS=\"\"\n#EXT-X-STREAM-INF:FRAME-RATE=5/0,AVERAGE-BANDWIDTH=0,BANDWIDTH=3"
