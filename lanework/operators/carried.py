@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lanework.functions import quality, urls
 from lanework.operators import identity
+from lanework.sources.shared import stored
 
 #: Facts of quality, and the column that tells where each comes from.
 FACTS = {
@@ -132,12 +133,14 @@ def retain_unchanged(entries: DataFrame, failed: DataFrame, definitions: DataFra
     source = Window.partitionBy(*SOURCE)
     runs = _source_names(failed).select("n", *SOURCE).distinct().withColumn("run", F.col("n") - F.row_number().over(source.orderBy("n")))
     runs = runs.select((F.col("n") - 1).alias("n"), *SOURCE, F.max("n").over(Window.partitionBy(*SOURCE, "run")).alias("unread_to"))
+    # What is joined to the rows is stored, so that its size is known beforehand: if small, the rows need not move for it.
+    runs, scans = stored(runs, "unread"), stored(scans.select("n", "at"), "scans")
     starts = seen.join(runs, ["n", *SOURCE]).withColumn("last", F.least("unread_to", F.col("again") - 1)).where("last > n")
     # The definition that holds at a start, and whether the search is active in the next scan already. All scans of a search's
     # rows are asked, a superset that is folded before it moves: starts need not be found twice.
     moments = plain.select("target", "n").distinct().join(scans.select("n", "at"), "n").join(scans.select((F.col("n") - 1).alias("n"), F.col("at").alias("next_at")), "n")
     held = moments.join(definition_versions(definitions, fields), "target").where("since <= at and (until is null or next_at < until)")
     held = held.where("enabled and (active_from is null or next_at >= active_from)").select("target", "n", "until", F.when(F.col("active_from").isNotNull(), F.col("active_until")).alias("ends"))
-    steps = starts.join(held, ["target", "n"]).select(*keys, "until", "ends", F.explode(F.sequence(F.col("n") + 1, "last")).alias("n"))
+    steps = starts.join(stored(held, "held"), ["target", "n"]).select(*keys, "until", "ends", F.explode(F.sequence(F.col("n") + 1, "last")).alias("n"))
     kept = steps.join(scans.select("n", "at"), "n").where("(until is null or at < until) and (ends is null or at < ends)")
     return kept.select("n", *keys, F.lit("SOURCE_UNAVAILABLE").alias("state"))

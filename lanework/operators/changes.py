@@ -16,7 +16,7 @@ def numbered(rows: DataFrame, scan: str = "scan_id") -> DataFrame:
     """rows with n, the place of their scan in order, and last, the place of the last scan."""
     scans = rows.select(scan).distinct()
     order = scans.withColumn("n", F.row_number().over(Window.orderBy(scan))).withColumn("last", F.count("*").over(Window.partitionBy()))
-    return rows.join(order, scan)
+    return rows.join(F.broadcast(order), scan)  # a row a scan, numbered by one task: rows do not move by scan for it
 
 
 def _told(rows: DataFrame, keys: list[str], *cases: tuple[Column, Column, str]) -> DataFrame:
